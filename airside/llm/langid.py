@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Labelled documents to train on, for each language; drawn by a hash of the text.
 DOCS_PER_LANGUAGE = 3000
@@ -129,25 +130,27 @@ def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return found, np.bincount(at, n, len(found))
 
 
-def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame:
-    """doc_id, lang_pred, score, bits_per_byte of every whole text.
+def identify(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` (which has text) with lang_pred, score, bits_per_byte of the whole text.
 
     ``score`` is the best language's posterior, all languages being equally likely before.
     Null texts and texts without a letter are ``und`` with score 0 and null bits_per_byte, as
     is every text if nothing could be learned. Ties go to the language first in the alphabet.
-    Repeated rows are all kept; other columns are ignored; no rows give no rows.
+    Repeated rows and other columns are all kept, but for columns of the three names, which are
+    replaced; no rows give no rows.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    own = docs.drop("lang_pred", "score", "bits_per_byte")
 
     def predict(batches):
         m: Model = shared.value
         for b in batches:
-            ids, texts = b.column("doc_id").to_pylist(), b.column("text").to_pylist()
+            texts = b.column(b.schema.get_field_index("text")).to_pylist()
             at = 0
-            while at < len(ids):
+            while at < len(texts):
                 block, size = [], 0
                 start = at
-                while at < len(ids) and (size < _BATCH_BYTES or not block):
+                while at < len(texts) and (size < _BATCH_BYTES or not block):
                     t = texts[at]
                     block.append(t.encode("utf-8", "replace") if t and m.languages and any(map(str.isalpha, t)) else None)
                     size += len(block[-1] or b"")
@@ -162,9 +165,11 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id") -> DataFrame
                         pred.append(m.languages[best])
                         score.append(float(1 / np.exp2(np.maximum(bits[best] - bits, -1000)).sum()))
                         per.append(float(bits[best] / len(t)))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[start:at], pa.int64()), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())], names=["doc_id", "lang_pred", "score", "bits_per_byte"])
+                new = [pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(per, pa.float64())]
+                yield pa.RecordBatch.from_arrays([*b.slice(start, at - start).columns, *new], names=[*b.schema.names, "lang_pred", "score", "bits_per_byte"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), "text").mapInArrow(predict, "doc_id long, lang_pred string, score double, bits_per_byte double")
+    schema = T.StructType([*own.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
+    return own.mapInArrow(predict, schema)
 
 
 def held_out(id_col: str = "doc_id"):

@@ -8,10 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airside.llm import ann, fingerprint, langid, packing, tokens, url_filter, warc
+from airside.llm import ann, fingerprint, langid, licences, mixing, neardup, packing, tokens, url_filter, warc
 from airside.llm.common import fresh_path, table
 
 
+def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.groups(table(spark, sf_dir, "documents"))
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.scan(table(spark, sf_dir, "documents"))
+
+
 def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = fresh_path(spark, "tokens")
     tokens.write_token_files(table(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"), [1])
@@ -68,7 +76,7 @@ FROM f
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model)
+    found = langid.identify(docs.select("doc_id", "text"), model)
     return found.select("doc_id", langid.held_out().alias("held_out"), "lang_pred", "score", "bits_per_byte")
 
 
@@ -76,7 +84,41 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprints(table(spark, sf_dir, "documents"))
 
 
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    mixed = mixing.mix(docs, mixing.form_topic(F.col("text")))
+    return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.MISSING)).alias("source"), F.coalesce("lang", F.lit(mixing.MISSING)).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+
+
+def _op10_sql() -> str:
+    """The raking, unrolled round by round."""
+    steps, last = [], "c0"
+    for n in range(mixing.ROUNDS):
+        for d in mixing.DIMENSIONS:
+            name = f"r{n}_{d}"
+            steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
+            last = name
+    targets = ",\n".join(f"t_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS t_{d} FROM (SELECT {d}, pow(sum(tokens), 0.9) AS p FROM cells GROUP BY {d} HAVING sum(tokens) > 0))" for d in mixing.DIMENSIONS)
+    return f"""
+WITH d AS MATERIALIZED (
+  SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
+         CASE WHEN length(text) > 0 THEN length(text) - length(replace(text, ' ', '')) + 1 ELSE 0 END AS tokens,
+         length(text) - length(replace(text, '|', '')) AS bars FROM documents),
+n AS MATERIALIZED (SELECT doc_id, source, lang, tokens, CASE WHEN bars * 20 > tokens THEN 'table' WHEN tokens < 100 THEN 'brief' WHEN tokens < 500 THEN 'article' ELSE 'long' END AS topic FROM d),
+cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM n GROUP BY ALL),
+{targets},
+c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CAST(tokens AS DOUBLE) AS weight FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic) WHERE tokens > 0),
+{", ".join(steps)},
+p AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 6) AS probability FROM {last})
+SELECT n.doc_id, n.source, n.lang, n.topic, n.tokens, coalesce(p.probability, 0) AS probability,
+       CAST('0x' || substr(md5(coalesce(CAST(n.doc_id AS VARCHAR), '') || ':mix'), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p.probability, 0) AS kept
+FROM n LEFT JOIN p ON n.source = p.source AND n.lang = p.lang AND n.topic = p.topic
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_near_duplicates": op1_near_duplicates,
+    "op2_licences": op2_licences,
     "op3_token_files": op3_token_files,
     "op4_url_filter": op4_url_filter,
     "op5_pack": op5_pack,
@@ -84,5 +126,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_warc": op7_warc,
     "op8_language": op8_language,
     "op9_fingerprint": op9_fingerprint,
+    "op10_mixing": op10_mixing,
 }
-ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL}
+ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op10_mixing": _op10_sql()}
