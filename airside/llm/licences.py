@@ -13,6 +13,8 @@ every paragraph with the weights, a table bounded by the templates' vocabulary.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -133,19 +135,24 @@ class Classifier:
         self.weights, self.intercepts, self.least = weights, intercepts, least
 
     def probabilities(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, family, probability of the best class but ``none``; rows without a known term are left out."""
+        """keys, family, probability of the best class but ``none``, and that of ``none``; rows without
+        a known term, and rows that are surely no licence, are left out."""
         vocabulary = F.broadcast(self.weights.groupBy().agg(F.collect_set("term").alias("vocabulary")))  # one row, at most VOCABULARY terms
         exploded = rows.crossJoin(vocabulary).select(*keys, F.explode(F.array_intersect("terms", "vocabulary")).alias("term"))
         known = F.broadcast(self.weights.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("w")))  # bounded by VOCABULARY
         met = exploded.join(known, "term")
         sums = met.groupBy(*keys).agg(*[F.sum(F.coalesce(F.element_at("w", f), F.lit(0.0))).alias(f"s{i}") for i, f in enumerate(self.intercepts)])
-        logits = [F.col(f"s{i}") + F.lit(b) for i, b in enumerate(self.intercepts.values())]
-        top = F.greatest(*logits)
-        scored = sums.withColumn("total", sum((F.exp(x - top) for x in logits), F.lit(0.0)))
-        classes = F.array(*[F.struct((F.exp(x - top) / F.col("total")).alias("probability"), F.lit(f).alias("family")) for x, f in zip(logits, self.intercepts, strict=True)])
-        licence = F.filter(classes, lambda c: c["family"] != "none")
-        none = F.filter(classes, lambda c: c["family"] == "none")[0]["probability"]
-        return scored.select(*keys, F.array_max(licence).alias("best"), none.alias("none")).select(*keys, "best.family", "best.probability", "none")
+        logits = [(F.col(f"s{i}") + F.lit(b)).alias(f"s{i}") for i, b in enumerate(self.intercepts.values())]
+        none = f"s{list(self.intercepts).index('none')}"
+        others = [f"s{i}" for i in range(len(logits)) if f"s{i}" != none]
+        # Where every licence class lies so far below, `none` has more than half: no softmax needed.
+        near = sums.select(*keys, *logits).where(F.greatest(*others) + math.log(len(others)) >= F.col(none))
+        classes = F.array(*[F.struct(F.col(f"s{i}").alias("logit"), F.lit(f).alias("family")) for i, f in enumerate(self.intercepts)])
+        listed = near.select(*keys, classes.alias("c"), F.greatest(*others, none).alias("top"), F.col(none).alias("none"))
+        total = F.aggregate("c", F.lit(0.0), lambda a, x: a + F.exp(x["logit"] - F.col("top")))
+        best = F.array_max(F.filter("c", lambda x: x["family"] != "none"))
+        summed = listed.select(*keys, best.alias("best"), "none", "top", total.alias("total"))
+        return summed.select(*keys, "best.family", (F.exp(F.col("best.logit") - F.col("top")) / F.col("total")).alias("probability"), (F.exp(F.col("none") - F.col("top")) / F.col("total")).alias("none"))
 
 
 def train(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> Classifier:
