@@ -22,6 +22,8 @@ MAGIC = "WARC/1.1\r\n"
 CLOSE = "\r\n\r\n"
 #: Payloads of fewer bytes are always stored, never revisited.
 LEAST_REVISIT = 100
+#: Up to this many groups of equal payloads (72 bytes each) are sent to all executors.
+GROUPS_TO_ALL = 200_000
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -34,6 +36,9 @@ def revisits(pages: DataFrame) -> DataFrame:
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
     groups = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    groups = materialise(groups, "groups")
+    if groups.count() <= GROUPS_TO_ALL:
+        groups = F.broadcast(groups)  # else payloads are shuffled by digest
     joined = rows.join(groups, "digest", "left")
     return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
 
@@ -155,8 +160,8 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     header tells. Files whose first bytes are no record have none. Payloads cut by a magic
     inside them are put together again from their pieces.
     """
-    found = materialise(candidates(spark, path), "candidates")
-    records = materialise(found.join(reachable(found), ["file", "offset"]), "records")
+    found = candidates(spark, path)
+    records = found.join(materialise(reachable(found), "reached"), ["file", "offset"])
     simple = F.col("digest").isNotNull() | (F.col("record_type") == "revisit")
     broken = records.where(~simple)
     if not broken.isEmpty():
