@@ -195,7 +195,7 @@ def build_shards(nodes: DataFrame, links: int = LINKS, width: int = BUILD_WIDTH)
 
 def _searcher(k: int, width: int):
     def search(key, pdf):
-        out = []
+        who, what, how = [], [], []
         for s in pdf.itertuples():
             dim = int(s.dim)
             raw = np.frombuffer(s.vectors, "<f8").reshape(-1, dim)
@@ -220,9 +220,11 @@ def _searcher(k: int, width: int):
                         break
                     own = ids[ends[best[i, j]] : ends[best[i, j] + 1]]
                     own = own[own != q_ids[i]]
-                    out.append(pd.DataFrame({"query_id": q_ids[i], "vec_id": own, "score": scores[i, j]}))
+                    who.extend([q_ids[i]] * len(own))
+                    what.extend(own)
+                    how.extend([scores[i, j]] * len(own))
                     left -= len(own)
-        return pd.concat(out, ignore_index=True) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64", "score": "float64"})
+        return pd.DataFrame({"query_id": np.array(who, np.int64), "vec_id": np.array(what, np.int64), "score": np.array(how, np.float64)})
 
     return search
 
