@@ -253,3 +253,15 @@ def test_pipeline(spark):
 
     got = corpus_pipeline.run(spark, SF)
     assert got.count() > 0 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
+
+
+def test_near_duplicates_in_large_buckets(spark, monkeypatch):
+    """Texts around one long passage: the last two ways of splitting find what brute force does."""
+    monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
+    monkeypatch.setattr(neardup, "DEPTH", 1)
+    passage = " ".join(f"p{i}" for i in range(70))
+    texts = [f"{passage} " + " ".join(f"x{n // 2}y{i}" for i in range(40 + n % 2)) for n in range(24)]
+    found = {r.doc_id: r.group_id for r in neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    codes = [neardup.word_codes(neardup.words_of(t)) for t in texts]
+    brute = {n: min(m for m in range(len(texts)) if neardup.near(codes[n], codes[m])) for n in range(len(texts))}
+    assert found == brute == {n: n - n % 2 for n in range(24)}
