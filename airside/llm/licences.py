@@ -96,9 +96,14 @@ def triples(w: Column) -> Column:
     return F.array_distinct(_pairs(_pairs(w, w, 2), w, 3))
 
 
+def all_terms(w: Column) -> Column:
+    """Words and pairs of neighbours, with repeats."""
+    return F.concat(w, _pairs(w, w, 2))
+
+
 def terms(w: Column) -> Column:
     """Distinct words and pairs of neighbours."""
-    return F.array_distinct(F.concat(w, _pairs(w, w, 2)))
+    return F.array_distinct(all_terms(w))
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -129,16 +134,17 @@ def training_rows(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -
 
 
 class Classifier:
-    """weights (term, family, weight), intercepts by family, and the least probability."""
+    """weights (term, family, weight) and their terms, at most VOCABULARY; intercepts by family; the least probability."""
 
-    def __init__(self, weights: DataFrame, intercepts: dict[str, float], least: float):
-        self.weights, self.intercepts, self.least = weights, intercepts, least
+    def __init__(self, weights: DataFrame, vocabulary: list[str], intercepts: dict[str, float], least: float):
+        self.weights, self.vocabulary, self.intercepts, self.least = weights, vocabulary, intercepts, least
 
     def probabilities(self, rows: DataFrame, keys: list[str]) -> DataFrame:
         """keys, family, probability of the best class but ``none``, and that of ``none``; rows without
         a known term, and rows that are surely no licence, are left out."""
-        vocabulary = F.broadcast(self.weights.groupBy().agg(F.collect_set("term").alias("vocabulary")))  # one row, at most VOCABULARY terms
-        exploded = rows.crossJoin(vocabulary).select(*keys, F.explode(F.array_intersect("terms", "vocabulary")).alias("term"))
+        # A constant list: one hash set for all rows, where an array of terms would be hashed for each.
+        held = F.array_distinct(F.filter("terms", lambda t: t.isin(self.vocabulary)))
+        exploded = rows.select(*keys, F.explode(held).alias("term"))
         known = F.broadcast(self.weights.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("w")))  # bounded by VOCABULARY
         met = exploded.join(known, "term")
         sums = met.groupBy(*keys).agg(*[F.sum(F.coalesce(F.element_at("w", f), F.lit(0.0))).alias(f"s{i}") for i, f in enumerate(self.intercepts)])
@@ -170,7 +176,7 @@ def train(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> Classi
     model = LogisticRegression(maxIter=40, regParam=0.0005, elasticNetParam=0.5, family="multinomial", weightCol="balance", standardization=False, aggregationDepth=2).fit(ready)
     coefficient, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     table = [(vocabulary[j], families[i], float(coefficient[i, j])) for i in range(len(intercept)) for j in range(len(vocabulary)) if abs(coefficient[i, j]) >= LEAST_WEIGHT]
-    found = Classifier(spark.createDataFrame(table, "term string, family string, weight double"), {f: float(b) for f, b in zip(families, intercept, strict=False)}, 0.0)
+    found = Classifier(spark.createDataFrame(table, "term string, family string, weight double"), sorted({t for t, _, _ in table}), {f: float(b) for f, b in zip(families, intercept, strict=False)}, 0.0)
     held = rows.where("held").withColumn("row", F.monotonically_increasing_id())
     scored = found.probabilities(materialise(held.withColumnRenamed("family", "truth"), "licence-held"), ["row", "truth"])
     wrong = scored.where("truth IN ('none', 'unknown') AND family <> 'unknown'").agg(F.percentile("probability", F.lit(1 - FALSE_ACCEPTS))).first()[0]
@@ -189,7 +195,7 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     lines = paragraphs(docs)
     model = train(spark, lines, sample)
-    scored = model.probabilities(lines.withColumn("w", words(F.col("text"))).select("doc_id", "paragraph", terms(F.col("w")).alias("terms")), ["doc_id", "paragraph"])
+    scored = model.probabilities(lines.withColumn("w", words(F.col("text"))).select("doc_id", "paragraph", all_terms(F.col("w")).alias("terms")), ["doc_id", "paragraph"])
     likely = scored.where(F.col("none") < 0.5)
     held = lines.join(likely, ["doc_id", "paragraph"])
     known = template_table(spark).withColumn("w", words(F.col("text"))).select("family", triples(F.col("w")).alias("wanted")).groupBy("family").agg(F.collect_list("wanted").alias("templates"))
