@@ -12,8 +12,9 @@ pairs with s = 0.8 about one in thirty million is missed, with s = 0.6 about thr
 thousand. (A changed word changes five shingles: s = 0.6 is an edit similarity of 0.95.)
 
 Exact copies are merged first. A bucket then compares its members with its most central one.
-Only members that stay in different components meet each other, after their buckets have been
-split by a second element (and a third, where they stay large).
+Members of small buckets that stay in different components then all meet each other. Larger
+buckets are split by a second element (and a third, where they stay large) to link most of their
+near copies; whatever stays apart in them meets by its rare k-mers.
 
 What is large even then is texts with a long passage in common, most of them otherwise unlike.
 Texts whose shingle similarity is 0.8 or more share a k-mer among the rarest fifth of each one's
@@ -314,9 +315,14 @@ def groups(docs: DataFrame) -> DataFrame:
     buckets.verify(members.where("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct())
 
     left = materialise(buckets.labelled(members.select("key", "pos", "doc")), "labelled")
-    # What is still apart within a bucket must agree on further elements to be compared: of
-    # near copies, nearly all pairs agree on many.
-    for depth in range(DEPTH):
+    # One common element is enough for members of small buckets.
+    apart = left.join(_mixed(left), "key")
+    buckets.verify(_cross_pairs(apart.where(F.col("n") <= SMALL_BUCKET)))
+    left = whole = materialise(apart.where(F.col("n") > SMALL_BUCKET).drop("n"), "whole")
+    # Of near copies nearly all pairs agree on many elements: this links most, and saves work below.
+    for _ in range(DEPTH):
+        if left.isEmpty():
+            break
         large = materialise(left.join(_mixed(left).select("key"), "key"), "mixed")
         step = F.pmod(F.col("o.pos") - F.col("l.pos"), F.lit(SKETCH))
         split = large.alias("l").join(keys.alias("o"), F.col("l.doc") == F.col("o.doc")).where(step.between(1, SPLITS))
@@ -325,10 +331,10 @@ def groups(docs: DataFrame) -> DataFrame:
         open_ = materialise(left.join(_mixed(left), "key"), "open")
         buckets.verify(_cross_pairs(open_.where(F.col("n") <= SMALL_BUCKET)))
         left = materialise(open_.where(F.col("n") > SMALL_BUCKET).drop("n"), "large")
-        if left.isEmpty():
-            break
-    else:
-        left = _rare_kmers(buckets, left.select("doc").distinct())
+    whole = buckets.labelled(whole.select("key", "doc"))
+    left = materialise(whole.join(_mixed(whole), "key").select("doc", "component").distinct(), "rest")
+    if not left.isEmpty():
+        left = _rare_kmers(buckets, left)
         buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET)))
         _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component"))
 
@@ -347,7 +353,7 @@ def _rare_kmers(buckets: Buckets, docs: DataFrame) -> DataFrame:
     order of all k-mers will do: theirs is by the count of their slot, of which there are SLOTS
     whatever the input, then by value. A k-mer that is alone in its slot names no pair.
     """
-    words = materialise(buckets.words.join(buckets.labelled(docs), F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
+    words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
     counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
     held = np.zeros(SLOTS, np.int64)
     held[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
@@ -370,5 +376,6 @@ def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
             return
         met = members.join(turn, "key").where("component <> its")
         buckets.verify(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
-        members = materialise(members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti"), "rest")
+        rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc")
+        members = materialise(buckets.labelled(rest), "rest")
         many *= 8

@@ -265,3 +265,23 @@ def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     codes = [neardup.word_codes(neardup.words_of(t)) for t in texts]
     brute = {n: min(m for m in range(len(texts)) if neardup.near(codes[n], codes[m])) for n in range(len(texts))}
     assert found == brute == {n: n - n % 2 for n in range(24)}
+
+
+def test_near_duplicates_that_agree_once(spark):
+    """Two members of a small bucket that share one element only, and aren't near its pivot."""
+    rng = random.Random(8)
+    sketch = lambda w: neardup.order_minhash(neardup.word_codes(w)).tolist()
+    while True:
+        b = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+        c = [f"c{i}" if i % 10 == 5 else w for i, w in enumerate(b)]
+        same = [i for i, (x, y) in enumerate(zip(sketch(b), sketch(c), strict=True)) if x == y]
+        if len(same) != 1:
+            continue
+        value = neardup._mix((neardup.labelled_kmers(neardup.word_codes(b)) ^ neardup._XOR[same[0]]) * neardup._MUL[same[0]])
+        at = sorted(np.argsort(value)[:3].tolist())
+        a = [w for i in at for w in b[i : i + 5]]
+        if min(np.diff(at)) >= 5 and sum(x == y for x, y in zip(sketch(a), sketch(b), strict=True)) == 1 and sketch(a)[same[0]] == sketch(b)[same[0]]:
+            break
+    texts = [" ".join(t) for t in (a, b, c)]
+    found = neardup.groups(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    assert {r.doc_id: r.group_id for r in found} == {0: 0, 1: 1, 2: 1}
