@@ -14,11 +14,12 @@ thousand. (A changed word changes five shingles: s = 0.6 is an edit similarity o
 Exact copies are merged first. A bucket then compares its members with its most central one.
 Members of small buckets that stay in different components then all meet each other. Larger
 buckets are split by a second element (and a third, where they stay large) to link most of their
-near copies; whatever stays apart in them meets by its rare k-mers.
+near copies; whatever stays apart in them meets by its rare words.
 
 What is large even then is texts with a long passage in common, most of them otherwise unlike.
-Texts whose shingle similarity is 0.8 or more share a k-mer among the rarest fifth of each one's
-k-mers, so these alone name the pairs to compare: a passage that many texts have is not rare.
+Each edit takes one word at most from what two texts have in common, so texts of edit similarity
+0.8 or more share a word among the rarest fifth of each one's words. These alone name the pairs
+to compare, and none that is near is left out: a passage that many texts have is not rare.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airside.llm.common import materialise
@@ -46,7 +47,7 @@ SPLITS, DEPTH = 3, 2
 #: Members outside a bucket's main component that meet the others in the first round; each
 #: further round takes eight times as many.
 PIVOTS = 8
-#: Slots in which k-mers are counted: 8 MB of counts are broadcast.
+#: Slots in which words are counted: 8 MB of counts are broadcast.
 SLOTS = 1 << 20
 
 _WORD = re.compile(r"\w+")
@@ -80,11 +81,11 @@ def word_codes(words: list[str]) -> np.ndarray:
     return np.array(out, np.uint32)
 
 
-def labelled_kmers(codes: np.ndarray) -> np.ndarray:
+def labelled_kmers(codes: np.ndarray, width: int = WORDS) -> np.ndarray:
     """Hashes of the k-mers in text order; repeats of one differ by their occurrence number."""
-    n = max(1, len(codes) - WORDS + 1)
+    n = max(1, len(codes) - width + 1)
     kmer = np.zeros(n, _U)
-    for j in range(min(WORDS, len(codes))):
+    for j in range(min(width, len(codes))):
         kmer += codes[j : j + n].astype(_U) * _KMER[j]
     kmer = _mix(kmer)
     order = np.argsort(kmer, kind="stable")
@@ -205,7 +206,7 @@ def _codes(batches):
 
 
 def _slot_counts(batches):
-    """slot, n: how many k-mers fall into each slot, summed over about a million at a time."""
+    """slot, n: how many words fall into each slot, summed over about a million at a time."""
     waiting, many = [], 0
 
     def summed():
@@ -214,7 +215,7 @@ def _slot_counts(batches):
 
     for b in batches:
         for words in b.column("words"):
-            found = labelled_kmers(words.values.to_numpy().view(np.uint32)) & _U(SLOTS - 1)
+            found = labelled_kmers(words.values.to_numpy().view(np.uint32), 1) & _U(SLOTS - 1)
             waiting.append(found)
             many += len(found)
             if many >= 1 << 20:
@@ -225,18 +226,18 @@ def _slot_counts(batches):
 
 
 def _rarest(held):
-    """Makes the rarest k-mers of each text out of ``held``, a broadcast count for each slot."""
+    """Makes the rarest words of each text out of ``held``, a broadcast count for each slot."""
 
     def pick(batches):
         for b in batches:
             for doc, component, words in zip(b.column("doc").to_pylist(), b.column("component").to_pylist(), b.column("words"), strict=True):
-                found = labelled_kmers(words.values.to_numpy().view(np.uint32))
+                found = labelled_kmers(words.values.to_numpy().view(np.uint32), 1)
                 n = held.value[(found & _U(SLOTS - 1)).astype(np.int64)]
                 rare = np.lexsort((found, n))[: int(len(found) * (1 - LEAST) + 1e-9) + 1]
                 keys = found[rare[n[rare] > 1]].view(np.int64)
                 for lo in range(0, len(keys), 65536):
                     part = keys[lo : lo + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), component))], names=["key", "doc", "component"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), component)), pa.array(np.full(len(part), len(found)))], names=["key", "doc", "component", "length"])
 
     return pick
 
@@ -279,9 +280,15 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
 
 
-def _cross_pairs(members: DataFrame) -> DataFrame:
+def _alike(a: str, b: str) -> Column:
+    """Whether texts of so many words can be near copies."""
+    return F.least(a, b) >= F.greatest(a, b) * LEAST - 1e-6
+
+
+def _cross_pairs(members: DataFrame, also: Column | None = None) -> DataFrame:
     x, y = members.alias("x"), members.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
+    met = met if also is None else met.where(also)
     return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
@@ -334,9 +341,9 @@ def groups(docs: DataFrame) -> DataFrame:
     whole = buckets.labelled(whole.select("key", "doc"))
     left = materialise(whole.join(_mixed(whole), "key").select("doc", "component").distinct(), "rest")
     if not left.isEmpty():
-        left = _rare_kmers(buckets, left)
-        buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET)))
-        _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component"))
+        left = _rare_words(buckets, left)
+        buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET), _alike("x.length", "y.length")))
+        _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length"))
 
     labels = components(buckets.all_edges()).select(F.col("node").alias("rep"), F.col("component"))
     named = classes.join(labels, "rep", "left").select("content", F.coalesce("component", "rep").alias("group_id"))
@@ -345,20 +352,21 @@ def groups(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", "group_id").join(sizes, "group_id", "left").select("doc_id", "group_id", F.coalesce("group_size", F.lit(1)).alias("group_size"))
 
 
-def _rare_kmers(buckets: Buckets, docs: DataFrame) -> DataFrame:
-    """key, doc, component, n: mixed buckets of texts by the k-mers in the rarest fifth of each.
+def _rare_words(buckets: Buckets, docs: DataFrame) -> DataFrame:
+    """key, doc, component, length, n: mixed buckets of texts by the words in the rarest fifth of each.
 
-    Of two texts with shingle similarity LEAST or more, each lacks at most a share 1 - LEAST of
-    the other's k-mers, so the rarest they share is in both shares (the prefix filter). Any one
-    order of all k-mers will do: theirs is by the count of their slot, of which there are SLOTS
-    whatever the input, then by value. A k-mer that is alone in its slot names no pair.
+    Texts of edit similarity LEAST or more have at least a share LEAST of the longer one's words
+    in common (repeats counted), so each has at most a share 1 - LEAST that the other lacks, and
+    the rarest word they share is in both prefixes (the prefix filter). Any one order of all
+    words will do: theirs is by the count of their slot, of which there are SLOTS whatever the
+    input, then by value. A word that is alone in its slot names no pair, but takes its place.
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
     counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
     held = np.zeros(SLOTS, np.int64)
     held[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     pick = _rarest(words.sparkSession.sparkContext.broadcast(held))
-    named = materialise(words.mapInArrow(pick, "key long, doc long, component long"), "rare")
+    named = materialise(words.mapInArrow(pick, "key long, doc long, component long, length long"), "rare")
     return materialise(named.join(_mixed(named), "key"), "rare-open")
 
 
@@ -371,11 +379,11 @@ def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
         outside = members.join(main, "key").where("component <> main")
         order = Window.partitionBy("key").orderBy("doc")
-        turn = materialise(outside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("key", F.col("doc").alias("pivot"), F.col("component").alias("its")), "pivots")
+        turn = materialise(outside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("key", F.col("doc").alias("pivot"), F.col("component").alias("its"), F.col("length").alias("pivot_length")), "pivots")
         if turn.isEmpty():
             return
-        met = members.join(turn, "key").where("component <> its")
+        met = members.join(turn, "key").where("component <> its").where(_alike("length", "pivot_length"))
         buckets.verify(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
-        rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc")
+        rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "length")
         members = materialise(buckets.labelled(rest), "rest")
         many *= 8
