@@ -32,7 +32,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_ids: list[int], capacity: in
     Without ``keep_ids`` the ids themselves are left out. Other columns are ignored.
     """
     end = id_bytes(end_ids)
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long, part int, local_rank long" + ", ids array<int>" * keep_ids
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids array<int>" * keep_ids
 
     def cut(batches):
         enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
@@ -51,7 +51,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_ids: list[int], capacity: in
                         chunks.append(chunk)
                     at, size, piece = at + size, capacity, piece + 1
             cols = list(zip(*out, strict=True)) if out else [()] * 7
-            types = [pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+            types = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64()]
             arrays = [pa.array(c, t) for c, t in zip(cols, types, strict=True)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "part", "local_rank"]
             yield pa.RecordBatch.from_arrays([*arrays, as_lists(chunks)] if keep_ids else arrays, names=[*names, "ids"] if keep_ids else names)
@@ -196,5 +196,5 @@ def pack(docs: DataFrame, tokenizer: str, end_ids: list[int], capacity: int = 20
             sequence, offset = p["sequence"][at] + nth // p["uses"][at], p["offset"][at] + nth % p["uses"][at] * length
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in keep), pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())], names=[*keep, "sequence_id", "offset"])
 
-    schema = "doc_id long, piece int, start long, length int, ids_crc32 long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
+    schema = "doc_id long, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * keep_ids + ", sequence_id long, offset long"
     return ranked.mapInArrow(place, schema)
