@@ -19,11 +19,15 @@ from pyspark.sql import functions as F
 from airside.llm.common import fresh_path, materialise
 
 MAGIC = "WARC/1.1\r\n"
+#: Our own header: base64 of a URL that has blanks or breaks.
+EXACT_URI = "X-Exact-Target-URI"
 CLOSE = "\r\n\r\n"
 #: Payloads of fewer bytes are always stored, never revisited.
 LEAST_REVISIT = 100
 #: Up to this many groups of equal payloads (72 bytes each) are sent to all executors.
 GROUPS_TO_ALL = 200_000
+#: Of more groups, the largest that are sent to all executors, so that none of them is one task's.
+HOT_GROUPS = 20_000
 
 
 def revisits(pages: DataFrame) -> DataFrame:
@@ -35,22 +39,34 @@ def revisits(pages: DataFrame) -> DataFrame:
     """
     rows = pages.select(F.col("page_id").cast("long"), "url", F.coalesce("html", F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("payload_bytes", F.octet_length("payload").cast("long"))
-    groups = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    groups = rows.where(F.col("payload_bytes") >= LEAST_REVISIT).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = materialise(groups, "groups")
+    first = F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))
     if groups.count() <= GROUPS_TO_ALL:
-        groups = F.broadcast(groups)  # else payloads are shuffled by digest
-    joined = rows.join(groups, "digest", "left")
-    return joined.withColumn("refers_to", F.when(~F.col("page_id").eqNullSafe(F.col("first")), F.col("first"))).drop("first")
+        return rows.join(F.broadcast(groups.drop("n")), "digest", "left").withColumn("refers_to", first).drop("first")
+    # Digests that many pages have, at most HOT_GROUPS, go to all; by the others payloads are shuffled.
+    hot = F.broadcast(groups.orderBy(F.col("n").desc(), "digest").limit(HOT_GROUPS).select("digest", "first"))
+    met = rows.join(hot, "digest").withColumn("refers_to", first).drop("first")
+    cold = rows.join(hot, "digest", "left_anti").join(groups.drop("n"), "digest", "left").withColumn("refers_to", first).drop("first")
+    return met.unionByName(cold)
 
 
-def write_archives(pages: DataFrame, path: str) -> None:
-    """Write a response or revisit record for each page (page_id, url, html) as plain WARC files."""
+def write_archives(pages: DataFrame, path: str, date: str | None = None) -> None:
+    """Write a response or revisit record for each page (page_id, url, html) as plain WARC files.
+
+    ``date`` is the time of capture (ISO 8601, UTC), by default the time of writing. A URL with
+    blanks or breaks, which no header line can hold, stands escaped in WARC-Target-URI and
+    exactly in a further header; a null URL has no header.
+    """
     rows = revisits(pages)
     number = F.coalesce(F.col("page_id").cast("string"), F.lit("none"))
-    uri = F.regexp_replace(F.coalesce("url", F.lit("")), r"[\x00-\x20\x7f]", "_")  # a header line has no blanks or breaks
+    odd = F.col("url").rlike(r"[\x00-\x20\x7f]")
+    plain = F.regexp_replace("url", r"[\x00-\x20\x7f]", "%20")
+    uri = F.coalesce(F.concat(F.lit("\r\nWARC-Target-URI: "), plain, F.when(odd, F.concat(F.lit(f"\r\n{EXACT_URI}: "), _one_line(F.col("url")))).otherwise("")), F.lit(""))
+    when = F.lit(date) if date else F.date_format(F.to_utc_timestamp(F.current_timestamp(), F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     is_revisit = F.col("refers_to").isNotNull()
     header = F.concat(
-        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(is_revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), number, F.lit(">\r\nWARC-Target-URI: "), uri,
+        F.lit(MAGIC), F.lit("WARC-Type: "), F.when(is_revisit, "revisit").otherwise("response"), F.lit("\r\nWARC-Record-ID: <urn:page:"), number, F.lit(">\r\nWARC-Date: "), when, uri,
         F.lit("\r\nWARC-Payload-Digest: sha256:"), F.col("digest"), F.lit("\r\nWARC-Payload-Length: "), F.col("payload_bytes").cast("string"),
         F.when(is_revisit, F.concat(F.lit("\r\nWARC-Refers-To: <urn:page:"), F.col("refers_to").cast("string"), F.lit(">\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"))).otherwise(F.lit("")),
         F.lit("\r\nContent-Type: text/html\r\nContent-Length: "), F.when(is_revisit, F.lit("0")).otherwise(F.col("payload_bytes").cast("string")), F.lit(CLOSE),
@@ -59,6 +75,11 @@ def write_archives(pages: DataFrame, path: str) -> None:
     rows.select(F.concat(header, body).alias("value")).write.option("lineSep", CLOSE).text(path)
 
 
+def _one_line(text):
+    """Base64 without line breaks."""
+    return F.regexp_replace(F.base64(F.encode(text, "UTF-8")), r"\s", "")
+
+
 def _segments(spark: SparkSession, path: str) -> DataFrame:
     """What stands between magics: file, block, seq (order of reading within a block), value."""
     raw = spark.read.option("lineSep", MAGIC).text(path)
@@ -117,9 +138,11 @@ def candidates(spark: SparkSession, path: str) -> DataFrame:
     narrow = narrow.withColumn("content", F.when(F.col("head_bytes") < F.col("size"), length))
     body = F.expr("substring(cast(value AS binary), int(head_bytes) + 5, int(content))")
     whole = F.col("size") == F.col("head_bytes") + 4 + F.col("content") + 4
+    exact = _header(EXACT_URI)
+    url = F.when(exact != "", F.decode(F.unbase64(exact), "UTF-8")).when(F.instr("head", "WARC-Target-URI:") > 0, _header("WARC-Target-URI"))
     fields = [_header("WARC-Type").alias("record_type"), F.expr("try_cast(regexp_extract(head, 'WARC-Record-ID: <urn:page:(-?[0-9]+)>', 1) AS bigint)").alias("page_id"), F.expr("try_cast(regexp_extract(head, 'WARC-Refers-To: <urn:page:(-?[0-9]+)>', 1) AS bigint)").alias("refers_to"),
-              _header("WARC-Target-URI").alias("url"), F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("told_digest"), F.expr("try_cast(regexp_extract(head, 'WARC-Payload-Length: ?([0-9]+)', 1) AS bigint)").alias("told_bytes")]
-    narrow = narrow.select("file", "block", "seq", "size", "head_bytes", "content", F.when(whole, F.sha2(body, 256)).alias("digest"), *fields)
+              url.alias("url"), F.regexp_replace(_header("WARC-Payload-Digest"), "^sha256:", "").alias("told_digest"), F.expr("try_cast(regexp_extract(head, 'WARC-Payload-Length: ?([0-9]+)', 1) AS bigint)").alias("told_bytes")]
+    narrow = narrow.select("file", "block", "seq", "size", "head_bytes", "content", F.when(whole, F.sha2(body, 256)).alias("digest"), F.sha2(F.col("value").cast("binary"), 256).alias("piece"), *fields)
     # Offsets: sizes before within the block, and the sizes of the file's blocks before.
     marks = len(MAGIC)
     within = Window.partitionBy("file", "block").orderBy("seq")
@@ -157,7 +180,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Records of the archives: page_id, url, record_type, refers_to, payload_bytes, payload_digest.
 
     Digest and size of a response are those of the payload read; a revisit's are the ones its
-    header tells. Files whose first bytes are no record have none. Payloads cut by a magic
+    header tells. URLs are the ones written. Files whose first bytes are no record have none. Payloads cut by a magic
     inside them are put together again from their pieces.
     """
     found = candidates(spark, path)
@@ -167,7 +190,7 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
     if not broken.isEmpty():
         spans = broken.select("file", F.col("offset").alias("start"), "successor", "head_bytes", "content")
         # Pieces of a cut record: the candidates from its start up to its successor.
-        inner = found.where("offset >= 0").select("file", "block", "seq", "offset")
+        inner = found.where("offset >= 0").select("file", "block", "piece", "offset")
         marked = inner.join(spans.select("file", F.col("start").alias("offset"), "start", "successor", "head_bytes", "content"), ["file", "offset"], "left")
         last = Window.partitionBy("file", "block").orderBy("offset").rowsBetween(Window.unboundedPreceding, 0)
         held = marked.withColumn("open", F.last(F.when(F.col("start").isNotNull(), F.struct("start", "successor", "head_bytes", "content")), ignorenulls=True).over(last))
@@ -176,9 +199,11 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         prior = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
         ends = ends.select("file", "block", F.last("carried", ignorenulls=True).over(prior).alias("carried"))
         held = held.join(ends, ["file", "block"], "left").withColumn("open", F.coalesce("open", "carried")).where("offset < open.successor")
-        pieces = held.select("file", "block", "seq", "offset", F.col("open.start").alias("start"), F.col("open.head_bytes").alias("head_bytes"), F.col("open.content").alias("content"))
-        text = _segments(spark, path).join(pieces, ["file", "block", "seq"])
-        joined = text.groupBy("file", "start", "head_bytes", "content").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
+        pieces = held.select("file", "piece", "offset", F.col("open.start").alias("start"), F.col("open.head_bytes").alias("head_bytes"), F.col("open.content").alias("content"))
+        # Their text is read again, and found by its digest: rows of two scans have no common number.
+        wanted = pieces.select("piece").distinct()
+        text = _segments(spark, path).select(F.sha2(F.col("value").cast("binary"), 256).alias("piece"), "value").join(wanted, "piece", "left_semi").dropDuplicates(["piece"])
+        joined = pieces.join(text, "piece").groupBy("file", "start", "head_bytes", "content").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("offset", "value"))), lambda p: p["value"]), MAGIC).alias("value"))
         mended = joined.select("file", F.col("start").alias("offset"), F.sha2(F.expr("substring(cast(value AS binary), int(head_bytes) + 5, int(content))"), 256).alias("mended"))
         records = records.join(mended, ["file", "offset"], "left").withColumn("digest", F.coalesce("digest", "mended"))
     is_revisit = F.col("record_type") == "revisit"
