@@ -7,7 +7,8 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
 _OWN_DIR: dict[str, str] = {}
 _SHIPPED: set[str] = set()
@@ -62,3 +63,23 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def sample_texts(rows: DataFrame, n: int, by: DataFrame | None = None) -> DataFrame:
+    """At most ``n`` rows of differing ``text``: those of least hash, whatever the partitioning.
+
+    With ``by``, a small table of the values of one column, so many for each of its values and
+    none for other values. Only columns text and ``by``'s are kept. Copies of a text count once.
+    """
+    keys = by.columns if by is not None else []
+    rows = rows.where("text IS NOT NULL").select(*keys, "text").withColumn("_hash", F.xxhash64("text"))
+    place = F.shiftrightunsigned("_hash", 11) / F.lit(float(1 << 53))
+    if by is not None:
+        rows = rows.join(F.broadcast(by), keys)
+    many = rows.groupBy(*keys).agg(F.approx_count_distinct("_hash", 0.02).alias("_many"))
+    shares = F.broadcast(many.select(*keys, (F.lit(2.0 * n) / F.greatest("_many", F.lit(1))).alias("_share")))  # a row for each value of ``by``
+    drawn = (rows.join(shares, keys) if keys else rows.crossJoin(shares)).where(place < F.col("_share")).dropDuplicates([*keys, "_hash"])
+    if not keys:
+        return drawn.orderBy("_hash").limit(n).select("text")
+    least = F.row_number().over(Window.partitionBy(*keys).orderBy("_hash"))
+    return drawn.withColumn("_rn", least).where(F.col("_rn") <= n).select(*keys, "text")

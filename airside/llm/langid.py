@@ -1,11 +1,12 @@
 """Language ID by prediction by partial matching (operator 8).
 
-Each language has a tree of byte contexts of up to three bytes. A symbol that a context has
+Each language has a tree of byte contexts of up to ORDER bytes. A symbol that a context has
 seen n times of N, among D distinct ones, costs -log2(n / (N + D)) bits; an unseen one costs
 the escape, D / (N + D), and is then predicted by the next shorter context, whose
-probabilities leave out what the longer one has seen. Statistics are frozen after training,
-so the cost of a byte is a function of it and the three bytes before. All costs are worked
-out once, and a text's code length in every language is a sum of table look-ups.
+probabilities leave out what the longer one has seen; a context that was never seen costs
+nothing. Statistics are frozen after training, so the cost of a byte is a function of it and
+the bytes before, and a text's code length is exact. Trees are sparse: sorted keys of the
+strings seen, each with its final cost, and of the contexts, each with its cost of an escape.
 """
 
 from __future__ import annotations
@@ -18,116 +19,146 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled documents to train on, for each language; drawn by a hash of the text.
+from airside.llm.common import sample_texts
+
+#: Labelled documents to train on, for each language: differing texts of least hash.
 DOCS_PER_LANGUAGE = 3000
-#: Byte classes; all but the 127 commonest bytes of the training texts share class 0.
-CLASSES = 128
-#: Contexts of three bytes seen less often than this in any language are left to shorter ones.
-LEAST_CONTEXT = 8
-_START = b"\n\n\n"
-_BATCH_BYTES = 1_000_000
+#: Languages to learn, the ones with most labelled documents first.
+LANGUAGES = 1000
+#: Bytes of the longest context; a string of a context and its symbol fits 32 bits.
+ORDER = 3
+_START = b"\n" * ORDER
+_BLOCK_BYTES = 1_000_000
+
+
+@dataclass
+class Tree:
+    """One language: by order, strings seen and their bits, contexts seen and their escapes' bits."""
+
+    keys: list[np.ndarray]
+    bits: list[np.ndarray]
+    contexts: list[np.ndarray]
+    escapes: list[np.ndarray]
+
+    @classmethod
+    def grow(cls, gram: np.ndarray, n: np.ndarray) -> Tree:
+        """From the counts of all strings of ORDER + 1 bytes (big-endian numbers)."""
+        tree = cls([], [], [], [])
+        for order in range(ORDER + 1):
+            key, times = _summed(gram & ((1 << 8 * (order + 1)) - 1), n)
+            context, at = np.unique(key >> 8, return_inverse=True)
+            total, distinct = np.bincount(at, times), np.bincount(at)
+            if order:  # what the shorter context gives to the symbols seen here
+                shorter = np.exp2(-tree.bits[-1].astype(np.float64))[np.searchsorted(tree.keys[-1], key & ((1 << 8 * order) - 1))]
+            else:
+                shorter = np.full(len(key), 1 / 256)
+            left = np.maximum(1 - np.bincount(at, shorter), 1e-12)
+            tree.keys.append(key.astype(np.uint32))
+            tree.bits.append(-np.log2(times / (total + distinct)[at]))
+            tree.contexts.append(context.astype(np.uint32))
+            tree.escapes.append(-np.log2(distinct / (total + distinct) / left))
+        return tree
+
+    def cost(self, gram: np.ndarray) -> np.ndarray:
+        """Bits of the last byte of each string after the bytes before it."""
+        out = np.zeros(len(gram))
+        rest = np.arange(len(gram))
+        for order in range(ORDER, -1, -1):
+            key = gram[rest] & np.uint32((1 << 8 * (order + 1)) - 1)
+            at, hit = _found(self.keys[order], key)
+            out[rest[hit]] += self.bits[order][at[hit]]
+            rest, key = rest[~hit], key[~hit]
+            at, hit = _found(self.contexts[order], key >> np.uint32(8))
+            out[rest[hit]] += self.escapes[order][at[hit]]
+        out[rest] += 8  # an equal share for each byte value
+        return out
+
+
+def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    found, at = np.unique(keys, return_inverse=True)
+    return found, np.bincount(at, n, len(found))
+
+
+def _found(keys: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    at = np.minimum(np.searchsorted(keys, key), max(len(keys) - 1, 0))
+    return at, keys[at] == key if len(keys) else np.zeros(len(key), bool)
 
 
 @dataclass
 class Model:
-    """languages; class of a byte; row of a context of three classes; bits by row and class."""
+    """Languages and their trees. Its size is bounded by the training texts': no string seen
+    costs more than 12 bytes an order."""
 
     languages: list[str]
-    class_of: np.ndarray
-    row_of: np.ndarray
-    bits: np.ndarray
+    trees: list[Tree]
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of every text (rows) in every language (columns), exact under the frozen trees."""
+        """Bits of every text (rows) in every language (columns); long texts go through in blocks."""
         out = np.zeros((len(texts), len(self.languages)))
-        raw = np.frombuffer(b"".join(_START + t for t in texts), np.uint8)
-        c = self.class_of[raw]
-        at = self.row_of[(c[:-3] << 14) | (c[1:-2] << 7) | c[2:-1]] * CLASSES + c[3:]
-        sizes = np.array([len(t) for t in texts])
-        starts = np.concatenate([[0], np.cumsum(sizes + 3)[:-1]])
-        for i, (a, n) in enumerate(zip(starts, sizes, strict=True)):
-            if n:
-                out[i] = self.bits[at[a : a + n]].sum(axis=0, dtype=np.float64)
+        owner, parts, size = [], [], 0
+        for i, t in enumerate(texts):
+            t = _START + t
+            for lo in range(0, len(t) - ORDER, _BLOCK_BYTES):
+                part = t[lo : lo + _BLOCK_BYTES + ORDER]
+                owner.append(i)
+                parts.append(part)
+                size += len(part)
+                if size >= _BLOCK_BYTES:
+                    self._add(out, owner, parts)
+                    owner, parts, size = [], [], 0
+        self._add(out, owner, parts)
         return out
 
+    def _add(self, out: np.ndarray, owner: list[int], parts: list[bytes]) -> None:
+        if not parts:
+            return
+        gram = _grams(b"".join(parts))
+        starts = np.cumsum([0, *map(len, parts)])
+        own = np.ones(len(gram), bool)
+        for back in range(1, ORDER + 1):  # strings that reach over from one part into the next
+            own[starts[1:-1] - back] = False
+        distinct, at = np.unique(gram, return_inverse=True)
+        for k, tree in enumerate(self.trees):
+            bits = tree.cost(distinct)[at]
+            bits[~own] = 0
+            np.add.at(out[:, k], owner, np.add.reduceat(bits, starts[:-1]))
+
+
+def _grams(raw: bytes) -> np.ndarray:
+    """Strings of ORDER + 1 bytes that end at each byte after the first ORDER, as numbers."""
+    r = np.frombuffer(raw, np.uint8).astype(np.uint32)
+    n = len(r) - ORDER
+    gram = np.zeros(n, np.uint32)
+    for j in range(ORDER + 1):
+        gram = gram << np.uint32(8) | r[j : j + n]
+    return gram
+
 
 def _gram_counts(batches):
-    """lang, gram (four bytes), n: counts of a task's texts, batch by batch."""
+    """lang, gram, n: counts of a task's texts, batch by batch."""
     for b in batches:
         by: dict[str, list[bytes]] = {}
         for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
             by.setdefault(lang, []).append(_START + text.encode("utf-8", "replace"))
         for lang, texts in by.items():
-            parts = []
-            for t in texts:
-                r = np.frombuffer(t, np.uint8).astype(np.uint32)
-                parts.append(r[:-3] << 24 | r[1:-2] << 16 | r[2:-1] << 8 | r[3:])
-            gram, n = np.unique(np.concatenate(parts), return_counts=True)
+            gram, n = np.unique(np.concatenate([_grams(t) for t in texts]), return_counts=True)
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(gram), pa.string()), pa.array(gram.astype(np.int64)), pa.array(n.astype(np.int64))], names=["lang", "gram", "n"])
 
 
 def train(labelled: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> Model:
-    """Fit the trees on about ``docs_per_language`` documents of each language.
+    """Grow the trees from at most ``docs_per_language`` differing texts of each language.
 
-    ``labelled`` has text and lang; rows with either null or an empty text don't count. The
-    sample is the texts with the smallest share of hash values, so it doesn't depend on the
-    order or the partitioning of the rows. What is collected is bounded by that sample.
+    ``labelled`` has text and lang; rows with either null or an empty text don't count, copies
+    count once. Which texts are drawn doesn't depend on the order or the partitioning of the
+    rows. What is collected is bounded by that sample.
     """
     rows = labelled.where(F.col("lang").isNotNull() & (F.length("text") > 0)).select("text", "lang")
-    sizes = {r[0]: r[1] for r in rows.groupBy("lang").count().collect()}
-    if not sizes:
-        return Model([], np.zeros(256, np.int32), np.zeros(1 << 21, np.int32), np.zeros((CLASSES, 0), np.float32))
-    share = F.create_map(*[F.lit(x) for lang, n in sizes.items() for x in (lang, int(min(1.0, docs_per_language / n) * 1_000_000))])
-    drawn = rows.where(F.pmod(F.xxhash64("text"), F.lit(1_000_000)) < share[F.col("lang")])
+    languages = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).select("lang")
+    drawn = sample_texts(rows, docs_per_language, languages)
     counts = drawn.mapInArrow(_gram_counts, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n")).toArrow()
     lang, gram, n = (counts.column(c).to_numpy(zero_copy_only=False) for c in ("lang", "gram", "n"))
-    return _frozen(sorted(sizes), lang, gram.astype(np.int64), n)
-
-
-def _frozen(languages: list[str], lang: np.ndarray, gram: np.ndarray, n: np.ndarray) -> Model:
-    ever = np.bincount(gram & 255, n, 256)
-    common = [int(b) for b in np.argsort(-ever, kind="stable")[: CLASSES - 1] if ever[b] > 0]
-    class_of = np.zeros(256, np.int32)
-    class_of[common] = np.arange(1, len(common) + 1)
-    code = np.zeros(len(gram), np.int64)
-    for shift in (24, 16, 8, 0):
-        code = code << 7 | class_of[(gram >> shift) & 255]
-    which = np.searchsorted(languages, lang)
-
-    known: list[np.ndarray] = []  # contexts of each order, ascending
-    for order in range(4):
-        contexts, total = _summed((code >> 7) & ((1 << 7 * order) - 1), n)
-        known.append(contexts[total >= (LEAST_CONTEXT if order == 3 else 1)])
-    first = np.cumsum([0, *map(len, known)])
-    bits = np.empty((int(first[-1]), CLASSES, len(languages)), np.float32)
-    for k in range(len(languages)):
-        own, own_n, shorter = code[which == k], n[which == k], np.full((1, CLASSES), 1 / 256)
-        for order, contexts in enumerate(known):
-            ctx = (own >> 7) & ((1 << 7 * order) - 1)
-            at = np.minimum(np.searchsorted(contexts, ctx), len(contexts) - 1)
-            ok = contexts[at] == ctx
-            seen = np.bincount(at[ok] * CLASSES + (own[ok] & 127), own_n[ok], len(contexts) * CLASSES).reshape(-1, CLASSES)
-            parent = np.searchsorted(known[order - 1], contexts & ((1 << 7 * (order - 1)) - 1)) if order else np.zeros(1, np.int64)
-            lower = shorter[parent]
-            total, distinct = seen.sum(1, keepdims=True), (seen > 0).sum(1, keepdims=True)
-            left = 1 - np.where(seen > 0, lower, 0).sum(1, keepdims=True)  # of the shorter context, without what was seen here
-            escaped = distinct / np.maximum(total + distinct, 1) * lower / np.maximum(left, 1e-9)
-            p = np.where(total > 0, np.where(seen > 0, seen / np.maximum(total + distinct, 1), escaped), lower)
-            shorter = np.maximum(p, 1e-12)
-            bits[first[order] : first[order + 1], :, k] = -np.log2(shorter)
-    row_of = np.zeros(1 << 21, np.int32)
-    every = np.arange(1 << 21)
-    for order in range(1, 4):
-        ctx = every & ((1 << 7 * order) - 1)
-        at = np.minimum(np.searchsorted(known[order], ctx), max(len(known[order]) - 1, 0))
-        ok = known[order][at] == ctx if len(known[order]) else np.zeros(len(every), bool)
-        row_of[ok] = first[order] + at[ok]
-    return Model(languages, class_of, row_of, bits.reshape(-1, len(languages)))
-
-
-def _summed(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, n, len(found))
+    found, which = np.unique(lang.astype(str), return_inverse=True)
+    return Model([str(x) for x in found], [Tree.grow(gram[which == k].astype(np.int64), n[which == k]) for k in range(len(found))])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
@@ -150,7 +181,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             while at < len(texts):
                 block, size = [], 0
                 start = at
-                while at < len(texts) and (size < _BATCH_BYTES or not block):
+                while at < len(texts) and (size < _BLOCK_BYTES or not block):
                     t = texts[at]
                     block.append(t.encode("utf-8", "replace") if t and m.languages and any(map(str.isalpha, t)) else None)
                     size += len(block[-1] or b"")
