@@ -1,37 +1,39 @@
 """Licence scans: a trained paragraph classifier, confirmed by templates (operator 2).
 
-A paragraph (line) is the set of its words and word pairs. Sparse multinomial logistic
-regression tells licence families from licence talk of no known family (``unknown``) and from
-other text (``none``). It is trained on variants of the templates below and on a bounded
-sample of the corpus's own paragraphs as other text. The probability that a family needs is
-calibrated on rows kept from training. A prediction is confirmed by the share of a template's
-word triples that the paragraph holds; otherwise it is reported as unknown.
-
-Main path: DataFrame operations and Spark's own estimators only. Scoring joins the words of
-every paragraph with the weights, a table bounded by the templates' vocabulary.
+A paragraph is a line, or lines that were wrapped, without marks of comments; to the classifier
+it is the set of its words and word pairs. Sparse multinomial logistic regression tells licence
+families from licence talk of no known family (``unknown``) and from other text (``none``). It
+is trained on variants of the templates below and on a bounded sample of the corpus's own
+paragraphs as other text. Rows kept from training calibrate its probabilities (a temperature),
+and the variants of whole families that a second fit never saw calibrate how probable a family
+must be. A prediction is confirmed by the share of a template's word triples that the paragraph
+holds; otherwise it is reported as unknown.
+
+Main path: DataFrame operations and Spark's own estimators and models only. Each paragraph is
+scored in its row, so that nothing is shuffled.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airside.llm.common import materialise
+from airside.llm.common import materialise, sample_texts
 
-#: Corpus paragraphs in the training sample; drawn by a hash of the text.
+#: Corpus paragraphs in the training sample: differing ones, of least hash.
 SAMPLE = 8000
 #: Variants of each template; each leaves out about one word in ten.
 VARIANTS = 12
 VOCABULARY = 1 << 14
 #: Share of a template's word triples that confirms a prediction.
 CONFIRM = 0.6
-#: Share of held-out other rows that may pass for a family.
+#: Share of held-out rows of no known family that may pass for one.
 FALSE_ACCEPTS = 0.005
-LEAST_WEIGHT = 0.02
+#: Every so many-th family is left out of the fit that sets the least probability.
+UNSEEN = 4
 
 #: Licence notices by family, as projects print them.
 TEMPLATES = [
@@ -106,9 +108,18 @@ def terms(w: Column) -> Column:
     return F.array_distinct(all_terms(w))
 
 
+_MARKS = r"(?m)^[ \t]*(?:/?\*+/?|//+|#+|--+|;+|%+|<!--|>+)[ \t]*"
+_WRAP = r"(?<![.!?:;\s])[ \t]*(?:\r\n|\r|\n)(?=[ \t]*\S)"
+
+
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """doc_id, paragraph (from 0), text of every line that has more than blanks."""
-    lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("paragraph", "text"))
+    """doc_id, paragraph (from 0), text of every paragraph that has more than blanks.
+
+    Marks of comments at the start of a line go. A line that ends without a stop goes on in the
+    next one, unless that is blank.
+    """
+    whole = F.regexp_replace(F.regexp_replace("text", _MARKS, ""), _WRAP, " ")
+    lines = docs.select(F.col("doc_id").cast("long"), F.posexplode(F.split(whole, r"\r\n|\r|\n")).alias("paragraph", "text"))
     return lines.where(F.length(F.trim("text")) > 0)
 
 
@@ -117,70 +128,94 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """family, terms, held: variants of the templates, and about ``sample`` corpus paragraphs."""
+    """family, terms, held: variants of the templates, and at most ``sample`` differing corpus paragraphs."""
     templates = template_table(spark).withColumn("w", words(F.col("text")))
     many = templates.select("template", "family", "w", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
     kept = F.filter("w", lambda x, i: (F.col("variant") == 0) | (F.pmod(F.hash(x, i, F.col("variant"), F.col("template")), F.lit(10)) != 0))
     varied = many.select("family", "variant", kept.alias("w"))
     positive = varied.select("family", terms(F.col("w")).alias("terms"), (F.col("variant") % 4 == 3).alias("held"))
-    n = lines.count()
-    share = min(1.0, sample / max(n, 1))
-    drawn = lines.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20)))
+    drawn = sample_texts(lines, sample)
     known = F.broadcast(templates.select(F.explode(triples(F.col("w"))).alias("triple")).groupBy().agg(F.collect_set("triple").alias("known")))  # one row
     held = drawn.withColumn("w", words(F.col("text"))).withColumn("has", triples(F.col("w")))
     other = held.crossJoin(known).where(~F.arrays_overlap("has", "known"))  # a notice is no example of other text
     negative = other.select(F.lit("none").alias("family"), terms(F.col("w")).alias("terms"), (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)) == 3).alias("held"))
-    return positive.unionByName(negative)
+    blank = spark.createDataFrame([("none", [], False)], "family string, terms array<string>, held boolean")  # other text even if the corpus has none
+    return positive.unionByName(negative).unionByName(blank)
 
 
 class Classifier:
-    """weights (term, family, weight) and their terms, at most VOCABULARY; intercepts by family; the least probability."""
+    """A fitted model with its vocabulary and families, a temperature and the least probability."""
 
-    def __init__(self, weights: DataFrame, vocabulary: list[str], intercepts: dict[str, float], least: float):
-        self.weights, self.vocabulary, self.intercepts, self.least = weights, vocabulary, intercepts, least
+    def __init__(self, vectors: CountVectorizerModel, model, families: list[str]):
+        self.vectors, self.model, self.families = vectors, model, families
+        self.temperature, self.least = 1.0, 0.5
 
-    def probabilities(self, rows: DataFrame, keys: list[str]) -> DataFrame:
-        """keys, family, probability of the best class but ``none``, and that of ``none``; rows without
-        a known term, and rows that are surely no licence, are left out."""
+    def logits(self, rows: DataFrame) -> DataFrame:
+        """``rows`` that have a known term, with logits (an array in the order of families)."""
         # A constant list: one hash set for all rows, where an array of terms would be hashed for each.
-        held = F.array_distinct(F.filter("terms", lambda t: t.isin(self.vocabulary)))
-        exploded = rows.select(*keys, F.explode(held).alias("term"))
-        known = F.broadcast(self.weights.groupBy("term").agg(F.map_from_entries(F.collect_list(F.struct("family", "weight"))).alias("w")))  # bounded by VOCABULARY
-        met = exploded.join(known, "term")
-        sums = met.groupBy(*keys).agg(*[F.sum(F.coalesce(F.element_at("w", f), F.lit(0.0))).alias(f"s{i}") for i, f in enumerate(self.intercepts)])
-        logits = [(F.col(f"s{i}") + F.lit(b)).alias(f"s{i}") for i, b in enumerate(self.intercepts.values())]
-        none = f"s{list(self.intercepts).index('none')}"
-        others = [f"s{i}" for i in range(len(logits)) if f"s{i}" != none]
-        # Where every licence class lies so far below, `none` has more than half: no softmax needed.
-        near = sums.select(*keys, *logits).where(F.greatest(*others) + math.log(len(others)) >= F.col(none))
-        classes = F.array(*[F.struct(F.col(f"s{i}").alias("logit"), F.lit(f).alias("family")) for i, f in enumerate(self.intercepts)])
-        listed = near.select(*keys, classes.alias("c"), F.greatest(*others, none).alias("top"), F.col(none).alias("none"))
-        total = F.aggregate("c", F.lit(0.0), lambda a, x: a + F.exp(x["logit"] - F.col("top")))
-        best = F.array_max(F.filter("c", lambda x: x["family"] != "none"))
-        summed = listed.select(*keys, best.alias("best"), "none", "top", total.alias("total"))
-        return summed.select(*keys, "best.family", (F.exp(F.col("best.logit") - F.col("top")) / F.col("total")).alias("probability"), (F.exp(F.col("none") - F.col("top")) / F.col("total")).alias("none"))
+        known = F.array_distinct(F.filter("terms", lambda t: t.isin(self.vectors.vocabulary)))
+        held = rows.withColumn("known", known).where(F.size("known") > 0)
+        scored = self.model.transform(self.vectors.transform(held))
+        return scored.withColumn("logits", vector_to_array("rawPrediction")).drop("known", "features", "rawPrediction", "probability", "prediction")
+
+    def probabilities(self, rows: DataFrame) -> DataFrame:
+        """``rows`` with family and probability of the best class but ``none``, and that of ``none``.
+
+        Rows without a known term are left out; to them ``none`` is the most probable class.
+        """
+        scaled = self.logits(rows).withColumn("logits", F.transform("logits", lambda x: x / F.lit(self.temperature)))
+        raised = scaled.withColumn("top", F.array_max("logits")).withColumn("logits", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
+        total = raised.withColumn("total", F.aggregate("logits", F.lit(0.0), lambda a, x: a + x))
+        names = F.array(*[F.lit(f) for f in self.families])
+        best = F.array_max(F.filter(F.zip_with("logits", names, lambda p, f: F.struct((p / F.col("total")).alias("p"), f.alias("f"))), lambda x: x["f"] != "none"))
+        none = F.element_at("logits", self.families.index("none") + 1) / F.col("total")
+        found = total.withColumn("best", best).withColumn("none", none)
+        return found.withColumn("family", F.col("best.f")).withColumn("probability", F.col("best.p")).drop("best", "logits", "top", "total")
+
+
+def _fit(rows: DataFrame, vocabulary: list[str]) -> Classifier:
+    """A classifier of the families in ``rows``: other text weighs as much as all licences, these alike."""
+    sizes = {r[0]: r[1] for r in rows.groupBy("family").count().collect()}
+    families = sorted(sizes)
+    shares = {f: len(families) - 1 if f == "none" else 1 for f in families}
+    number = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
+    balance = F.create_map(*[F.lit(x) for f, n in sizes.items() for x in (f, shares[f] * sum(sizes.values()) / sum(shares.values()) / n)])
+    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="known", outputCol="features", binary=True)
+    ready = vectors.transform(rows.withColumnRenamed("terms", "known")).select("features", number[F.col("family")].alias("label"), balance[F.col("family")].alias("balance"))
+    fit = LogisticRegression(maxIter=40, regParam=0.0005, elasticNetParam=0.5, family="multinomial", weightCol="balance", standardization=False, aggregationDepth=2).fit(ready)
+    return Classifier(vectors, fit, families)
+
+
+def _temperature(model: Classifier, held: DataFrame) -> float:
+    """The temperature under which the held rows' families are most probable."""
+    truth = F.create_map(*[F.lit(x) for i, f in enumerate(model.families) for x in (f, i + 1)])[F.col("truth")]
+    tried = model.logits(held).withColumn("t", F.explode(F.array(*[F.lit(0.25 * 1.25**i) for i in range(16)])))
+    shifted = F.transform("logits", lambda x: F.exp((x - F.array_max("logits")) / F.col("t")))
+    loss = F.log(F.aggregate(shifted, F.lit(0.0), lambda a, x: a + x)) - (F.element_at("logits", truth) - F.array_max("logits")) / F.col("t")
+    best = tried.groupBy("t").agg(F.avg(loss).alias("loss")).orderBy("loss", "t").first()
+    return best["t"] if best else 1.0
 
 
 def train(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> Classifier:
-    """Fit and calibrate the classifier; ``lines`` are the corpus's paragraphs."""
+    """Fit and calibrate the classifier; ``lines`` are the corpus's paragraphs.
+
+    The least probability is the smallest at which at most FALSE_ACCEPTS of the rows that belong
+    to no family known to the second fit (other text, and variants of the families left out of
+    it) pass for a known family; rows without a known term count as passing for none.
+    """
     rows = materialise(training_rows(spark, lines, sample), "licence-rows")
-    families = sorted({f for f, _ in TEMPLATES} | {"none"})
-    number = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
-    fit = rows.where("NOT held").withColumn("label", number[F.col("family")])
     # Terms of the templates only: other words can't tell a licence.
     vocabulary = sorted({r[0] for r in template_table(spark).withColumn("w", words(F.col("text"))).select(F.explode(terms(F.col("w")))).distinct().collect()})[:VOCABULARY]
-    vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="terms", outputCol="features", binary=True)
-    sizes = {r[0]: r[1] for r in fit.groupBy("family").count().collect()}
-    balance = F.create_map(*[F.lit(x) for f, n in sizes.items() for x in (f, sum(sizes.values()) / len(sizes) / n)])  # every class weighs the same
-    ready = vectors.transform(fit).withColumn("balance", balance[F.col("family")]).select("features", "label", "balance")
-    model = LogisticRegression(maxIter=40, regParam=0.0005, elasticNetParam=0.5, family="multinomial", weightCol="balance", standardization=False, aggregationDepth=2).fit(ready)
-    coefficient, intercept = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
-    table = [(vocabulary[j], families[i], float(coefficient[i, j])) for i in range(len(intercept)) for j in range(len(vocabulary)) if abs(coefficient[i, j]) >= LEAST_WEIGHT]
-    found = Classifier(spark.createDataFrame(table, "term string, family string, weight double"), sorted({t for t, _, _ in table}), {f: float(b) for f, b in zip(families, intercept, strict=False)}, 0.0)
-    held = rows.where("held").withColumn("row", F.monotonically_increasing_id())
-    scored = found.probabilities(materialise(held.withColumnRenamed("family", "truth"), "licence-held"), ["row", "truth"])
-    wrong = scored.where("truth IN ('none', 'unknown') AND family <> 'unknown'").agg(F.percentile("probability", F.lit(1 - FALSE_ACCEPTS))).first()[0]
-    found.least = min(0.9, max(0.5, float(wrong or 0.0)))
+    found = _fit(rows.where("NOT held").select("family", "terms"), vocabulary)
+    held = rows.where("held").withColumnRenamed("family", "truth")
+    found.temperature = _temperature(found, held)
+    unseen = [f for f in sorted({f for f, _ in TEMPLATES} - {"unknown"})[::UNSEEN]]
+    second = _fit(rows.where(~F.col("held") & ~F.col("family").isin(unseen)).select("family", "terms"), vocabulary)
+    second.temperature = found.temperature
+    strangers = rows.where(F.col("family").isin(unseen) | (F.col("held") & F.col("family").isin("none", "unknown"))).withColumnRenamed("family", "truth")
+    allowed = int(strangers.count() * FALSE_ACCEPTS)
+    passing = second.probabilities(strangers).where("family <> 'unknown' AND none < 0.5").orderBy(F.col("probability").desc()).limit(allowed + 1).collect()
+    found.least = max(0.5, min(0.99, passing[-1]["probability"])) if len(passing) > allowed else 0.5
     return found
 
 
@@ -189,17 +224,17 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A paragraph is reported if the classifier finds a licence more likely than other text. Its
     family is ``unknown`` if the class is, if the probability is below the calibrated one, or if
-    no template of the family confirms it. Null and empty texts have no paragraphs. Repeated
-    rows are each reported. Other columns are ignored. No rows: no rows.
+    no template of the family confirms it. Null and empty texts have no paragraphs. Each row is
+    scanned by itself: repeated rows, rows of one doc_id and rows without one are each reported.
+    Other columns are ignored. No rows: no rows.
     """
     spark = docs.sparkSession
     lines = paragraphs(docs)
     model = train(spark, lines, sample)
-    scored = model.probabilities(lines.withColumn("w", words(F.col("text"))).select("doc_id", "paragraph", all_terms(F.col("w")).alias("terms")), ["doc_id", "paragraph"])
-    likely = scored.where(F.col("none") < 0.5)
-    held = lines.join(likely, ["doc_id", "paragraph"])
+    ready = lines.withColumn("w", words(F.col("text"))).select("doc_id", "paragraph", "w", all_terms(F.col("w")).alias("terms"))
+    likely = model.probabilities(ready).where(F.col("none") < 0.5)
     known = template_table(spark).withColumn("w", words(F.col("text"))).select("family", triples(F.col("w")).alias("wanted")).groupBy("family").agg(F.collect_list("wanted").alias("templates"))
-    met = held.join(F.broadcast(known), "family", "left").withColumn("w", words(F.col("text"))).withColumn("has", triples(F.col("w")))
+    met = likely.join(F.broadcast(known), "family", "left").withColumn("has", triples(F.col("w")))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("has"))) / F.greatest(F.size(t), F.lit(1))))
     judged = met.withColumn("template_share", F.round(F.coalesce(share, F.lit(0.0)), 4))
     sure = (F.col("family") != "unknown") & (F.col("probability") >= model.least) & (F.col("template_share") >= CONFIRM)

@@ -13,7 +13,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from airside.llm import ann, fingerprint, langid, licences, mixing, neardup, packing, queries, tokens, url_filter, warc
+from airside.llm import ann, common, fingerprint, langid, licences, mixing, neardup, packing, queries, tokens, url_filter, warc
 from airside.llm.common import fresh_path, table
 
 SF = "/root/testdata/sf0.001"
@@ -82,7 +82,37 @@ def test_packing_plan():
         assert bins <= 1.25 * least + 2
 
 
+def _fewest(lengths, cap, bins=()):
+    """The fewest bins, by trying every place of each piece, the longest first."""
+    if not lengths:
+        return len(bins)
+    first, rest = lengths[0], lengths[1:]
+    tries = [_fewest(rest, cap, (*bins, first))]
+    tries += [_fewest(rest, cap, bins[:i] + (b + first,) + bins[i + 1 :]) for i, b in enumerate(bins) if b + first <= cap and b not in bins[:i]]
+    return min(tries)
+
+
+def test_packing_plan_against_the_optimum():
+    rng, over = random.Random(4), 0
+    for _ in range(60):
+        lengths = sorted((rng.randrange(1, 13) for _ in range(rng.randrange(1, 8))), reverse=True)
+        best = _fewest(tuple(lengths), 12)
+        bins = sum(t for _, t in packing.plan_patterns({x: lengths.count(x) for x in lengths}, 12))
+        assert best <= bins <= best + 1
+        over += bins - best
+    assert over <= 3
+
+
+def test_packing_plan_on_given_lengths(spark):
+    got = packing.cut_pieces(table(spark, "/root/testdata/sf0.01", "documents"), BYTE, [0], 2048, keep_ids=False).groupBy("length").count().collect()
+    histogram = {r["length"]: r["count"] for r in got}
+    bins, least = sum(t for _, t in packing.plan_patterns(histogram, 2048)), -(-sum(k * n for k, n in histogram.items()) // 2048)
+    assert bins <= 1.01 * least + 1
+
+
 def test_pack(spark):
+    types = dict(packing.pack(docs(spark, ODD), BYTE, [0], 64, keep_ids=False).dtypes)
+    assert types == {"doc_id": "bigint", "piece": "int", "start": "bigint", "length": "bigint", "ids_crc32": "bigint", "sequence_id": "bigint", "offset": "bigint"}
     got = packing.pack(docs(spark, ODD), BYTE, [0], 64).collect()
     seqs = {}
     for r in got:
@@ -146,6 +176,58 @@ def test_licences(spark):
     assert {r["doc_id"] for r in got if r["confirmed"]} == set(notices)
 
 
+WRAPPED = """Prose comes first.
+
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation, either version 3 of the License, or
+# any later version
+
+ * Redistribution and use in source and binary forms, with or without
+ * modification, are permitted provided that the following conditions are
+ * met
+
+// Permission is hereby granted, free of charge, to any person obtaining a
+// copy of this software and associated documentation files
+
+Licensed under the Apache License,\r\nVersion 2.0 (the License); you may not use this file
+except in compliance with the License.
+The end."""
+
+
+def test_licences_in_wrapped_lines_and_odd_rows(spark):
+    line = "Released under the MIT License."
+    rows = [(1, WRAPPED), (2, line), (2, line), (None, line), (3, "The river runs to the sea and back again."), (3, line), (4, "x. " * 200_000 + "\n" + line), (5, None), (6, "")]
+    rows += [(100 + i, f"Talk number {i} of the weather and the sea.") for i in range(300)] + [(1000, "The same words each day.")] * 400
+    df = spark.createDataFrame([(i, t, "clash") for i, t in rows], "doc_id long, text string, family string")
+    got = licences.scan(df).collect()
+    assert [r["family"] for r in sorted((r for r in got if r["doc_id"] == 1 and r["confirmed"]), key=lambda r: r["paragraph"])] == ["gpl-3.0", "bsd", "mit", "apache-2.0"]
+    alike = [r for r in got if r["doc_id"] != 1]
+    assert sorted(((r["doc_id"], r["paragraph"], r["family"]) for r in alike), key=repr) == sorted([(2, 0, "mit"), (2, 0, "mit"), (None, 0, "mit"), (3, 0, "mit"), (4, 1, "mit")], key=repr)
+    assert len({r["probability"] for r in alike}) == 1 and alike[0]["probability"] > 0.5
+    assert licences.scan(df.limit(0)).count() == 0
+    drawn = licences.training_rows(spark, licences.paragraphs(df), 100).where("family = 'none'").count()
+    assert 50 < drawn <= 101
+
+
+def test_licence_scores_against_brute_force(spark):
+    """Each paragraph's probability, worked out in numpy from the fitted coefficients."""
+    rows = table(spark, SF, "documents").select("doc_id", "text")
+    lines = licences.paragraphs(rows)
+    model = licences.train(spark, lines)
+    weights, bias, number = model.model.coefficientMatrix.toArray(), model.model.interceptVector.toArray(), {t: i for i, t in enumerate(model.vectors.vocabulary)}
+    none, want = model.families.index("none"), {}
+    for r in lines.select("doc_id", "paragraph", licences.all_terms(licences.words(F.col("text"))).alias("t")).collect():
+        known = sorted({number[t] for t in r["t"] if t in number})
+        z = (weights[:, known].sum(1) + bias) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        if known and p[none] < 0.5:
+            want[(r["doc_id"], r["paragraph"])] = round(float(np.delete(p, none).max()), 4)
+        assert known or p[none] > 0.5
+    ready = lines.withColumn("w", licences.words(F.col("text"))).select("doc_id", "paragraph", licences.all_terms(F.col("w")).alias("terms"))
+    got = {(r["doc_id"], r["paragraph"]): r["p"] for r in model.probabilities(ready).where("none < 0.5").select("doc_id", "paragraph", F.round("probability", 4).alias("p")).collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in got)
+
+
 def test_neighbours(spark):
     rng = np.random.default_rng(5)
     x = rng.normal(size=(3000, 16))
@@ -185,6 +267,42 @@ def test_warc_round_trip(spark):
         assert (r["record_type"], r["refers_to"]) == (("revisit", first) if twin else ("response", None))
 
 
+@pytest.mark.parametrize("parts", [1, 7])
+def test_warc_over_blocks(spark, parts):
+    """Records over several blocks, and another cut of the files between planning and reading."""
+    inner = warc.MAGIC + "WARC-Type: response\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n"
+    html = [f"{i} " + inner * 40 + "x" * 3000 + str(i) for i in range(8)] + ["y" * 5000, None, ""] + [warc.MAGIC * i for i in range(1, 9)]
+    url = ["http://h/a b\r\n", None, "", "http://h/%20é", *[f"http://h/{i}" for i in range(4, len(html))]]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(url, html, strict=True))] + [(None, "u", "no id"), (4, "again", "z" * 200)], "page_id long, url string, html string").repartition(2)
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes", "spark.sql.files.minPartitionNum")
+    try:
+        for n, v in zip(names, ("2000", "1", "3"), strict=True):
+            spark.conf.set(n, v)
+        path = fresh_path(spark, "warc")
+        warc.write_archives(pages, path)
+        found = warc.read_records(spark, path)
+        spark.conf.set(names[0], "700")
+        spark.conf.set(names[2], str(parts))
+        got = found.collect()
+    finally:
+        for n in names:
+            spark.conf.unset(n)
+    want = sorted(((i, u, len((h or "").encode()), hashlib.sha256((h or "").encode()).hexdigest()) for i, u, h in pages.collect()), key=repr)
+    assert sorted(((r["page_id"], r["url"], r["payload_bytes"], r["payload_digest"]) for r in got), key=repr) == want
+
+
+def test_warc_headers_and_many_groups(spark, monkeypatch):
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "same " * 40 if i % 3 else f"page {i // 6} " * 20) for i in range(30)], "page_id long, url string, html string")
+    path = fresh_path(spark, "warc")
+    warc.write_archives(pages, path, "2024-05-06T07:08:09Z")
+    assert "\r\nWARC-Date: 2024-05-06T07:08:09Z\r\n" in spark.read.text(path, wholetext=True).first()[0]
+    few = {(r["page_id"], r["refers_to"]) for r in warc.revisits(pages).collect()}
+    monkeypatch.setattr(warc, "GROUPS_TO_ALL", 0)
+    monkeypatch.setattr(warc, "HOT_GROUPS", 2)
+    assert {(r["page_id"], r["refers_to"]) for r in warc.revisits(pages).collect()} == few and len(few) == 30
+    assert warc.round_trip(pages.limit(0)).count() == 0
+
+
 def test_language(spark):
     d = table(spark, "/root/testdata/sf0.01", "documents")
     got = queries.op8_language(spark, "/root/testdata/sf0.01").join(d.select("doc_id", "lang"), "doc_id").where("held_out").select("lang", "lang_pred").collect()
@@ -192,11 +310,64 @@ def test_language(spark):
     model = langid.train(d)
     odd = {r["doc_id"]: r for r in langid.identify(docs(spark, ODD), model).collect()}
     assert [odd[i]["lang_pred"] for i in (3, 1, 7)] == ["und"] * 3 and odd[3]["score"] == 0
-    total = np.exp2(-model.bits.astype(float))[model.row_of[:50]]
-    assert total.shape[1] == len(model.languages) or total.size  # costs are finite
     assert langid.identify(docs(spark, ODD), langid.train(docs(spark, []))).where("lang_pred = 'und'").count() == len(ODD)
 
 
+def _plain_code_length(texts, text, order):
+    """Prediction by partial matching as the definition goes: dictionaries, byte by byte."""
+    counts = {}
+    for t in texts:
+        t = b"\n" * order + t
+        for i in range(order, len(t)):
+            for k in range(order + 1):
+                c = counts.setdefault(t[i - k : i], {})
+                c[t[i]] = c.get(t[i], 0) + 1
+
+    def p(context, symbol):
+        shorter = (lambda s: p(context[1:], s)) if context else (lambda s: 1 / 256)
+        seen = counts.get(context)
+        if not seen:
+            return shorter(symbol)
+        total = sum(seen.values()) + len(seen)
+        if symbol in seen:
+            return seen[symbol] / total
+        return len(seen) / total * shorter(symbol) / (1 - sum(shorter(s) for s in seen))
+
+    t = b"\n" * order + text
+    return sum(-np.log2(p(t[i - order : i], t[i])) for i in range(order, len(t))), p
+
+
+def test_code_lengths_are_exact():
+    learned = [b"the cat sat on the mat", "größe über".encode(), b"the the theory", bytes(range(250, 256)) * 2]
+    gram, n = np.unique(np.concatenate([langid._grams(langid._START + t) for t in learned]), return_counts=True)
+    model = langid.Model(["x"], [langid.Tree.grow(gram.astype(np.int64), n)])
+    texts = [b"the mat", b"", "übermäßig".encode(), b"zzz", b"the cat " * 40, bytes([255, 0, 250, 251, 252])]
+    got = model.code_lengths(texts)[:, 0]
+    for bits, t in zip(got, texts, strict=True):
+        want, p = _plain_code_length(learned, t, langid.ORDER)
+        assert abs(bits - want) < 1e-6
+    for context in (b"the", b"\n\n\n", b"qqq", b"at "):
+        assert abs(sum(p(context, s) for s in range(256)) - 1) < 1e-9
+
+
+def test_code_lengths_of_long_texts(monkeypatch):
+    t = b"some words in a row, and again some words. " * 50
+    gram, n = np.unique(langid._grams(langid._START + t[:400]), return_counts=True)
+    model = langid.Model(["x"], [langid.Tree.grow(gram.astype(np.int64), n)])
+    whole = model.code_lengths([t, b"ab", t[:777]])
+    monkeypatch.setattr(langid, "_BLOCK_BYTES", 100)
+    assert np.allclose(model.code_lengths([t, b"ab", t[:777]]), whole)
+
+
+def test_language_samples(spark):
+    """Copies of one text don't swell the sample; each language has one."""
+    rows = [(i, "the same line over and over", "en", "s") for i in range(3000)] + [(10000 + i, f"un texte {i} de plus", "fr", "s") for i in range(300)]
+    drawn = common.sample_texts(docs(spark, rows), 50, spark.createDataFrame([("en",), ("fr",)], "lang string"))
+    assert {(r["lang"], r["count"]) for r in drawn.groupBy("lang").count().collect()} == {("en", 1), ("fr", 50)}
+    assert common.sample_texts(docs(spark, rows), 50).count() == 50
+    assert common.sample_texts(docs(spark, []), 50).count() == 0
+
+
 def test_fingerprints(spark):
     rows = table(spark, SF, "documents").select("doc_id", "text").unionByName(spark.createDataFrame([(100000, None), (100001, "é"), (100002, "")], "doc_id long, text string"))
     data = sorted((r["doc_id"], r["text"] or "") for r in rows.collect())
