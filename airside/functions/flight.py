@@ -104,3 +104,23 @@ def crossing_direction(entry_lat: Column, exit_lat: Column, least: float = 0.000
 
 def schedule_direction(departure: Column, arrival: Column, codes: list[str]) -> Column:
     return F.when(departure.isin(codes), "departure").when(arrival.isin(codes), "arrival").otherwise("unknown")
+
+
+def planned(direction: Column, departing: Column, arriving: Column) -> Column:
+    """The departure's value of a departure, the arrival's of an arrival (gate, terminal)."""
+    return F.when(direction == "departure", departing).when(direction == "arrival", arriving)
+
+
+def table_freshness(hours: Column, most: int = 2) -> Column:
+    """OK up to ``most`` hours, else STALE; nothing at all is STALE."""
+    return F.when(hours <= most, "OK").otherwise("STALE")
+
+
+def display_name(code: Column, name: Column, longest_code: int = 3) -> Column:
+    """The name of a code; what is longer than a code is a name already and only gets capitals."""
+    return F.when(F.length(code) > longest_code, F.initcap(code)).otherwise(F.coalesce(name, code))
+
+
+def aggregation_divisor(kind: str, first: str, last: str) -> Column:
+    """By what sums over a period are divided: 1 (``sum``), or its days (``daily_average``)."""
+    return F.lit(1) if kind == "sum" else F.greatest(F.lit(1), F.date_diff(F.lit(last).cast("date"), F.lit(first).cast("date")) + 1)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
+from airside.functions import geo
 from airside.functions.time import boundaries, service_date
 from airside.operators.keyed import top_per_key
 from airside.operators.sessions import ground_points
@@ -21,7 +22,7 @@ def gate_points(points: DataFrame, gates: DataFrame, tz: str) -> DataFrame:
 
 def flight_gate_time(at_gates: DataFrame) -> DataFrame:
     """The gate at which each session spent most of its time."""
-    spent = at_gates.where("gate_id IS NOT NULL").groupBy("icao_hex", "service_date", "session_seq", "gate_id").agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("seconds"), F.count("*").alias("points"))
+    spent = at_gates.where("gate_id IS NOT NULL").groupBy("icao_hex", "service_date", "session_seq", "gate_id").agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("seconds"), F.count("*").alias("points"), F.max(fl.tidy(F.col("flight"))).alias("flight"))
     return top_per_key(spent, ["icao_hex", "service_date", "session_seq"], [F.col("seconds").desc(), F.col("points").desc(), F.col("gate_id").asc()])
 
 
@@ -30,11 +31,12 @@ def gate_util_daily(at_gates: DataFrame) -> DataFrame:
     return at_gates.where("gate_id IS NOT NULL").groupBy("service_date", "gate_id", label.alias("vehicle_category")).agg(F.round(F.sum(F.coalesce("lag_seconds", F.lit(0))) / 60, 2).alias("dwell_minutes"), F.count_distinct("icao_hex", "session_seq").alias("sessions"))
 
 
-def gate_airline_dwell_daily(at_gates: DataFrame, prefixes: DataFrame) -> DataFrame:
-    """Dwell by gate and airline code; ground vehicles under their label."""
+def gate_airline_dwell_daily(at_gates: DataFrame, local: DataFrame) -> DataFrame:
+    """Dwell by gate and airline code: the matched airline's ICAO, else IATA code, else UNK; ground vehicles under their label."""
     label = fl.vehicle_category(F.col("category"), F.col("type"))
-    named = at_gates.where("gate_id IS NOT NULL").withColumn("label", label).withColumn("prefix", fl.callsign_prefix(F.col("flight"))).join(F.broadcast(prefixes), F.col("prefix") == F.col("airline_icao"), "left")
-    code = F.when(F.col("label").isin(fl.AIRCRAFT_LABELS), F.coalesce("airline_icao", F.lit("UNK"))).otherwise(F.col("label"))
+    matched = local.select("event_id", fl.tidy(F.col("airline_icao")).alias("m_icao"), fl.tidy(F.col("airline_iata")).alias("m_iata"))
+    named = at_gates.where("gate_id IS NOT NULL").withColumn("label", label).join(matched, "event_id", "left")
+    code = F.when(F.col("label").isin(fl.AIRCRAFT_LABELS), F.coalesce("m_icao", "m_iata", F.lit("UNK"))).otherwise(F.col("label"))
     return named.groupBy("service_date", "gate_id", code.alias("airline_code")).agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("dwell_seconds"), F.count_distinct("icao_hex", "session_seq").alias("sessions"))
 
 
@@ -47,12 +49,22 @@ def traffic_hourly(points: DataFrame) -> DataFrame:
     return points.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
 
 
-def flight_list(points: DataFrame, tz: str) -> DataFrame:
-    """A header for each flight-day: points, first and last time, latest known attributes, ground touched."""
-    rows = points.withColumn("service_date", service_date(F.col("ts"), tz)).withColumn("flight_id", fl.flight_id(F.col("flight"), F.col("icao_hex")))
-    order = F.struct("ts", "event_id")
-    latest = F.max_by("category", F.when(F.col("category").isNotNull(), order))
-    return rows.groupBy("service_date", "flight_id").agg(F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), latest.alias("category"), F.max("registration").alias("registration"), F.bool_or(fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro"))).alias("touched"))
+def flight_list(local: DataFrame, ring: Column, near_m: float = 5000) -> DataFrame:
+    """A header for each flight-day of the airport's own points (see ``adsb_local``).
+
+    Attributes come from one point: of local origin or destination first, then of most
+    confidence, with an airline, with both ends, the latest. ``touched``: on the ground within
+    ``near_m`` of the airport. Kept are flights that touched, or that start or end here.
+    """
+    near = F.coalesce(geo.distance_to_polygon_m(F.col("lat"), F.col("lon"), ring) <= near_m, F.lit(False))
+    ends = F.col("origin_airport").isNotNull() & F.col("destination_airport").isNotNull()
+    order = F.struct("is_local_od", F.coalesce("match_confidence", F.lit(-1)), F.col("airline_name").isNotNull(), ends, "ts", "event_id")
+    header = F.struct("icao_hex", "registration", "vehicle_category", "airline_name", "origin_airport", "destination_airport", "schedule_flight_number")
+    found = local.groupBy("service_date", "flight_id").agg(
+        F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by(header, order).alias("h"), F.bool_or("is_local_od").alias("is_local_od"),
+        F.bool_or(fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")) & near).alias("touched"),
+    )
+    return found.where("is_local_od OR touched").select("service_date", "flight_id", "points", "first_ts", "last_ts", "h.*", "is_local_od", "touched")
 
 
 def airline_traffic_daily(points: DataFrame, tz: str) -> DataFrame:
@@ -60,23 +72,29 @@ def airline_traffic_daily(points: DataFrame, tz: str) -> DataFrame:
     return rows.groupBy(service_date(F.col("ts"), tz).alias("service_date"), F.upper(F.substring(F.trim("flight"), 1, 3)).alias("airline")).agg(F.count_distinct("flight").alias("flights"), F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
 
 
-def airline_delay_daily(schedule: DataFrame, departures: DataFrame, airport: str, late: int = 15) -> DataFrame:
-    """Departures of the airport by day and airline; the actual time, else the first departing leg of that flight."""
+def first_departures(schedule: DataFrame, legs: DataFrame) -> DataFrame:
+    """schedule_key, seen_ts: the first departing leg of the day with the flight's number and either airline code."""
+    gone = legs.where("direction = 'departure'").select(F.col("service_date").alias("flight_date"), fl.callsign_number(F.col("callsign")).alias("flight_number"), fl.callsign_prefix(F.col("callsign")).alias("code"), "start_ts")
+    first = gone.where("flight_number IS NOT NULL AND code IS NOT NULL").groupBy("flight_date", "flight_number", "code").agg(F.min("start_ts").alias("seen_ts"))
+    codes = F.explode(F.array_distinct(F.array_compact(F.array("airline_icao", "airline_iata"))))
+    coded = schedule.select("schedule_key", "flight_date", "flight_number", codes.alias("code"))
+    return coded.join(first, ["flight_date", "flight_number", "code"]).groupBy("schedule_key").agg(F.min("seen_ts").alias("seen_ts"))
+
+
+def airline_delay_daily(schedule: DataFrame, legs: DataFrame, airport: str, late: int = 15, since: str | None = None) -> DataFrame:
+    """Departures of the airport (from day ``since`` on) by day and airline: minutes and flights late and early.
+
+    The actual time counts, else the start of the first departing leg with the flight's number
+    and either of its airline's codes. Flights without any time are left out.
+    """
     own = schedule.where(F.col("dep_airport") == airport)
-    first = departures.where("direction = 'departure'").select(F.col("service_date").alias("flight_date"), fl.callsign_number(F.col("callsign")).alias("flight_number"), fl.callsign_prefix(F.col("callsign")).alias("airline_icao"), "start_ts").where("flight_number IS NOT NULL").groupBy("flight_date", "flight_number", "airline_icao").agg(F.min("start_ts").alias("seen_ts"))
+    own = own if since is None else own.where(F.col("flight_date") >= F.lit(since).cast("date"))
     one = top_per_key(own, ["flight_date", "flight_number", "airline_iata", "airline_icao"], [F.col("dep_scheduled").asc(), F.col("schedule_key").asc()])
-    met = one.join(first, ["flight_date", "flight_number", "airline_icao"], "left")
+    seen = first_departures(one, legs)
     delay = boundaries("minute", F.col("dep_scheduled"), F.coalesce("dep_actual", "seen_ts"))
-    rows = met.withColumn("delay", delay)
+    rows = one.join(seen, "schedule_key", "left").withColumn("delay", delay).where("delay IS NOT NULL")
     total = lambda c: F.coalesce(F.sum(F.when(c, F.abs("delay"))), F.lit(0))
-    return rows.groupBy("flight_date", "airline_icao").agg(F.count("*").alias("flights"), total(F.col("delay") > late).alias("delay_minutes"), F.count_if(F.col("delay") > late).alias("delayed"), total(F.col("delay") < -late).alias("early_minutes"), F.count_if(F.col("delay") < -late).alias("early"))
-
-
-def qa_metrics(points: DataFrame, legs: DataFrame, results: DataFrame) -> DataFrame:
-    """Completeness and match metrics by name; one pass over each table."""
-    pct = lambda part, whole: F.round(F.try_divide(part * 100, whole)).cast("long")
-    columns = ["flight", "category", "altitude_baro", "velocity", "registration"]
-    p = points.agg(F.count("*").alias("adsb_points"), F.count_distinct("icao_hex").alias("unique_aircraft"), *[pct(F.count(c), F.count("*")).alias(f"adsb_{c}_nonnull_pct") for c in columns])
-    m = legs.join(results.select("icao_hex", "service_date", "segment", F.lit(1).alias("hit")), ["icao_hex", "service_date", "segment"], "left").agg(F.count("*").alias("flight_legs"), F.count("hit").alias("matched_legs"), pct(F.count("hit"), F.count("*")).alias("leg_match_rate_pct"))
-    one = p.crossJoin(m)  # one row each
-    return one.select(*[F.col(c).cast("long") for c in one.columns]).unpivot([], one.columns, "metric", "value")
+    return rows.groupBy("flight_date", "airline_icao").agg(
+        F.count("*").alias("flights"), total(F.col("delay") > late).alias("delay_minutes"), F.count_if(F.col("delay") > late).alias("delayed"),
+        total(F.col("delay") < -late).alias("early_minutes"), F.count_if(F.col("delay") < -late).alias("early"),
+    )

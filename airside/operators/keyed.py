@@ -22,9 +22,13 @@ def upsert_newest(target: DataFrame, batch: DataFrame, keys: list[str], order: l
 
 
 def merge_coalesce(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
-    """Full outer join in which the batch's values win where they aren't null."""
-    t, b = target.alias("t"), batch.alias("b")
-    joined = t.join(b, F.col(f"t.{key}") == F.col(f"b.{key}"), "full")
+    """Full outer join in which the batch's values win where they aren't null.
+
+    Of several batch rows of one key each column's greatest value counts. Null keys meet.
+    """
+    one = batch.groupBy(key).agg(*[F.max(c).alias(c) for c in target.columns if c != key])
+    t, b = target.alias("t"), one.alias("b")
+    joined = t.join(b, F.col(f"t.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
     return joined.select(*[F.coalesce(f"b.{c}", f"t.{c}").alias(c) for c in target.columns])
 
 

@@ -25,7 +25,11 @@ def match_candidates(legs: DataFrame, schedule: DataFrame) -> DataFrame:
     by_registration = legs.join(days.where("sched_registration IS NOT NULL"), (F.col("registration") == F.col("sched_registration")) & (F.col("service_date") == F.col("on_date"))).withColumn("method", F.lit("registration_time"))
     key = F.explode(F.array_distinct(F.array_compact(F.array(F.upper(F.trim("callsign")), F.col("base"), F.concat("prefix", "number")))))
     code = F.explode(F.array_distinct(F.array_compact(F.array("flight_icao", "flight_iata", F.concat("airline_icao", "flight_number"), F.concat("airline_iata", "flight_number")))))
-    by_callsign = legs.withColumn("_key", key).join(days.withColumn("_code", code), (F.col("_key") == F.col("_code")) & (F.col("service_date") == F.col("on_date"))).drop("_key", "_code").distinct().withColumn("method", F.lit("callsign_time"))
+    # A leg and a schedule row may share several codes: their keys alone are made distinct.
+    leg, row = ["icao_hex", "service_date", "segment"], ["schedule_key", "on_date"]
+    coded = days.select(*row, code.alias("_code"))
+    pairs = legs.select(*leg, F.col("service_date").alias("on_date"), key.alias("_code")).join(coded, ["_code", "on_date"]).select(*leg, *row).distinct()
+    by_callsign = legs.join(pairs, leg).join(days, row).withColumn("method", F.lit("callsign_time"))
     both = by_registration.unionByName(by_callsign)
     departing, arriving = boundaries("minute", F.col("dep_scheduled"), F.col("start_ts")), boundaries("minute", F.col("arr_scheduled"), F.col("end_ts"))
     either = F.when(departing.isNotNull() & arriving.isNotNull(), F.least(F.abs(departing), F.abs(arriving)))
@@ -55,10 +59,18 @@ def match_result(scored: DataFrame) -> DataFrame:
     return best.select("icao_hex", "service_date", "segment", "schedule_key", "method", "direction_ok", "score", F.greatest("score", F.lit(0)).alias("confidence"), F.abs("gap").alias("time_gap"), "day_diff")
 
 
-def callsign_prior(legs: DataFrame, results: DataFrame, schedule: DataFrame, least: int) -> DataFrame:
-    """For callsign keys with at least ``least`` matched legs, the most frequent airline."""
-    matched = legs.withColumn("callsign_key", fl.callsign_key(F.col("callsign"))).where("callsign_key IS NOT NULL").join(results.select("icao_hex", "service_date", "segment", "schedule_key"), ["icao_hex", "service_date", "segment"]).join(schedule.select("schedule_key", "airline_icao", "airline_iata"), "schedule_key")
-    counted = matched.groupBy("callsign_key", "airline_icao", "airline_iata").agg(F.count("*").alias("n"))
+def callsign_prior(legs: DataFrame, results: DataFrame, schedule: DataFrame, least: int, since: str | None = None) -> DataFrame:
+    """For callsign keys with at least ``least`` matched legs (from day ``since`` on), the most
+    frequent airline, and the most frequent origin and destination of the legs that have both."""
+    recent = legs if since is None else legs.where(F.col("service_date") >= F.lit(since).cast("date"))
+    keyed = recent.withColumn("callsign_key", fl.callsign_key(F.col("callsign"))).where("callsign_key IS NOT NULL")
+    won = results.select("icao_hex", "service_date", "segment", "schedule_key")
+    flights = schedule.select("schedule_key", "airline_icao", "airline_iata", "airline_name", "dep_airport", "arr_airport")
+    matched = keyed.join(won, ["icao_hex", "service_date", "segment"]).join(flights, "schedule_key")
+    counted = matched.groupBy("callsign_key", "airline_icao", "airline_iata").agg(F.count("*").alias("n"), F.max("airline_name").alias("airline_name"))
     totals = counted.groupBy("callsign_key").agg(F.sum("n").alias("total_legs")).where(F.col("total_legs") >= least)
     modal = top_per_key(counted, ["callsign_key"], [F.col("n").desc(), F.col("airline_icao").asc_nulls_last(), F.col("airline_iata").asc_nulls_last()])
-    return modal.join(totals, "callsign_key").select("callsign_key", "airline_icao", "airline_iata", "n", "total_legs")
+    ways = matched.where("dep_airport IS NOT NULL AND arr_airport IS NOT NULL").groupBy("callsign_key", F.col("dep_airport").alias("origin_airport"), F.col("arr_airport").alias("destination_airport")).agg(F.count("*").alias("times"))
+    way = top_per_key(ways, ["callsign_key"], [F.col("times").desc(), F.col("origin_airport").asc(), F.col("destination_airport").asc()]).drop("times")
+    full = modal.join(totals, "callsign_key").join(way, "callsign_key", "left")
+    return full.select("callsign_key", "airline_icao", "airline_iata", "airline_name", "n", "total_legs", "origin_airport", "destination_airport")

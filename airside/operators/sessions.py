@@ -22,16 +22,18 @@ def _sessions(df: DataFrame, breaks: Column, name: str) -> DataFrame:
 
 
 def ground_points(points: DataFrame, tz: str) -> DataFrame:
-    """Points on the ground with service_date, session_seq and lag_seconds."""
-    ground = points.where(fl.is_ground_gate(F.col("velocity"), F.col("altitude_baro"))).withColumn("service_date", service_date(F.col("ts"), tz))
+    """Points on the ground with service_date, session_seq and lag_seconds; without time or position they don't count."""
+    placed = points.where("ts IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL")
+    ground = placed.where(fl.is_ground_gate(F.col("velocity"), F.col("altitude_baro"))).withColumn("service_date", service_date(F.col("ts"), tz))
     w = Window.partitionBy("icao_hex", "service_date").orderBy("ts", "event_id")
     return _sessions(ground, F.lit(False), "session_seq").withColumn("lag_seconds", boundaries("second", F.lag("ts").over(w), F.col("ts")))
 
 
 def ground_sessions(points: DataFrame, tz: str) -> DataFrame:
-    """Sessions of an aircraft's day: start, end, minutes, points."""
+    """Sessions of an aircraft's day: start, end, seconds, minutes, points."""
     found = ground_points(points, tz).groupBy("icao_hex", "service_date", "session_seq").agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("points"))
     key = F.md5(F.concat_ws(":", "icao_hex", F.col("service_date").cast("string"), F.col("session_seq").cast("string")))
+    found = found.withColumn("dwell_seconds", boundaries("second", F.col("start_ts"), F.col("end_ts")))
     return found.withColumn("dwell_minutes", boundaries("minute", F.col("start_ts"), F.col("end_ts"))).withColumn("ground_session_id", key)
 
 
@@ -50,7 +52,7 @@ def flight_legs(points: DataFrame, tz: str, ring: Column, near_m: float = 5000)
         F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.max("registration").alias("registration"), F.max(F.upper(fl.tidy(F.col("flight")))).alias("callsign"), F.count("*").alias("points"),
         F.min_by(F.struct("lat", "lon"), first).alias("a"), F.max_by(F.struct("lat", "lon"), last).alias("z"),
     )
-    near_a = geo.distance_to_polygon_m(F.col("a.lat"), F.col("a.lon"), ring) <= near_m
-    near_z = geo.distance_to_polygon_m(F.col("z.lat"), F.col("z.lon"), ring) <= near_m
-    direction = F.when(near_a & near_z, "local").when(near_a, "departure").when(near_z, "arrival").otherwise("unknown")
+    # One array of both answers: two conditions would be worked out again at each mention.
+    near = F.transform(F.array("a", "z"), lambda p: geo.distance_to_polygon_m(p["lat"], p["lon"], ring) <= near_m)
+    direction = F.element_at(F.create_map(*[F.lit(x) for x in ("11", "local", "10", "departure", "01", "arrival", "00", "unknown")]), F.array_join(F.transform(near, lambda n: F.when(n, "1").otherwise("0")), ""))
     return legs.withColumn("direction", direction).select("icao_hex", "service_date", "segment", "start_ts", "end_ts", "registration", "callsign", "points", "direction")

@@ -2,52 +2,111 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import math
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airside.functions import geo
+from airside.functions.flight import crossing_direction
+from airside.functions.time import boundaries
 from airside.operators.keyed import top_per_key
 
 #: Places below this count are broadcast; more are joined by shuffle on the cell.
 BROADCAST_PLACES = 200_000
+#: Corridors below this count are broadcast (one airport has a dozen).
+BROADCAST_RUNWAYS = 10_000
+
+
+def _cells(lat: Column, lon: Column, radius_m: float, south: float) -> tuple[Column, Column]:
+    """Cell of a point: rows as high as the radius, columns as wide at latitude ``south`` or nearer the equator."""
+    high = radius_m / geo.DEGREE_M
+    return geo.cell(lat, high), geo.cell(lon, high / max(math.cos(math.radians(south)), 1e-3))
+
+
+def _around(places: DataFrame, radius_m: float, most: float) -> DataFrame:
+    """Each place in its own cell and the eight around it."""
+    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
+    return places.select("gate_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), cy.alias("y"), cx.alias("x"), steps.alias("s")).select("gate_id", "g_lat", "g_lon", (F.col("y") + F.col("s.i")).alias("cy"), (F.col("x") + F.col("s.j")).alias("cx"))
+
+
+def _extent(places: DataFrame, radius_m: float) -> tuple[int, float]:
+    """How many places there are, and the highest latitude (either side) within the radius of one."""
+    n, most = places.agg(F.count("*"), F.max(F.abs("lat"))).first()
+    return n, min(89.9, (most or 0.0) + radius_m / geo.DEGREE_M)
+
+
+def places_within(points: DataFrame, places: DataFrame, radius_m: float) -> DataFrame:
+    """All pairs of a point and a place (gate_id, lat, lon) within the radius, with gate_m.
+
+    Cells are at least as wide as the radius at every latitude that has places, so that a point
+    meets only the places of its own cell and finds all that are near enough.
+    """
+    n, most = _extent(places, radius_m)
+    around = _around(places, radius_m, most)
+    around = F.broadcast(around) if n <= BROADCAST_PLACES else around
+    cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
+    met = points.withColumn("cy", cy).withColumn("cx", cx).join(around, ["cy", "cx"])
+    metres = geo.distance_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
+    return met.withColumn("gate_m", metres).where(F.col("gate_m") <= radius_m).drop("cy", "cx", "g_lat", "g_lon")
 
 
 def nearest_place(points: DataFrame, key: str, places: DataFrame, radius_m: float) -> DataFrame:
     """All points with gate_id and gate_m of the nearest place within the radius, or nulls.
 
-    Cells are as wide as the radius, and each place stands in its own and the eight around it,
-    so that a point meets only the places near it. Ties go to the smaller gate_id.
+    Ties go to the smaller gate_id. Up to BROADCAST_PLACES places go to all executors as one
+    array a cell, and each point picks its place in its row, without a shuffle; more are joined
+    by cell, and ``key`` brings the pairs of a point together.
     """
-    size = radius_m / (geo.DEGREE_M * 0.5)  # wide enough in longitude up to 60 degrees of latitude
-    steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    around = places.select("gate_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), steps.alias("s"))
-    around = around.select("gate_id", "g_lat", "g_lon", (geo.cell(F.col("g_lat"), size) + F.col("s.i")).alias("cy"), (geo.cell(F.col("g_lon"), size) + F.col("s.j")).alias("cx"))
-    if places.count() <= BROADCAST_PLACES:
-        around = F.broadcast(around)
-    met = points.withColumn("cy", geo.cell(F.col("lat"), size)).withColumn("cx", geo.cell(F.col("lon"), size)).join(around, ["cy", "cx"], "left")
+    n, most = _extent(places, radius_m)
+    cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
+    around = _around(places, radius_m, most)
+    celled = points.withColumn("cy", cy).withColumn("cx", cx)
+    if n <= BROADCAST_PLACES:
+        held = around.groupBy("cy", "cx").agg(F.collect_list(F.struct("gate_id", "g_lat", "g_lon")).alias("_places"))
+        far = F.transform("_places", lambda p: F.struct(geo.distance_m(F.col("lat"), F.col("lon"), p["g_lat"], p["g_lon"]).alias("m"), p["gate_id"].alias("g")))
+        best = F.array_min(F.filter(far, lambda p: p["m"] <= radius_m))
+        met = celled.join(F.broadcast(held), ["cy", "cx"], "left").withColumn("_best", best)
+        return met.withColumn("gate_m", F.col("_best.m")).withColumn("gate_id", F.col("_best.g")).drop("cy", "cx", "_places", "_best")
+    met = celled.join(around, ["cy", "cx"], "left")
     metres = geo.distance_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
     near = met.withColumn("gate_m", F.when(metres <= radius_m, metres)).withColumn("gate_id", F.when(F.col("gate_m").isNotNull(), F.col("gate_id")))
     return top_per_key(near, [key], [F.col("gate_m").asc_nulls_last(), F.col("gate_id").asc_nulls_last()]).drop("cy", "cx", "g_lat", "g_lon")
 
 
-def runway_crossings(points: DataFrame, runways: DataFrame) -> DataFrame:
-    """Stays inside a runway corridor: entry, exit, seconds, chord, top speed, direction.
+def runway_stays(points: DataFrame, runways: DataFrame) -> DataFrame:
+    """Points (with flight_key) of flights that come near a corridor, once for each such corridor:
+    inside, enters, leaves, event (the number of the stay), touches (any point of the flight is inside).
 
-    Points meet all runways (a handful an airport, broadcast); outside points are needed, because
-    they end the stays.
+    Outside points are needed too, because they end the stays.
     """
-    from pyspark.sql import Window
+    by_runway = runways.withColumn("box", geo.bounds(F.col("line")))
+    reach = F.col("radius") / geo.DEGREE_M * 1.01
+    wide = reach / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+    in_box = F.col("lat").between(F.col("box.min_lat") - reach, F.col("box.max_lat") + reach) & F.col("lon").between(F.col("box.min_lon") - wide, F.col("box.max_lon") + wide)
+    few = F.broadcast(by_runway) if runways.count() <= BROADCAST_RUNWAYS else by_runway
+    close = points.join(few, in_box).select("flight_key", "runway_id").distinct()
+    met = points.join(close, "flight_key").join(few.drop("box"), "runway_id").withColumn("inside", geo.distance_to_line_m(F.col("lat"), F.col("lon"), F.col("line")) <= F.col("radius")).drop("line")
+    w = Window.partitionBy("flight_key", "runway_id").orderBy("ts", "event_id")
+    flagged = met.withColumn("enters", F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))).withColumn("leaves", F.col("inside") & ~F.coalesce(F.lead("inside").over(w), F.lit(False)))
+    touches = F.max("inside").over(Window.partitionBy("flight_key", "runway_id"))
+    return flagged.withColumn("event", F.sum(F.col("enters").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("touches", touches)
 
-    from airside.functions.flight import crossing_direction
-    from airside.functions.time import boundaries
 
-    met = points.crossJoin(F.broadcast(runways)).withColumn("inside", geo.distance_to_line_m(F.col("lat"), F.col("lon"), F.col("line")) <= F.col("radius"))
-    w = Window.partitionBy("flight_key", "runway_id").orderBy("ts", "event_id")
-    entered = met.withColumn("_enter", (F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))).cast("int"))
-    stays = entered.withColumn("event", F.sum("_enter").over(w.rowsBetween(Window.unboundedPreceding, 0))).where("inside")
+def runway_crossings(points: DataFrame, runways: DataFrame) -> DataFrame:
+    """Stays inside a runway corridor: entry, exit, seconds, chord, midpoint, top speed, direction."""
     order = F.struct("ts", "event_id")
-    found = stays.groupBy("flight_key", "runway_id", "event").agg(F.min("ts").alias("t_entry"), F.max("ts").alias("t_exit"), F.min_by(F.struct("lat", "lon"), order).alias("a"), F.max_by(F.struct("lat", "lon"), order).alias("z"), F.max(F.coalesce("velocity", F.lit(0))).alias("max_speed"))
-    return found.select("flight_key", "runway_id", "event", "t_entry", "t_exit", boundaries("second", F.col("t_entry"), F.col("t_exit")).alias("seconds"), F.round(geo.distance_m(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon")), 1).alias("chord_m"), "max_speed", crossing_direction(F.col("a.lat"), F.col("z.lat")).alias("direction"))
+    at = F.struct("lat", "lon")
+    found = runway_stays(points, runways).where("inside").groupBy("flight_key", "runway_id", "event").agg(
+        F.min("ts").alias("t_entry"), F.max("ts").alias("t_exit"), F.max_by(at, F.when(F.col("enters"), order)).alias("a"), F.max_by(at, F.when(F.col("leaves"), order)).alias("z"),
+        F.max(F.coalesce("velocity", F.lit(0))).alias("max_speed"),
+    )
+    chord = F.round(geo.distance_m(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon")), 1)
+    return found.select(
+        "flight_key", "runway_id", "event", "t_entry", "t_exit", boundaries("second", F.col("t_entry"), F.col("t_exit")).alias("seconds"), chord.alias("chord_m"), "max_speed",
+        crossing_direction(F.col("a.lat"), F.col("z.lat")).alias("direction"), geo.midpoint(F.col("a"), F.col("z")).alias("midpoint"),
+    )
 
 
 def plausible_crossings(crossings: DataFrame, knots: float = 80, seconds: int = 300, metres: float = 500) -> DataFrame:

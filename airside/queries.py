@@ -14,21 +14,8 @@ from airside.operators import gold, keyed, matching, sessions, spatial
 from airside.plans import fixtures as fx
 from airside.plans import reports as rp
 from airside.plans.fixtures import AIRCRAFT, BASE, LOCAL_DAY, TZ, oracle
-
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    def add(f: Query) -> Query:
-        QUERIES[name] = f
-        if sql:
-            ORACLE_SQL[name] = sql
-        return f
-
-    return add
-
+from airside.registry import ORACLE_SQL, QUERIES, query
+from airside.sources.files import stored
 
 def on_points(name: str, sql: str, build: Callable[[DataFrame], DataFrame], *needs: str) -> None:
     """A query that is one step over the points."""
@@ -47,6 +34,13 @@ def _results(s: SparkSession, d: str) -> DataFrame:
     return matching.match_result(matching.match_score(_candidates(s, d), [fx.AIRPORT]))
 
 
+def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Legs and their chosen schedule rows, stored, because several later steps read both."""
+    legs = stored(_legs(s, d), "legs")
+    scored = matching.match_score(matching.match_candidates(legs, fx.schedule(s, d)), [fx.AIRPORT])
+    return legs, stored(matching.match_result(scored), "results")
+
+
 def _at_gates(s: SparkSession, d: str) -> DataFrame:
     return gold.gate_points(fx.points(s, d), fx.gates(s, d), TZ)
 
@@ -70,25 +64,37 @@ on_points("flight_phase", """SELECT event_id, CASE WHEN altitude_baro IS NULL OR
   WHEN altitude_baro < 10000 THEN CASE WHEN velocity > 200 THEN 'Climbing' ELSE 'Descending' END WHEN velocity < 100 THEN 'Descending' ELSE 'Cruise' END AS phase FROM points""", lambda p: p.select("event_id", fl.flight_phase(C("altitude_baro"), C("velocity")).alias("phase")))
 on_points("altitude_band", "SELECT event_id, CASE WHEN altitude_baro IS NULL THEN 'unknown' WHEN altitude_baro < 10000 THEN 'low' WHEN altitude_baro < 25000 THEN 'medium' WHEN altitude_baro < 35000 THEN 'high' ELSE 'very_high' END AS band FROM points", lambda p: p.select("event_id", fl.altitude_band(C("altitude_baro")).alias("band")))
 on_points("speed_band", "SELECT event_id, CASE WHEN velocity IS NULL THEN 'unknown' WHEN velocity < 200 THEN 'slow' WHEN velocity < 400 THEN 'medium' ELSE 'fast' END AS band FROM points", lambda p: p.select("event_id", fl.speed_band(C("velocity")).alias("band")))
-on_points("freshness_status", "SELECT event_id, CASE WHEN velocity <= 5 THEN 'Fresh' WHEN velocity <= 30 THEN 'OK' ELSE 'Stale' END AS status FROM points", lambda p: p.select("event_id", fl.freshness_status(C("velocity")).alias("status")))
+on_points("freshness_status", "SELECT event_id, CASE WHEN m <= 5 THEN 'Fresh' WHEN m <= 30 THEN 'OK' ELSE 'Stale' END AS status, CASE WHEN date_diff('hour', ts, timestamp '2024-01-01 15:00:00') <= 2 THEN 'OK' ELSE 'STALE' END AS table_status FROM (SELECT *, date_diff('minute', ts, timestamp '2024-01-01 15:00:00') AS m FROM points)", lambda p: _fresh(p))
 on_points("st_distance_m", "SELECT event_id, round(" + fx.METRES.format(a="p", b="o") + ", 3) AS metres FROM points p, (SELECT 32.0 AS lat, -117.0 AS lon) o", lambda p: p.select("event_id", F.round(geo.distance_m(C("lat"), C("lon"), F.lit(32.0), F.lit(-117.0)), 3).alias("metres")))
 on_points("st_dwithin_point", "SELECT event_id FROM points p, (SELECT 32.0 AS lat, -117.0 AS lon) o WHERE " + fx.METRES.format(a="p", b="o") + " <= 5000", lambda p: p.where(geo.distance_m(C("lat"), C("lon"), F.lit(32.0), F.lit(-117.0)) <= 5000).select("event_id"))
 on_points("st_dwithin_polygon", "SELECT event_id, sqrt(pow(greatest(0, abs(lat - 32.0) - 0.01), 2) + pow(greatest(0, abs(lon + 117.0) - 0.01) * cos(radians(lat)), 2)) * 6371000.0 * pi() / 180 <= 5000 AS near FROM points", lambda p: p.select("event_id", (geo.distance_to_polygon_m(C("lat"), C("lon"), fx.ring()) <= 5000).alias("near")))
-on_points("st_intersects_point", "SELECT event_id, abs(lat - 32.0) * 6371000.0 * pi() / 180 <= 400 AS inside FROM points WHERE lon BETWEEN -117.0199 AND -116.9801", lambda p: p.where("lon BETWEEN -117.0199 AND -116.9801").select("event_id", (geo.distance_to_line_m(C("lat"), C("lon"), F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in fx.RUNWAYS[0][1:3]])) <= 400).alias("inside")))
+on_points("st_intersects_point", "SELECT event_id, sqrt(pow(lat - 32.0, 2) + pow(greatest(0, abs(lon + 117.0) - 0.02) * cos(radians(lat)), 2)) * 6371000.0 * pi() / 180 <= 400 AS inside FROM points", lambda p: p.select("event_id", (geo.distance_to_line_m(C("lat"), C("lon"), F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in fx.RUNWAYS[0][1:3]])) <= 400).alias("inside")))
 
 # --- windows, sessions, legs --------------------------------------------------------------
 on_points("lag_gap", "SELECT event_id, gap, lag_seconds FROM gapped", lambda p: _gaps(p), "gapped")
 on_points("sessionise_gap", "SELECT event_id, session_seq FROM sessions", lambda p: sessions.ground_points(p, TZ).select("event_id", "session_seq"), "sessions")
-on_points("ground_sessions", "SELECT icao_hex, service_date, session_seq, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, date_diff('minute', min(ts), max(ts)) AS dwell_minutes, md5(icao_hex || ':' || CAST(service_date AS VARCHAR) || ':' || CAST(session_seq AS VARCHAR)) AS ground_session_id FROM sessions GROUP BY ALL", lambda p: sessions.ground_sessions(p, TZ), "sessions")
+on_points("ground_sessions", "SELECT icao_hex, service_date, session_seq, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, date_diff('second', min(ts), max(ts)) AS dwell_seconds, date_diff('minute', min(ts), max(ts)) AS dwell_minutes, md5(icao_hex || ':' || CAST(service_date AS VARCHAR) || ':' || CAST(session_seq AS VARCHAR)) AS ground_session_id FROM sessions GROUP BY ALL", lambda p: sessions.ground_sessions(p, TZ), "sessions")
 on_points("segment_legs", "SELECT event_id, is_ground, segment FROM segmented", lambda p: sessions.segments(p, TZ).select("event_id", "is_ground", "segment"), "segmented")
 query("flight_legs", oracle("SELECT * FROM legs", "legs"))(_legs)
-on_points("fill_prev_next", "SELECT event_id, last_value(flight IGNORE NULLS) OVER (PARTITION BY category ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_flight, first_value(flight IGNORE NULLS) OVER (PARTITION BY category ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_flight FROM points", lambda p: keyed.fill_from_neighbours(p, ["category"], "event_id", "flight").select("event_id", "previous_flight", "next_flight"))
-on_points("partition_max_fill", "SELECT event_id, coalesce(flight, max(flight) OVER (PARTITION BY category)) AS flight FROM points", lambda p: p.select("event_id", F.coalesce("flight", F.max("flight").over(_by("category"))).alias("flight")))
+on_points("fill_prev_next", "SELECT event_id, last_value(flight IGNORE NULLS) OVER (PARTITION BY icao_hex, service_date ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_flight, first_value(flight IGNORE NULLS) OVER (PARTITION BY icao_hex, service_date ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_flight FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN flight END AS flight) FROM labelled)", lambda p: keyed.fill_from_neighbours(_sparse(p), ["icao_hex", "service_date"], "event_id", "flight").select("event_id", "previous_flight", "next_flight"), "labelled")
+on_points("partition_max_fill", "SELECT event_id, coalesce(flight, max(flight) OVER (PARTITION BY icao_hex, service_date)) AS flight FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN flight END AS flight) FROM labelled)", lambda p: _sparse(p).select("event_id", F.coalesce("flight", F.max("flight").over(_by("icao_hex", "service_date"))).alias("flight")), "labelled")
 on_points("first_attr_per_key", "SELECT icao_hex, arg_min(lat, (ts, event_id)) AS lat, arg_min(lon, (ts, event_id)) AS lon FROM points GROUP BY icao_hex", lambda p: p.groupBy("icao_hex").agg(F.min_by("lat", F.struct("ts", "event_id")).alias("lat"), F.min_by("lon", F.struct("ts", "event_id")).alias("lon")))
 on_points("adsb_dedup", "SELECT icao_hex, ts, max(event_id) AS event_id FROM points GROUP BY ALL", lambda p: keyed.top_per_key(p, ["icao_hex", "ts"], [C("event_id").desc()]).select("icao_hex", "ts", "event_id"))
 on_points("adsb_etl_upsert", "SELECT icao_hex, ts, coalesce(arg_max(CASE WHEN event_id % 2 = 0 THEN event_id END, CASE WHEN event_id % 2 = 0 THEN event_id END), arg_max(event_id, event_id)) AS event_id FROM points GROUP BY ALL", lambda p: _upsert(p))
 
 
+def _fresh(p: DataFrame) -> DataFrame:
+    from airside.functions.time import boundaries
+
+    age = lambda unit: boundaries(unit, C("ts"), F.lit("2024-01-01 15:00:00").cast("timestamp_ntz"))
+    return p.select("event_id", fl.freshness_status(age("minute")).alias("status"), fl.table_freshness(age("hour")).alias("table_status"))
+
+
+def _sparse(p: DataFrame) -> DataFrame:
+    """Points of which two in three lack their callsign."""
+    return p.withColumn("service_date", service_date(C("ts"), TZ)).withColumn("flight", F.when(C("event_id") % 3 == 0, C("flight")))
+
+
 def _by(*keys: str):
     from pyspark.sql import Window
 
@@ -112,70 +118,39 @@ def _upsert(p: DataFrame) -> DataFrame:
 # --- spatial and gates ----------------------------------------------------------------------
 query("nearest_gate", oracle("SELECT event_id, gate_id, CASE WHEN gate_id IS NOT NULL THEN round(gate_m, 1) END AS gate_m FROM near", "near"))(lambda s, d: _at_gates(s, d).select("event_id", "gate_id", F.round("gate_m", 1).alias("gate_m")))
 query("ground_points", oracle("SELECT event_id, icao_hex, service_date, session_seq, lag_seconds, gate_id FROM near", "near"))(lambda s, d: _at_gates(s, d).select("event_id", "icao_hex", "service_date", "session_seq", "lag_seconds", "gate_id"))
-_SPENT = "SELECT icao_hex, service_date, session_seq, gate_id, CAST(sum(coalesce(lag_seconds, 0)) AS BIGINT) AS seconds, count(*) AS points FROM near WHERE gate_id IS NOT NULL GROUP BY ALL"
-query("flight_gate_time", oracle(f"SELECT * FROM ({_SPENT}) QUALIFY row_number() OVER (PARTITION BY icao_hex, service_date, session_seq ORDER BY seconds DESC, points DESC, gate_id) = 1", "near"))(lambda s, d: gold.flight_gate_time(_at_gates(s, d)))
+query("flight_gate_time", oracle("SELECT * FROM gate_time", "gate_time"))(lambda s, d: gold.flight_gate_time(_at_gates(s, d)))
 _UTIL = "SELECT service_date, gate_id, vehicle_category, round(sum(coalesce(lag_seconds, 0)) / 60.0, 2) AS dwell_minutes, count(DISTINCT (icao_hex, session_seq)) AS sessions FROM near WHERE gate_id IS NOT NULL GROUP BY ALL"
 query("gate_util_daily", oracle(_UTIL, "near"))(lambda s, d: gold.gate_util_daily(_at_gates(s, d)))
-query("gate_airline_dwell_daily", oracle(f"""SELECT service_date, gate_id, CASE WHEN vehicle_category IN {AIRCRAFT} THEN coalesce(substr(flight, 1, 3), 'UNK') ELSE vehicle_category END AS airline_code,
-  CAST(sum(coalesce(lag_seconds, 0)) AS BIGINT) AS dwell_seconds, count(DISTINCT (icao_hex, session_seq)) AS sessions FROM near WHERE gate_id IS NOT NULL GROUP BY ALL""", "near"))(lambda s, d: gold.gate_airline_dwell_daily(_at_gates(s, d), fx.airlines(s).select("airline_icao")))
 query("gate_fill_rate", oracle(f"SELECT used, gates, round(used * 100 / gates, 1) AS fill_pct FROM (SELECT count(DISTINCT gate_id) AS used FROM ({_UTIL})), (SELECT count(*) AS gates FROM gates)", "near"))(lambda s, d: rp.gate_fill_rate(gold.gate_util_daily(_at_gates(s, d)), fx.gates(s, d)))
 query("gate_rankings", oracle(f"SELECT gate_id, round(sum(dwell_minutes), 2) AS dwell_minutes, CAST(sum(sessions) AS BIGINT) AS sessions FROM ({_UTIL}) GROUP BY gate_id ORDER BY sessions DESC, gate_id LIMIT 15", "near"))(lambda s, d: rp.gate_rankings(gold.gate_util_daily(_at_gates(s, d))))
-query("grid_spatial_join", oracle("SELECT gate_id, count(*) AS points FROM near WHERE gate_id IS NOT NULL GROUP BY gate_id", "near"))(lambda s, d: _at_gates(s, d).where("gate_id IS NOT NULL").groupBy("gate_id").agg(F.count("*").alias("points")))
-
-
-@query("runway_crossings")
-def runway_crossings(s: SparkSession, d: str) -> DataFrame:
-    keyed_points = fx.points(s, d).withColumn("flight_key", fl.aircraft_day_id(C("icao_hex"), service_date(C("ts"), TZ)))
-    return spatial.runway_crossings(keyed_points, fx.runways(s))
-
-
-@query("plausible_crossings")
-def plausible_crossings(s: SparkSession, d: str) -> DataFrame:
-    return spatial.plausible_crossings(runway_crossings(s, d))
-
 
 # --- matching ---------------------------------------------------------------------------------
 _LEG = "icao_hex, service_date, segment"
 query("match_candidates", oracle(f"SELECT DISTINCT {_LEG}, schedule_key, method, gap FROM candidates", "candidates"))(lambda s, d: _candidates(s, d).select("icao_hex", "service_date", "segment", "schedule_key", "method", "gap").distinct())
 query("match_score", oracle(f"SELECT DISTINCT {_LEG}, schedule_key, method, direction_ok, day_diff, score FROM scored", "scored"))(lambda s, d: matching.match_score(_candidates(s, d), [fx.AIRPORT]).select("icao_hex", "service_date", "segment", "schedule_key", "method", "direction_ok", "day_diff", "score").distinct())
 query("match_result", oracle(f"SELECT {_LEG}, schedule_key, method, direction_ok, score, greatest(score, 0) AS confidence, abs(gap) AS time_gap, day_diff FROM results", "results"))(_results)
-_PRIOR = f"""SELECT callsign_key, airline_icao, airline_iata, n, total_legs FROM (SELECT *, row_number() OVER (PARTITION BY callsign_key ORDER BY n DESC, airline_icao, airline_iata) AS rn, CAST(sum(n) OVER (PARTITION BY callsign_key) AS BIGINT) AS total_legs FROM
-  (SELECT nullif(regexp_extract(upper(l.callsign), '^[A-Z]{{2,3}}[0-9]+'), '') AS callsign_key, s.airline_icao, s.airline_iata, count(*) AS n FROM legs l JOIN (SELECT {_LEG}, schedule_key FROM results) r USING ({_LEG}) JOIN schedule s ON s.schedule_key = r.schedule_key WHERE l.callsign IS NOT NULL GROUP BY ALL)) WHERE rn = 1 AND total_legs >= 5"""
-query("callsign_prior", oracle(_PRIOR, "results"))(lambda s, d: matching.callsign_prior(_legs(s, d), _results(s, d), fx.schedule(s, d), 5))
+query("callsign_prior", oracle("SELECT * FROM prior", "prior"))(lambda s, d: matching.callsign_prior(*matched(s, d), fx.schedule(s, d), 5))
 _HIT = f"SELECT service_date, count(*) AS legs, count(r.schedule_key) AS matched, round(count(r.schedule_key) * 100 / count(*), 1) AS match_pct FROM legs LEFT JOIN (SELECT {_LEG}, schedule_key FROM results) r USING ({_LEG}) GROUP BY service_date"
-query("match_rate_trend", oracle(_HIT, "results"))(lambda s, d: rp.match_rate_trend(_legs(s, d), _results(s, d)))
+query("match_rate_trend", oracle(_HIT, "results"))(lambda s, d: rp.match_rate_trend(*matched(s, d)))
 query("match_method_mix", oracle("SELECT method, count(*) AS legs, round(avg(greatest(score, 0)), 3) AS confidence FROM results GROUP BY method", "results"))(lambda s, d: rp.match_method_mix(_results(s, d)))
-query("schedule_for_flight", oracle("SELECT DISTINCT icao_hex, service_date, segment, schedule_key FROM results WHERE method = 'callsign_time'", "results"))(lambda s, d: _results(s, d).where("method = 'callsign_time'").select("icao_hex", "service_date", "segment", "schedule_key"))
 query("schedule_direction", oracle("SELECT schedule_key, CASE WHEN dep_airport = 'TST' THEN 'departure' ELSE 'arrival' END AS direction FROM schedule", "schedule"))(lambda s, d: fx.schedule(s, d).select("schedule_key", fl.schedule_direction(C("dep_airport"), C("arr_airport"), [fx.AIRPORT, "KTST"]).alias("direction")))
-query("schedule_vs_actual", oracle("SELECT schedule_key, flight_number, m AS delay_minutes, CASE WHEN m IS NULL THEN 'Unknown' WHEN abs(m) <= 15 THEN 'On Time' WHEN m < -15 THEN 'Arrived Earlier' ELSE 'Arrived Later' END AS status FROM (SELECT *, date_diff('minute', dep_scheduled, dep_actual) AS m FROM schedule)", "schedule"))(lambda s, d: rp.schedule_vs_actual(fx.schedule(s, d), 15))
-_DELAY = """SELECT flight_date, airline_icao, count(*) AS flights, CAST(coalesce(sum(abs(delay)) FILTER (delay > 15), 0) AS BIGINT) AS delay_minutes, count(*) FILTER (delay > 15) AS delayed, CAST(coalesce(sum(abs(delay)) FILTER (delay < -15), 0) AS BIGINT) AS early_minutes, count(*) FILTER (delay < -15) AS early
-  FROM (SELECT o.*, date_diff('minute', dep_scheduled, coalesce(dep_actual, seen_ts)) AS delay FROM (SELECT * FROM schedule WHERE dep_airport = 'TST' QUALIFY row_number() OVER (PARTITION BY flight_date, flight_number, airline_iata, airline_icao ORDER BY dep_scheduled, schedule_key) = 1) o
-  LEFT JOIN (SELECT service_date AS flight_date, nullif(regexp_extract(callsign, '[0-9]+'), '') AS flight_number, nullif(regexp_extract(callsign, '^[A-Z]{2,3}'), '') AS airline_icao, min(start_ts) AS seen_ts FROM legs WHERE direction = 'departure' GROUP BY ALL) USING (flight_date, flight_number, airline_icao)) GROUP BY flight_date, airline_icao"""
-query("airline_delay_daily", oracle(_DELAY, "schedule", "legs"))(lambda s, d: gold.airline_delay_daily(fx.schedule(s, d), _legs(s, d), fx.AIRPORT))
-query("delay_rankings", oracle(f"SELECT airline_icao, CAST(sum(delay_minutes) AS BIGINT) AS delay_minutes FROM ({_DELAY}) GROUP BY airline_icao ORDER BY 2 DESC, 1 LIMIT 15", "schedule", "legs"))(lambda s, d: rp.delay_rankings(gold.airline_delay_daily(fx.schedule(s, d), _legs(s, d), fx.AIRPORT), "delay_minutes"))
 
 # --- traffic and reports --------------------------------------------------------------------------
 on_points("traffic_daily", "SELECT service_date, vehicle_category, count(DISTINCT icao_hex) AS aircraft, count(DISTINCT flight) AS flights, count(*) AS records, round(avg(altitude_baro), 3) AS avg_altitude, round(avg(velocity), 3) AS avg_speed FROM labelled GROUP BY ALL", lambda p: gold.traffic_daily(p, TZ), "labelled")
 on_points("traffic_hourly", "SELECT date_trunc('hour', ts) AS hour, count(DISTINCT icao_hex) AS aircraft, count(*) AS records FROM points GROUP BY ALL", gold.traffic_hourly)
-on_points("flight_list", "SELECT service_date, coalesce(flight, icao_hex) AS flight_id, count(*) AS points, min(ts) AS first_ts, max(ts) AS last_ts, arg_max(category, (ts, event_id)) FILTER (category IS NOT NULL) AS category, max(registration) AS registration, bool_or(is_ground) AS touched FROM flagged GROUP BY service_date, coalesce(flight, icao_hex)", lambda p: gold.flight_list(p, TZ), "flagged")
 _AIR = f"SELECT service_date, upper(substr(flight, 1, 3)) AS airline, count(DISTINCT flight) AS flights, count(DISTINCT icao_hex) AS aircraft, count(*) AS records FROM labelled WHERE flight IS NOT NULL AND vehicle_category IN {AIRCRAFT} GROUP BY ALL"
 on_points("airline_traffic_daily", _AIR, lambda p: gold.airline_traffic_daily(p, TZ), "labelled")
 on_points("top_airlines", f"SELECT airline, CAST(sum(flights) AS BIGINT) AS flights, CAST(sum(records) AS BIGINT) AS records FROM ({_AIR}) GROUP BY airline ORDER BY flights DESC, airline LIMIT 15", lambda p: rp.top_airlines(gold.airline_traffic_daily(p, TZ)), "labelled")
 on_points("date_bounds", "SELECT min(service_date) AS first_day, max(service_date) AS last_day FROM labelled", lambda p: rp.date_bounds(p, TZ), "labelled")
 on_points("live_positions", "SELECT flight_id, ts, lat, lon, velocity, altitude_baro FROM (SELECT *, coalesce(flight, icao_hex) AS flight_id, row_number() OVER (PARTITION BY coalesce(flight, icao_hex) ORDER BY ts DESC, event_id DESC) AS rn FROM points WHERE ts <= timestamp '2024-01-01 14:30:00' AND date_diff('second', ts, timestamp '2024-01-01 14:30:00') <= 3600) WHERE rn = 1 ORDER BY ts DESC, flight_id LIMIT 500", lambda p: rp.live_positions(p, "2024-01-01 14:30:00", 60))
-on_points("trajectories", "SELECT flight_id, count(*) AS points, string_agg(printf('%.4f', lon) || ' ' || printf('%.4f', lat), ',' ORDER BY rn) AS path FROM (SELECT *, coalesce(flight, icao_hex) AS flight_id, row_number() OVER (PARTITION BY coalesce(flight, icao_hex) ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY coalesce(flight, icao_hex)) AS n FROM points) WHERE rn = 1 OR rn = n OR (rn - 1) % greatest(1, n // 20) = 0 GROUP BY flight_id", lambda p: rp.trajectories(p, 20))
-on_points("track_segments", "SELECT flight_id, event_id, next_id, round(CASE WHEN hi > lo THEN (altitude_baro - lo) / CAST(hi - lo AS DOUBLE) ELSE 0 END, 6) AS altitude_scaled FROM (SELECT *, lead(event_id) OVER (PARTITION BY flight_id ORDER BY ts, event_id) AS next_id, min(altitude_baro) OVER (PARTITION BY flight_id) AS lo, max(altitude_baro) OVER (PARTITION BY flight_id) AS hi FROM (SELECT *, coalesce(flight, icao_hex) AS flight_id FROM points WHERE altitude_baro IS NOT NULL)) WHERE next_id IS NOT NULL", rp.track_segments)
-query("hex_density")(lambda s, d: rp.hex_density(fx.points(s, d), 0.01, 30))
+on_points("trajectories", "SELECT service_date, flight_id, count(*) AS points, string_agg(printf('%.4f', lon) || ' ' || printf('%.4f', lat), ',' ORDER BY rn) AS path FROM (SELECT *, coalesce(flight, icao_hex) AS flight_id, row_number() OVER (PARTITION BY service_date, coalesce(flight, icao_hex) ORDER BY ts, event_id) AS rn, count(*) OVER (PARTITION BY service_date, coalesce(flight, icao_hex)) AS n FROM labelled) WHERE rn = 1 OR rn = n OR (rn - 1) % greatest(1, n // 20) = 0 GROUP BY service_date, flight_id", lambda p: rp.trajectories(p, 20, TZ), "labelled")
+on_points("track_segments", "SELECT flight_id, event_id, next_id, round(CASE WHEN hi > lo THEN (altitude_baro - lo) / CAST(hi - lo AS DOUBLE) ELSE 0 END, 6) AS altitude_scaled FROM (SELECT *, lead(event_id) OVER (PARTITION BY service_date, flight_id ORDER BY ts, event_id) AS next_id, min(altitude_baro) OVER (PARTITION BY service_date, flight_id) AS lo, max(altitude_baro) OVER (PARTITION BY service_date, flight_id) AS hi FROM (SELECT *, coalesce(flight, icao_hex) AS flight_id FROM labelled WHERE altitude_baro IS NOT NULL)) WHERE next_id IS NOT NULL", lambda p: rp.track_segments(p, TZ), "labelled")
 on_points("hour_of_day", f"SELECT CAST(hour(ts AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}') AS INT) AS hour, count(DISTINCT icao_hex) AS aircraft, count(*) AS records FROM points GROUP BY 1", lambda p: rp.hour_of_day(p, TZ))
 on_points("peak_hour", f"SELECT hour, records FROM (SELECT CAST(hour(ts AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}') AS INT) AS hour, count(*) AS records FROM points GROUP BY 1) ORDER BY records DESC, hour LIMIT 1", lambda p: rp.peak_hour(p, TZ))
 on_points("dow_hour_heatmap", f"SELECT CAST(dayofweek(ts AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}') AS INT) AS dow, CAST(hour(ts AT TIME ZONE 'UTC' AT TIME ZONE '{TZ}') AS INT) AS hour, count(DISTINCT icao_hex) AS aircraft FROM points GROUP BY 1, 2", lambda p: rp.dow_hour_heatmap(p, TZ))
 on_points("percentile_filter", "SELECT event_id FROM points WHERE velocity >= (SELECT quantile_cont(velocity, 0.9) FROM points)", lambda p: rp.percentile_filter(p, "velocity", 0.9).select("event_id"))
 on_points("scale_to_max", "SELECT event_id, round(velocity / (SELECT max(velocity) FROM points), 6) AS scaled FROM points", lambda p: rp.scale_to_max(p, "velocity").select("event_id", "scaled"))
 on_points("backfill_completeness", "SELECT day, coalesce(n, 0) AS rows, n IS NOT NULL AS done FROM (SELECT CAST(unnest(generate_series(timestamp '2023-12-30', timestamp '2024-01-03', INTERVAL 1 DAY)) AS DATE) AS day) LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS n FROM points GROUP BY 1) USING (day)", lambda p: rp.backfill_completeness(p, "2023-12-30", "2024-01-03"))
-query("qa_metrics", oracle("""SELECT unnest(['adsb_points', 'unique_aircraft', 'adsb_flight_nonnull_pct', 'adsb_category_nonnull_pct', 'adsb_altitude_baro_nonnull_pct', 'adsb_velocity_nonnull_pct', 'adsb_registration_nonnull_pct', 'flight_legs', 'matched_legs', 'leg_match_rate_pct']) AS metric,
-  unnest([n, a, f, c, b, v, r, l, m, CAST(round(m * 100.0 / l) AS BIGINT)]) AS value FROM (SELECT count(*) AS n, count(DISTINCT icao_hex) AS a, CAST(round(count(flight) * 100.0 / count(*)) AS BIGINT) AS f, CAST(round(count(category) * 100.0 / count(*)) AS BIGINT) AS c, CAST(round(count(altitude_baro) * 100.0 / count(*)) AS BIGINT) AS b, CAST(round(count(velocity) * 100.0 / count(*)) AS BIGINT) AS v, CAST(round(count(registration) * 100.0 / count(*)) AS BIGINT) AS r FROM points),
-  (SELECT count(*) AS l FROM legs), (SELECT count(*) AS m FROM results)""", "results"))(lambda s, d: gold.qa_metrics(fx.points(s, d), _legs(s, d), _results(s, d)))
-
 # --- checkpoint throughput ---------------------------------------------------------------------
 _TSA = "FROM tsa WHERE checkpoint IS NOT NULL AND d IS NOT NULL"
 
@@ -190,4 +165,5 @@ query("tsa_by_checkpoint", oracle(f"SELECT checkpoint, CAST(sum(pax) AS BIGINT)
 query("tsa_heatmap", oracle(f"SELECT CAST(dayofweek(d) AS INT) AS dow, h AS hour, CAST(sum(pax) AS BIGINT) AS passengers {_TSA} GROUP BY 1, 2", "tsa"))(lambda s, d: rp.tsa_heatmap(_tsa(s, d)))
 query("tsa_date_range", oracle(f"SELECT CAST(min(d) AS DATE) AS first_day, CAST(max(d) AS DATE) AS last_day {_TSA}", "tsa"))(lambda s, d: _tsa(s, d).where("day IS NOT NULL").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")))
 query("tsa_kpis", oracle(f"SELECT CAST(sum(pax) AS BIGINT) AS total, round(sum(pax) / count(DISTINCT d), 2) AS daily_average, count(DISTINCT checkpoint) AS checkpoints, (SELECT h FROM (SELECT h, sum(pax) AS p {_TSA} GROUP BY h) ORDER BY p DESC, h LIMIT 1) AS peak_hour {_TSA}", "tsa"))(lambda s, d: rp.tsa_kpis(_tsa(s, d)))
-query("airline_display_name", oracle("SELECT schedule_key, CASE airline_icao WHEN 'AAL' THEN 'Alpha' WHEN 'DAL' THEN 'Delta' WHEN 'UAL' THEN 'Union' WHEN 'SWA' THEN 'South' WHEN 'ASA' THEN 'North' ELSE 'Blue' END AS airline_name FROM schedule", "schedule"))(lambda s, d: fx.schedule(s, d).join(F.broadcast(fx.airlines(s)), "airline_icao", "left").select("schedule_key", "airline_name"))
+
+from airside import queries_airport, queries_flights, queries_reports, queries_sources  # noqa: E402, F401  (they register the other queries)

@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import tempfile
+import uuid
+from datetime import date, timedelta
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from airside.functions import geo
+
 #: Texts that mean null in the airline file.
 NULL_TOKENS = ["\\N", "N/A", "-", ""]
 
@@ -24,23 +30,48 @@ def airline_code_map(airlines: DataFrame) -> DataFrame:
 
 
 def load_trace_ndjson(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON line for each aircraft and day (gzip or plain); lines that don't parse are left out."""
-    return spark.read.text(path).select(F.try_parse_json("value").alias("trace")).where("trace IS NOT NULL")
+    """day, trace: one JSON line for each aircraft and day (gzip or plain), the day from the path
+    (day=YYYY-MM-DD or any date in a file's name); lines that don't parse are left out."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.try_parse_json("value").alias("trace"))
+    day = F.regexp_extract("file", r"(\d{4}[-.]\d{2}[-.]\d{2})[^/]*(?:/[^/]*)?$", 1)
+    return raw.where("trace IS NOT NULL").select(F.try_to_date(F.replace(day, F.lit("."), F.lit("-")), "yyyy-MM-dd").alias("day"), "trace")
+
 
+_POINTS_OF = """
+SELECT *, p.pos AS n, p.value AS v FROM (
+  SELECT try_variant_get(trace, '$.icao', 'string') AS icao_hex, try_variant_get(trace, '$.r', 'string') AS registration, try_variant_get(trace, '$.t', 'string') AS type,
+    try_variant_get(trace, '$.flight', 'string') AS top_flight, try_variant_get(trace, '$.squawk', 'string') AS top_squawk, try_variant_get(trace, '$.category', 'string') AS top_category,
+    try_variant_get(trace, '$.timestamp', 'double') AS base, trace FROM {traces}), LATERAL variant_explode(variant_get(trace, '$.trace')) AS p
+"""
 
-def flatten_trace(traces: DataFrame) -> DataFrame:
+
+def flatten_trace(traces: DataFrame, ring: Column | None = None, near_m: float = 50_000) -> DataFrame:
     """Points of the traces: positional fields, ground altitude 0, time to the millisecond.
 
-    Flight, squawk and category come from the top level, else the point, else the aircraft.
+    The vertical rate is the point's own, else the barometric, else the geometric one. With a
+    ring (of the airport) only points within ``near_m`` of it. Flight, squawk and category are
+    filled by ``trace_attr_fill``. Points without a position are left out if there is a ring.
     """
-    top = traces.select("trace", F.expr("try_variant_get(trace, '$.icao', 'string')").alias("icao_hex"), F.expr("try_variant_get(trace, '$.flight', 'string')").alias("top_flight"), F.expr("try_variant_get(trace, '$.timestamp', 'double')").alias("base"))
-    top.createOrReplaceTempView("_traces")
-    points = traces.sparkSession.sql("SELECT icao_hex, top_flight, base, p.pos AS n, p.value AS v FROM _traces, LATERAL variant_explode(variant_get(trace, '$.trace')) AS p")
+    points = traces.sparkSession.sql(_POINTS_OF, traces=traces)
     get = lambda i, kind: F.expr(f"try_variant_get(v, '$[{i}]', '{kind}')")
-    rows = points.select("icao_hex", "n", F.timestamp_millis((F.col("base") * 1000).cast("long") + F.round(get(0, "double") * 1000).cast("long")).cast("timestamp_ntz").alias("ts"), get(1, "double").alias("lat"), get(2, "double").alias("lon"), F.coalesce(get(3, "int"), F.lit(0)).alias("altitude_baro"), get(4, "double").alias("velocity"), F.coalesce("top_flight", F.expr("try_variant_get(v, '$[8].flight', 'string')")).alias("flight"))
-    from pyspark.sql import Window
-
-    return rows.withColumn("flight", F.coalesce(F.trim("flight"), F.max(F.trim("flight")).over(Window.partitionBy("icao_hex"))))
+    more = lambda name, kind: F.expr(f"try_variant_get(v, '$[8].{name}', '{kind}')")
+    millis = (F.col("base") * 1000).cast("long") + F.round(get(0, "double") * 1000).cast("long")
+    zone = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.timestamp_millis(millis).cast("timestamp_ntz"))
+    rows = points.select(
+        "icao_hex", "registration", "type", "n", zone.alias("ts"), get(1, "double").alias("lat"), get(2, "double").alias("lon"), F.coalesce(get(3, "int"), F.lit(0)).alias("altitude_baro"),
+        get(4, "double").alias("velocity"), get(5, "double").alias("track"), F.coalesce(get(7, "int"), more("baro_rate", "int"), more("geom_rate", "int")).alias("vertical_rate"),
+        more("true_heading", "double").alias("true_heading"), more("alt_geom", "int").alias("altitude_geom"),
+        F.coalesce("top_flight", more("flight", "string")).alias("flight"), F.coalesce("top_squawk", more("squawk", "string")).alias("squawk"), F.coalesce("top_category", more("category", "string")).alias("category"),
+    )
+    return trace_attr_fill(rows if ring is None else rows.where(geo.distance_to_polygon_m(F.col("lat"), F.col("lon"), ring) <= near_m))
+
+
+def trace_attr_fill(points: DataFrame) -> DataFrame:
+    """Points whose flight, squawk and category, where missing, are the greatest of their aircraft's."""
+    w = Window.partitionBy("icao_hex")
+    for c in ("flight", "squawk", "category"):
+        points = points.withColumn(c, F.nullif(F.trim(c), F.lit(""))).withColumn(c, F.coalesce(c, F.max(c).over(w)))
+    return points
 
 
 def live_snapshot_parse(payloads: DataFrame) -> DataFrame:
@@ -56,3 +87,48 @@ def tsa_parallel_arrays_flatten(reports: DataFrame, fields: list[str]) -> DataFr
     at = F.sequence(F.lit(0), F.size("date") - 1)
     rows = F.transform(at, lambda i: F.struct(*[F.coalesce(F.get(F.col(f), i), F.lit("")).alias(f) for f in fields]))
     return reports.where(F.size("date") > 0).select(F.inline(rows))
+
+
+def schedule_window_backfill(spark: SparkSession, root: str, today: str, back: int, ahead: int) -> DataFrame:
+    """flight_date, value, ingested_at of the payloads of every day in the window that has a folder.
+
+    Missing days and corrupt files are passed over, so that one bad day doesn't hold up the others.
+    """
+    days = [date.fromisoformat(today) + timedelta(days=n) for n in range(-back, ahead + 1)]
+    raw = spark.read.schema("value string, ingested_at timestamp_ntz, day date").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("basePath", root).parquet(root)
+    return raw.where(F.col("day").isin(days)).select(F.col("day").alias("flight_date"), "value", "ingested_at")
+
+
+def latest_file_pick(files: DataFrame, loaded: DataFrame) -> DataFrame:
+    """Of files (path) the one whose name has the latest end date (MM-DD-YYYY), unless it is in ``loaded`` (path)."""
+    ends = F.regexp_extract_all("path", F.lit(r"(\d{2}-\d{2}-\d{4})"), 1)
+    dated = files.withColumn("end_date", F.try_to_date(F.get(ends, F.size(ends) - 1), "MM-dd-yyyy")).where("end_date IS NOT NULL")
+    return dated.orderBy(F.col("end_date").desc(), F.col("path").desc()).limit(1).join(loaded.select("path"), "path", "left_anti")
+
+
+def backfill_day_status(expected: DataFrame, raw: DataFrame, points: DataFrame) -> DataFrame:
+    """day, status, aircraft, rows of every expected day: pending, loaded (traces there) or processed (points there)."""
+    have = raw.groupBy("day").agg(F.count("*").alias("aircraft"))
+    done = points.groupBy("day").agg(F.count("*").alias("rows"))
+    met = expected.join(have, "day", "left").join(done, "day", "left")
+    status = F.when(F.col("rows") > 0, "processed").when(F.col("aircraft") > 0, "loaded").otherwise("pending")
+    return met.select("day", status.alias("status"), F.coalesce("aircraft", F.lit(0)).alias("aircraft"), F.coalesce("rows", F.lit(0)).alias("rows"))
+
+
+def replace_days(rows: DataFrame, path: str) -> None:
+    """Write rows (with a column day) so that each day in them replaces what was there; other days stay."""
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(path)
+
+
+def scratch(spark: SparkSession, tag: str) -> str:
+    """A path that nothing uses yet, in the folder that all machines share (``spark.checkpoint.dir``);
+    a session without that setting (a local test) gets a temporary one."""
+    given = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="airside-")
+    return f"{given.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def stored(rows: DataFrame, tag: str) -> DataFrame:
+    """Write an intermediate table and read it back: one copy for all that need it, and short plans."""
+    path = scratch(rows.sparkSession, tag)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)

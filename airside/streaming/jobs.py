@@ -1,19 +1,24 @@
-"""Streaming forms of ingestion, deduplication, sessions and hourly traffic."""
+"""Streaming forms of ingestion, deduplication, traffic, sessions, legs, upserts and late rows."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from airside.functions import flight as fl
+from airside.functions.time import service_date
+from airside.operators.sessions import GAP_MINUTES
 from airside.sources.files import live_snapshot_parse
 
 
 def stream_positions(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
     """Positions from a folder of payload files; the file's time is the time of observation."""
-    raw = spark.readStream.option("wholetext", True).option("maxFilesPerTrigger", files_per_trigger).text(path)
+    raw = spark.readStream.option("maxFilesPerTrigger", files_per_trigger).text(path, wholetext=True)
     return live_snapshot_parse(raw.select("value", F.col("_metadata.file_modification_time").alias("fetched_at")))
 
 
@@ -27,13 +32,69 @@ def stream_hourly(points: DataFrame, late: str = "2 hours") -> DataFrame:
     return counted.agg(F.count("*").alias("records"), F.approx_count_distinct("icao_hex").alias("aircraft")).select(F.col("window.start").alias("hour"), "records", "aircraft")
 
 
-def stream_sessions(ground: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Ground sessions; minutes are cut off first, so that the gap is counted in minute boundaries."""
-    cut = ground.withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("minute", late)
-    found = cut.groupBy("icao_hex", F.session_window("minute", "20 minutes 1 second")).agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("points"))
-    return found.drop("session_window")
+def stream_sessions(ground: DataFrame, tz: str, late: str = "2 hours") -> DataFrame:
+    """Ground sessions of an aircraft's airport-local day; minutes are cut off first, so that the gap
+    is counted in minute boundaries."""
+    dated = ground.withColumn("service_date", service_date(F.col("ts").cast("timestamp_ntz"), tz))
+    cut = dated.withColumn("minute", F.date_trunc("minute", "ts")).withWatermark("minute", late)
+    found = cut.groupBy("icao_hex", "service_date", F.session_window("minute", f"{GAP_MINUTES} minutes 1 second"))
+    return found.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("points")).drop("session_window")
+
+
+_LEG = "icao_hex string, service_date date, segment long, start_ts timestamp, end_ts timestamp, points long"
+_STATE = "service_date date, segment long, is_ground boolean, start_ts timestamp, last_ts timestamp, points long, open boolean"
+
+
+def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """One aircraft: open, extend and close segments; closed airborne ones are legs."""
+    day, segment, ground, start, last, points, is_open = state.get if state.exists else (None, 0, None, None, None, 0, False)
+    legs = []
+
+    def close() -> None:
+        if is_open and not ground:
+            legs.append((key[0], day, segment, start, last, points))
+
+    if state.hasTimedOut:
+        close()
+        is_open = False
+    else:
+        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
+            gap = None if last is None else (r.ts.floor("min") - pd.Timestamp(last).floor("min")) / pd.Timedelta(minutes=1)
+            new_day = r.service_date != day
+            if new_day or not is_open or gap > GAP_MINUTES or bool(r.is_ground) != ground:
+                close()
+                segment = 1 if new_day else segment + 1
+                day, ground, start, points, is_open = r.service_date, bool(r.is_ground), r.ts, 0, True
+            last, points = r.ts, points + 1
+    state.update((day, segment, ground, start, last, points, is_open))
+    if is_open:
+        at = int(pd.Timestamp(last).timestamp() * 1000) + (GAP_MINUTES + 1) * 60_000
+        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
+    yield pd.DataFrame(legs, columns=["icao_hex", "service_date", "segment", "start_ts", "end_ts", "points"])
+
+
+def stream_legs(points: DataFrame, tz: str, late: str = "10 minutes") -> DataFrame:
+    """Airborne segments as they end: the batch rule as a state for each aircraft.
+
+    Points have event_id, icao_hex, ts, velocity, altitude_baro. Those of one micro-batch may
+    come in any order, micro-batches must follow each other in time; later rows are dropped. A
+    segment ends with a change of ground state, a new day, a gap, or when the watermark is a gap
+    past its last point.
+    """
+    marked = points.withWatermark("ts", late).select(
+        "event_id", "icao_hex", "ts", service_date(F.col("ts").cast("timestamp_ntz"), tz).alias("service_date"), fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")).alias("is_ground")
+    )
+    return marked.groupBy("icao_hex").applyInPandasWithState(_follow, _LEG, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def stream_upsert(points: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
     """Hand every micro-batch to a batch upsert."""
     return points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stream_late(points: DataFrame, path: str, checkpoint: str, as_of: str, days: int) -> StreamingQuery:
+    """Write points below ``path`` by ``late``: whether they are older than the days that are worked
+    through again; rows with late=true are the side table."""
+    bound = F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp_ntz"))
+    flagged = points.withColumn("late", F.col("ts").cast("timestamp_ntz") < bound)
+    return flagged.writeStream.partitionBy("late").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
