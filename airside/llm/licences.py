@@ -85,8 +85,14 @@ def words(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
 
 
-# The functions below take a column that holds words, not an expression that makes them: an
-# expression would be worked out again at each mention, and for each element in a lambda.
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is worked out once a row: a generator, through which neither filters
+    nor later expressions are pulled down. (A plain column's expression is worked out again at
+    each mention, and for each element in a lambda.)"""
+    return df.withColumn(name, F.explode(F.array(value)))
+
+
+# The functions below take a column that holds words, not an expression that makes them.
 def _pairs(a: Column, b: Column, skip: int) -> Column:
     """``a`` with, after a blank, the elements of ``b`` from number ``skip`` (from 1) on; the shorter one ends."""
     joined = F.zip_with(a, F.slice(b, F.lit(skip), F.greatest(F.size(b) - (skip - 1), F.lit(0))), lambda x, y: F.concat(x, F.lit(" "), y))
@@ -128,18 +134,18 @@ def template_table(spark: SparkSession) -> DataFrame:
 
 
 def training_rows(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> DataFrame:
-    """family, terms, held: variants of the templates, and at most ``sample`` differing corpus paragraphs."""
+    """family, w (words), held: variants of the templates, and at most ``sample`` differing corpus paragraphs."""
     templates = template_table(spark).withColumn("w", words(F.col("text")))
     many = templates.select("template", "family", "w", F.explode(F.sequence(F.lit(0), F.lit(VARIANTS - 1))).alias("variant"))
     kept = F.filter("w", lambda x, i: (F.col("variant") == 0) | (F.pmod(F.hash(x, i, F.col("variant"), F.col("template")), F.lit(10)) != 0))
     varied = many.select("family", "variant", kept.alias("w"))
-    positive = varied.select("family", terms(F.col("w")).alias("terms"), (F.col("variant") % 4 == 3).alias("held"))
+    positive = varied.select("family", "w", (F.col("variant") % 4 == 3).alias("held"))
     drawn = sample_texts(lines, sample)
     known = F.broadcast(templates.select(F.explode(triples(F.col("w"))).alias("triple")).groupBy().agg(F.collect_set("triple").alias("known")))  # one row
     held = drawn.withColumn("w", words(F.col("text"))).withColumn("has", triples(F.col("w")))
     other = held.crossJoin(known).where(~F.arrays_overlap("has", "known"))  # a notice is no example of other text
-    negative = other.select(F.lit("none").alias("family"), terms(F.col("w")).alias("terms"), (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)) == 3).alias("held"))
-    blank = spark.createDataFrame([("none", [], False)], "family string, terms array<string>, held boolean")  # other text even if the corpus has none
+    negative = other.select(F.lit("none").alias("family"), "w", (F.pmod(F.xxhash64("text", F.lit(1)), F.lit(4)) == 3).alias("held"))
+    blank = spark.createDataFrame([("none", [], False)], "family string, w array<string>, held boolean")  # other text even if the corpus has none
     return positive.unionByName(negative).unionByName(blank)
 
 
@@ -151,26 +157,30 @@ class Classifier:
         self.temperature, self.least = 1.0, 0.5
 
     def logits(self, rows: DataFrame) -> DataFrame:
-        """``rows`` that have a known term, with logits (an array in the order of families)."""
+        """``rows`` (with words ``w``) that have a known term, with logits (an array in the order of families)."""
         # A constant list: one hash set for all rows, where an array of terms would be hashed for each.
-        known = F.array_distinct(F.filter("terms", lambda t: t.isin(self.vectors.vocabulary)))
-        held = rows.withColumn("known", known).where(F.size("known") > 0)
+        known = F.array_distinct(F.filter(all_terms(F.col("w")), lambda t: t.isin(self.vectors.vocabulary)))
+        held = once(rows, "known", known).where(F.size("known") > 0)
         scored = self.model.transform(self.vectors.transform(held))
-        return scored.withColumn("logits", vector_to_array("rawPrediction")).drop("known", "features", "rawPrediction", "probability", "prediction")
+        return once(scored, "logits", vector_to_array("rawPrediction")).drop("known", "features", "rawPrediction", "probability", "prediction")
 
     def probabilities(self, rows: DataFrame) -> DataFrame:
         """``rows`` with family and probability of the best class but ``none``, and that of ``none``.
 
         Rows without a known term are left out; to them ``none`` is the most probable class.
         """
-        scaled = self.logits(rows).withColumn("logits", F.transform("logits", lambda x: x / F.lit(self.temperature)))
-        raised = scaled.withColumn("top", F.array_max("logits")).withColumn("logits", F.transform("logits", lambda x: F.exp(x - F.col("top"))))
-        total = raised.withColumn("total", F.aggregate("logits", F.lit(0.0), lambda a, x: a + x))
+        scaled = self.logits(rows).withColumn("top", F.array_max("logits"))
+        raised = once(scored_by(scaled, self.temperature), "total", F.aggregate("p", F.lit(0.0), lambda a, x: a + x))
         names = F.array(*[F.lit(f) for f in self.families])
-        best = F.array_max(F.filter(F.zip_with("logits", names, lambda p, f: F.struct((p / F.col("total")).alias("p"), f.alias("f"))), lambda x: x["f"] != "none"))
-        none = F.element_at("logits", self.families.index("none") + 1) / F.col("total")
-        found = total.withColumn("best", best).withColumn("none", none)
-        return found.withColumn("family", F.col("best.f")).withColumn("probability", F.col("best.p")).drop("best", "logits", "top", "total")
+        best = F.array_max(F.filter(F.zip_with("p", names, lambda p, f: F.struct((p / F.col("total")).alias("p"), f.alias("f"))), lambda x: x["f"] != "none"))
+        none = F.element_at("p", self.families.index("none") + 1) / F.col("total")
+        found = once(raised, "best", F.struct(best.alias("b"), none.alias("none")))
+        return found.select(*rows.columns, F.col("best.b.f").alias("family"), F.col("best.b.p").alias("probability"), F.col("best.none").alias("none"))
+
+
+def scored_by(rows: DataFrame, temperature: float) -> DataFrame:
+    """``p``: the logits raised, relative to the highest one."""
+    return once(rows, "p", F.transform("logits", lambda x: F.exp((x - F.col("top")) / F.lit(temperature))))
 
 
 def _fit(rows: DataFrame, vocabulary: list[str]) -> Classifier:
@@ -181,7 +191,7 @@ def _fit(rows: DataFrame, vocabulary: list[str]) -> Classifier:
     number = F.create_map(*[F.lit(x) for i, f in enumerate(families) for x in (f, float(i))])
     balance = F.create_map(*[F.lit(x) for f, n in sizes.items() for x in (f, shares[f] * sum(sizes.values()) / sum(shares.values()) / n)])
     vectors = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="known", outputCol="features", binary=True)
-    ready = vectors.transform(rows.withColumnRenamed("terms", "known")).select("features", number[F.col("family")].alias("label"), balance[F.col("family")].alias("balance"))
+    ready = vectors.transform(rows.withColumn("known", terms(F.col("w")))).select("features", number[F.col("family")].alias("label"), balance[F.col("family")].alias("balance"))
     fit = LogisticRegression(maxIter=40, regParam=0.0005, elasticNetParam=0.5, family="multinomial", weightCol="balance", standardization=False, aggregationDepth=2).fit(ready)
     return Classifier(vectors, fit, families)
 
@@ -206,11 +216,11 @@ def train(spark: SparkSession, lines: DataFrame, sample: int = SAMPLE) -> Classi
     rows = materialise(training_rows(spark, lines, sample), "licence-rows")
     # Terms of the templates only: other words can't tell a licence.
     vocabulary = sorted({r[0] for r in template_table(spark).withColumn("w", words(F.col("text"))).select(F.explode(terms(F.col("w")))).distinct().collect()})[:VOCABULARY]
-    found = _fit(rows.where("NOT held").select("family", "terms"), vocabulary)
+    found = _fit(rows.where("NOT held").select("family", "w"), vocabulary)
     held = rows.where("held").withColumnRenamed("family", "truth")
     found.temperature = _temperature(found, held)
     unseen = [f for f in sorted({f for f, _ in TEMPLATES} - {"unknown"})[::UNSEEN]]
-    second = _fit(rows.where(~F.col("held") & ~F.col("family").isin(unseen)).select("family", "terms"), vocabulary)
+    second = _fit(rows.where(~F.col("held") & ~F.col("family").isin(unseen)).select("family", "w"), vocabulary)
     second.temperature = found.temperature
     strangers = rows.where(F.col("family").isin(unseen) | (F.col("held") & F.col("family").isin("none", "unknown"))).withColumnRenamed("family", "truth")
     allowed = int(strangers.count() * FALSE_ACCEPTS)
@@ -231,11 +241,11 @@ def scan(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
     spark = docs.sparkSession
     lines = paragraphs(docs)
     model = train(spark, lines, sample)
-    ready = lines.withColumn("w", words(F.col("text"))).select("doc_id", "paragraph", "w", all_terms(F.col("w")).alias("terms"))
+    ready = once(lines, "w", words(F.col("text"))).drop("text")
     likely = model.probabilities(ready).where(F.col("none") < 0.5)
     known = template_table(spark).withColumn("w", words(F.col("text"))).select("family", triples(F.col("w")).alias("wanted")).groupBy("family").agg(F.collect_list("wanted").alias("templates"))
-    met = likely.join(F.broadcast(known), "family", "left").withColumn("has", triples(F.col("w")))
+    met = once(likely.join(F.broadcast(known), "family", "left"), "has", triples(F.col("w")))
     share = F.array_max(F.transform("templates", lambda t: F.size(F.array_intersect(t, F.col("has"))) / F.greatest(F.size(t), F.lit(1))))
-    judged = met.withColumn("template_share", F.round(F.coalesce(share, F.lit(0.0)), 4))
+    judged = once(met, "template_share", F.round(F.coalesce(share, F.lit(0.0)), 4))
     sure = (F.col("family") != "unknown") & (F.col("probability") >= model.least) & (F.col("template_share") >= CONFIRM)
     return judged.select("doc_id", "paragraph", F.when(sure, F.col("family")).otherwise("unknown").alias("family"), F.round("probability", 4).alias("probability"), "template_share", sure.alias("confirmed"))

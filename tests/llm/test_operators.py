@@ -223,7 +223,7 @@ def test_licence_scores_against_brute_force(spark):
         if known and p[none] < 0.5:
             want[(r["doc_id"], r["paragraph"])] = round(float(np.delete(p, none).max()), 4)
         assert known or p[none] > 0.5
-    ready = lines.withColumn("w", licences.words(F.col("text"))).select("doc_id", "paragraph", licences.all_terms(F.col("w")).alias("terms"))
+    ready = licences.once(lines, "w", licences.words(F.col("text"))).drop("text")
     got = {(r["doc_id"], r["paragraph"]): r["p"] for r in model.probabilities(ready).where("none < 0.5").select("doc_id", "paragraph", F.round("probability", 4).alias("p")).collect()}
     assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 2e-4 for k in got)
 
