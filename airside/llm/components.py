@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from airside.llm.common import materialise
+from airside.llm.common import join_hot, materialise
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -13,17 +13,17 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each step hangs neighbours on the smallest one around them; edges never multiply. It ends
     when a step changes nothing; each step's edges are written, so no plan grows with the
-    rounds. Minima are combined before the shuffle, so a hub costs no single task.
+    rounds. Minima are combined before the shuffle, and a hub's edges are dealt to several tasks.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     before = None
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        least = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
+        large = join_hot(both, least.drop("n"), least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         large = materialise(large, "large")
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
+        hung = join_hot(large, low.drop("n"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(hung.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
         now = e.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:

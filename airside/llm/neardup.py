@@ -1,25 +1,28 @@
 """Near-duplicate documents by Order MinHash (operator 1).
 
 Text is the sequence of its lower-cased words; a k-mer is five of them in a row, labelled
-with its occurrence number. For each of SKETCH hash functions the three k-mers with the
-smallest values are taken and kept in text order; that ordered triple is one element of the
+with its occurrence number. For each of SKETCH hash functions the MINIMA k-mers with the
+smallest values are taken and kept in text order; that ordered tuple is one element of the
 sketch, so texts agree on it only if they share the k-mers and their order. Texts that agree
 on any element are candidates, and a banded alignment of their words decides: they are near
 copies if the edit similarity, 1 - edits / words of the longer one, is 0.8 or more.
 
-A pair whose shingle similarity is s agrees on an element with probability about s**3: of
-pairs with s = 0.8 about one in thirty million is missed, with s = 0.6 about three in a
-thousand. (A changed word changes five shingles: s = 0.6 is an edit similarity of 0.95.)
+A pair whose shingle similarity is s agrees on an element with probability about s**2. Of pairs
+with s = 0.8 or more none is missed (one in 10**14), with s = 0.5 one in 10,000, with s = 0.33
+(every tenth word changed, at even distances) one in 40, with s = 0.25 (every eighth) one in 8.
+Edits that lie together break fewer shingles; of edits at even distances and near the limit of
+every fifth word, five-word shingles can't tell.
 
 Exact copies are merged first. A bucket then compares its members with its most central one.
 Members of small buckets that stay in different components then all meet each other. Larger
 buckets are split by a second element (and a third, where they stay large) to link most of their
-near copies; whatever stays apart in them meets by its rare words.
+near copies; whatever stays apart in them meets by its rare word pairs.
 
 What is large even then is texts with a long passage in common, most of them otherwise unlike.
-Each edit takes one word at most from what two texts have in common, so texts of edit similarity
-0.8 or more share a word among the rarest fifth of each one's words. These alone name the pairs
-to compare, and none that is near is left out: a passage that many texts have is not rare.
+Each edit takes two word pairs at most from what two texts have in common, so texts of edit
+similarity 0.8 or more share a pair among the rarest two fifths of each one's word pairs. These
+alone name the texts to compare, and none that is near is left out: a passage that many texts
+have is not rare.
 """
 
 from __future__ import annotations
@@ -32,14 +35,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from airside.llm.common import materialise
+from airside.llm.common import join_hot, materialise
 from airside.llm.components import components
 from airside.llm.tokens import batches_of_text
 
 WORDS = 5
 LEAST = 0.8
-SKETCH = 24
-MINIMA = 3
+SKETCH = 32
+MINIMA = 2
 #: Buckets of at most this many members compare all members of differing components.
 SMALL_BUCKET = 24
 #: Further elements by which larger buckets are split, and how often.
@@ -47,8 +50,10 @@ SPLITS, DEPTH = 3, 2
 #: Members outside a bucket's main component that meet the others in the first round; each
 #: further round takes eight times as many.
 PIVOTS = 8
-#: Slots in which words are counted: 8 MB of counts are broadcast.
-SLOTS = 1 << 20
+#: Words of the grams whose rarest name the texts to compare in large buckets.
+RARE_WORDS = 2
+#: Slots in which these grams are counted: 32 MB of counts are broadcast.
+SLOTS = 1 << 22
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -104,8 +109,9 @@ def order_minhash(codes: np.ndarray) -> np.ndarray:
     n = len(kmer)
     take = min(MINIMA, n)
     out = np.zeros(SKETCH, _U)
-    for lo in range(0, SKETCH, 24 if n < 100_000 else 1):  # long texts: one function at a time
-        rows = slice(lo, lo + (24 if n < 100_000 else 1))
+    step = SKETCH if n < 50_000 else 1  # long texts: one function at a time
+    for lo in range(0, SKETCH, step):
+        rows = slice(lo, lo + step)
         value = _mix((kmer[None, :] ^ _XOR[rows]) * _MUL[rows])
         least = np.sort(np.argpartition(value, take - 1, axis=1)[:, :take], axis=1)
         for j in range(take):
@@ -186,16 +192,17 @@ def near(a: np.ndarray, b: np.ndarray, least: float = LEAST) -> bool:
 
 def _sketches(batches):
     for rows in batches_of_text(batches, ("doc_id", "text")):
-        content, sketch = [], []
+        content, sketch, length = [], [], []
         for doc, text in rows:
             words = words_of(text) if text else []
             if doc is None or not text:
                 content.append(None)
             else:
                 content.append(xxhash.xxh3_128_hexdigest(" ".join(words)) if words else "=" + xxhash.xxh3_128_hexdigest(text))
+            length.append(len(words))
             sketch.append(order_minhash(word_codes(words)) if words and doc is not None else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketch)]), pa.int32()), pa.array(np.concatenate(sketch) if sketch else []))
-        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(content, pa.string()), lists], names=["doc_id", "content", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(content, pa.string()), pa.array(length, pa.int32()), lists], names=["doc_id", "content", "length", "sketch"])
 
 
 def _codes(batches):
@@ -206,7 +213,7 @@ def _codes(batches):
 
 
 def _slot_counts(batches):
-    """slot, n: how many words fall into each slot, summed over about a million at a time."""
+    """slot, n: how many grams fall into each slot, summed over about a million at a time."""
     waiting, many = [], 0
 
     def summed():
@@ -215,7 +222,7 @@ def _slot_counts(batches):
 
     for b in batches:
         for words in b.column("words"):
-            found = labelled_kmers(words.values.to_numpy().view(np.uint32), 1) & _U(SLOTS - 1)
+            found = labelled_kmers(words.values.to_numpy().view(np.uint32), RARE_WORDS) & _U(SLOTS - 1)
             waiting.append(found)
             many += len(found)
             if many >= 1 << 20:
@@ -226,18 +233,18 @@ def _slot_counts(batches):
 
 
 def _rarest(held):
-    """Makes the rarest words of each text out of ``held``, a broadcast count for each slot."""
+    """Makes the rarest grams of each text out of ``held``, a broadcast count for each slot."""
 
     def pick(batches):
         for b in batches:
             for doc, component, words in zip(b.column("doc").to_pylist(), b.column("component").to_pylist(), b.column("words"), strict=True):
-                found = labelled_kmers(words.values.to_numpy().view(np.uint32), 1)
+                found = labelled_kmers(words.values.to_numpy().view(np.uint32), RARE_WORDS)
                 n = held.value[(found & _U(SLOTS - 1)).astype(np.int64)]
-                rare = np.lexsort((found, n))[: int(len(found) * (1 - LEAST) + 1e-9) + 1]
+                rare = np.lexsort((found, n))[: int(RARE_WORDS * len(words) * (1 - LEAST) + 1e-9) + 1]
                 keys = found[rare[n[rare] > 1]].view(np.int64)
                 for lo in range(0, len(keys), 65536):
                     part = keys[lo : lo + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), component)), pa.array(np.full(len(part), len(found)))], names=["key", "doc", "component", "length"])
+                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), component)), pa.array(np.full(len(part), len(words)))], names=["key", "doc", "component", "length"])
 
     return pick
 
@@ -258,10 +265,13 @@ class Buckets:
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are near copies to the edges."""
-        left = self.words.select(F.col("doc_id").alias("a"), F.col("words").alias("a_words"))
-        right = self.words.select(F.col("doc_id").alias("b"), F.col("words").alias("b_words"))
+        narrow = pairs = materialise(pairs, "pairs")
+        total = narrow.count()
+        for end, other in (("a", "b"), ("b", "a")):  # the centre of a large group is in very many pairs
+            words = self.words.select(F.col("doc_id").alias(end), F.col("words").alias(f"{end}_words"))
+            pairs = join_hot(pairs, words, narrow.groupBy(end).agg(F.count("*").alias("n")), end, other, total)
         # Few rows at a time: a row carries two texts.
-        met = pairs.join(left, "a").join(right, "b").select("a", "b", "a_words", "b_words")
+        met = pairs.select("a", "b", "a_words", "b_words")
         self.edges.append(materialise(met.mapInArrow(_verified, "a long, b long"), "near"))
 
     def all_edges(self) -> DataFrame:
@@ -280,15 +290,21 @@ def _mixed(members: DataFrame) -> DataFrame:
     return members.groupBy("key").agg(F.count("*").alias("n"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "n")
 
 
+def _in_mixed(members: DataFrame) -> DataFrame:
+    """Members of the mixed buckets, with n, their bucket's number of members."""
+    mixed = materialise(_mixed(members), "mixed")
+    return join_hot(members, mixed, mixed, "key", "doc")
+
+
 def _alike(a: str, b: str) -> Column:
     """Whether texts of so many words can be near copies."""
     return F.least(a, b) >= F.greatest(a, b) * LEAST - 1e-6
 
 
-def _cross_pairs(members: DataFrame, also: Column | None = None) -> DataFrame:
+def _cross_pairs(members: DataFrame) -> DataFrame:
+    """Pairs of differing components in a bucket whose lengths allow that they are near."""
     x, y = members.alias("x"), members.alias("y")
-    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component")))
-    met = met if also is None else met.where(also)
+    met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).where(_alike("x.length", "y.length"))
     return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
@@ -303,63 +319,69 @@ def groups(docs: DataFrame) -> DataFrame:
     columns are ignored; no rows give no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    sketched = materialise(rows.mapInArrow(_sketches, "doc_id long, content string, sketch array<long>"), "sketches")
-    classes = sketched.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"))
-    heads = sketched.where("size(sketch) > 0").join(classes, "content").where("doc_id = rep").select("doc_id", "sketch")
-    keys = materialise(heads.select(F.col("doc_id").alias("doc"), F.posexplode("sketch").alias("pos", "element")).select("doc", "pos", F.xxhash64("pos", "element").alias("key")).distinct(), "keys")
+    sketched = materialise(rows.mapInArrow(_sketches, "doc_id long, content string, length int, sketch array<long>"), "sketches")
+    # Copies have one sketch, so any of them will do; they are put together before the shuffle.
+    classes = materialise(sketched.where("content IS NOT NULL").groupBy("content").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("length").alias("length"), F.first("sketch").alias("sketch")), "classes")
+    elements = classes.where("size(sketch) > 0").select(F.col("rep").alias("doc"), "length", F.posexplode("sketch").alias("pos", "element"))
+    keys = materialise(elements.select("doc", "length", "pos", F.xxhash64("pos", "element").alias("key")).distinct(), "keys")
 
     # A bucket's first pivot is its most central member, the one whose buckets are largest: the
     # original of a group of copies is it in most buckets, so that its links are few and found.
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    held = materialise(keys.join(shared, "key"), "shared")
+    shared = materialise(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "shared-keys")
+    held = materialise(join_hot(keys, shared, shared, "key", "doc"), "shared")
     central = held.groupBy("doc").agg(F.sum("n").alias("centre"))
     scored = held.join(central, "doc")
-    pivots = scored.groupBy("key").agg(F.max_by("doc", F.struct("centre", -F.col("doc"))).alias("rep"))
-    members = materialise(held.select("doc", "pos", "key").join(pivots, "key"), "members")
+    pivots = scored.groupBy("key").agg(F.max_by(F.struct("doc", "length"), F.struct("centre", -F.col("doc"))).alias("p")).select("key", F.col("p.doc").alias("rep"), F.col("p.length").alias("rep_length"))
+    members = materialise(join_hot(held.select("doc", "length", "pos", "key"), pivots, shared, "key", "doc"), "members")
     involved = members.select(F.col("doc").alias("doc_id")).distinct()
     words = materialise(rows.join(involved, "doc_id", "left_semi").mapInArrow(_codes, "doc_id long, words array<int>"), "words")
     buckets = Buckets(words)
-    buckets.verify(members.where("doc <> rep").select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct())
+    buckets.verify(members.where("doc <> rep").where(_alike("length", "rep_length")).select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct())
 
-    left = materialise(buckets.labelled(members.select("key", "pos", "doc")), "labelled")
+    left = materialise(buckets.labelled(members.select("key", "pos", "doc", "length")), "labelled")
     # One common element is enough for members of small buckets.
-    apart = left.join(_mixed(left), "key")
+    apart = materialise(_in_mixed(left), "apart")
     buckets.verify(_cross_pairs(apart.where(F.col("n") <= SMALL_BUCKET)))
     left = whole = materialise(apart.where(F.col("n") > SMALL_BUCKET).drop("n"), "whole")
     # Of near copies nearly all pairs agree on many elements: this links most, and saves work below.
     for _ in range(DEPTH):
         if left.isEmpty():
             break
-        large = materialise(left.join(_mixed(left).select("key"), "key"), "mixed")
+        large = _in_mixed(left).drop("n")
         step = F.pmod(F.col("o.pos") - F.col("l.pos"), F.lit(SKETCH))
         split = large.alias("l").join(keys.alias("o"), F.col("l.doc") == F.col("o.doc")).where(step.between(1, SPLITS))
-        left = split.select(F.xxhash64("l.key", "o.key").alias("key"), F.col("o.pos").alias("pos"), F.col("l.doc").alias("doc"), F.col("l.component").alias("component")).distinct()
-        left = materialise(left, "split")
-        open_ = materialise(left.join(_mixed(left), "key"), "open")
+        left = split.select(F.xxhash64("l.key", "o.key").alias("key"), F.col("o.pos").alias("pos"), F.col("l.doc").alias("doc"), F.col("l.length").alias("length"), F.col("l.component").alias("component")).distinct()
+        open_ = materialise(_in_mixed(materialise(left, "split")), "open")
         buckets.verify(_cross_pairs(open_.where(F.col("n") <= SMALL_BUCKET)))
         left = materialise(open_.where(F.col("n") > SMALL_BUCKET).drop("n"), "large")
     whole = buckets.labelled(whole.select("key", "doc"))
-    left = materialise(whole.join(_mixed(whole), "key").select("doc", "component").distinct(), "rest")
+    left = materialise(_in_mixed(whole).select("doc", "component").distinct(), "rest")
     if not left.isEmpty():
-        left = _rare_words(buckets, left)
-        buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET), _alike("x.length", "y.length")))
+        left = _rare_grams(buckets, left)
+        buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET)))
         _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length"))
 
+    # Groups and sizes by class of copies; only then the documents, of which most are alone.
     labels = components(buckets.all_edges()).select(F.col("node").alias("rep"), F.col("component"))
-    named = classes.join(labels, "rep", "left").select("content", F.coalesce("component", "rep").alias("group_id"))
-    full = sketched.select("doc_id", "content").join(named, "content", "left").withColumn("group_id", F.coalesce("group_id", "doc_id"))
-    sizes = full.groupBy("group_id").agg(F.count("*").alias("group_size"))
-    return full.select("doc_id", "group_id").join(sizes, "group_id", "left").select("doc_id", "group_id", F.coalesce("group_size", F.lit(1)).alias("group_size"))
-
-
-def _rare_words(buckets: Buckets, docs: DataFrame) -> DataFrame:
-    """key, doc, component, length, n: mixed buckets of texts by the words in the rarest fifth of each.
-
-    Texts of edit similarity LEAST or more have at least a share LEAST of the longer one's words
-    in common (repeats counted), so each has at most a share 1 - LEAST that the other lacks, and
-    the rarest word they share is in both prefixes (the prefix filter). Any one order of all
-    words will do: theirs is by the count of their slot, of which there are SLOTS whatever the
-    input, then by value. A word that is alone in its slot names no pair, but takes its place.
+    named = materialise(classes.select("content", "rep", "n").join(labels, "rep", "left").select("content", "n", F.coalesce("component", "rep").alias("group_id")), "named")
+    sizes = named.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.count("*").alias("classes"))
+    several = materialise(join_hot(named, sizes.where("group_size > 1"), sizes.select("group_id", F.col("classes").alias("n")), "group_id", "content").select("content", "n", "group_id", "group_size"), "several")
+    grouped = join_hot(sketched.select("doc_id", "content"), several.drop("n"), several, "content", "doc_id").select("doc_id", "group_id", "group_size")
+    # A class of one that is linked to none is its only document.
+    alone = named.where("n = 1").join(several.select("content"), "content", "left_anti").select(F.col("group_id").alias("doc_id"))
+    alone = alone.unionByName(sketched.where("content IS NULL").select("doc_id"))
+    return grouped.unionByName(alone.select("doc_id", F.col("doc_id").alias("group_id"), F.lit(1).cast("long").alias("group_size")))
+
+
+def _rare_grams(buckets: Buckets, docs: DataFrame) -> DataFrame:
+    """key, doc, component, length, n: mixed buckets of texts by the rarest RARE_WORDS-grams of each.
+
+    An edit changes RARE_WORDS grams at most. So texts of edit similarity LEAST or more, of which
+    the longer one has L words, have at least L - RARE_WORDS + 1 - RARE_WORDS * (1 - LEAST) * L
+    grams in common (repeats counted), and the rarest gram they share is among the
+    RARE_WORDS * (1 - LEAST) * words + 1 rarest of each (the prefix filter). Any one order of all
+    grams will do: theirs is by the count of their slot, of which there are SLOTS whatever the
+    input, then by value. A gram that is alone in its slot names no pair, but takes its place.
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
     counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
@@ -367,7 +389,7 @@ def _rare_words(buckets: Buckets, docs: DataFrame) -> DataFrame:
     held[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
     pick = _rarest(words.sparkSession.sparkContext.broadcast(held))
     named = materialise(words.mapInArrow(pick, "key long, doc long, component long, length long"), "rare")
-    return materialise(named.join(_mixed(named), "key"), "rare-open")
+    return materialise(_in_mixed(named), "rare-open")
 
 
 def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
@@ -377,12 +399,12 @@ def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
     while True:
         sizes = members.groupBy("key", "component").count()
         main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        outside = members.join(main, "key").where("component <> main")
+        outside = join_hot(members, main, sizes.groupBy("key").agg(F.sum("count").alias("n")), "key", "doc").where("component <> main")
         order = Window.partitionBy("key").orderBy("doc")
         turn = materialise(outside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("key", F.col("doc").alias("pivot"), F.col("component").alias("its"), F.col("length").alias("pivot_length")), "pivots")
         if turn.isEmpty():
             return
-        met = members.join(turn, "key").where("component <> its").where(_alike("length", "pivot_length"))
+        met = join_hot(members, turn, sizes.groupBy("key").agg(F.sum("count").alias("n")), "key", "doc").where("component <> its").where(_alike("length", "pivot_length"))
         buckets.verify(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
         rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "length")
         members = materialise(buckets.labelled(rest), "rest")

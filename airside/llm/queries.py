@@ -86,8 +86,8 @@ def op9_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    mixed = mixing.mix(docs, mixing.form_topic(F.col("text")))
-    return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.MISSING)).alias("source"), F.coalesce("lang", F.lit(mixing.MISSING)).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.col("mix_probability").alias("probability"), F.col("mix_kept").alias("kept"))
+    mixed = mixing.mix(docs, mixing.form_topic(F.col("text")), mixing.form_targets)
+    return mixed.select("doc_id", F.coalesce("source", F.lit(mixing.MISSING)).alias("source"), F.coalesce("lang", F.lit(mixing.MISSING)).alias("lang"), F.col("mix_topic").alias("topic"), F.col("mix_tokens").alias("tokens"), F.round("mix_probability", 8).alias("probability"), F.col("mix_kept").alias("kept"))
 
 
 def _op10_sql() -> str:
@@ -98,7 +98,10 @@ def _op10_sql() -> str:
             name = f"r{n}_{d}"
             steps.append(f"{name} AS MATERIALIZED (SELECT * REPLACE (weight * t_{d} / sum(weight) OVER (PARTITION BY {d}) AS weight) FROM {last})")
             last = name
-    targets = ",\n".join(f"t_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS t_{d} FROM (SELECT {d}, pow(sum(tokens), 0.9) AS p FROM cells GROUP BY {d} HAVING sum(tokens) > 0))" for d in mixing.DIMENSIONS)
+    shares = {d: f"SELECT {d}, pow(sum(tokens), {mixing.POWER}) AS p FROM cells WHERE tokens > 0 GROUP BY {d}" for d in ("source", "lang")}
+    forms = ", ".join(f"('{v}', CAST({p} AS DOUBLE))" for v, p in mixing.FORM_SHARES.items())
+    shares["topic"] = f"SELECT topic, p FROM (VALUES {forms}) AS f(topic, p) WHERE topic IN (SELECT topic FROM cells WHERE tokens > 0)"
+    targets = ",\n".join(f"t_{d} AS MATERIALIZED (SELECT {d}, p / sum(p) OVER () AS t_{d} FROM ({shares[d]}))" for d in mixing.DIMENSIONS)
     return f"""
 WITH d AS MATERIALIZED (
   SELECT doc_id, coalesce(source, '(none)') AS source, coalesce(lang, '(none)') AS lang,
@@ -109,8 +112,8 @@ cells AS MATERIALIZED (SELECT source, lang, topic, sum(tokens) AS tokens FROM n
 {targets},
 c0 AS MATERIALIZED (SELECT source, lang, topic, tokens, t_source, t_lang, t_topic, CAST(tokens AS DOUBLE) AS weight FROM cells JOIN t_source USING (source) JOIN t_lang USING (lang) JOIN t_topic USING (topic) WHERE tokens > 0),
 {", ".join(steps)},
-p AS (SELECT source, lang, topic, round((weight / tokens) / max(weight / tokens) OVER (), 6) AS probability FROM {last})
-SELECT n.doc_id, n.source, n.lang, n.topic, n.tokens, coalesce(p.probability, 0) AS probability,
+p AS (SELECT source, lang, topic, (weight / tokens) / max(weight / tokens) OVER () AS probability FROM {last})
+SELECT n.doc_id, n.source, n.lang, n.topic, n.tokens, round(coalesce(p.probability, 0), 8) AS probability,
        CAST('0x' || substr(md5(coalesce(CAST(n.doc_id AS VARCHAR), '') || ':mix'), 1, 8) AS BIGINT) / 4294967296.0 < coalesce(p.probability, 0) AS kept
 FROM n LEFT JOIN p ON n.source = p.source AND n.lang = p.lang AND n.topic = p.topic
 """

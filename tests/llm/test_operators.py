@@ -409,6 +409,26 @@ def test_mixing(spark):
     assert got.where("doc_id >= 9000 AND mix_kept").count() == 0 and got.count() == len(rows)
 
 
+def test_mixing_meets_its_targets(spark):
+    """After the rounds of raking every marginal is met; nothing is rounded away."""
+    d = table(spark, "/root/testdata/sf0.01", "documents")
+    cells = d.groupBy("source", "lang", mixing.form_topic(F.col("text")).alias("topic")).agg(F.sum(mixing.token_count(F.col("text"))).alias("tokens"))
+    fitted = mixing.rake(cells, mixing.form_targets(cells))
+    assert all(r["deviation"] < 1e-6 for r in mixing.deviation(fitted, list(mixing.DIMENSIONS)).collect())
+    mixed = mixing.mix(d, mixing.form_topic(F.col("text")), mixing.form_targets)
+    assert mixing.kept_share(mixed).first()["tokens"] > 0.2
+    share = mixed.groupBy("mix_topic").agg(F.sum(F.col("mix_tokens") * F.col("mix_probability")).alias("w")).collect()
+    total = sum(r["w"] for r in share)
+    assert all(abs(r["w"] / total - mixing.FORM_SHARES[r["mix_topic"]]) < 1e-6 for r in share)
+    rare = docs(spark, [(i, "a b", "en", "big") for i in range(2000)] + [(9999, "a b", "en", "rare")])
+    few = {"source": mixing.fixed_targets(spark, {"big": 1e-9, "rare": 1 - 1e-9, "absent": 0.5})}
+    got = {r["source"]: r["mix_probability"] for r in mixing.mix(rare, F.lit("t"), few).select("source", "mix_probability").distinct().collect()}
+    assert got["rare"] == 1 and 0 < got["big"] < 1e-11
+    odd = rare.withColumn("mix_kept", F.lit("clash")).unionByName(docs(spark, [(None, "no id", None, None)]).withColumn("mix_kept", F.lit("x")))
+    assert mixing.mix(odd, F.lit("t")).where("mix_probability > 0").count() == 2002
+    assert mixing.mix(docs(spark, []), F.lit("t")).count() == 0
+
+
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
@@ -426,6 +446,35 @@ def test_pipeline(spark):
     assert got.count() > 0 and got.groupBy("sequence_id").agg(F.sum("length").alias("n")).where("n > 2048").isEmpty()
 
 
+def test_pipeline_stages(spark):
+    """Each stage on odd rows: what goes, what stays, and the columns of documents."""
+    import corpus_pipeline as cp
+
+    real = table(spark, "/root/testdata/sf0.01", "documents").where("text <> ''")
+    columns = real.columns
+    odd = [(-1, None, None), (-2, "", "en"), (-3, "12 34 !!", "en"), (-4, "漢字仮名交じり文の例文" * 20, None), (None, "the and that with this from", "en"), (None, "the and that with this from", "en"), (-5, "the and that with this from they", None), (-5, "quite other words of the same row id", "en"), (-5, "quite other words of the same row id", "en")]
+    rows = spark.createDataFrame([(i, t, la, "s", 0) for i, t, la in odd], "doc_id long, text string, lang string, source string, n_chars long").select(*columns)
+    both = real.select(*[F.col(c).cast(rows.schema[c].dataType) for c in columns]).unionByName(rows)
+
+    kept = cp.language(spark, both, SF)
+    assert kept.columns == columns
+    ids = [r["doc_id"] for r in kept.collect()]
+    assert not {-1, -2, -3, -4} & set(ids) and ids.count(-5) == 3 and ids.count(None) == 2
+    assert kept.where("lang IS NULL").isEmpty() and len(ids) >= 0.995 * real.count() + 5
+
+    alone = cp.near_duplicates(spark, kept, SF)
+    assert alone.columns == columns
+    group = {r["doc_id"]: r["group_id"] for r in neardup.groups(kept).collect()}
+    left = [r["doc_id"] for r in alone.collect()]
+    assert sorted((i for i in left if i is not None and i != -5), reverse=True) == sorted((i for i, g in group.items() if i is not None and i == g and i != -5), reverse=True)
+    assert left.count(None) == 1 and left.count(-5) in (0, 2)
+
+    mixed = cp.mixture(spark, alone, SF)
+    assert mixed.columns == columns and 0 < mixed.count() <= alone.count()
+    for _, stage in cp.STAGES:
+        assert stage(spark, both.limit(0), SF).count() == 0
+
+
 def test_near_duplicates_in_large_buckets(spark, monkeypatch):
     """Texts around one long passage: the last two ways of splitting find what brute force does."""
     monkeypatch.setattr(neardup, "SMALL_BUCKET", 2)
@@ -449,7 +498,7 @@ def test_near_duplicates_that_agree_once(spark):
         if len(same) != 1:
             continue
         value = neardup._mix((neardup.labelled_kmers(neardup.word_codes(b)) ^ neardup._XOR[same[0]]) * neardup._MUL[same[0]])
-        at = sorted(np.argsort(value)[:3].tolist())
+        at = sorted(np.argsort(value)[: neardup.MINIMA].tolist())
         a = [w for i in at for w in b[i : i + 5]]
         if min(np.diff(at)) >= 5 and sum(x == y for x, y in zip(sketch(a), sketch(b), strict=True)) == 1 and sketch(a)[same[0]] == sketch(b)[same[0]]:
             break
@@ -458,6 +507,61 @@ def test_near_duplicates_that_agree_once(spark):
     assert {r.doc_id: r.group_id for r in found} == {0: 0, 1: 1, 2: 1}
 
 
+def test_groups_of_hot_copies_and_odd_ids(spark, monkeypatch):
+    """Hot keys are dealt to several tasks; texts of one id, null ids, long texts."""
+    from airside.llm import common as c
+
+    monkeypatch.setattr(c, "HOT_ROWS", 3)
+    monkeypatch.setattr(c, "HOT_SHARE", 10)
+    rng = random.Random(12)
+    base = [f"w{rng.randrange(10**5)}" for _ in range(150)]
+    rows = [(i, " ".join(base)) for i in range(60)]
+    near = []
+    for i in range(40):
+        c2 = list(base)
+        c2[rng.randrange(150)] = f"x{i}"
+        near.append(" ".join(c2))
+    rows += [(100 + i, t) for i, t in enumerate(near)] + [(None, " ".join(base)), (None, None), (500, None), (501, "")]
+    rows += [(700, "one text of an id " * 3), (700, "quite another text with the same id " * 2), (701, "one text of an id " * 3)]
+    long = [f"l{rng.randrange(10**6)}" for _ in range(60_000)]
+    rows += [(900, " ".join(long)), (901, " ".join(long[:30_000] + ["cut"] + long[30_040:]))]
+    got = neardup.groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows)
+    by = sorted(((r["doc_id"], r["group_id"], r["group_size"]) for r in got), key=repr)
+    want = [(i, 0, 100) for i in [*range(60), *range(100, 140)]] + [(None, None, 1)] * 2 + [(500, 500, 1), (501, 501, 1), (700, 700, 3), (700, 700, 3), (701, 700, 3), (900, 900, 2), (901, 900, 2)]
+    assert by == sorted(want, key=repr)
+
+
+def test_recall_on_given_documents(spark):
+    """Every link that brute force finds among the given texts, by the operator's own rule."""
+    rows = [(r["doc_id"], neardup.word_codes(neardup.words_of(r["text"]))) for r in table(spark, "/root/testdata/sf0.01", "documents").where("text <> ''").collect()]
+    rows = [(i, c) for i, c in rows if len(c)]
+    group = {r["doc_id"]: r["group_id"] for r in neardup.groups(table(spark, "/root/testdata/sf0.01", "documents")).collect()}
+    sets = [set(c.tolist()) for _, c in rows]
+    pairs = lost = 0
+    for i in range(len(rows)):
+        for j in range(i):
+            a, b = len(rows[i][1]), len(rows[j][1])
+            if min(a, b) >= 0.8 * max(a, b) and len(sets[i] & sets[j]) >= 0.6 * max(len(sets[i]), len(sets[j])) and neardup.near(rows[i][1], rows[j][1]):
+                pairs += 1
+                lost += group[rows[i][0]] != group[rows[j][0]]
+    assert pairs > 100 and lost == 0
+
+
+@pytest.mark.parametrize(("share", "even", "least"), [(0.05, True, 0.99), (0.1, True, 0.93), (0.12, True, 0.8), (0.05, False, 0.99), (0.1, False, 0.97), (0.15, False, 0.85)])
+def test_recall_of_spread_edits(share, even, least):
+    """How often two texts agree on an element if words differ at even distances (the worst case) or at random."""
+    rng, met = random.Random(5), 0
+    for _ in range(200):
+        a = [rng.randrange(10**6) for _ in range(300)]
+        n = int(300 * share)
+        at = {int(x) for x in np.linspace(0, 299, n)} if even else set(rng.sample(range(300), n))
+        b = [rng.randrange(10**6, 2 * 10**6) if i in at else w for i, w in enumerate(a)]
+        x, y = (neardup.order_minhash(np.array(v, np.uint32)) for v in (a, b))
+        met += bool((x == y).any())
+    assert met / 200 >= least
+
+
 def test_near_duplicates_with_scattered_edits_around_a_passage(spark):
     """All near pairs that agree on an element are linked, also if hundreds of texts share it."""
     rng = random.Random(11)
