@@ -10,30 +10,42 @@ from airside.llm import langid, mixing, neardup, packing
 from airside.llm.common import materialise, table
 
 
+#: A text that costs more than so many times the usual bits a byte of its language is in none that was learned.
+STRANGE = 2.0
+
+
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents in a language that a model codes shorter than plain bytes.
+    """Keep documents that some learned language codes about as short as its other documents.
 
-    Null texts, texts without a letter and texts that no language model codes in fewer than
-    eight bits a byte go. A missing language label is filled in.
+    Null and empty texts and texts without a letter go, and texts that cost more than STRANGE
+    times the median bits a byte of the documents found to be in the same language (other
+    scripts, random characters). A missing language label is filled in. Nothing learned: all go.
     """
     model = langid.train(docs.where(~langid.held_out()))
-    found = langid.identify(docs, model)
-    kept = found.where((F.col("lang_pred") != "und") & (F.col("bits_per_byte") < 8))
+    found = materialise(langid.identify(docs, model).where("lang_pred <> 'und'"), "languages")
+    usual = found.groupBy("lang_pred").agg(F.percentile_approx("bits_per_byte", F.lit(0.5), F.lit(1000)).alias("usual"))  # a row for each language
+    kept = found.join(F.broadcast(usual), "lang_pred").where(F.col("bits_per_byte") <= STRANGE * F.col("usual"))
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest doc_id of each group of (near) copies."""
+    """Keep the document with the smallest doc_id of each group of (near) copies, each of its rows once.
+
+    Rows that are equal in all columns are one; differing texts of one doc_id are one document
+    and stay or go together. Rows without a doc_id are no one's copies, but equal ones are one.
+    """
     keepers = neardup.groups(docs).where(F.col("doc_id") == F.col("group_id")).select("doc_id").distinct()
-    kept = docs.join(keepers, "doc_id", "left_semi")
-    if not docs.groupBy("doc_id").count().where("doc_id IS NOT NULL AND count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id"])  # rows of one id are one document
-    return kept.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
+    kept = docs.join(keepers, "doc_id", "left_semi").select(*docs.columns)
+    if not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.unionByName(docs.where("doc_id IS NULL")).dropDuplicates()
+    else:
+        kept = kept.unionByName(docs.where("doc_id IS NULL"))
+    return kept
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sample documents so that sources, languages and forms meet their target weights."""
-    return mixing.mix(docs, mixing.form_topic(F.col("text"))).where("mix_kept").select(*docs.columns)
+    return mixing.mix(docs, mixing.form_topic(F.col("text")), mixing.form_targets).where("mix_kept").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
