@@ -84,6 +84,154 @@ def test_stream_sessions_match_one_batch(spark, tmp_path):
     rows = "SELECT 'A' AS icao_hex, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, 0, m) AS ts FROM VALUES (0), (20), (41), (60) AS t(m)"
     spark.sql(rows).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("icao_hex string, ts timestamp").parquet(str(tmp_path / "in"))
-    run = jobs.stream_sessions(stream).writeStream.format("memory").queryName("sessions_out").outputMode("complete").trigger(availableNow=True).start()
+    run = jobs.stream_sessions(stream, "UTC").writeStream.format("memory").queryName("sessions_out").outputMode("complete").trigger(availableNow=True).start()
     run.awaitTermination()
     assert sorted(r["points"] for r in spark.table("sessions_out").collect()) == [2, 2]
+
+
+def test_stream_sessions_end_with_the_local_day(spark, tmp_path):
+    """Eight hours behind UTC the day ends at 08:00: one stay of 40 minutes becomes two."""
+    rows = "SELECT 'A' AS icao_hex, timestamp'2024-01-01 07:40:00' + make_interval(0, 0, 0, 0, 0, m) AS ts FROM VALUES (0), (15), (25), (40) AS t(m)"
+    spark.sql(rows).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("icao_hex string, ts timestamp").parquet(str(tmp_path / "in"))
+    run = jobs.stream_sessions(stream, fx.TZ).writeStream.format("memory").queryName("days_out").outputMode("complete").trigger(availableNow=True).start()
+    run.awaitTermination()
+    assert sorted((str(r["service_date"]), r["points"]) for r in spark.table("days_out").collect()) == [("2023-12-31", 2), ("2024-01-01", 2)]
+
+
+def test_repeated_hour(spark):
+    """On 2024-11-03 both 08:30 and 09:30 UTC are 01:30 in the airport's zone, on one day."""
+    from airside.functions.time import local_ts, service_date
+
+    df = spark.sql("SELECT timestamp_ntz'2024-11-03 08:30:00' t UNION ALL SELECT timestamp_ntz'2024-11-03 09:30:00'")
+    got = df.select(local_ts(F.col("t"), fx.TZ).alias("l"), service_date(F.col("t"), fx.TZ).alias("d")).distinct().collect()
+    assert [(str(r["l"]), str(r["d"])) for r in got] == [("2024-11-03 01:30:00", "2024-11-03")]
+
+
+def _metres_apart(a, b):
+    """Brute force: the least distance of points along two lines."""
+    from math import cos, hypot, radians
+
+    def along(line, n=400):
+        (x0, y0), (x1, y1) = line
+        return [(x0 + (x1 - x0) * i / n, y0 + (y1 - y0) * i / n) for i in range(n + 1)]
+
+    return min(hypot((p[0] - q[0]) * cos(radians(p[1])), p[1] - q[1]) * geo.DEGREE_M for p in along(a) for q in along(b))
+
+
+def test_runway_corridors_against_brute_force(spark):
+    import random
+
+    from airside.operators import infrastructure as infra
+
+    rng = random.Random(3)
+    lines = {i: ((-117 + rng.randrange(400) * 1e-4, 32 + rng.randrange(400) * 1e-4), (-117 + rng.randrange(400) * 1e-4, 32 + rng.randrange(400) * 1e-4)) for i in range(14)}
+    radius = {i: rng.choice([30.0, 120.0, 300.0]) for i in lines}
+    rows = [(code, i, [{"lon": x, "lat": y} for x, y in line], radius[i]) for code in ("AAA", "BBB") for i, line in lines.items() if code == "AAA" or i % 2]
+    df = spark.createDataFrame(rows, "airport_code string, id long, line array<struct<lon:double,lat:double>>, radius double")
+    got = {(r["airport_code"], r["id"]): r["runway_id"] for r in infra.runway_corridors(df).collect()}
+    for code in ("AAA", "BBB"):
+        ids = [i for i in lines if code == "AAA" or i % 2]
+        part = {i: i for i in ids}
+        for i in ids:
+            for j in ids:
+                apart = _metres_apart(lines[i], lines[j])
+                assert i == j or abs(apart - radius[i] - radius[j]) > 12  # no pair so near the limit that the steps decide
+                if apart <= radius[i] + radius[j]:
+                    old, new = part[i], part[j]
+                    part = {k: min(old, new) if v in (old, new) else v for k, v in part.items()}
+        number = {p: f"RWY_{n + 1:03d}" for n, p in enumerate(sorted(set(part.values())))}
+        assert {i: got[(code, i)] for i in ids} == {i: number[part[i]] for i in ids}
+
+
+def test_places_near_the_pole_and_by_shuffle(spark, monkeypatch):
+    """All pairs within the radius at any latitude, whether places are broadcast or shuffled."""
+    import random
+    from math import asin, cos, radians, sin, sqrt
+
+    from airside.operators import spatial
+
+    rng = random.Random(4)
+    places = [(i, lat + rng.random() * 0.02, 20 + rng.random() * 0.05) for i, lat in enumerate([69.6] * 20 + [-82.0] * 20 + [0.0] * 20)]
+    points = [(i, p[1] + (rng.random() - 0.5) * 0.01, p[2] + (rng.random() - 0.5) * 0.03) for i, p in enumerate(places * 3)]
+
+    def metres(a, b):
+        h = sin(radians(b[1] - a[1]) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin(radians(b[2] - a[2]) / 2) ** 2
+        return 2 * geo.EARTH_M * asin(sqrt(min(1, h)))
+
+    want = {(p[0], g[0]) for p in points for g in places if metres(p, g) <= 500}
+    best = {p[0]: min(((metres(p, g), g[0]) for g in places if metres(p, g) <= 500), default=(None, None))[1] for p in points}
+    p, g = spark.createDataFrame(points, "event_id long, lat double, lon double"), spark.createDataFrame(places, "gate_id long, lat double, lon double")
+    for most in (100, 0):
+        monkeypatch.setattr(spatial, "BROADCAST_PLACES", most)
+        assert {(r["event_id"], r["gate_id"]) for r in spatial.places_within(p, g, 500).collect()} == want and len(want) > 50
+        assert {r["event_id"]: r["gate_id"] for r in spatial.nearest_place(p, "event_id", g, 500).collect()} == best
+
+
+def test_shapes(spark):
+    """Centre of a triangle, features around the airport or through it, parts of a multipolygon, odd texts."""
+    tri = '{"type":"Polygon","coordinates":[[[0,0],[3,0],[0,3],[0,0]]]}'
+    around = '{"type":"Polygon","coordinates":[[[-118,31],[-116,31],[-116,33],[-118,33],[-118,31]]]}'
+    through = '{"type":"LineString","coordinates":[[-118,32.001],[-116,32.002]]}'
+    beside = '{"type":"LineString","coordinates":[[-118,32.1],[-116,32.1]]}'
+    many = '{"type":"MultiPolygon","coordinates":[[[[0,0],[1,0],[1,1],[0,0]]],[[[5,5],[6,5],[6,6],[5,5]]]]}'
+    df = spark.createDataFrame([("tri", tri), ("around", around), ("through", through), ("beside", beside), ("many", many), ("odd", "no json"), ("none", None)], "k string, g string")
+    v = geo.geojson_vertices(F.col("g"))
+    rows = {r["k"]: r for r in df.select("k", geo.ring_centroid(v).alias("c"), geo.intersects_ring(v, geo.geojson_type(F.col("g")) == "Polygon", fx.ring()).alias("meets"), F.size(geo.geojson_polygons(F.col("g"))).alias("parts")).collect()}
+    assert (round(rows["tri"]["c"]["lon"], 9), round(rows["tri"]["c"]["lat"], 9)) == (1, 1)
+    assert {k: rows[k]["meets"] for k in ("tri", "around", "through", "beside")} == {"tri": False, "around": True, "through": True, "beside": False}
+    assert rows["many"]["parts"] == 2 and rows["tri"]["parts"] == 1 and rows["odd"]["meets"] is None and rows["none"]["c"] is None
+
+
+def test_crossing_of_one_point_and_at_the_ends(spark):
+    """A stay of one point, one that begins with the flight, one that ends with it."""
+    from airside.operators import spatial
+
+    inside, outside = (32.0, -117.0), (32.05, -117.0)
+    path = [inside, outside, inside, outside, inside, (32.0005, -117.0)]
+    rows = [(i, "k", f"2024-01-01 00:0{i}:00", lat, lon, None if i == 2 else 10.0 * i) for i, (lat, lon) in enumerate(path)]
+    points = spark.createDataFrame(rows, "event_id long, flight_key string, t string, lat double, lon double, velocity double").withColumn("ts", F.col("t").cast("timestamp_ntz"))
+    got = spatial.runway_crossings(points, fx.runways(spark).where("runway_id = 'RWY_001'")).orderBy("event").collect()
+    assert [(r["event"], r["seconds"], r["max_speed"], r["direction"]) for r in got] == [(1, 0, 0.0, "uncertain"), (2, 0, 0.0, "uncertain"), (3, 60, 50.0, "S→N")]
+
+
+def test_schedule_times_and_codes(spark):
+    """Offsets and airport-local times in a session of another zone; a payload that is no JSON."""
+    from airside.operators import schedules
+
+    value = '{"data":[{"flight":{"number":"12","iata":null},"airline":{"iata":" aa ","icao":"AAL"},"departure":{"iata":"TST","scheduled":"2024-07-01T10:00:00+02:00","actual":"2024-07-01T01:30:00"},"arrival":{"iata":"OTH","scheduled":"bad"}}]}'
+    df = spark.createDataFrame([("2024-07-01", value), ("2024-07-01", "{oops"), ("2024-07-01", None)], "d string, value string").selectExpr("CAST(d AS DATE) AS flight_date", "value", "timestamp_ntz'2024-07-01 00:00:00' AS ingested_at")
+    before = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "Asia/Tokyo")
+        got = schedules.schedule_parse(df, fx.TZ).collect()
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)
+    assert [(r["flight_iata"], r["flight_icao"], str(r["dep_scheduled"]), str(r["dep_actual"]), r["arr_scheduled"]) for r in got] == [("AA12", "AAL12", "2024-07-01 08:00:00", "2024-07-01 08:30:00", None)]
+
+
+def test_schedule_upsert_twice_changes_nothing(spark):
+    from airside.operators import schedules
+
+    cols = "flight_key string, flight_status string, dep_actual string, flight_number string, is_codeshare boolean, updated_at string"
+    target = spark.createDataFrame([], cols)
+    rows = [("AA1", "2024-01-01 10:00:00", "x", "1", "2024-01-01"), ("AA1", "2024-01-01 10:00:00", "y", "9", "2024-01-02"), (None, None, "z", "2", "2024-01-01")]
+    batch = spark.createDataFrame(rows, "flight_iata string, dep string, flight_status string, flight_number string, updated_at string").selectExpr("*", "CAST(dep AS TIMESTAMP_NTZ) AS dep_scheduled", "CAST(NULL AS TIMESTAMP_NTZ) AS arr_scheduled", "CAST(NULL AS STRING) AS codeshare_airline", "'now' AS dep_actual")
+    once = schedules.schedule_etl_upsert(target, batch)
+    twice = schedules.schedule_etl_upsert(once, batch)
+    assert sorted(map(tuple, once.collect()), key=repr) == sorted(map(tuple, twice.collect()), key=repr)
+    assert sorted(r["flight_status"] for r in once.collect()) == ["y", "z"]
+
+
+def test_meta_merge(spark):
+    """Null keys meet; of several rows of one key each column's greatest value counts."""
+    t = spark.createDataFrame([("a", 1, None), (None, 2, "x")], "k string, v int, w string")
+    b = spark.createDataFrame([("a", None, "n"), ("a", 7, None), (None, None, "y"), ("c", 3, None)], "k string, v int, w string")
+    assert sorted(map(tuple, keyed.merge_coalesce(t, b, "k").collect()), key=repr) == sorted([("a", 7, "n"), (None, 2, "y"), ("c", 3, None)], key=repr)
+
+
+def test_latest_file_and_bad_names(spark):
+    f = spark.createDataFrame([("a/report_01-02-2024_to_01-08-2024.pdf",), ("a/report_12-30-2023.pdf",), ("a/notes.pdf",)], "path string")
+    none = f.limit(0)
+    assert [r["path"] for r in files.latest_file_pick(f, none).collect()] == ["a/report_01-02-2024_to_01-08-2024.pdf"]
+    assert files.latest_file_pick(f, f.limit(1)).count() == 0 and files.latest_file_pick(none, none).count() == 0
