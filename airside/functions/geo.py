@@ -101,6 +101,7 @@ def ring_centroid(ring: Column) -> Column:
     """struct<lon, lat>: the centre of a closed ring's area; of a ring without area, the mean of its vertices.
 
     Worked out relative to the first vertex, so that small rings far from the origin stay exact.
+    Both are null for a null ring.
     """
     o = F.get(ring, F.lit(0))
     zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))

@@ -97,7 +97,7 @@ def runways(features: DataFrame, ring: Column) -> DataFrame:
     return _meeting(features.where(is_runway), ring).select("id", F.col("vertices").alias("line"), F.coalesce(width / 2, F.lit(DEFAULT_RADIUS_M)).alias("radius"))
 
 
-def _groups(key, pairs: pd.DataFrame) -> pd.DataFrame:
+def _groups(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
     """The smallest id that each corridor of one airport hangs together with."""
     least = {i: i for i in pairs["a"]}
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from airside.functions import flight as fl
 from airside.functions.time import boundaries
 from airside.operators.keyed import top_per_key
+from airside.operators.schedules import code_translation_join
 
 REGISTRATION_MINUTES, CALLSIGN_MINUTES = 240, 2160
 
@@ -17,9 +18,10 @@ def _by_day(schedule: DataFrame) -> DataFrame:
     return schedule.withColumn("on_date", F.explode(F.array(*[F.date_add("flight_date", d) for d in (-1, 0, 1)])))
 
 
-def match_candidates(legs: DataFrame, schedule: DataFrame) -> DataFrame:
+def match_candidates(legs: DataFrame, schedule: DataFrame, code_map: DataFrame | None = None) -> DataFrame:
     """Legs with the schedule rows of the same registration, or of the same callsign by code or
-    by airline prefix and number; each condition is an equi-join of its own."""
+    by airline prefix and number; each condition is an equi-join of its own. With ``code_map``
+    (airline_iata, airline_icao) a prefix also stands for the airline's other code."""
     days = _by_day(schedule)
     legs = legs.withColumn("prefix", fl.callsign_prefix(F.col("callsign"))).withColumn("number", fl.callsign_number(F.col("callsign"))).withColumn("base", fl.callsign_base(F.col("callsign")))
     by_registration = legs.join(days.where("sched_registration IS NOT NULL"), (F.col("registration") == F.col("sched_registration")) & (F.col("service_date") == F.col("on_date"))).withColumn("method", F.lit("registration_time"))
@@ -28,7 +30,11 @@ def match_candidates(legs: DataFrame, schedule: DataFrame) -> DataFrame:
     # A leg and a schedule row may share several codes: their keys alone are made distinct.
     leg, row = ["icao_hex", "service_date", "segment"], ["schedule_key", "on_date"]
     coded = days.select(*row, code.alias("_code"))
-    pairs = legs.select(*leg, F.col("service_date").alias("on_date"), key.alias("_code")).join(coded, ["_code", "on_date"]).select(*leg, *row).distinct()
+    keys = legs.select(*leg, key.alias("_code"))
+    if code_map is not None:
+        translated = code_translation_join(legs.select(*leg, "prefix", "number"), code_map).where("other_code IS NOT NULL")
+        keys = keys.unionByName(translated.select(*leg, F.concat("other_code", "number").alias("_code")))
+    pairs = keys.withColumn("on_date", F.col("service_date")).join(coded, ["_code", "on_date"]).select(*leg, *row).distinct()
     by_callsign = legs.join(pairs, leg).join(days, row).withColumn("method", F.lit("callsign_time"))
     both = by_registration.unionByName(by_callsign)
     departing, arriving = boundaries("minute", F.col("dep_scheduled"), F.col("start_ts")), boundaries("minute", F.col("arr_scheduled"), F.col("end_ts"))

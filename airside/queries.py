@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from airside.functions import flight as fl
 from airside.functions import geo
 from airside.functions.time import local_ts, service_date
-from airside.operators import gold, keyed, matching, sessions, spatial
+from airside.operators import gold, keyed, matching, positions, sessions, spatial
 from airside.plans import fixtures as fx
 from airside.plans import reports as rp
 from airside.plans.fixtures import AIRCRAFT, BASE, LOCAL_DAY, TZ, oracle
@@ -27,7 +27,7 @@ def _legs(s: SparkSession, d: str) -> DataFrame:
 
 
 def _candidates(s: SparkSession, d: str) -> DataFrame:
-    return matching.match_candidates(_legs(s, d), fx.schedule(s, d))
+    return matching.match_candidates(_legs(s, d), fx.schedule(s, d), fx.airlines(s).select("airline_iata", "airline_icao"))
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
@@ -37,7 +37,7 @@ def _results(s: SparkSession, d: str) -> DataFrame:
 def matched(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """Legs and their chosen schedule rows, stored, because several later steps read both."""
     legs = stored(_legs(s, d), "legs")
-    scored = matching.match_score(matching.match_candidates(legs, fx.schedule(s, d)), [fx.AIRPORT])
+    scored = matching.match_score(matching.match_candidates(legs, fx.schedule(s, d), fx.airlines(s).select("airline_iata", "airline_icao")), [fx.AIRPORT])
     return legs, stored(matching.match_result(scored), "results")
 
 
@@ -79,8 +79,18 @@ query("flight_legs", oracle("SELECT * FROM legs", "legs"))(_legs)
 on_points("fill_prev_next", "SELECT event_id, last_value(flight IGNORE NULLS) OVER (PARTITION BY icao_hex, service_date ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS previous_flight, first_value(flight IGNORE NULLS) OVER (PARTITION BY icao_hex, service_date ORDER BY event_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS next_flight FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN flight END AS flight) FROM labelled)", lambda p: keyed.fill_from_neighbours(_sparse(p), ["icao_hex", "service_date"], "event_id", "flight").select("event_id", "previous_flight", "next_flight"), "labelled")
 on_points("partition_max_fill", "SELECT event_id, coalesce(flight, max(flight) OVER (PARTITION BY icao_hex, service_date)) AS flight FROM (SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN flight END AS flight) FROM labelled)", lambda p: _sparse(p).select("event_id", F.coalesce("flight", F.max("flight").over(_by("icao_hex", "service_date"))).alias("flight")), "labelled")
 on_points("first_attr_per_key", "SELECT icao_hex, arg_min(lat, (ts, event_id)) AS lat, arg_min(lon, (ts, event_id)) AS lon FROM points GROUP BY icao_hex", lambda p: p.groupBy("icao_hex").agg(F.min_by("lat", F.struct("ts", "event_id")).alias("lat"), F.min_by("lon", F.struct("ts", "event_id")).alias("lon")))
-on_points("adsb_dedup", "SELECT icao_hex, ts, max(event_id) AS event_id FROM points GROUP BY ALL", lambda p: keyed.top_per_key(p, ["icao_hex", "ts"], [C("event_id").desc()]).select("icao_hex", "ts", "event_id"))
-on_points("adsb_etl_upsert", "SELECT icao_hex, ts, coalesce(arg_max(CASE WHEN event_id % 2 = 0 THEN event_id END, CASE WHEN event_id % 2 = 0 THEN event_id END), arg_max(event_id, event_id)) AS event_id FROM points GROUP BY ALL", lambda p: _upsert(p))
+on_points(
+    "adsb_dedup",
+    "SELECT icao_hex, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY icao_hex, ts ORDER BY event_id DESC) AS rn FROM points) WHERE rn = 1 OR ts < timestamp '2024-01-01 05:00:00'",
+    lambda p: positions.dedup_recent(p, "2024-01-02 05:00:00", 1, C("event_id").desc()).select("icao_hex", "ts", "event_id"),
+)
+on_points(
+    "adsb_etl_upsert",
+    """SELECT coalesce(t.icao_hex, b.icao_hex) AS icao_hex, coalesce(t.ts, b.ts) AS ts, coalesce(t.event_id, b.event_id) AS event_id, CASE WHEN t.ts IS NULL THEN b.flight_key ELSE coalesce(t.flight_key, b.flight_key) END AS flight_key
+    FROM (SELECT icao_hex, ts, max(event_id) AS event_id, CASE WHEN max(event_id) % 4 = 0 THEN 'old' END AS flight_key FROM points WHERE event_id % 2 = 0 GROUP BY ALL) t
+    FULL JOIN (SELECT icao_hex, ts, event_id, md5(icao_hex || ':' || coalesce(upper(flight), '') || ':' || strftime(ts, '%Y%m%d%H')) AS flight_key FROM points WHERE event_id % 3 <> 0 QUALIFY row_number() OVER (PARTITION BY icao_hex, ts ORDER BY event_id DESC) = 1) b USING (icao_hex, ts)""",
+    lambda p: _upsert(p),
+)
 
 
 def _fresh(p: DataFrame) -> DataFrame:
@@ -109,10 +119,11 @@ def _gaps(p: DataFrame) -> DataFrame:
 
 
 def _upsert(p: DataFrame) -> DataFrame:
-    """Even events are the target, odd ones a later batch."""
-    rows = p.select("icao_hex", "ts", "event_id")
-    target = keyed.top_per_key(rows.where("event_id % 2 = 0"), ["icao_hex", "ts"], [C("event_id").desc()])
-    return keyed.upsert_newest(target, rows.where("event_id % 2 = 1"), ["icao_hex", "ts"], [C("event_id").desc()])
+    """Even events are the target, of which half lack their key; two in three of all are a later raw batch."""
+    key = F.when(C("event_id") % 4 == 0, "old")
+    target = keyed.top_per_key(p.where("event_id % 2 = 0"), ["icao_hex", "ts"], [C("event_id").desc()]).select("icao_hex", "ts", "event_id", key.alias("flight_key"))
+    raw = p.where("event_id % 3 <> 0").select(F.lower(F.concat(F.lit(" "), "icao_hex")).alias("icao_hex"), "ts", "event_id", F.concat("flight", F.lit("  ")).alias("flight"), C("event_id").alias("ingested_at"))
+    return positions.etl_upsert(target, raw)
 
 
 # --- spatial and gates ----------------------------------------------------------------------
