@@ -65,25 +65,28 @@ def materialise(df: DataFrame, tag: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: A key with more than so many rows, and more than one in HOT_SHARE of all, is spread over several tasks.
+#: Tables of at most so many rows are joined as they are: one key's rows are no burden for a task.
+SPREAD_FROM = 20_000
+#: In larger ones a key with more than HOT_ROWS rows, and more than one in HOT_SHARE of all, is spread over several tasks.
 HOT_ROWS, HOT_SHARE = 1000, 1000
 
 
 def join_hot(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, spread: str, total: int | None = None) -> DataFrame:
     """Inner join of ``rows`` and ``table`` on ``key`` in which no task gets all rows of a hot key.
 
-    ``counts`` (key, n) says how many rows a key has; ``total`` is their sum, if known. Of hot keys there are at most HOT_SHARE,
-    whatever the input, so that they can go to all executors; their rows are dealt to several
-    tasks by ``spread``, and what the table has for them is repeated for each.
+    ``counts`` (key, n) says how many rows a key has; ``total`` is their sum, if known. Of hot
+    keys there are at most HOT_SHARE, whatever the input, so that they can go to all executors;
+    their rows are dealt to several tasks by ``spread``, and what the table has for them is
+    repeated for each. The result is that of a plain join.
     """
-    counts = materialise(counts.select(key, "n").where(F.col("n") > HOT_ROWS), "counts")
-    top = counts.agg(F.max("n")).first()[0]
-    if top is None:
+    total = rows.count() if total is None else total
+    if total <= SPREAD_FROM:
         return rows.join(table, key)
-    size = max(HOT_ROWS, (rows.count() if total is None else total) // HOT_SHARE)
-    if top <= size:
+    size = max(HOT_ROWS, total // HOT_SHARE)
+    hot = counts.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_parts"))
+    if hot.isEmpty():
         return rows.join(table, key)
-    hot = F.broadcast(counts.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_parts")))
+    hot = F.broadcast(materialise(hot, "hot"))
     dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     repeated = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(repeated, [key, "_part"]).drop("_part")

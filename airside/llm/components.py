@@ -16,18 +16,17 @@ def components(edges: DataFrame) -> DataFrame:
     rounds. Minima are combined before the shuffle, and a hub's edges are dealt to several tasks.
     """
     e = materialise(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    before = None
+    before, many = None, e.count()
     while True:
         both = e.unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = materialise(both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n"), "least")
-        large = join_hot(both, least.drop("n"), least, "a", "b").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = materialise(large, "large")
-        low = materialise(large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")), "low")
-        hung = join_hot(large, low.drop("n"), low, "a", "b").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        least = both.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n")).select("a", F.least("a", "m").alias("m"), "n")
+        large = join_hot(both, least.drop("n"), least, "a", "b", 2 * many).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = large.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        hung = join_hot(large, low.drop("n"), low, "a", "b", many).select(F.col("b").alias("a"), F.col("m").alias("b"))
         e = materialise(hung.unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct(), "small")
         now = e.agg(F.count("*"), F.sum("b"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == before:
             break
-        before = now
+        before, many = now, now[0]
     roots = e.select(F.col("b").alias("node")).distinct()
     return e.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))

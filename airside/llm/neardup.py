@@ -15,8 +15,7 @@ every fifth word, five-word shingles can't tell.
 
 Exact copies are merged first. A bucket then compares its members with its most central one.
 Members of small buckets that stay in different components then all meet each other. Larger
-buckets are split by a second element (and a third, where they stay large) to link most of their
-near copies; whatever stays apart in them meets by its rare word pairs.
+buckets are split by a second element to link most of their near copies; whatever stays apart in them meets by its rare word pairs.
 
 What is large even then is texts with a long passage in common, most of them otherwise unlike.
 Each edit takes two word pairs at most from what two texts have in common, so texts of edit
@@ -46,7 +45,7 @@ MINIMA = 2
 #: Buckets of at most this many members compare all members of differing components.
 SMALL_BUCKET = 24
 #: Further elements by which larger buckets are split, and how often.
-SPLITS, DEPTH = 3, 2
+SPLITS, DEPTH = 3, 1
 #: Members outside a bucket's main component that meet the others in the first round; each
 #: further round takes eight times as many.
 PIVOTS = 8
@@ -112,8 +111,13 @@ def order_minhash(codes: np.ndarray) -> np.ndarray:
     step = SKETCH if n < 50_000 else 1  # long texts: one function at a time
     for lo in range(0, SKETCH, step):
         rows = slice(lo, lo + step)
-        value = _mix((kmer[None, :] ^ _XOR[rows]) * _MUL[rows])
-        least = np.sort(np.argpartition(value, take - 1, axis=1)[:, :take], axis=1)
+        value = (kmer[None, :] ^ _XOR[rows]) * _MUL[rows]  # k-mers are mixed already
+        every = np.arange(len(value))
+        least = np.empty((len(value), take), np.int64)
+        for j in range(take):
+            least[:, j] = value.argmin(axis=1)
+            value[every, least[:, j]] = np.iinfo(np.uint64).max
+        least.sort(axis=1)
         for j in range(take):
             out[rows] = _mix(out[rows] * _U(0x9E3779B97F4A7C15) + kmer[least[:, j]])
     return out.view(np.int64)
@@ -261,28 +265,47 @@ class Buckets:
 
     def __init__(self, words: DataFrame):
         self.words = words
-        self.edges: list[DataFrame] = []
+        self.fresh: list[DataFrame] = []  # edges that the labels don't know yet
+        self.labels: DataFrame | None = None  # doc, component: the smallest doc it hangs together with
 
     def verify(self, pairs: DataFrame) -> None:
         """Add the pairs (a, b) that are near copies to the edges."""
         narrow = pairs = materialise(pairs, "pairs")
         total = narrow.count()
         for end, other in (("a", "b"), ("b", "a")):  # the centre of a large group is in very many pairs
-            words = self.words.select(F.col("doc_id").alias(end), F.col("words").alias(f"{end}_words"))
+            words = self.words.select(F.col("doc_id").alias(end), F.col("words").alias(f"{end}_words"), F.size(F.array_distinct("words")).alias(f"{end}_kinds"))
             pairs = join_hot(pairs, words, narrow.groupBy(end).agg(F.count("*").alias("n")), end, other, total)
-        # Few rows at a time: a row carries two texts.
-        met = pairs.select("a", "b", "a_words", "b_words")
-        self.edges.append(materialise(met.mapInArrow(_verified, "a long, b long"), "near"))
-
-    def all_edges(self) -> DataFrame:
-        found = self.edges[0]
-        for e in self.edges[1:]:
-            found = found.unionByName(e)
-        return found
+        # A word that the other text lacks costs an edit, whatever its place: this rules out most pairs.
+        edits = F.floor(F.greatest(F.size("a_words"), F.size("b_words")) * (1 - LEAST) + 1e-9)
+        lacking = F.greatest("a_kinds", "b_kinds") - F.size(F.array_intersect("a_words", "b_words"))
+        met = pairs.where(lacking <= edits).select("a", "b", "a_words", "b_words")
+        self.fresh.append(materialise(met.mapInArrow(_verified, "a long, b long"), "near"))
+
+    def relabel(self) -> None:
+        """Let the labels know the fresh edges: components of the components that these connect."""
+        if not self.fresh:
+            return
+        graph = self.fresh[0]
+        for e in self.fresh[1:]:
+            graph = graph.unionByName(e)
+        self.fresh = []
+        if self.labels is None:
+            self.labels = materialise(components(graph).select(F.col("node").alias("doc"), "component"), "labels")
+            return
+        for end in ("a", "b"):
+            known = self.labels.select(F.col("doc").alias(end), "component")
+            graph = graph.join(known, end, "left").withColumn(end, F.coalesce("component", end)).drop("component")
+        graph = materialise(graph.where("a <> b").distinct(), "between")
+        if graph.isEmpty():
+            return
+        merged = materialise(components(graph), "merged")
+        moved = self.labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("now")), "component", "left").select("doc", F.coalesce("now", "component").alias("component"))
+        added = merged.join(self.labels.select(F.col("doc").alias("node")), "node", "left_anti").select(F.col("node").alias("doc"), "component")
+        self.labels = materialise(moved.unionByName(added), "labels")
 
     def labelled(self, members: DataFrame) -> DataFrame:
-        labels = components(self.all_edges()).select(F.col("node").alias("doc"), "component")
-        return members.join(labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        self.relabel()
+        return members.join(self.labels, "doc", "left").withColumn("component", F.coalesce("component", "doc"))
 
 
 def _mixed(members: DataFrame) -> DataFrame:
@@ -292,7 +315,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def _in_mixed(members: DataFrame) -> DataFrame:
     """Members of the mixed buckets, with n, their bucket's number of members."""
-    mixed = materialise(_mixed(members), "mixed")
+    mixed = _mixed(members)
     return join_hot(members, mixed, mixed, "key", "doc")
 
 
@@ -362,7 +385,8 @@ def groups(docs: DataFrame) -> DataFrame:
         _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length"))
 
     # Groups and sizes by class of copies; only then the documents, of which most are alone.
-    labels = components(buckets.all_edges()).select(F.col("node").alias("rep"), F.col("component"))
+    buckets.relabel()
+    labels = buckets.labels.select(F.col("doc").alias("rep"), "component")
     named = materialise(classes.select("content", "rep", "n").join(labels, "rep", "left").select("content", "n", F.coalesce("component", "rep").alias("group_id")), "named")
     sizes = named.groupBy("group_id").agg(F.sum("n").alias("group_size"), F.count("*").alias("classes"))
     several = materialise(join_hot(named, sizes.where("group_size > 1"), sizes.select("group_id", F.col("classes").alias("n")), "group_id", "content").select("content", "n", "group_id", "group_size"), "several")

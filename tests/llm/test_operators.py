@@ -497,7 +497,7 @@ def test_near_duplicates_that_agree_once(spark):
         same = [i for i, (x, y) in enumerate(zip(sketch(b), sketch(c), strict=True)) if x == y]
         if len(same) != 1:
             continue
-        value = neardup._mix((neardup.labelled_kmers(neardup.word_codes(b)) ^ neardup._XOR[same[0]]) * neardup._MUL[same[0]])
+        value = (neardup.labelled_kmers(neardup.word_codes(b)) ^ neardup._XOR[same[0]]) * neardup._MUL[same[0]]
         at = sorted(np.argsort(value)[: neardup.MINIMA].tolist())
         a = [w for i in at for w in b[i : i + 5]]
         if min(np.diff(at)) >= 5 and sum(x == y for x, y in zip(sketch(a), sketch(b), strict=True)) == 1 and sketch(a)[same[0]] == sketch(b)[same[0]]:
@@ -511,6 +511,7 @@ def test_groups_of_hot_copies_and_odd_ids(spark, monkeypatch):
     """Hot keys are dealt to several tasks; texts of one id, null ids, long texts."""
     from airside.llm import common as c
 
+    monkeypatch.setattr(c, "SPREAD_FROM", 10)
     monkeypatch.setattr(c, "HOT_ROWS", 3)
     monkeypatch.setattr(c, "HOT_SHARE", 10)
     rng = random.Random(12)
