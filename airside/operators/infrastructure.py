@@ -59,17 +59,22 @@ def airport_properties(features: DataFrame) -> DataFrame:
 
 
 def _meeting(features: DataFrame, ring: Column) -> DataFrame:
-    placed = features.withColumn("vertices", geo.geojson_vertices(F.col("geometry")))
-    return placed.where(geo.intersects_ring(F.col("vertices"), geo.geojson_type(F.col("geometry")) == "Polygon", ring))
+    """Features that meet the ring, with their vertices; the extents rule most of them out first.
+
+    Vertices come out of a generator, so that the conditions, which mention them often, aren't
+    pulled below it and the JSON isn't parsed at each mention.
+    """
+    placed = features.withColumn("vertices", F.explode(F.array(geo.geojson_vertices(F.col("geometry")))))
+    own, area = geo.bounds(F.col("vertices")), geo.bounds(ring)
+    over = (own["min_lon"] <= area["max_lon"]) & (own["max_lon"] >= area["min_lon"]) & (own["min_lat"] <= area["max_lat"]) & (own["max_lat"] >= area["min_lat"])
+    return placed.where(over).where(geo.intersects_ring(F.col("vertices"), geo.geojson_type(F.col("geometry")) == "Polygon", ring))
 
 
 def infrastructure(features: DataFrame, ring: Column) -> DataFrame:
     """Features that meet the airport's area, with their kept tags as columns."""
-    kept = _meeting(features, ring).select("id", "feature_class", "subtype", "primary_name", "source_tags", geo.geojson_type(F.col("geometry")).alias("geometry_type"))
-    tags = tag_pivot(kept, KEPT_TAGS)
-    for k in NUMBER_TAGS:
-        tags = tags.withColumn(f"tag_{k}", F.col(f"tag_{k}").try_cast("double"))
-    return kept.drop("source_tags").join(tags, "id")
+    kept = _meeting(features, ring).withColumn("t", tag_list(F.col("source_tags")))
+    tags = [tag_lookup(F.col("t"), k).try_cast("double" if k in NUMBER_TAGS else "string").alias(f"tag_{k}") for k in KEPT_TAGS]
+    return kept.select("id", "feature_class", "subtype", "primary_name", geo.geojson_type(F.col("geometry")).alias("geometry_type"), *tags)
 
 
 def infrastructure_types(found: DataFrame) -> DataFrame:
