@@ -53,6 +53,40 @@ def test_token_files(spark):
     assert tokens.read_token_files(spark, path, [7]).count() == 1
 
 
+def test_token_file_footers(spark):
+    """Run-length integers, row indexes and a Bloom filter on doc_id stand in every stripe; ids are pruned by it."""
+    many = docs(spark, [(i, f"text number {i} of a few words", "en", "s") for i in range(6000)])
+    path = fresh_path(spark, "t")
+    tokens.write_token_files(many, path, WORD, [1], stride=1000)
+    jvm, seen = spark._jvm, 0
+    conf = spark._jsc.hadoopConfiguration()
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    for f in folder.getFileSystem(conf).listStatus(folder):
+        if not f.getPath().getName().endswith(".orc"):
+            continue
+        reader = jvm.org.apache.orc.OrcFile.createReader(f.getPath(), jvm.org.apache.orc.OrcFile.readerOptions(conf))
+        if not reader.getNumberOfRows():
+            continue
+        assert reader.getRowIndexStride() == 1000
+        names = list(reader.getSchema().getFieldNames())
+        doc = names.index("doc_id") + 1
+        rows = reader.rows()
+        for stripe in reader.getStripes():
+            footer = rows.readStripeFooter(stripe)
+            kinds = {(x.getColumn(), x.getKind().toString()) for x in footer.getStreamsList()}
+            assert (doc, "BLOOM_FILTER_UTF8") in kinds and (doc, "ROW_INDEX") in kinds
+            assert footer.getColumns(doc).getKind().toString() == "DIRECT_V2"
+            seen += 1
+        rows.close()
+    assert seen > 0
+    got = tokens.read_token_files(spark, path, [17, 5999, 123456])
+    assert sorted(r["doc_id"] for r in got.collect()) == [17, 5999]
+    assert "PushedFilters: [In(doc_id, [17,5999,123456])]" in got._jdf.queryExecution().toString() or "In(doc_id" in got._jdf.queryExecution().toString()
+    empty = fresh_path(spark, "t")
+    tokens.write_token_files(docs(spark, []), empty, WORD, [1])
+    assert tokens.token_digests(tokens.read_token_files(spark, empty)).count() == 0
+
+
 def test_url_filter(spark):
     urls = ["http://A.Example.org/es/x?q", "https://sub.com/fr/#a", "ftp://com/de/", "no scheme", None, "http://example.org/en/12", "http://notorg/", "http://x.org"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumn("host", F.lit("clash"))
