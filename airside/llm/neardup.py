@@ -51,8 +51,8 @@ SPLITS, DEPTH = 3, 1
 PIVOTS = 8
 #: Words of the grams whose rarest name the texts to compare in large buckets.
 RARE_WORDS = 2
-#: Slots in which these grams are counted: 32 MB of counts are broadcast.
-SLOTS = 1 << 22
+#: Slots in which these grams are counted: 4 MB of counts are broadcast.
+SLOTS = 1 << 20
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -409,8 +409,8 @@ def _rare_grams(buckets: Buckets, docs: DataFrame) -> DataFrame:
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
     counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
-    held = np.zeros(SLOTS, np.int64)
-    held[counts["slot"].to_numpy(np.int64)] = counts["n"].to_numpy(np.int64)
+    held = np.zeros(SLOTS, np.int32)
+    held[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
     pick = _rarest(words.sparkSession.sparkContext.broadcast(held))
     named = materialise(words.mapInArrow(pick, "key long, doc long, component long, length long"), "rare")
     return materialise(_in_mixed(named), "rare-open")
