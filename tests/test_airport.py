@@ -25,6 +25,37 @@ def _plain(v):
     return str(v) if hasattr(v, "isoformat") or type(v).__name__ == "Decimal" else v
 
 
+@pytest.fixture(scope="module", autouse=True)
+def shared_tables():
+    """Tables that many queries start from are made once for all tests of this module."""
+    from airside import queries_airport, queries_flights, queries_reports
+    from airside.sources.files import stored
+
+    patch, made = pytest.MonkeyPatch(), {}
+
+    def once(name, build):
+        def get(s, d):
+            if (name, d) not in made:
+                found = build(s, d)
+                made[name, d] = found if isinstance(found, tuple) else stored(found, name)
+            return made[name, d]
+
+        return get
+
+    for name, home, users in (
+        ("matched", q, [q]),
+        ("enriched", queries_airport, [queries_airport, queries_reports]),
+        ("local", queries_airport, [queries_airport, queries_flights, queries_reports]),
+        ("events", queries_flights, [queries_flights, queries_reports]),
+        ("_at_gates", q, [q]),
+    ):
+        get = once(name, getattr(home, name))
+        for module in users:
+            patch.setattr(module, name, get)
+    yield
+    patch.undo()
+
+
 @pytest.mark.parametrize("name", sorted(q.ORACLE_SQL))
 def test_oracle(spark, name):
     con = duckdb.connect()
