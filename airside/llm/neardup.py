@@ -408,9 +408,9 @@ def _rare_grams(buckets: Buckets, docs: DataFrame) -> DataFrame:
     input, then by value. A gram that is alone in its slot names no pair, but takes its place.
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
-    counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas()  # at most SLOTS rows
+    counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
     held = np.zeros(SLOTS, np.int32)
-    held[counts["slot"].to_numpy(np.int64)] = np.minimum(counts["n"].to_numpy(np.int64), np.iinfo(np.int32).max)
+    held[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), np.iinfo(np.int32).max)
     pick = _rarest(words.sparkSession.sparkContext.broadcast(held))
     named = materialise(words.mapInArrow(pick, "key long, doc long, component long, length long"), "rare")
     return materialise(_in_mixed(named), "rare-open")
