@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from airside.llm import ann, fingerprint, langid, licences, mixing, neardup, packing, prefix_trie, tokens, url_filter, variants, warc
+from airside.llm import ann, fingerprint, langid, licences, lm, mixing, neardup, packing, prefix_trie, tokens, url_filter, variants, warc
 from airside.llm.common import fresh_path, table
 
 
@@ -157,6 +157,12 @@ FROM nodes n JOIN below b ON b.d = n.d AND b.conv_id = n.conv_id LEFT JOIN kids
 """
 
 
+def op12_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = lm.score(docs, lm.train(docs.where(~lm.held_out())))
+    return scores.select("doc_id", lm.held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op13_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return variants.spelling_groups(variants.word_counts(table(spark, sf_dir, "documents"), spoil=True))
 
@@ -197,6 +203,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_fingerprint": op9_fingerprint,
     "op10_mixing": op10_mixing,
     "op11_prefix_trie": op11_prefix_trie,
+    "op12_lm": op12_lm,
     "op13_spelling": op13_spelling,
 }
 ORACLE_SQL: dict[str, str] = {"op4_url_filter": OP4_SQL, "op7_warc": OP7_SQL, "op10_mixing": _op10_sql(), "op11_prefix_trie": OP11_SQL, "op13_spelling": OP13_SQL}
