@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
-from airside.functions import geo
 from airside.functions.time import boundaries
+from airside.operators.cover import near_ring
 from airside.operators.keyed import top_per_key
 from airside.operators.schedules import schedule_for_flight
 from airside.operators.sessions import segments
@@ -89,8 +89,7 @@ def enrich_points(points: DataFrame, legs: DataFrame, results: DataFrame, schedu
 def adsb_local(enriched: DataFrame, ring: Column, near_m: float = 5000) -> DataFrame:
     """Whole flight-days that start or end at the airport or come near it, airlines of aircraft only."""
     rows = enriched.withColumn("flight_id", fl.flight_id(F.col("flight"), F.col("icao_hex")))
-    near = F.coalesce(geo.distance_to_polygon_m(F.col("lat"), F.col("lon"), ring) <= near_m, F.lit(False))
-    relevant = rows.where(F.col("is_local_od") | near).select("service_date", "flight_id").distinct()
+    relevant = near_ring(rows.select("service_date", "flight_id", "is_local_od", "lat", "lon"), ring, near_m, "near").where("is_local_od OR near").select("service_date", "flight_id").distinct()
     kept = rows.join(relevant, ["service_date", "flight_id"], "left_semi")
     return kept.withColumns({c: fl.aircraft_only(F.col("vehicle_category"), F.col(c)) for c in ("airline_name", "airline_iata", "airline_icao")})
 

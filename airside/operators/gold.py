@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
-from airside.functions import geo
 from airside.functions.time import boundaries, service_date
+from airside.operators.cover import near_ring
 from airside.operators.keyed import top_per_key
 from airside.operators.sessions import ground_points
 from airside.operators.spatial import nearest_place
@@ -56,13 +56,13 @@ def flight_list(local: DataFrame, ring: Column, near_m: float = 5000) -> DataFra
     confidence, with an airline, with both ends, the latest. ``touched``: on the ground within
     ``near_m`` of the airport. Kept are flights that touched, or that start or end here.
     """
-    near = F.coalesce(geo.distance_to_polygon_m(F.col("lat"), F.col("lon"), ring) <= near_m, F.lit(False))
+    local = near_ring(local, ring, near_m, "_near")
     ends = F.col("origin_airport").isNotNull() & F.col("destination_airport").isNotNull()
     order = F.struct("is_local_od", F.coalesce("match_confidence", F.lit(-1)), F.col("airline_name").isNotNull(), ends, "ts", "event_id")
     header = F.struct("icao_hex", "registration", "vehicle_category", "airline_name", "origin_airport", "destination_airport", "schedule_flight_number")
     found = local.groupBy("service_date", "flight_id").agg(
         F.count("*").alias("points"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.max_by(header, order).alias("h"), F.bool_or("is_local_od").alias("is_local_od"),
-        F.bool_or(fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")) & near).alias("touched"),
+        F.bool_or(fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")) & F.col("_near")).alias("touched"),
     )
     return found.where("is_local_od OR touched").select("service_date", "flight_id", "points", "first_ts", "last_ts", "h.*", "is_local_od", "touched")
 

@@ -10,12 +10,14 @@ from pyspark.sql import functions as F
 from airside.functions import geo
 from airside.functions.flight import crossing_direction
 from airside.functions.time import boundaries
+from airside.operators.cover import cover, flag_within, within
 from airside.operators.keyed import top_per_key
+from airside.sources.files import stored
 
 #: Places below this count are broadcast; more are joined by shuffle on the cell.
 BROADCAST_PLACES = 200_000
-#: Corridors below this count are broadcast (one airport has a dozen).
-BROADCAST_RUNWAYS = 10_000
+#: Height of the cells that corridors are covered with.
+CORRIDOR_CELL_M = 100.0
 
 
 def _cells(lat: Column, lon: Column, radius_m: float, south: float) -> tuple[Column, Column]:
@@ -76,22 +78,18 @@ def nearest_place(points: DataFrame, key: str, places: DataFrame, radius_m: floa
 
 
 def runway_stays(points: DataFrame, runways: DataFrame) -> DataFrame:
-    """Points (with flight_key) of flights that come near a corridor, once for each such corridor:
-    inside, enters, leaves, event (the number of the stay), touches (any point of the flight is inside).
+    """Points (with flight_key) of flights that come into a corridor, once for each such corridor:
+    inside, enters, leaves, event (the number of the stay).
 
-    Outside points are needed too, because they end the stays.
+    Outside points are needed too, because they end the stays. Points meet corridors by the cells of
+    their covers; the distance is worked out in cells on a corridor's edge only.
     """
-    by_runway = runways.withColumn("box", geo.bounds(F.col("line")))
-    reach = F.col("radius") / geo.DEGREE_M * 1.01
-    wide = reach / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
-    in_box = F.col("lat").between(F.col("box.min_lat") - reach, F.col("box.max_lat") + reach) & F.col("lon").between(F.col("box.min_lon") - wide, F.col("box.max_lon") + wide)
-    few = F.broadcast(by_runway) if runways.count() <= BROADCAST_RUNWAYS else by_runway
-    close = points.join(few, in_box).select("flight_key", "runway_id").distinct()
-    met = points.join(close, "flight_key").join(few.drop("box"), "runway_id").withColumn("inside", geo.distance_to_line_m(F.col("lat"), F.col("lon"), F.col("line")) <= F.col("radius")).drop("line")
+    cells = stored(cover(runways.select("runway_id", "line", "radius"), "line", F.col("radius"), CORRIDOR_CELL_M, False), "corridor-cells")
+    close = within(points, cells, "line", CORRIDOR_CELL_M, False).select("flight_key", "runway_id").distinct()
+    met = flag_within(points.join(close, "flight_key"), cells, "line", CORRIDOR_CELL_M, False, "inside", ["runway_id"])
     w = Window.partitionBy("flight_key", "runway_id").orderBy("ts", "event_id")
     flagged = met.withColumn("enters", F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))).withColumn("leaves", F.col("inside") & ~F.coalesce(F.lead("inside").over(w), F.lit(False)))
-    touches = F.max("inside").over(Window.partitionBy("flight_key", "runway_id"))
-    return flagged.withColumn("event", F.sum(F.col("enters").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("touches", touches)
+    return flagged.withColumn("event", F.sum(F.col("enters").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
 
 def runway_crossings(points: DataFrame, runways: DataFrame) -> DataFrame:

@@ -11,6 +11,7 @@ from airside.functions import flight as fl
 from airside.functions import geo
 from airside.functions.time import local_ts, service_date
 from airside.operators import gold, keyed, matching, positions, sessions, spatial
+from airside.operators.cover import near_ring
 from airside.plans import fixtures as fx
 from airside.plans import reports as rp
 from airside.plans.fixtures import AIRCRAFT, BASE, LOCAL_DAY, TZ, oracle
@@ -67,7 +68,7 @@ on_points("speed_band", "SELECT event_id, CASE WHEN velocity IS NULL THEN 'unkno
 on_points("freshness_status", "SELECT event_id, CASE WHEN m <= 5 THEN 'Fresh' WHEN m <= 30 THEN 'OK' ELSE 'Stale' END AS status, CASE WHEN date_diff('hour', ts, timestamp '2024-01-01 15:00:00') <= 2 THEN 'OK' ELSE 'STALE' END AS table_status FROM (SELECT *, date_diff('minute', ts, timestamp '2024-01-01 15:00:00') AS m FROM points)", lambda p: _fresh(p))
 on_points("st_distance_m", "SELECT event_id, round(" + fx.METRES.format(a="p", b="o") + ", 3) AS metres FROM points p, (SELECT 32.0 AS lat, -117.0 AS lon) o", lambda p: p.select("event_id", F.round(geo.distance_m(C("lat"), C("lon"), F.lit(32.0), F.lit(-117.0)), 3).alias("metres")))
 on_points("st_dwithin_point", "SELECT event_id FROM points p, (SELECT 32.0 AS lat, -117.0 AS lon) o WHERE " + fx.METRES.format(a="p", b="o") + " <= 5000", lambda p: p.where(geo.distance_m(C("lat"), C("lon"), F.lit(32.0), F.lit(-117.0)) <= 5000).select("event_id"))
-on_points("st_dwithin_polygon", "SELECT event_id, sqrt(pow(greatest(0, abs(lat - 32.0) - 0.01), 2) + pow(greatest(0, abs(lon + 117.0) - 0.01) * cos(radians(lat)), 2)) * 6371000.0 * pi() / 180 <= 5000 AS near FROM points", lambda p: p.select("event_id", (geo.distance_to_polygon_m(C("lat"), C("lon"), fx.ring()) <= 5000).alias("near")))
+on_points("st_dwithin_polygon", "SELECT event_id, sqrt(pow(greatest(0, abs(lat - 32.0) - 0.01), 2) + pow(greatest(0, abs(lon + 117.0) - 0.01) * cos(radians(lat)), 2)) * 6371000.0 * pi() / 180 <= 5000 AS near FROM points", lambda p: near_ring(p, fx.ring(), 5000, "near").select("event_id", "near"))
 on_points("st_intersects_point", "SELECT event_id, sqrt(pow(lat - 32.0, 2) + pow(greatest(0, abs(lon + 117.0) - 0.02) * cos(radians(lat)), 2)) * 6371000.0 * pi() / 180 <= 400 AS inside FROM points", lambda p: p.select("event_id", (geo.distance_to_line_m(C("lat"), C("lon"), F.array(*[F.struct(F.lit(x).alias("lon"), F.lit(y).alias("lat")) for x, y in fx.RUNWAYS[0][1:3]])) <= 400).alias("inside")))
 
 # --- windows, sessions, legs --------------------------------------------------------------
@@ -177,4 +178,4 @@ query("tsa_heatmap", oracle(f"SELECT CAST(dayofweek(d) AS INT) AS dow, h AS hour
 query("tsa_date_range", oracle(f"SELECT CAST(min(d) AS DATE) AS first_day, CAST(max(d) AS DATE) AS last_day {_TSA}", "tsa"))(lambda s, d: _tsa(s, d).where("day IS NOT NULL").agg(F.min("day").alias("first_day"), F.max("day").alias("last_day")))
 query("tsa_kpis", oracle(f"SELECT CAST(sum(pax) AS BIGINT) AS total, round(sum(pax) / count(DISTINCT d), 2) AS daily_average, count(DISTINCT checkpoint) AS checkpoints, (SELECT h FROM (SELECT h, sum(pax) AS p {_TSA} GROUP BY h) ORDER BY p DESC, h LIMIT 1) AS peak_hour {_TSA}", "tsa"))(lambda s, d: rp.tsa_kpis(_tsa(s, d)))
 
-from airside import queries_airport, queries_flights, queries_reports, queries_sources  # noqa: E402, F401  (they register the other queries)
+from airside import queries_airport, queries_flights, queries_reports, queries_sources, queries_state  # noqa: E402, F401  (they register the other queries)

@@ -181,7 +181,7 @@ def plausible_crossings(s: SparkSession, d: str) -> DataFrame:
 
 @query("enter_exit_flags", "SELECT event_id, runway_id, inside AND NOT before AS enters, inside AND NOT coalesce(lead(inside) OVER (PARTITION BY flight_key, runway_id ORDER BY ts, event_id), false) AS leaves, event FROM islands SEMI JOIN (SELECT DISTINCT flight_key, runway_id FROM islands WHERE inside) USING (flight_key, runway_id)", "islands")
 def enter_exit_flags(s: SparkSession, d: str) -> DataFrame:
-    return spatial.runway_stays(_keyed(s, d), fx.runways(s)).where("touches").select("event_id", "runway_id", "enters", "leaves", "event")
+    return spatial.runway_stays(_keyed(s, d), fx.runways(s)).select("event_id", "runway_id", "enters", "leaves", "event")
 
 
 @query("crossing_direction", "SELECT flight_key, runway_id, event, direction FROM crossings", "crossings")

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
-from airside.operators import keyed
 from airside.plans import fixtures as fx
 from airside.plans.fixtures import TZ
 from airside.registry import query
@@ -203,43 +202,3 @@ def stream_sessions(s: SparkSession, d: str) -> DataFrame:
     ground = fx.points(s, d).where(fl.is_ground_gate(C("velocity"), C("altitude_baro")))
     found = _run(s, jobs.stream_sessions(_stream(s, d, rows=ground), TZ)).where("icao_hex <> '~'")
     return found.select("icao_hex", "service_date", _plain("start_ts").alias("start_ts"), _plain("end_ts").alias("end_ts"), "points")
-
-
-@query("stream_legs", "SELECT icao_hex, service_date, segment, start_ts, end_ts, points FROM legs", "legs")
-def stream_legs(s: SparkSession, d: str) -> DataFrame:
-    found = _run(s, jobs.stream_legs(_stream(s, d, "velocity", "altitude_baro"), TZ)).where("icao_hex <> '~'")
-    return found.select("icao_hex", "service_date", "segment", _plain("start_ts").alias("start_ts"), _plain("end_ts").alias("end_ts"), "points")
-
-
-@query("stream_upsert", "SELECT icao_hex, ts, max(event_id) AS event_id FROM points GROUP BY ALL", "points")
-def stream_upsert(s: SparkSession, d: str) -> DataFrame:
-    """Every micro-batch makes a new version of the table: what it brings for a known key wins if it is newer."""
-    versions = [files.scratch(s, "version")]
-    s.createDataFrame([], "icao_hex string, ts timestamp, event_id long").write.parquet(versions[0])
-
-    def merge(batch: DataFrame, number: int) -> None:
-        known = s.read.schema("icao_hex string, ts timestamp, event_id long").parquet(versions[-1])
-        both = known.unionByName(batch.select("icao_hex", "ts", "event_id"))
-        versions.append(files.scratch(s, "version"))
-        keyed.top_per_key(both, ["icao_hex", "ts"], [C("event_id").desc()]).write.parquet(versions[-1])
-
-    jobs.stream_upsert(_stream(s, d), merge, files.scratch(s, "checkpoint")).awaitTermination()
-    return s.read.parquet(versions[-1]).where("icao_hex <> '~'").select("icao_hex", _plain("ts").alias("ts"), "event_id")
-
-
-@query("stream_late", "SELECT event_id, ts < timestamp '2024-01-01 05:00:00' AS late FROM points", "points")
-def stream_late(s: SparkSession, d: str) -> DataFrame:
-    path = files.scratch(s, "by-age")
-    jobs.stream_late(_stream(s, d), path, files.scratch(s, "checkpoint"), "2024-01-03 05:00:00", 2).awaitTermination()
-    return s.read.parquet(path).where("icao_hex <> '~'").select("event_id", C("late").cast("boolean").alias("late"))
-
-
-@query("refresh_cascade", "SELECT 'ground_sessions' AS table_name, count(*) AS rows FROM (SELECT DISTINCT icao_hex, service_date, session_seq FROM sessions) UNION ALL SELECT 'flight_gate_time', count(*) FROM gate_time UNION ALL SELECT 'traffic_hourly', count(DISTINCT date_trunc('hour', ts)) FROM points", "sessions", "gate_time", "points")
-def refresh_cascade(s: SparkSession, d: str) -> DataFrame:
-    """Derived tables in the order of their dependence, each written by day and read by the next."""
-    from airside.plans.cascade import refresh
-
-    tables = refresh(fx.points(s, d), fx.gates(s, d), TZ, files.scratch(s, "tables"))
-    from airside.plans.monitoring import table_counts
-
-    return table_counts({n: tables[n] for n in ("ground_sessions", "flight_gate_time", "traffic_hourly")})

@@ -9,7 +9,7 @@ from datetime import date, timedelta
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from airside.functions import geo
+from airside.operators.cover import near_ring
 
 #: Texts that mean null in the airline file.
 NULL_TOKENS = ["\\N", "N/A", "-", ""]
@@ -63,7 +63,7 @@ def flatten_trace(traces: DataFrame, ring: Column | None = None, near_m: float =
         more("true_heading", "double").alias("true_heading"), more("alt_geom", "int").alias("altitude_geom"),
         F.coalesce("top_flight", more("flight", "string")).alias("flight"), F.coalesce("top_squawk", more("squawk", "string")).alias("squawk"), F.coalesce("top_category", more("category", "string")).alias("category"),
     )
-    return trace_attr_fill(rows if ring is None else rows.where(geo.distance_to_polygon_m(F.col("lat"), F.col("lon"), ring) <= near_m))
+    return trace_attr_fill(rows if ring is None else near_ring(rows, ring, near_m, "near").where("near").drop("near"))
 
 
 def trace_attr_fill(points: DataFrame) -> DataFrame:

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from airside.functions import flight as fl
 from airside.functions.time import service_date
 from airside.operators.sessions import GAP_MINUTES
 from airside.sources.files import live_snapshot_parse
+from airside.sources.versions import VersionedTable
 
 
 def stream_positions(spark: SparkSession, path: str, files_per_trigger: int = 100) -> DataFrame:
@@ -41,60 +42,168 @@ def stream_sessions(ground: DataFrame, tz: str, late: str = "2 hours") -> DataFr
     return found.agg(F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"), F.count("*").alias("points")).drop("session_window")
 
 
-_LEG = "icao_hex string, service_date date, segment long, start_ts timestamp, end_ts timestamp, points long"
-_STATE = "service_date date, segment long, is_ground boolean, start_ts timestamp, last_ts timestamp, points long, open boolean"
+#: Times are microseconds and days are numbers since 1970 within the state.
+_LEG = "icao_hex string, day int, segment long, start_us long, end_us long, points long"
+_POINT = "event_id long, us long, day int, ground boolean"
+_OPEN = "day int, segment long, ground boolean, start_us long, last_us long, points long, closed boolean"
+_MINUTE_US = 60_000_000
+#: No point of a local day comes so long after one of it.
+_DAY_OVER_MS = 36 * 3600 * 1000
 
 
-def _follow(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-    """One aircraft: open, extend and close segments; closed airborne ones are legs."""
-    day, segment, ground, start, last, points, is_open = state.get if state.exists else (None, 0, None, None, None, 0, False)
-    legs = []
+def next_segments(points: pd.DataFrame, before: tuple | None) -> tuple[list[tuple], tuple]:
+    """The segments that end with these points, and the one that stays open.
 
-    def close() -> None:
-        if is_open and not ground:
-            legs.append((key[0], day, segment, start, last, points))
-
-    if state.hasTimedOut:
-        close()
-        is_open = False
-    else:
-        for r in pd.concat(list(batches)).sort_values(["ts", "event_id"]).itertuples():
-            gap = None if last is None else (r.ts.floor("min") - pd.Timestamp(last).floor("min")) / pd.Timedelta(minutes=1)
-            new_day = r.service_date != day
-            if new_day or not is_open or gap > GAP_MINUTES or bool(r.is_ground) != ground:
-                close()
-                segment = 1 if new_day else segment + 1
-                day, ground, start, points, is_open = r.service_date, bool(r.is_ground), r.ts, 0, True
-            last, points = r.ts, points + 1
-    state.update((day, segment, ground, start, last, points, is_open))
-    if is_open:
-        at = int(pd.Timestamp(last).timestamp() * 1000) + (GAP_MINUTES + 1) * 60_000
-        state.setTimeoutTimestamp(max(at, state.getCurrentWatermarkMs() + 1))
-    yield pd.DataFrame(legs, columns=["icao_hex", "service_date", "segment", "start_ts", "end_ts", "points"])
+    ``points`` (us, day, ground) are in order and follow the segment ``before``. Breaks are found as in batch:
+    by differences to the point before, and running sums of them.
+    """
+    minute, day, ground = points["us"].to_numpy() // _MINUTE_US, points["day"].to_numpy(), points["ground"].to_numpy(bool)
+    us = points["us"].to_numpy()
+    known = before is not None
+    last = (before[4] // _MINUTE_US, before[0], before[2]) if known else (minute[0], day[0], ground[0])
+    earlier = [np.concatenate([[b], x[:-1]]) for b, x in zip(last, (minute, day, ground), strict=True)]
+    new_day = day != earlier[1]
+    opens = new_day | (minute - earlier[0] > GAP_MINUTES) | (ground != earlier[2])
+    if not known:
+        opens[0] = new_day[0] = True
+    count = np.cumsum(opens)
+    of_day = np.maximum.accumulate(np.where(new_day, count, 0))  # the count at the first point of its day
+    number = np.where(of_day > 0, count - of_day + 1, count + (before[1] if known else 0))
+    starts = np.flatnonzero(opens)
+    ends = np.concatenate([starts[1:], [len(us)]]) if len(starts) else starts
+    done = [before[:6]] if known and len(starts) and not before[6] else []
+    if known and not opens[0]:  # its first points go on with what was open
+        more = int(starts[0]) if len(starts) else len(us)
+        grown = (*before[:4], int(us[more - 1]), before[5] + more)
+        done, before = ([grown] if len(starts) else []), (*grown, False)
+    done += [(int(day[a]), int(number[a]), bool(ground[a]), int(us[a]), int(us[z - 1]), int(z - a)) for a, z in zip(starts, ends, strict=True)]
+    return (done[:-1], (*done[-1], False)) if len(starts) else ([], before)
+
+
+class LegProcessor(StatefulProcessor):
+    """The legs of one aircraft: points wait in a list until the watermark has passed them, in whatever order they
+    come; an event-time timer then takes them in order of time through the open segment. Other timers
+    close a segment when no point can follow it within the gap, and forget an aircraft when its day is over."""
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", _POINT)
+        self.open = handle.getValueState("open", _OPEN)
+        self.alarm = handle.getValueState("alarm", "at long")
+
+    def _ring(self, at: int | None) -> None:
+        """Keep one timer."""
+        if self.alarm.exists():
+            if self.alarm.get()[0] == at:
+                return
+            self.handle.deleteTimer(self.alarm.get()[0])
+        if at is None:
+            self.alarm.clear()
+        else:
+            self.handle.registerTimer(at)
+            self.alarm.update((at,))
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        first = None
+        for r in rows:
+            self.waiting.appendList([(int(e), int(u), int(d), bool(g)) for e, u, d, g in zip(r["event_id"], r["us"], r["day"], r["ground"], strict=True)])
+            first = min(x for x in (first, int(r["us"].min())) if x is not None)
+        due = -(-first // 1000)
+        if not self.alarm.exists() or due < self.alarm.get()[0]:
+            self._ring(due)
+        return iter([])
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        self.alarm.clear()  # this timer is gone
+        mark = timerValues.getCurrentWatermarkInMs()
+        points = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["event_id", "us", "day", "ground"])
+        ready = points["us"] <= mark * 1000
+        later = points[~ready]
+        done, now = [], self.open.get() if self.open.exists() else None
+        if ready.any():
+            done, now = next_segments(points[ready].sort_values(["us", "event_id"]), now)
+            if len(later):
+                self.waiting.put([(int(e), int(u), int(d), bool(g)) for e, u, d, g in later.itertuples(index=False)])
+            else:
+                self.waiting.clear()
+        due = []
+        if now and not now[6]:
+            if mark * 1000 // _MINUTE_US - now[4] // _MINUTE_US > GAP_MINUTES:
+                done, now = [*done, now[:6]], (*now[:6], True)
+            else:
+                due.append((now[4] // _MINUTE_US + GAP_MINUTES + 1) * 60_000)
+        if now:
+            over = now[4] // 1000 + _DAY_OVER_MS
+            if mark > over and not len(later):
+                self.open.clear()
+            else:
+                self.open.update(now)
+                due.append(over)
+        if len(later):
+            due.append(-(-int(later["us"].min()) // 1000))
+        self._ring(max(min(due), mark + 1) if due else None)
+        legs = [(key[0], *s[:2], *s[3:]) for s in done if not s[2]]
+        yield pd.DataFrame(legs, columns=["icao_hex", "day", "segment", "start_us", "end_us", "points"])
+
+    def close(self) -> None:
+        pass
 
 
 def stream_legs(points: DataFrame, tz: str, late: str = "10 minutes") -> DataFrame:
     """Airborne segments as they end: the batch rule as a state for each aircraft.
 
-    Points have event_id, icao_hex, ts, velocity, altitude_baro. Those of one micro-batch may
-    come in any order, micro-batches must follow each other in time; later rows are dropped. A
-    segment ends with a change of ground state, a new day, a gap, or when the watermark is a gap
-    past its last point.
+    Points have event_id, icao_hex, ts, velocity, altitude_baro and come in any order within
+    ``late``; rows behind the watermark are dropped. A segment ends with a change of ground state,
+    a new day, a gap, or when the watermark is a gap past its last point. Keeps its state in RocksDB.
+    """
+    points.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    day = F.date_diff(service_date(F.col("ts").cast("timestamp_ntz"), tz), F.lit("1970-01-01").cast("date"))
+    marked = points.withWatermark("ts", late).select("event_id", "icao_hex", "ts", F.unix_micros("ts").alias("us"), day.alias("day"), fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")).alias("ground"))
+    legs = marked.groupBy("icao_hex").transformWithStateInPandas(LegProcessor(), outputStructType=_LEG, outputMode="Append", timeMode="EventTime")
+    return legs.select(
+        "icao_hex", F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("service_date"), "segment", F.timestamp_micros("start_us").alias("start_ts"), F.timestamp_micros("end_us").alias("end_ts"), "points"
+    )
+
+
+def stream_upsert(points: DataFrame, table: VersionedTable, how: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, writer: str = "stream") -> StreamingQuery:
+    """Merge every micro-batch into a table by ``how(known, new)``; see ``VersionedTable.merge``.
+
+    Only the days that a micro-batch touches are written. One that comes again after a failure finds its number in
+    the table's manifest and changes nothing.
     """
-    marked = points.withWatermark("ts", late).select(
-        "event_id", "icao_hex", "ts", service_date(F.col("ts").cast("timestamp_ntz"), tz).alias("service_date"), fl.is_ground_leg(F.col("velocity"), F.col("altitude_baro")).alias("is_ground")
-    )
-    return marked.groupBy("icao_hex").applyInPandasWithState(_follow, _LEG, _STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
+    def merge(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        table.merge(batch, how, writer, number)
+        batch.unpersist()
 
-def stream_upsert(points: DataFrame, merge: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:
-    """Hand every micro-batch to a batch upsert."""
     return points.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def stream_late(points: DataFrame, path: str, checkpoint: str, as_of: str, days: int) -> StreamingQuery:
-    """Write points below ``path`` by ``late``: whether they are older than the days that are worked
-    through again; rows with late=true are the side table."""
-    bound = F.timestamp_add("DAY", F.lit(-days), F.lit(as_of).cast("timestamp_ntz"))
-    flagged = points.withColumn("late", F.col("ts").cast("timestamp_ntz") < bound)
-    return flagged.writeStream.partitionBy("late").option("checkpointLocation", checkpoint).trigger(availableNow=True).format("parquet").start(path)
+def stream_late(points: DataFrame, table: VersionedTable, side: VersionedTable, checkpoint: str, delay: str = "2 hours", again: Callable[[list[str]], None] | None = None, writer: str = "late") -> StreamingQuery:
+    """Keep points by day, tell late ones apart, and work the days they touch through again.
+
+    The watermark of a micro-batch is the greatest ``ts`` of all before it less ``delay``, as the
+    engine has it; it stands in the manifest of ``table``, so that a restarted query goes on with it. Rows
+    at or behind it go to ``side`` and to ``table``, the others to ``table`` alone; then
+    ``again(days)`` is called with the days that late rows have touched. Both tables know the numbers
+    of their batches: one that comes again is written to neither twice.
+    """
+    def take(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        found = table.manifest()
+        mark = found.notes.get("watermark")
+        behind = F.col("ts") <= F.timestamp_micros(F.lit(mark)) if mark is not None else F.lit(False)
+        late = batch.where(behind)
+        add = lambda known, new: known.unionByName(new)
+        side.merge(late, add, writer, number)
+        if number > found.batches.get(writer, -1):
+            ahead = batch.agg(F.unix_micros(F.max("ts") - F.expr(f"INTERVAL {delay}"))).first()[0]
+            marks = [m for m in (mark, ahead) if m is not None]
+            table.merge(batch, add, writer, number, {"watermark": max(marks)} if marks else None)
+        touched = sorted(str(r[0]) for r in late.select(table.day).distinct().collect())
+        if again and touched:
+            again(touched)
+        batch.unpersist()
+
+    return points.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
