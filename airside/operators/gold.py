@@ -8,27 +8,27 @@ from pyspark.sql import functions as F
 from airside.functions import flight as fl
 from airside.functions.time import boundaries, service_date
 from airside.operators.cover import near_ring
-from airside.operators.keyed import top_per_key
+from airside.operators.keyed import scope, top_per_key
 from airside.operators.sessions import ground_points
 from airside.operators.spatial import nearest_place
 
 GATE_RADIUS_M = 120
 
 
-def gate_points(points: DataFrame, gates: DataFrame, tz: str) -> DataFrame:
+def gate_points(points: DataFrame, gates: DataFrame, tz: str | Column) -> DataFrame:
     """Ground points with session, lag and nearest gate."""
-    return nearest_place(ground_points(points, tz), "event_id", gates, GATE_RADIUS_M)
+    return nearest_place(ground_points(points, tz), [*scope(points), "event_id"], gates, GATE_RADIUS_M)
 
 
 def flight_gate_time(at_gates: DataFrame) -> DataFrame:
     """The gate at which each session spent most of its time."""
-    spent = at_gates.where("gate_id IS NOT NULL").groupBy("icao_hex", "service_date", "session_seq", "gate_id").agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("seconds"), F.count("*").alias("points"), F.max(fl.tidy(F.col("flight"))).alias("flight"))
-    return top_per_key(spent, ["icao_hex", "service_date", "session_seq"], [F.col("seconds").desc(), F.col("points").desc(), F.col("gate_id").asc()])
+    spent = at_gates.where("gate_id IS NOT NULL").groupBy(*scope(at_gates), "icao_hex", "service_date", "session_seq", "gate_id").agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("seconds"), F.count("*").alias("points"), F.max(fl.tidy(F.col("flight"))).alias("flight"))
+    return top_per_key(spent, [*scope(at_gates), "icao_hex", "service_date", "session_seq"], [F.col("seconds").desc(), F.col("points").desc(), F.col("gate_id").asc()])
 
 
 def gate_util_daily(at_gates: DataFrame) -> DataFrame:
     label = fl.vehicle_category(F.col("category"), F.col("type"))
-    return at_gates.where("gate_id IS NOT NULL").groupBy("service_date", "gate_id", label.alias("vehicle_category")).agg(F.round(F.sum(F.coalesce("lag_seconds", F.lit(0))) / 60, 2).alias("dwell_minutes"), F.count_distinct("icao_hex", "session_seq").alias("sessions"))
+    return at_gates.where("gate_id IS NOT NULL").groupBy(*scope(at_gates), "service_date", "gate_id", label.alias("vehicle_category")).agg(F.round(F.sum(F.coalesce("lag_seconds", F.lit(0))) / 60, 2).alias("dwell_minutes"), F.count_distinct("icao_hex", "session_seq").alias("sessions"))
 
 
 def gate_airline_dwell_daily(at_gates: DataFrame, local: DataFrame) -> DataFrame:
@@ -40,13 +40,22 @@ def gate_airline_dwell_daily(at_gates: DataFrame, local: DataFrame) -> DataFrame
     return named.groupBy("service_date", "gate_id", code.alias("airline_code")).agg(F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("dwell_seconds"), F.count_distinct("icao_hex", "session_seq").alias("sessions"))
 
 
-def traffic_daily(points: DataFrame, tz: str) -> DataFrame:
+def traffic_daily(points: DataFrame, tz: str | Column) -> DataFrame:
     label = fl.vehicle_category(F.col("category"), F.col("type"))
-    return points.groupBy(service_date(F.col("ts"), tz).alias("service_date"), label.alias("vehicle_category")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count_distinct(fl.tidy(F.col("flight"))).alias("flights"), F.count("*").alias("records"), F.round(F.avg("altitude_baro"), 3).alias("avg_altitude"), F.round(F.avg("velocity"), 3).alias("avg_speed"))
+    return points.groupBy(*scope(points), service_date(F.col("ts"), tz).alias("service_date"), label.alias("vehicle_category")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count_distinct(fl.tidy(F.col("flight"))).alias("flights"), F.count("*").alias("records"), F.round(F.avg("altitude_baro"), 3).alias("avg_altitude"), F.round(F.avg("velocity"), 3).alias("avg_speed"))
 
 
 def traffic_hourly(points: DataFrame) -> DataFrame:
-    return points.groupBy(F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
+    return points.groupBy(*scope(points), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
+
+
+#: Sketches of 2**SKETCH_BITS registers: a standard error of 0.8 %, exact up to some hundred aircraft.
+SKETCH_BITS = 14
+
+
+def traffic_sketches(points: DataFrame) -> DataFrame:
+    """hour, records, aircraft_sketch: what can be merged to days and ranges without the points."""
+    return points.groupBy(*scope(points), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("hour")).agg(F.count("*").alias("records"), F.hll_sketch_agg("icao_hex", F.lit(SKETCH_BITS)).alias("aircraft_sketch"))
 
 
 def flight_list(local: DataFrame, ring: Column, near_m: float = 5000) -> DataFrame:
@@ -67,9 +76,9 @@ def flight_list(local: DataFrame, ring: Column, near_m: float = 5000) -> DataFra
     return found.where("is_local_od OR touched").select("service_date", "flight_id", "points", "first_ts", "last_ts", "h.*", "is_local_od", "touched")
 
 
-def airline_traffic_daily(points: DataFrame, tz: str) -> DataFrame:
+def airline_traffic_daily(points: DataFrame, tz: str | Column) -> DataFrame:
     rows = points.withColumn("label", fl.vehicle_category(F.col("category"), F.col("type"))).where(F.col("label").isin(fl.AIRCRAFT_LABELS) & fl.tidy(F.col("flight")).isNotNull())
-    return rows.groupBy(service_date(F.col("ts"), tz).alias("service_date"), F.upper(F.substring(F.trim("flight"), 1, 3)).alias("airline")).agg(F.count_distinct("flight").alias("flights"), F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
+    return rows.groupBy(*scope(points), service_date(F.col("ts"), tz).alias("service_date"), F.upper(F.substring(F.trim("flight"), 1, 3)).alias("airline")).agg(F.count_distinct("flight").alias("flights"), F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
 
 
 def first_departures(schedule: DataFrame, legs: DataFrame) -> DataFrame:

@@ -6,12 +6,12 @@ geometry (GeoJSON text). An airport is a row (airport_code, ring), so that all c
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
 from airside.functions import geo
+from airside.operators.graph import components
 
 _TAGS = "struct<key_value: array<struct<key: string, value: string>>>"
 #: Classes that are airports, tags that name their codes, tags kept of a feature.
@@ -102,27 +102,11 @@ def runways(features: DataFrame, ring: Column) -> DataFrame:
     return _meeting(features.where(is_runway), ring).select("id", F.col("vertices").alias("line"), F.coalesce(width / 2, F.lit(DEFAULT_RADIUS_M)).alias("radius"))
 
 
-def _groups(key: tuple, pairs: pd.DataFrame) -> pd.DataFrame:
-    """The smallest id that each corridor of one airport hangs together with."""
-    least = {i: i for i in pairs["a"]}
-
-    def root(i: int) -> int:
-        while least[i] != i:
-            i = least[i]
-        return i
-
-    for a, b in zip(pairs["a"], pairs["b"], strict=True):
-        x, y = sorted((root(a), root(b)))
-        least[y] = x
-    return pd.DataFrame({"airport_code": key[0], "id": list(least), "part": [root(i) for i in least]})
-
-
 def runway_corridors(found: DataFrame) -> DataFrame:
     """airport_code, runway_id, id, line, radius: corridors that overlap share a runway_id (RWY_001 on).
 
     ``found`` has airport_code, id, line, radius. A corridor is what lies within the radius of
-    its line, so two overlap if their lines are no further apart than both radii. An airport's
-    corridors (some dozens) make one group.
+    its line, so two overlap if their lines are no further apart than both radii.
     """
     box = geo.bounds(F.col("line"))
     boxed = found.withColumn("box", box)
@@ -132,8 +116,7 @@ def runway_corridors(found: DataFrame) -> DataFrame:
     met = x.join(y, (F.col("x.airport_code") == F.col("y.airport_code")) & (F.col("x.id") <= F.col("y.id")) & near)
     apart = F.when(F.col("x.id") == F.col("y.id"), 0.0).otherwise(geo.distance_between_lines_m(F.col("x.line"), F.col("y.line")))
     pairs = met.where(apart <= F.col("x.radius") + F.col("y.radius")).select("x.airport_code", F.col("x.id").alias("a"), F.col("y.id").alias("b"))
-    both = pairs.unionByName(pairs.select("airport_code", F.col("b").alias("a"), F.col("a").alias("b")))
-    parts = both.groupBy("airport_code").applyInPandas(_groups, "airport_code string, id long, part long")
+    parts = components(pairs, ["airport_code"])
     number = F.dense_rank().over(Window.partitionBy("airport_code").orderBy("part"))
     named = parts.withColumn("runway_id", F.concat(F.lit("RWY_"), F.lpad(number.cast("string"), 3, "0"))).drop("part")
     return found.join(named, ["airport_code", "id"]).select("airport_code", "runway_id", "id", "line", "radius")

@@ -11,7 +11,7 @@ from airside.functions import geo
 from airside.functions.flight import crossing_direction
 from airside.functions.time import boundaries
 from airside.operators.cover import cover, flag_within, within
-from airside.operators.keyed import top_per_key
+from airside.operators.keyed import scope, top_per_key
 from airside.sources.files import stored
 
 #: Places below this count are broadcast; more are joined by shuffle on the cell.
@@ -30,7 +30,8 @@ def _around(places: DataFrame, radius_m: float, most: float) -> DataFrame:
     """Each place in its own cell and the eight around it."""
     steps = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
     cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
-    return places.select("gate_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), cy.alias("y"), cx.alias("x"), steps.alias("s")).select("gate_id", "g_lat", "g_lon", (F.col("y") + F.col("s.i")).alias("cy"), (F.col("x") + F.col("s.j")).alias("cx"))
+    spread = places.select(*scope(places), "gate_id", F.col("lat").alias("g_lat"), F.col("lon").alias("g_lon"), cy.alias("y"), cx.alias("x"), steps.alias("s"))
+    return spread.select(*scope(places), "gate_id", "g_lat", "g_lon", (F.col("y") + F.col("s.i")).alias("cy"), (F.col("x") + F.col("s.j")).alias("cx"))
 
 
 def _extent(places: DataFrame, radius_m: float) -> tuple[int, float]:
@@ -49,32 +50,33 @@ def places_within(points: DataFrame, places: DataFrame, radius_m: float) -> Data
     around = _around(places, radius_m, most)
     around = F.broadcast(around) if n <= BROADCAST_PLACES else around
     cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
-    met = points.withColumn("cy", cy).withColumn("cx", cx).join(around, ["cy", "cx"])
+    met = points.withColumn("cy", cy).withColumn("cx", cx).join(around, [*scope(places), "cy", "cx"])
     metres = geo.distance_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
     return met.withColumn("gate_m", metres).where(F.col("gate_m") <= radius_m).drop("cy", "cx", "g_lat", "g_lon")
 
 
-def nearest_place(points: DataFrame, key: str, places: DataFrame, radius_m: float) -> DataFrame:
+def nearest_place(points: DataFrame, key: str | list[str], places: DataFrame, radius_m: float) -> DataFrame:
     """All points with gate_id and gate_m of the nearest place within the radius, or nulls.
 
     Ties go to the smaller gate_id. Up to BROADCAST_PLACES places go to all executors as one
     array a cell, and each point picks its place in its row, without a shuffle; more are joined
-    by cell, and ``key`` brings the pairs of a point together.
+    by cell, and ``key`` brings the pairs of a point together. Places with an airport_code are
+    those of points with the same one.
     """
     n, most = _extent(places, radius_m)
     cy, cx = _cells(F.col("lat"), F.col("lon"), radius_m, most)
     around = _around(places, radius_m, most)
     celled = points.withColumn("cy", cy).withColumn("cx", cx)
     if n <= BROADCAST_PLACES:
-        held = around.groupBy("cy", "cx").agg(F.collect_list(F.struct("gate_id", "g_lat", "g_lon")).alias("_places"))
+        held = around.groupBy(*scope(places), "cy", "cx").agg(F.collect_list(F.struct("gate_id", "g_lat", "g_lon")).alias("_places"))
         far = F.transform("_places", lambda p: F.struct(geo.distance_m(F.col("lat"), F.col("lon"), p["g_lat"], p["g_lon"]).alias("m"), p["gate_id"].alias("g")))
         best = F.array_min(F.filter(far, lambda p: p["m"] <= radius_m))
-        met = celled.join(F.broadcast(held), ["cy", "cx"], "left").withColumn("_best", best)
+        met = celled.join(F.broadcast(held), [*scope(places), "cy", "cx"], "left").withColumn("_best", best)
         return met.withColumn("gate_m", F.col("_best.m")).withColumn("gate_id", F.col("_best.g")).drop("cy", "cx", "_places", "_best")
-    met = celled.join(around, ["cy", "cx"], "left")
+    met = celled.join(around, [*scope(places), "cy", "cx"], "left")
     metres = geo.distance_m(F.col("lat"), F.col("lon"), F.col("g_lat"), F.col("g_lon"))
     near = met.withColumn("gate_m", F.when(metres <= radius_m, metres)).withColumn("gate_id", F.when(F.col("gate_m").isNotNull(), F.col("gate_id")))
-    return top_per_key(near, [key], [F.col("gate_m").asc_nulls_last(), F.col("gate_id").asc_nulls_last()]).drop("cy", "cx", "g_lat", "g_lon")
+    return top_per_key(near, [key] if isinstance(key, str) else key, [F.col("gate_m").asc_nulls_last(), F.col("gate_id").asc_nulls_last()]).drop("cy", "cx", "g_lat", "g_lon")
 
 
 def runway_stays(points: DataFrame, runways: DataFrame) -> DataFrame:
@@ -82,12 +84,16 @@ def runway_stays(points: DataFrame, runways: DataFrame) -> DataFrame:
     inside, enters, leaves, event (the number of the stay).
 
     Outside points are needed too, because they end the stays. Points meet corridors by the cells of
-    their covers; the distance is worked out in cells on a corridor's edge only.
+    their covers; the distance is worked out in cells on a corridor's edge only. Points of several airports
+    (airport_code) meet corridors of their own.
     """
-    cells = stored(cover(runways.select("runway_id", "line", "radius"), "line", F.col("radius"), CORRIDOR_CELL_M, False), "corridor-cells")
-    close = within(points, cells, "line", CORRIDOR_CELL_M, False).select("flight_key", "runway_id").distinct()
-    met = flag_within(points.join(close, "flight_key"), cells, "line", CORRIDOR_CELL_M, False, "inside", ["runway_id"])
-    w = Window.partitionBy("flight_key", "runway_id").orderBy("ts", "event_id")
+    cells = stored(cover(runways.select(*scope(runways), "runway_id", "line", "radius"), "line", F.col("radius"), CORRIDOR_CELL_M, False), "corridor-cells")
+    own = scope(runways)
+    flights = points.withColumnRenamed("airport_code", "_airport") if own else points
+    close = within(flights, cells, "line", CORRIDOR_CELL_M, False)
+    close = (close.where(F.col("_airport") == F.col("airport_code")) if own else close).select(*own, "flight_key", "runway_id").distinct()
+    met = flag_within(points.join(close, [*own, "flight_key"]), cells, "line", CORRIDOR_CELL_M, False, "inside", [*own, "runway_id"])
+    w = Window.partitionBy(*own, "flight_key", "runway_id").orderBy("ts", "event_id")
     flagged = met.withColumn("enters", F.col("inside") & ~F.coalesce(F.lag("inside").over(w), F.lit(False))).withColumn("leaves", F.col("inside") & ~F.coalesce(F.lead("inside").over(w), F.lit(False)))
     return flagged.withColumn("event", F.sum(F.col("enters").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
@@ -96,13 +102,13 @@ def runway_crossings(points: DataFrame, runways: DataFrame) -> DataFrame:
     """Stays inside a runway corridor: entry, exit, seconds, chord, midpoint, top speed, direction."""
     order = F.struct("ts", "event_id")
     at = F.struct("lat", "lon")
-    found = runway_stays(points, runways).where("inside").groupBy("flight_key", "runway_id", "event").agg(
+    found = runway_stays(points, runways).where("inside").groupBy(*scope(runways), "flight_key", "runway_id", "event").agg(
         F.min("ts").alias("t_entry"), F.max("ts").alias("t_exit"), F.max_by(at, F.when(F.col("enters"), order)).alias("a"), F.max_by(at, F.when(F.col("leaves"), order)).alias("z"),
         F.max(F.coalesce("velocity", F.lit(0))).alias("max_speed"),
     )
     chord = F.round(geo.distance_m(F.col("a.lat"), F.col("a.lon"), F.col("z.lat"), F.col("z.lon")), 1)
     return found.select(
-        "flight_key", "runway_id", "event", "t_entry", "t_exit", boundaries("second", F.col("t_entry"), F.col("t_exit")).alias("seconds"), chord.alias("chord_m"), "max_speed",
+        *scope(runways), "flight_key", "runway_id", "event", "t_entry", "t_exit", boundaries("second", F.col("t_entry"), F.col("t_exit")).alias("seconds"), chord.alias("chord_m"), "max_speed",
         crossing_direction(F.col("a.lat"), F.col("z.lat")).alias("direction"), geo.midpoint(F.col("a"), F.col("z")).alias("midpoint"),
     )
 

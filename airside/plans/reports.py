@@ -9,6 +9,7 @@ from airside.functions import flight as fl
 from airside.functions import geo
 from airside.functions.time import boundaries, day_of_week, local_ts
 from airside.operators.keyed import top_per_key
+from airside.operators.quantile import exact_quantile
 
 
 def date_bounds(points: DataFrame, tz: str) -> DataFrame:
@@ -64,6 +65,22 @@ def hex_density(points: DataFrame, degrees: float, days: int, top: int = 4000, b
     return dense.join(names, ["q", "r"], "left").select("q", "r", "aircraft", F.round(F.col("n") / days, 4).alias("points_per_day"), "callsigns")
 
 
+def traffic_of_days(sketches: DataFrame, tz: str) -> DataFrame:
+    """Records and aircraft of each local day from hourly sketches (see ``gold.traffic_sketches``).
+
+    An aircraft of several hours counts once: sketches are merged, not counts added. Zones whose offset
+    isn't whole hours have hours that belong to two days; they count for the day they begin in.
+    """
+    merged = sketches.groupBy(F.to_date(local_ts(F.col("hour"), tz)).alias("service_date")).agg(F.sum("records").alias("records"), F.hll_union_agg("aircraft_sketch").alias("s"))
+    return merged.select("service_date", "records", F.hll_sketch_estimate("s").alias("aircraft"))
+
+
+def traffic_of_range(sketches: DataFrame) -> DataFrame:
+    """First and last hour, records, and aircraft of all hours together."""
+    merged = sketches.agg(F.min("hour").alias("first_hour"), F.max("hour").alias("last_hour"), F.sum("records").alias("records"), F.hll_union_agg("aircraft_sketch").alias("s"))
+    return merged.select("first_hour", "last_hour", "records", F.hll_sketch_estimate("s").alias("aircraft"))
+
+
 def hour_of_day(points: DataFrame, tz: str) -> DataFrame:
     return points.groupBy(F.hour(local_ts(F.col("ts"), tz)).alias("hour")).agg(F.count_distinct("icao_hex").alias("aircraft"), F.count("*").alias("records"))
 
@@ -91,9 +108,9 @@ def gate_rankings(utilisation: DataFrame, n: int = 15) -> DataFrame:
 
 
 def percentile_filter(df: DataFrame, column: str, quantile: float) -> DataFrame:
-    """Rows at or above the linear quantile of a column."""
-    bound = df.agg(F.percentile(column, F.lit(quantile)).alias("_bound"))
-    return df.crossJoin(F.broadcast(bound)).where(F.col(column) >= F.col("_bound")).drop("_bound")  # one row
+    """Rows at or above the linear quantile of a column; no values, no rows. Reads ``df`` several times."""
+    bound = exact_quantile(df, column, quantile)
+    return df.where(F.col(column) >= F.lit(bound))
 
 
 def scale_to_max(df: DataFrame, column: str) -> DataFrame:

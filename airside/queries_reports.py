@@ -15,6 +15,7 @@ from airside.plans.fixtures import AIRCRAFT, TZ
 from airside.queries_airport import enriched, local
 from airside.queries_flights import events
 from airside.registry import query
+from airside.sources.files import stored
 
 C = F.col
 AS_OF = "2024-01-01 15:00:00"
@@ -97,6 +98,31 @@ def delay_status(s: SparkSession, d: str) -> DataFrame:
     return fx.schedule(s, d).select("schedule_key", fl.delay_status(boundaries("minute", C("dep_scheduled"), C("dep_actual")), 15).alias("status"))
 
 
+_HOURLY = "SELECT date_trunc('hour', ts) AS hour, icao_hex FROM points"
+
+
+@query(
+    "traffic_of_days",
+    f"SELECT CAST(hour {LOCAL} AS DATE) AS service_date, count(*) AS records, true AS within FROM ({_HOURLY}) GROUP BY 1",
+    "points",
+)
+def traffic_of_days(s: SparkSession, d: str) -> DataFrame:
+    """Days from stored hourly sketches; the number of aircraft is within 3 % of the exact one."""
+    points = fx.points(s, d)
+    kept = stored(gold.traffic_sketches(points), "sketches")
+    exact = gold.traffic_daily(points.withColumns({"category": F.lit("A1"), "type": F.lit("x")}), TZ).select("service_date", F.col("aircraft").alias("exact"))
+    found = rp.traffic_of_days(kept, TZ).join(exact, "service_date")
+    return found.select("service_date", "records", (F.abs(C("aircraft") - C("exact")) <= C("exact") * 0.03).alias("within"))
+
+
+@query("traffic_of_range", "SELECT min(date_trunc('hour', ts)) AS first_hour, max(date_trunc('hour', ts)) AS last_hour, count(*) AS records, true AS within FROM points", "points")
+def traffic_of_range(s: SparkSession, d: str) -> DataFrame:
+    points = fx.points(s, d)
+    exact = points.agg(F.count_distinct("icao_hex").alias("exact"))
+    found = rp.traffic_of_range(stored(gold.traffic_sketches(points), "sketches")).crossJoin(F.broadcast(exact))  # one row each
+    return found.select("first_hour", "last_hour", "records", (F.abs(C("aircraft") - C("exact")) <= C("exact") * 0.03).alias("within"))
+
+
 # --- gates ---------------------------------------------------------------------------------------------
 _DWELL = f"""SELECT n.service_date, n.gate_id, CASE WHEN n.vehicle_category IN {AIRCRAFT} THEN coalesce(l.airline_icao, l.airline_iata, 'UNK') ELSE n.vehicle_category END AS airline_code,
   CAST(sum(coalesce(lag_seconds, 0)) AS BIGINT) AS dwell_seconds, count(DISTINCT (n.icao_hex, session_seq)) AS sessions FROM near n LEFT JOIN local l USING (event_id) WHERE n.gate_id IS NOT NULL GROUP BY 1, 2, 3"""

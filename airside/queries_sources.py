@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
+from airside.functions.time import service_date
+from airside.operators import gold
 from airside.plans import fixtures as fx
 from airside.plans.fixtures import TZ
 from airside.registry import query
@@ -90,27 +92,61 @@ def trace_attr_fill(s: SparkSession, d: str) -> DataFrame:
     return files.flatten_trace(_traces(s, d), fx.ring()).select("icao_hex", "n", "flight", "squawk")
 
 
-def _snapshots(s: SparkSession, d: str) -> DataFrame:
-    """value, fetched_at: a payload for each minute of the points; some lack a position."""
-    one = """named_struct('hex', icao_hex, 'flight', flight || ' ', 'r', registration, 't', type, 'lat', CASE WHEN event_id % 13 <> 0 THEN lat END, 'lon', lon,
-      'alt_baro', CASE WHEN altitude_baro IS NULL THEN 'ground' WHEN event_id % 17 = 0 THEN 'odd' ELSE CAST(altitude_baro AS STRING) END, 'gs', velocity, 'category', category)"""
-    by = fx.points(s, d).groupBy(F.date_trunc("minute", "ts").cast("timestamp_ntz").alias("fetched_at"))
+def _snapshots(s: SparkSession, d: str, unit: str = "minute") -> DataFrame:
+    """value, fetched_at: a payload for each minute (or other unit) of the points; some lack a position."""
+    one = """named_struct('hex', icao_hex, 'flight', flight || ' ', 'r', registration, 't', type, 'desc', type || ' x', 'lat', CASE WHEN event_id % 13 <> 0 THEN lat END, 'lon', lon,
+      'alt_baro', CASE WHEN altitude_baro IS NULL THEN 'ground' WHEN event_id % 17 = 0 THEN 'odd' ELSE CAST(altitude_baro AS STRING) END,
+      'alt_geom', CASE WHEN event_id % 3 <> 0 THEN event_id % 900 END, 'gs', velocity, 'track', CAST(event_id % 360 AS DOUBLE), 'true_heading', CASE WHEN event_id % 5 <> 0 THEN CAST(event_id * 7 % 360 AS DOUBLE) END,
+      'baro_rate', event_id % 41 - 20, 'squawk', lpad(CAST(event_id % 4096 AS STRING), 4, '0'), 'category', category)"""
+    by = fx.points(s, d).groupBy(F.date_trunc(unit, "ts").cast("timestamp_ntz").alias("fetched_at"))
     return by.agg(F.to_json(F.struct(F.expr(f"collect_list({one})").alias("ac"))).alias("value"))
 
 
-@query("live_snapshot_parse", "SELECT icao_hex, flight, registration, type, lat, lon, CASE WHEN altitude_baro IS NULL THEN 0 WHEN event_id % 17 <> 0 THEN altitude_baro END AS altitude_baro, velocity, category, date_trunc('minute', ts) AS ts FROM points WHERE event_id % 13 <> 0", "points")
+_SNAPSHOT_ROWS = """
+SELECT icao_hex, flight, registration, type, type || ' x' AS aircraft_desc, lat, lon, CASE WHEN altitude_baro IS NULL THEN 0 WHEN event_id % 17 <> 0 THEN altitude_baro END AS altitude_baro,
+  CAST(CASE WHEN event_id % 3 <> 0 THEN event_id % 900 END AS INT) AS altitude_geom, velocity, CAST(event_id % 360 AS DOUBLE) AS track,
+  CASE WHEN event_id % 5 <> 0 THEN CAST(event_id * 7 % 360 AS DOUBLE) END AS true_heading, CAST(event_id % 41 - 20 AS INT) AS vertical_rate,
+  lpad(CAST(event_id % 4096 AS VARCHAR), 4, '0') AS squawk, category, date_trunc('minute', ts) AS ts
+FROM points WHERE event_id % 13 <> 0
+"""
+
+
+@query("live_snapshot_parse", _SNAPSHOT_ROWS, "points")
 def live_snapshot_parse(s: SparkSession, d: str) -> DataFrame:
     return files.live_snapshot_parse(_snapshots(s, d))
 
 
-@query("schedule_window_backfill", "SELECT schedule_key FROM schedule WHERE flight_date BETWEEN DATE '2024-01-01' AND DATE '2024-01-02' AND CAST(schedule_key AS VARCHAR) <> ''", "schedule")
-def schedule_window_backfill(s: SparkSession, d: str) -> DataFrame:
-    """Payloads of the days around 2024-01-01, of which only one or two have files."""
-    rows = fx.schedule(s, d).selectExpr("CAST(schedule_key AS STRING) AS value", "updated_at AS ingested_at", "flight_date AS day")
+def _payload_files(s: SparkSession, d: str) -> str:
+    """Schedule payloads in three files a day, of which one of the second day is cut short; in front of them lies a day without any."""
+    flights = fx.schedule(s, d).select(F.col("flight_date").alias("day"), (C("schedule_key") % 3).alias("file"), F.struct("schedule_key", "flight_iata", "dep_airport").alias("f"))
+    whole = flights.groupBy("day", "file").agg(F.to_json(F.struct(F.sort_array(F.collect_list("f")).alias("data"))).alias("value"))
+    cut = F.when((C("day") == F.lit("2024-01-01").cast("date")) & (C("file") == 1), F.substring("value", 1, 20)).otherwise(C("value"))
     path = files.scratch(s, "payloads")
-    files.replace_days(rows, path)
-    files.replace_days(rows.where("day = DATE'2024-01-01'"), path)  # a second load of a day changes nothing
-    return files.schedule_window_backfill(s, path, "2024-01-01", 0, 1).select(C("value").cast("long").alias("schedule_key"))
+    whole.select("day", "file", cut.alias("value")).repartition("day", "file").write.partitionBy("day", "file").text(path)
+    return path
+
+
+_WINDOW = """
+SELECT CAST(day AS DATE) AS day, CASE WHEN n IS NULL THEN 'missing' WHEN bad = 0 THEN 'loaded' WHEN bad < n THEN 'partly' ELSE 'failed' END AS status, coalesce(n, 0) AS files, coalesce(bad, 0) AS failed
+FROM (SELECT unnest(generate_series(timestamp '2023-12-31', timestamp '2024-01-02', INTERVAL 1 DAY)) AS day)
+LEFT JOIN (SELECT flight_date, count(DISTINCT schedule_key % 3) AS n, count(DISTINCT schedule_key % 3) FILTER (schedule_key % 3 = 1) AS bad FROM schedule GROUP BY 1) ON flight_date = day
+"""
+
+
+@query("schedule_window_report", _WINDOW, "schedule")
+def schedule_window_report(s: SparkSession, d: str) -> DataFrame:
+    """A file that was cut short fails alone: its day is loaded in part, the others wholly or not at all."""
+    return files.schedule_window_backfill(files.read_payloads(s, _payload_files(s, d)), "2024-01-01", 1, 1)[1]
+
+
+@query("schedule_window_backfill", "SELECT schedule_key FROM schedule WHERE schedule_key % 3 = 2 OR schedule_key % 3 = 1 AND flight_date <> DATE '2024-01-01'", "schedule")
+def schedule_window_backfill(s: SparkSession, d: str) -> DataFrame:
+    """Flights of the files that parse and haven't been loaded before, which each day's first file has."""
+    path = _payload_files(s, d)
+    loaded = files.list_files(s, path).where("path LIKE '%/file=0/%'")
+    good, _ = files.schedule_window_backfill(files.read_payloads(s, path, loaded), "2024-01-01", 1, 1)
+    keys = F.from_json("value", "struct<data: array<struct<schedule_key: bigint>>>")["data"]["schedule_key"]
+    return good.select(F.explode(keys).alias("schedule_key"))
 
 
 @query("tsa_parallel_arrays_flatten", "SELECT 'CP' || CAST(l_suppkey % 7 AS VARCHAR) AS checkpoint, CAST(l_orderkey AS VARCHAR) AS date, CASE WHEN l_linenumber <= 2 THEN CAST(CAST(l_quantity AS INT) AS VARCHAR) ELSE '' END AS passengers FROM lineitem")
@@ -124,27 +160,47 @@ def tsa_parallel_arrays_flatten(s: SparkSession, d: str) -> DataFrame:
     return files.tsa_parallel_arrays_flatten(arrays, ["checkpoint", "date", "passengers"])
 
 
-@query("latest_file_pick", "SELECT 'report_' || strftime(max(o_orderdate), '%m-%d-%Y') || '.pdf' AS path, CAST(max(o_orderdate) AS DATE) AS end_date FROM orders")
+_LATEST = """
+SELECT 'report_' || strftime(d, '%m-%d-%Y') AS report, CAST(d AS DATE) AS end_date FROM (SELECT max(o_orderdate) AS d FROM orders)
+"""
+
+
+@query("latest_file_pick", _LATEST)
 def latest_file_pick(s: SparkSession, d: str) -> DataFrame:
-    days = s.read.parquet(f"{d}/orders.parquet").select("o_orderdate").distinct()
-    named = days.select(F.concat(F.lit("report_"), F.date_format("o_orderdate", "MM-dd-yyyy"), F.lit(".pdf")).alias("path"))
-    return files.latest_file_pick(named, named.limit(0))
-
-
-@query(
-    "backfill_day_status",
-    """SELECT day, CASE WHEN r.n > 0 THEN 'processed' WHEN a.n > 0 THEN 'loaded' ELSE 'pending' END AS status, coalesce(a.n, 0) AS aircraft, coalesce(r.n, 0) AS rows
-    FROM (SELECT CAST(unnest(generate_series(timestamp '2023-12-30', timestamp '2024-01-03', INTERVAL 1 DAY)) AS DATE) AS day)
-    LEFT JOIN (SELECT service_date AS day, count(DISTINCT icao_hex) AS n FROM labelled GROUP BY 1) a USING (day) LEFT JOIN (SELECT service_date AS day, count(*) AS n FROM labelled WHERE service_date = DATE '2024-01-01' GROUP BY 1) r USING (day)""",
-    "labelled",
-)
+    """Report files of the last order day of each year are listed; once the newest is loaded, there is none to pick."""
+    orders = s.read.parquet(f"{d}/orders.parquet").groupBy(F.year("o_orderdate").alias("y")).agg(F.max("o_orderdate").alias("day"), F.count("*").cast("string").alias("value"))
+    path = files.scratch(s, "reports")
+    orders.select("value", F.concat(F.lit("report_"), F.date_format("day", "MM-dd-yyyy")).alias("report")).write.partitionBy("report").text(path)
+    found = files.list_files(s, path)
+    newest = files.latest_file_pick(found, found.limit(0))
+    both = newest.unionByName(files.latest_file_pick(found, newest))
+    return both.select(F.regexp_extract("path", "report=([^/]*)", 1).alias("report"), "end_date")
+
+
+_STATES = """
+SELECT CAST(day AS DATE) AS day, CASE WHEN r.n > 0 THEN 'processed' WHEN a.n > 0 THEN 'loaded' WHEN day = timestamp '2024-01-02' THEN 'extracted' WHEN day = timestamp '2024-01-03' THEN 'downloaded' ELSE 'pending' END AS status,
+  CASE WHEN a.n > 0 OR day BETWEEN timestamp '2024-01-02' AND timestamp '2024-01-03' THEN 1 ELSE 0 END AS files, coalesce(a.n, 0) AS aircraft, coalesce(r.n, 0) AS rows
+FROM (SELECT unnest(generate_series(timestamp '2023-12-30', timestamp '2024-01-03', INTERVAL 1 DAY)) AS day)
+LEFT JOIN (SELECT service_date AS d, count(DISTINCT icao_hex) AS n FROM labelled GROUP BY 1) a ON a.d = day
+LEFT JOIN (SELECT service_date AS d, count(*) AS n FROM labelled WHERE service_date = DATE '2024-01-01' GROUP BY 1) r ON r.d = day
+"""
+
+
+@query("backfill_day_status", _STATES, "labelled")
 def backfill_day_status(s: SparkSession, d: str) -> DataFrame:
-    """Of two days with traces one has its points."""
-    from airside.functions.time import service_date
-
+    """Days at every state, told from files and tables: two have traces in the raw table, one of them points, one has
+    trace lines only, one a file only, and one nothing."""
     p = fx.points(s, d).withColumn("day", service_date(C("ts"), TZ))
+    raw = p.select("day", "icao_hex").distinct()
+    lines = raw.groupBy("day").agg(F.min("icao_hex").alias("value")).unionByName(s.sql("SELECT DATE'2024-01-02' AS day, '{}' AS value"))
+    downloaded = lines.unionByName(s.sql("SELECT DATE'2024-01-03' AS day, 'x' AS value"))
+    paths = {tag: files.scratch(s, tag) for tag in ("downloaded", "extracted", "raw", "points")}
+    for tag, rows in (("downloaded", downloaded), ("extracted", lines), ("raw", raw), ("points", p.where("day = DATE'2024-01-01'").select("event_id", "day"))):
+        whole = rows.repartition("day").write.partitionBy("day")
+        whole.text(paths[tag]) if "value" in rows.columns else whole.parquet(paths[tag])
     days = s.range(1).select(F.explode(F.sequence(F.lit("2023-12-30").cast("date"), F.lit("2024-01-03").cast("date"))).alias("day"))
-    return files.backfill_day_status(days, p.select("day", "icao_hex").distinct(), p.where("day = DATE'2024-01-01'"))
+    extracted = s.read.schema("value string, day date").text(paths["extracted"])
+    return files.backfill_day_status(days, files.list_files(s, paths["downloaded"]), extracted, s.read.parquet(paths["raw"]), s.read.parquet(paths["points"]))
 
 
 # --- streams -----------------------------------------------------------------------------------------
@@ -178,12 +234,12 @@ def _run(s: SparkSession, stream: DataFrame) -> DataFrame:
     return s.read.schema(stream.schema).parquet(path)
 
 
-@query("stream_positions", "SELECT icao_hex, flight, lat, lon, altitude_baro FROM (SELECT *, CASE WHEN altitude_baro IS NULL THEN 0 WHEN event_id % 17 <> 0 THEN altitude_baro END AS a FROM points WHERE event_id % 13 <> 0) AS x(event_id, user_id, sec, ts, icao_hex, flight, registration, type, category, lat, lon, velocity, b, altitude_baro)", "points")
+@query("stream_positions", f"SELECT * EXCLUDE (ts) FROM ({_SNAPSHOT_ROWS})", "points")
 def stream_positions(s: SparkSession, d: str) -> DataFrame:
+    """Payload files, a document for each hour, some at a time; the time of observation is the file's and left out here."""
     path = files.scratch(s, "snapshots")
-    _snapshots(s, d).repartition(4).select("value").write.option("maxRecordsPerFile", 100).text(path)
-    stream = s.readStream.text(path).select("value", F.current_timestamp().alias("fetched_at"))
-    return _run(s, files.live_snapshot_parse(stream)).select("icao_hex", "flight", "lat", "lon", "altitude_baro")
+    _snapshots(s, d, "hour").repartition(4).select("value").write.option("maxRecordsPerFile", 1).text(path)
+    return _run(s, jobs.stream_positions(s, path, 5)).drop("ts")
 
 
 @query("stream_dedup", "SELECT DISTINCT icao_hex, ts FROM points", "points")
@@ -191,10 +247,12 @@ def stream_dedup(s: SparkSession, d: str) -> DataFrame:
     return _run(s, jobs.stream_dedup(_stream(s, d)).select("icao_hex", "ts")).where("icao_hex <> '~'").select("icao_hex", _plain("ts").alias("ts"))
 
 
-@query("stream_hourly", "SELECT date_trunc('hour', ts) AS hour, count(*) AS records FROM points GROUP BY 1", "points")
+@query("stream_hourly", "SELECT date_trunc('hour', ts) AS hour, count(*) AS records, true AS within FROM points GROUP BY 1", "points")
 def stream_hourly(s: SparkSession, d: str) -> DataFrame:
-    """The number of aircraft is approximate in a stream and left out here."""
-    return _run(s, jobs.stream_hourly(_stream(s, d))).select(_plain("hour").alias("hour"), "records")
+    """The stored sketches of the stream give the aircraft of every hour within 3 %."""
+    found = _run(s, jobs.stream_hourly(_stream(s, d))).select(_plain("hour").alias("hour"), "records", F.hll_sketch_estimate("aircraft_sketch").alias("aircraft"))
+    exact = gold.traffic_hourly(fx.points(s, d)).select("hour", F.col("aircraft").alias("exact"))
+    return found.join(exact, "hour").select("hour", "records", (F.abs(C("aircraft") - C("exact")) <= C("exact") * 0.03).alias("within"))
 
 
 @query("stream_sessions", "SELECT icao_hex, service_date, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points FROM sessions GROUP BY icao_hex, service_date, session_seq", "sessions")

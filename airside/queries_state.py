@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from airside.functions.time import service_date
-from airside.operators import keyed, positions, sessions
+from airside.operators import gold, keyed, positions, sessions
+from airside.operators.airports import of_airports
 from airside.plans import fixtures as fx
 from airside.plans.cascade import SILVER, STEPS, Airport, Cascade
 from airside.plans.fixtures import AIRCRAFT, TZ
@@ -225,3 +226,91 @@ def refresh_cascade(s: SparkSession, d: str) -> DataFrame:
             rows = cascade.tables[name].read().select(F.lit(name).alias("table_name"), F.expr(_text(name, "unix_seconds(CAST({} AS TIMESTAMP))", "STRING")).alias("content"))
             found = rows if found is None else found.unionByName(rows)
     return found
+
+
+# --- many airports -----------------------------------------------------------------------------------
+#: A second airport far in the north: there are the points of odd aircraft, moved by so many ten-thousandths of a degree.
+NORTH, NORTH_TZ, NORTH_LAT, NORTH_LON = "NOR", "Europe/Oslo", 376500, 1359000
+
+
+def _moved(c: str, by: int) -> str:
+    return f"({c} * 10000 + {by}) / CAST(10000 AS DOUBLE)"
+
+
+def _ring(lat: float, lon: float) -> str:
+    corners = [(-0.01, -0.01), (0.01, -0.01), (0.01, 0.01), (-0.01, 0.01), (-0.01, -0.01)]
+    return "array(" + ", ".join(f"named_struct('lon', {lon + x:.4f}D, 'lat', {lat + y:.4f}D)" for x, y in corners) + ")"
+
+
+def two_airports(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Points of both airports with code and zone, the airports, and the gates of both."""
+    north = lambda c, by, flag: f"CASE WHEN {flag} THEN {_moved(c, by)} ELSE {c} END"
+    p = fx.points(s, d).selectExpr("* EXCEPT (lat, lon)", f"{north('lat', NORTH_LAT, 'user_id % 2 = 1')} AS lat", f"{north('lon', NORTH_LON, 'user_id % 2 = 1')} AS lon")
+    airports = s.sql(f"SELECT '{fx.AIRPORT}' AS airport_code, '{TZ}' AS tz, {_ring(32.0, -117.0)} AS ring UNION ALL SELECT '{NORTH}', '{NORTH_TZ}', {_ring(69.65, 18.9)}")
+    g = fx.gates(s, d).drop("gate_name")
+    both = g.withColumn("airport_code", F.lit(fx.AIRPORT)).unionByName(g.selectExpr("gate_id", f"{_moved('lat', NORTH_LAT)} AS lat", f"{_moved('lon', NORTH_LON)} AS lon", f"'{NORTH}' AS airport_code"))
+    return of_airports(p, airports), airports, both
+
+
+def _within(lat: float, lon: float, metres: int, name: str = "", y: str = "lat", x: str = "lon") -> str:
+    return f"""sqrt(pow(greatest(0, abs({y} - {lat}) - 0.01), 2) + pow(greatest(0, abs({x} - {lon}) - 0.01) * cos(radians({y})), 2)) * 6371000.0 * pi() / 180 <= {metres}"""
+
+
+_NORTHERN = f"""
+moved AS MATERIALIZED (
+  SELECT * REPLACE (CASE WHEN user_id % 2 = 1 THEN {_moved('lat', NORTH_LAT)} ELSE lat END AS lat, CASE WHEN user_id % 2 = 1 THEN {_moved('lon', NORTH_LON)} ELSE lon END AS lon),
+    CASE WHEN user_id % 2 = 1 THEN '{NORTH}' ELSE '{fx.AIRPORT}' END AS airport_code FROM points),
+near_airports AS MATERIALIZED (
+  SELECT *, CAST(ts AT TIME ZONE 'UTC' AT TIME ZONE CASE airport_code WHEN '{NORTH}' THEN '{NORTH_TZ}' ELSE '{TZ}' END AS DATE) AS service_date
+  FROM moved WHERE CASE airport_code WHEN '{NORTH}' THEN {_within(69.65, 18.9, 50000)} ELSE {_within(32.0, -117.0, 50000)} END),
+flags AS (SELECT *, velocity <= 40 AND (altitude_baro IS NULL OR altitude_baro <= 50) AS is_ground FROM near_airports),
+breaks AS (
+  SELECT *, CASE WHEN coalesce(date_diff('minute', lag(ts) OVER w, ts), 999999) > 20 OR coalesce(lag(is_ground) OVER w <> is_ground, false) THEN 1 ELSE 0 END AS opens
+  FROM flags WINDOW w AS (PARTITION BY airport_code, icao_hex, service_date ORDER BY ts, event_id)),
+parts AS (SELECT *, CAST(sum(opens) OVER (PARTITION BY airport_code, icao_hex, service_date ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS segment FROM breaks),
+ends AS (
+  SELECT airport_code, icao_hex, service_date, segment, min(ts) AS start_ts, max(ts) AS end_ts, count(*) AS points, arg_min(lat, (ts, event_id)) AS alat, arg_min(lon, (ts, event_id)) AS alon,
+    arg_max(lat, (ts, event_id)) AS zlat, arg_max(lon, (ts, event_id)) AS zlon FROM parts WHERE NOT is_ground GROUP BY ALL),
+near_ends AS (
+  SELECT *, CASE airport_code WHEN '{NORTH}' THEN {_within(69.65, 18.9, 5000, '', 'alat', 'alon')} ELSE {_within(32.0, -117.0, 5000, '', 'alat', 'alon')} END AS na,
+    CASE airport_code WHEN '{NORTH}' THEN {_within(69.65, 18.9, 5000, '', 'zlat', 'zlon')} ELSE {_within(32.0, -117.0, 5000, '', 'zlat', 'zlon')} END AS nz FROM ends)
+"""
+
+
+def _oracle(body: str) -> str:
+    return fx.oracle("", "points", "gates").rstrip() + ", " + _NORTHERN + body
+
+
+@query("airports_legs", _oracle("SELECT airport_code, icao_hex, service_date, segment, start_ts, end_ts, points, CASE WHEN na AND nz THEN 'local' WHEN na THEN 'departure' WHEN nz THEN 'arrival' ELSE 'unknown' END AS direction FROM near_ends"))
+def airports_legs(s: SparkSession, d: str) -> DataFrame:
+    """Legs of two airports in one run, each by its own zone and ring."""
+    p, airports, _ = two_airports(s, d)
+    return sessions.flight_legs(p, C("tz"), airports).drop("registration", "callsign")
+
+
+_UTIL = f"""
+SELECT airport_code, service_date, gate_id, count(DISTINCT (icao_hex, session_seq)) AS sessions, CAST(sum(coalesce(lag_seconds, 0)) AS BIGINT) AS seconds FROM (
+  SELECT n.*, g.gate_id FROM (
+    SELECT *, CAST(sum(CASE WHEN gap IS NULL OR gap > 20 THEN 1 ELSE 0 END) OVER w AS BIGINT) AS session_seq FROM (
+      SELECT *, date_diff('minute', lag(ts) OVER w, ts) AS gap, date_diff('second', lag(ts) OVER w, ts) AS lag_seconds
+      FROM near_airports WHERE altitude_baro <= 50 AND velocity <= 40 WINDOW w AS (PARTITION BY airport_code, icao_hex, service_date ORDER BY ts, event_id))
+    WINDOW w AS (PARTITION BY airport_code, icao_hex, service_date ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) n
+  JOIN (SELECT gate_id, lat, lon, '{fx.AIRPORT}' AS code FROM gates UNION ALL SELECT gate_id, {_moved('lat', NORTH_LAT)}, {_moved('lon', NORTH_LON)}, '{NORTH}' FROM gates) g
+    ON g.code = n.airport_code AND {fx.METRES.format(a='n', b='g')} <= 120
+  QUALIFY row_number() OVER (PARTITION BY event_id ORDER BY {fx.METRES.format(a='n', b='g')}, g.gate_id) = 1)
+GROUP BY 1, 2, 3
+"""
+
+
+@query("airports_gates", _oracle(_UTIL))
+def airports_gates(s: SparkSession, d: str) -> DataFrame:
+    """Use of the gates of two airports in one run; gate ids are an airport's own."""
+    p, _, gates = two_airports(s, d)
+    at = gold.gate_points(p, gates, C("tz")).where("gate_id IS NOT NULL")
+    return at.groupBy("airport_code", "service_date", "gate_id").agg(F.count_distinct("icao_hex", "session_seq").alias("sessions"), F.sum(F.coalesce("lag_seconds", F.lit(0))).alias("seconds"))
+
+
+@query("airports_traffic", _oracle("SELECT airport_code, service_date, count(DISTINCT icao_hex) AS aircraft, count(DISTINCT flight) AS flights, count(*) AS records FROM near_airports GROUP BY ALL"))
+def airports_traffic(s: SparkSession, d: str) -> DataFrame:
+    p, _, _ = two_airports(s, d)
+    return gold.traffic_daily(p.withColumns({"category": F.lit("A1"), "type": F.lit("x")}), C("tz")).select("airport_code", "service_date", "aircraft", "flights", "records")

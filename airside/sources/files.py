@@ -74,12 +74,23 @@ def trace_attr_fill(points: DataFrame) -> DataFrame:
     return points
 
 
+_SNAPSHOT = """struct<ac: array<struct<hex: string, flight: string, r: string, t: string, desc: string, lat: double, lon: double, alt_baro: string, alt_geom: double,
+  gs: double, track: double, true_heading: double, baro_rate: double, squawk: string, category: string>>>"""
+
+
 def live_snapshot_parse(payloads: DataFrame) -> DataFrame:
-    """Rows of the ``ac`` array of API payloads (value, fetched_at); no position, no row; ground altitude 0."""
-    shape = "struct<ac: array<struct<hex: string, flight: string, r: string, t: string, lat: double, lon: double, alt_baro: string, gs: double, category: string>>>"
-    rows = payloads.select("fetched_at", F.explode(F.from_json("value", shape)["ac"]).alias("a")).where("a.lat IS NOT NULL AND a.lon IS NOT NULL")
+    """Rows of the ``ac`` array of API payloads (value, fetched_at); no position, no row; ground altitude 0.
+
+    Altitudes and the vertical rate are whole numbers; an altitude that is no number is null.
+    """
+    rows = payloads.select("fetched_at", F.explode(F.from_json("value", _SNAPSHOT)["ac"]).alias("a")).where("a.lat IS NOT NULL AND a.lon IS NOT NULL")
     altitude = F.when(F.col("a.alt_baro") == "ground", 0).otherwise(F.expr("try_cast(a.alt_baro AS int)"))
-    return rows.select(F.col("a.hex").alias("icao_hex"), F.trim("a.flight").alias("flight"), F.col("a.r").alias("registration"), F.col("a.t").alias("type"), "a.lat", "a.lon", altitude.alias("altitude_baro"), F.col("a.gs").alias("velocity"), "a.category", F.col("fetched_at").alias("ts"))
+    whole = lambda c: F.round(f"a.{c}").cast("int")
+    return rows.select(
+        F.col("a.hex").alias("icao_hex"), F.trim("a.flight").alias("flight"), F.col("a.r").alias("registration"), F.col("a.t").alias("type"), F.col("a.desc").alias("aircraft_desc"),
+        "a.lat", "a.lon", altitude.alias("altitude_baro"), whole("alt_geom").alias("altitude_geom"), F.col("a.gs").alias("velocity"), "a.track", "a.true_heading",
+        whole("baro_rate").alias("vertical_rate"), "a.squawk", "a.category", F.col("fetched_at").alias("ts"),
+    )
 
 
 def tsa_parallel_arrays_flatten(reports: DataFrame, fields: list[str]) -> DataFrame:
@@ -89,14 +100,40 @@ def tsa_parallel_arrays_flatten(reports: DataFrame, fields: list[str]) -> DataFr
     return reports.where(F.size("date") > 0).select(F.inline(rows))
 
 
-def schedule_window_backfill(spark: SparkSession, root: str, today: str, back: int, ahead: int) -> DataFrame:
-    """flight_date, value, ingested_at of the payloads of every day in the window that has a folder.
+_DAY_IN_PATH = r"day=(\d{4}-\d{2}-\d{2})/"
+
+
+def list_files(spark: SparkSession, root: str) -> DataFrame:
+    """path, day (of a folder day=YYYY-MM-DD, else null), length and modified of all files below ``root``; none is opened."""
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    day = F.try_to_date(F.nullif(F.regexp_extract("path", _DAY_IN_PATH, 1), F.lit("")), "yyyy-MM-dd")
+    return found.select("path", day.alias("day"), "length", F.col("modificationTime").alias("modified"))
+
 
-    Missing days and corrupt files are passed over, so that one bad day doesn't hold up the others.
+def read_payloads(spark: SparkSession, root: str, loaded: DataFrame | None = None) -> DataFrame:
+    """path, day, value, failed of payload files, a JSON document each; those in ``loaded`` (path) are passed over.
+
+    A file that doesn't parse is a row with ``failed`` set and its text kept, so that nothing gets lost unseen.
+    """
+    raw = spark.read.option("wholetext", True).option("recursiveFileLookup", True).text(root).select(F.col("_metadata.file_path").alias("path"), "value")
+    if loaded is not None:
+        raw = raw.join(loaded.select("path"), "path", "left_anti")
+    day = F.try_to_date(F.nullif(F.regexp_extract("path", _DAY_IN_PATH, 1), F.lit("")), "yyyy-MM-dd")
+    return raw.select("path", day.alias("day"), "value", F.try_parse_json("value").isNull().alias("failed"))
+
+
+def schedule_window_backfill(payloads: DataFrame, today: str, back: int, ahead: int) -> tuple[DataFrame, DataFrame]:
+    """Payloads of the window's days that can be loaded (flight_date, value, path), and a report with every day of it.
+
+    ``payloads`` as ``read_payloads`` gives them. The report has day, status, files, failed: loaded, partly (some
+    files failed), failed (all did) or missing (no file). One bad day doesn't hold up the others.
     """
     days = [date.fromisoformat(today) + timedelta(days=n) for n in range(-back, ahead + 1)]
-    raw = spark.read.schema("value string, ingested_at timestamp_ntz, day date").option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).option("basePath", root).parquet(root)
-    return raw.where(F.col("day").isin(days)).select(F.col("day").alias("flight_date"), "value", "ingested_at")
+    window = payloads.where(F.col("day").isin(days))
+    counted = window.groupBy("day").agg(F.count("*").alias("files"), F.count_if("failed").alias("failed"))
+    every = payloads.sparkSession.createDataFrame([(d,) for d in days], "day date").join(counted, "day", "left").na.fill(0, ["files", "failed"])
+    status = F.when(F.col("files") == 0, "missing").when(F.col("failed") == 0, "loaded").when(F.col("failed") < F.col("files"), "partly").otherwise("failed")
+    return window.where("NOT failed").select(F.col("day").alias("flight_date"), "value", "path"), every.select("day", status.alias("status"), "files", "failed")
 
 
 def latest_file_pick(files: DataFrame, loaded: DataFrame) -> DataFrame:
@@ -106,13 +143,18 @@ def latest_file_pick(files: DataFrame, loaded: DataFrame) -> DataFrame:
     return dated.orderBy(F.col("end_date").desc(), F.col("path").desc()).limit(1).join(loaded.select("path"), "path", "left_anti")
 
 
-def backfill_day_status(expected: DataFrame, raw: DataFrame, points: DataFrame) -> DataFrame:
-    """day, status, aircraft, rows of every expected day: pending, loaded (traces there) or processed (points there)."""
-    have = raw.groupBy("day").agg(F.count("*").alias("aircraft"))
-    done = points.groupBy("day").agg(F.count("*").alias("rows"))
-    met = expected.join(have, "day", "left").join(done, "day", "left")
-    status = F.when(F.col("rows") > 0, "processed").when(F.col("aircraft") > 0, "loaded").otherwise("pending")
-    return met.select("day", status.alias("status"), F.coalesce("aircraft", F.lit(0)).alias("aircraft"), F.coalesce("rows", F.lit(0)).alias("rows"))
+def backfill_day_status(expected: DataFrame, downloaded: DataFrame, extracted: DataFrame, loaded: DataFrame, processed: DataFrame) -> DataFrame:
+    """day, status, files, aircraft, rows of every expected day, from what is there of it.
+
+    The furthest state counts: processed (``processed`` has points of the day), loaded (the raw table
+    has aircraft), extracted (there are trace lines), downloaded (there are files), else pending. All have a column day.
+    """
+    found = expected.select("day")
+    for name, rows in (("files", downloaded), ("lines", extracted), ("aircraft", loaded), ("rows", processed)):
+        found = found.join(rows.groupBy("day").agg(F.count("*").alias(name)), "day", "left")
+    found = found.na.fill(0, ["files", "lines", "aircraft", "rows"])
+    status = F.when(F.col("rows") > 0, "processed").when(F.col("aircraft") > 0, "loaded").when(F.col("lines") > 0, "extracted").when(F.col("files") > 0, "downloaded").otherwise("pending")
+    return found.select("day", status.alias("status"), "files", "aircraft", "rows")
 
 
 def replace_days(rows: DataFrame, path: str) -> None:

@@ -12,6 +12,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from airside.functions import flight as fl
 from airside.functions.time import service_date
+from airside.operators.gold import SKETCH_BITS
 from airside.operators.sessions import GAP_MINUTES
 from airside.sources.files import live_snapshot_parse
 from airside.sources.versions import VersionedTable
@@ -28,9 +29,9 @@ def stream_dedup(points: DataFrame, late: str = "2 hours") -> DataFrame:
 
 
 def stream_hourly(points: DataFrame, late: str = "2 hours") -> DataFrame:
-    """Records and about how many aircraft, by hour."""
+    """Records and a sketch of the aircraft, by hour: stored ones merge to days and ranges (``reports.traffic_of_days``)."""
     counted = points.withWatermark("ts", late).groupBy(F.window("ts", "1 hour"))
-    return counted.agg(F.count("*").alias("records"), F.approx_count_distinct("icao_hex").alias("aircraft")).select(F.col("window.start").alias("hour"), "records", "aircraft")
+    return counted.agg(F.count("*").alias("records"), F.hll_sketch_agg("icao_hex", F.lit(SKETCH_BITS)).alias("aircraft_sketch")).select(F.col("window.start").alias("hour"), "records", "aircraft_sketch")
 
 
 def stream_sessions(ground: DataFrame, tz: str, late: str = "2 hours") -> DataFrame:
