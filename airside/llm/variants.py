@@ -39,7 +39,8 @@ TIMES = 5
 #: One in so many (document, run) pairs loses a character (the query's planted misspellings).
 LOSSES = 199
 
-RUN = re.compile("[A-Za-zÀ-ÿ]+")
+#: Shorter runs make no word, whatever they lose.
+RUN = re.compile(f"[A-Za-zÀ-ÿ]{{{LEAST_CHARS},}}")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 
 
