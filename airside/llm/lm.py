@@ -13,9 +13,9 @@ Pairs are dealt to shards by a hash of both words, so that neither a frequent wo
 pair (equal ones are one row in each batch of texts) loads one shard; their number follows the
 characters of the corpus. Blocks of packed arrays travel, not a row for each word: for counting
 a batch's distinct pairs and their counts, for scoring its distinct pairs and the documents
-they stand in. A shard merges its counts, asks the vocabulary table for its words' totals, builds
+they stand in. A shard merges its counts, asks the vocabulary for its words' totals (each part of it merges what all shards say of its words), builds
 its trie (see ``elias_fano``) with quantised probabilities, and scores the pairs it has. Words
-of unseen pairs that it doesn't know go to the vocabulary table. Sums by document follow.
+of unseen pairs that it doesn't know are looked up by a join. Sums by document follow.
 """
 
 from __future__ import annotations
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,13 +36,13 @@ from airside.llm.elias_fano import STEP, Trie, quantised
 from airside.llm.tokens import batches_of_text
 
 #: Characters of the corpus that one shard stands for.
-SHARD_CHARS = 32_000_000
+SHARD_CHARS = 48_000_000
 #: Added to every word's count in its own probability.
 ADDED = 0.1
 #: Texts of a batch are joined to up to so many tokens and texts; a longer text is a batch of its own.
-BATCH_TOKENS, BATCH_TEXTS = 3_000_000, 60_000
+BATCH_TOKENS, BATCH_TEXTS = 2_000_000, 60_000
 #: Pairs of a shard that wait before they are merged.
-WAITING = 8_000_000
+WAITING = 4_000_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -73,26 +74,29 @@ def _tokenised(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarr
     def packed(ids, numbers, found, lengths):
         table = np.array([word_hash(lower(w)) for w in numbers] + [START, END], np.int64)
         hashes, at = np.unique(table, return_inverse=True)
-        raw = np.array(found, np.int64)
-        ends = np.cumsum(np.array(lengths) + 1) - 1
-        words = np.full(len(raw) + len(lengths), len(table) - 1, np.int64)
+        at = at.astype(np.int32)
+        each = np.array(lengths) + 1
+        ends = np.cumsum(each) - 1
+        words = np.full(int(each.sum()), at[-1], np.int32)
         inner = np.ones(len(words), bool)
         inner[ends] = False
-        words[inner] = raw
+        words[inner] = at[np.concatenate(found)] if found else []
         before = np.roll(words, 1)
-        before[np.concatenate([[0], ends[:-1] + 1])] = len(table) - 2
-        return ids, hashes, at[before], at[words], np.repeat(np.arange(len(lengths)), np.array(lengths) + 1)
+        before[np.concatenate([[0], ends[:-1] + 1])] = at[-2]
+        return ids, hashes, before, words, np.repeat(np.arange(len(lengths), dtype=np.int32), each)
 
-    numbers, found, ids, lengths = _Numbers(), [], [], []
+    numbers, found, ids, lengths, many = _Numbers(), [], [], [], 0
     for rows in batches_of_text(batches, ("doc_id", "text")):
         for doc, text in rows:
             words = _WORD.findall(text) if text else []
-            found += map(numbers.__getitem__, words)
+            if words:
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             ids.append(doc)
             lengths.append(len(words))
-            if len(found) >= BATCH_TOKENS or len(ids) >= BATCH_TEXTS:
+            many += len(words)
+            if many >= BATCH_TOKENS or len(ids) >= BATCH_TEXTS:
                 yield packed(ids, numbers, found, lengths)
-                numbers, found, ids, lengths = _Numbers(), [], [], []
+                numbers, found, ids, lengths, many = _Numbers(), [], [], [], 0
     if ids:
         yield packed(ids, numbers, found, lengths)
 
@@ -109,20 +113,42 @@ def _renumbered(hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.nd
     return hashes[used], np.searchsorted(used, v), np.searchsorted(used, w)
 
 
-_BLOCK = "shard int, kind int, word long, c long, k long, t long, batch long, words binary, v binary, w binary, n binary, docs binary, doc_no binary, doc_ids array<long>"
-_BLOCK_ARROW = pa.schema([("shard", pa.int32()), ("kind", pa.int32()), *[(c, pa.int64()) for c in ("word", "c", "k", "t", "batch")], *[(c, pa.binary()) for c in ("words", "v", "w", "n", "docs", "doc_no")], ("doc_ids", pa.list_(pa.int64()))])
-_ARRAYS = {"words": "<i8", "v": "<u4", "w": "<u4", "n": "<u4", "docs": "<u2", "doc_no": "<u2"}
-#: Kinds of rows in the order in which a shard needs them: totals of its words, its counts, what is to be scored.
-_TOTALS, _COUNTS, _TEXTS = 0, 1, 2
+_BLOCK = "shard int, kind int, part int, once long, twice long, batch long, words binary, v binary, w binary, n binary, c binary, k binary, t binary, docs binary, doc_no binary, doc_ids array<long>"
+_BLOCK_ARROW = pa.schema([*[(c, pa.int32()) for c in ("shard", "kind", "part")], *[(c, pa.int64()) for c in ("once", "twice", "batch")], *[(c, pa.binary()) for c in ("words", "v", "w", "n", "c", "k", "t", "docs", "doc_no")], ("doc_ids", pa.list_(pa.int64()))])
+_ARRAYS = {"words": "<i8", "v": "<u4", "w": "<u4", "n": "<u4", "c": "<i8", "k": "<i8", "t": "<i8", "docs": "<u2", "doc_no": "<u2"}
+#: Ascending arrays are kept as differences.
+_ASCENDING = ("words", "v", "doc_no")
+#: Kinds of rows in the order in which a shard needs them: totals of its words, its counts, what is to be scored. Then the vocabulary's own.
+_TOTALS, _COUNTS, _TEXTS, _WORDS = 0, 1, 2, 3
+
+
+def _pack(name: str, a: np.ndarray) -> bytes:
+    """An array's bytes, first of all its numbers, then second of all and so on, compressed: high bytes are mostly alike."""
+    a = np.diff(a, prepend=0) if name in _ASCENDING else a
+    octets = np.ascontiguousarray(a.astype(_ARRAYS[name])).view(np.uint8).reshape(len(a), -1)
+    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(octets.T).tobytes())
+
+
+def _unpack(name: str, packed: bytes) -> np.ndarray:
+    kind = np.dtype(_ARRAYS[name])
+    octets = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(kind.itemsize, -1)
+    a = np.ascontiguousarray(octets.T).view(kind).ravel().astype(np.int64)
+    return np.cumsum(a) if name in _ASCENDING else a
 
 
 def _block(shard: int, kind: int, plain: dict, **arrays: np.ndarray) -> pa.RecordBatch:
-    row = {"shard": shard, "kind": kind} | plain | {k: a.astype(_ARRAYS[k]).tobytes() for k, a in arrays.items()}
+    row = {"shard": shard, "kind": kind} | plain | {k: _pack(k, a) for k, a in arrays.items()}
     return pa.RecordBatch.from_pylist([row], schema=_BLOCK_ARROW)
 
 
 def _arrays(row: dict, *names: str) -> list[np.ndarray]:
-    return [np.frombuffer(row[n] or b"", _ARRAYS[n]).astype(np.int64) for n in names]
+    return [_unpack(n, row[n]) for n in names]
+
+
+def _rows(batch: pa.RecordBatch) -> Iterator[dict]:
+    """Rows one at a time: their arrays are large."""
+    for i in range(batch.num_rows):
+        yield batch.slice(i, 1).to_pylist()[0]
 
 
 def _counted(shards: int):
@@ -130,7 +156,7 @@ def _counted(shards: int):
 
     def run(batches):
         for _, hashes, before, words, _ in _tokenised(batches):
-            pair, n = np.unique(before * len(hashes) + words, return_counts=True)
+            pair, n = np.unique(before.astype(np.int64) * len(hashes) + words, return_counts=True)
             v, w = pair // len(hashes), pair % len(hashes)
             shard = _shard_of(hashes[v], hashes[w], shards)
             order = np.argsort(shard, kind="stable")
@@ -153,15 +179,15 @@ def _merged(blocks: list[tuple]) -> tuple:
 
 
 def _merge(batches):
-    """The counts of each shard: rows come by shard. ``c`` and ``k`` are its numbers of pairs seen once and twice."""
+    """The counts of each shard, with its numbers of pairs seen once and twice: rows come by shard."""
     shard, waiting, many = None, [], 0
 
     def out():
         words, v, w, n = _merged(waiting)
-        return _block(shard, _COUNTS, {"c": int((n == 1).sum()), "k": int((n == 2).sum())}, words=words, v=v, w=w, n=n)
+        return _block(shard, _COUNTS, {"once": int((n == 1).sum()), "twice": int((n == 2).sum())}, words=words, v=v, w=w, n=n)
 
     for b in batches:
-        for row in b.to_pylist():
+        for row in _rows(b):
             if row["shard"] != shard and waiting:
                 yield out()
                 waiting, many = [], 0
@@ -175,16 +201,59 @@ def _merge(batches):
         yield out()
 
 
-def _vocabulary(batches):
-    """shard, word, and the shard's part of how often it occurs (c), is followed (k), and by how many words (t)."""
+def _parts(words: np.ndarray, parts: int) -> np.ndarray:
+    """Where ascending hashes are cut into ``parts`` of the whole range of hashes."""
+    return np.searchsorted(words, np.array([(1 << 63) * p // parts for p in range(1, parts)], np.int64), "left")
+
+
+def _vocabulary(parts: int):
+    """A shard's words, with how often each occurs in it (c), is followed (k), and by how many words (t), cut by the vocabulary's parts."""
+
+    def run(batches):
+        for b in batches:
+            for row in _rows(b):
+                words, v, w, n = _arrays(row, "words", "v", "w", "n")
+                sums = [x.astype(np.int64) for x in (np.bincount(w, n, len(words)), np.bincount(v, n, len(words)), np.bincount(v, minlength=len(words)))]
+                edges = [0, *_parts(words, parts), len(words)]
+                for p, (lo, hi) in enumerate(zip(edges, edges[1:], strict=False)):
+                    if lo < hi:
+                        yield _block(row["shard"], _TOTALS, {"part": p}, words=words[lo:hi], **{x: a[lo:hi] for x, a in zip("ckt", sums, strict=True)})
+
+    return run
+
+
+def _totals(batches):
+    """For each shard the totals of its words, in their order, and the vocabulary's own words with theirs: rows come by part."""
+    part, waiting = None, []
+
+    def out():
+        held = [_arrays(row, "words", "c", "k", "t") for row in waiting]
+        words, at = np.unique(np.concatenate([h[0] for h in held]), return_inverse=True)
+        sums = {x: np.bincount(at, np.concatenate([h[i] for h in held]), len(words)).astype(np.int64) for i, x in enumerate("ckt", 1)}
+        yield _block(-1, _WORDS, {"part": part}, words=words, **sums)
+        lo = 0
+        for row, h in zip(waiting, held, strict=True):
+            own = at[lo : lo + len(h[0])]
+            lo += len(h[0])
+            yield _block(row["shard"], _TOTALS, {"part": part}, **{x: a[own] for x, a in sums.items()})
+
+    for b in batches:
+        for row in _rows(b):
+            if row["part"] != part and waiting:
+                yield from out()
+                waiting = []
+            part = row["part"]
+            waiting.append(row)
+    if waiting:
+        yield from out()
+
+
+def _words(batches):
     for b in batches:
-        for row in b.to_pylist():
-            words, v, w, n = _arrays(row, "words", "v", "w", "n")
-            c, k, t = np.bincount(w, n, len(words)), np.bincount(v, n, len(words)), np.bincount(v, minlength=len(words))
-            for lo in range(0, len(words), 100_000):
-                part = slice(lo, lo + 100_000)
-                columns = [words[part], *(x[part].astype(np.int64) for x in (c, k, t))]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), row["shard"], np.int32)), *map(pa.array, columns)], names=["shard", "word", "c", "k", "t"])
+        for row in _rows(b):
+            columns = _arrays(row, "words", "c", "k", "t")
+            for lo in range(0, len(columns[0]), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in columns], names=["word", "c", "k", "t"])
 
 
 def _asked(shards: int):
@@ -193,7 +262,7 @@ def _asked(shards: int):
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for ids, hashes, before, words, doc in _tokenised(batches):
-            pair, at, n = np.unique(before * len(hashes) + words, return_inverse=True, return_counts=True)
+            pair, at, n = np.unique(before.astype(np.int64) * len(hashes) + words, return_inverse=True, return_counts=True)
             v, w = pair // len(hashes), pair % len(hashes)
             doc = doc[np.argsort(at, kind="stable")]  # by pair
             starts = np.concatenate([[0], np.cumsum(n)])
@@ -212,13 +281,14 @@ def _asked(shards: int):
     return run
 
 
-_SCORED = "batch long, doc_no long, doc_id long, word long, tokens long, known long, base double, lp double, as_word long, as_context long"
-_NAMES = [c.split()[0] for c in _SCORED.split(", ")]
+#: Sums of a block's documents are one row of arrays; a word that a document asks the vocabulary for is a row (with ``word``).
+_SCORED = "batch long, doc_no long, word long, as_word long, as_context long, no binary, ids array<long>, tokens binary, known binary, base binary, lp binary"
+_SCORED_ARROW = pa.schema([*[(c, pa.int64()) for c in ("batch", "doc_no", "word", "as_word", "as_context")], ("no", pa.binary()), ("ids", pa.list_(pa.int64())), *[(c, pa.binary()) for c in ("tokens", "known", "base", "lp")]])
 
 
-def _trie(totals: list[tuple], counts: list[np.ndarray], n: int, vocabulary: int, discount: float) -> Trie:
+def _trie(totals: list[list[np.ndarray]], counts: list[np.ndarray], n: int, vocabulary: int, discount: float) -> Trie:
     words, v, w, pairs = counts
-    c, k, t = (np.concatenate([x[i] for x in totals]) for i in (1, 2, 3))
+    c, k, t = (np.concatenate([x[i] for x in totals]) for i in range(3))
     own = np.log10((c + ADDED) / (n + ADDED * (vocabulary + 1)))
     share = discount * t / np.maximum(k, 1)
     with np.errstate(divide="ignore"):
@@ -247,11 +317,9 @@ def _scored(n: int, vocabulary: int, discount: float):
             context = np.flatnonzero((cv >= 0) & ~seen)
             left = trie.left[cv[context]].astype(np.int64)
             lp[context] += np.where(left == Trie.NO_CONTEXT, 0, left)
-        each = lambda x: np.bincount(docs, np.repeat(x, many), size)
-        sums = [each(np.ones(len(v))).astype(np.int64), each(counts).astype(np.int64), each(base), each(lp) * -STEP]
-        batch, ids = np.full(size, row["batch"]), pa.array(row["doc_ids"], pa.int64())
-        none = pa.nulls(size, pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(batch), pa.array(no), ids, none, *map(pa.array, sums), none, none], names=_NAMES)
+        each = lambda x: np.bincount(docs, np.repeat(x, many), size).astype("<f8").tobytes()
+        sums = {"tokens": each(np.ones(len(v))), "known": each(counts), "base": each(base), "lp": each(lp)}
+        yield pa.RecordBatch.from_pylist([{"batch": row["batch"], "no": no.astype("<i8").tobytes(), "ids": row["doc_ids"]} | sums], schema=_SCORED_ARROW)
         # Words that this shard doesn't know, by document.
         place = np.repeat(np.arange(len(v)), many)
         asked = []
@@ -263,45 +331,66 @@ def _scored(n: int, vocabulary: int, discount: float):
             as_word = np.bincount(at[: len(asked[0])], minlength=len(pair))
             as_context = np.bincount(at[len(asked[0]) :], minlength=len(pair))
             doc, word = pair // len(words), pair % len(words)
-            zero = np.zeros(len(pair), np.int64)
-            columns = [np.full(len(pair), row["batch"]), no[doc], words[word], zero, zero, zero.astype(float), zero.astype(float), as_word, as_context]
-            columns = [pa.array(x) for x in columns]
-            columns.insert(2, ids.take(pa.array(doc)))
-            yield pa.RecordBatch.from_arrays(columns, names=_NAMES)
+            columns = [np.full(len(pair), row["batch"]), no[doc], words[word], as_word, as_context]
+            nulls = [pa.nulls(len(pair), f.type) for f in list(_SCORED_ARROW)[5:]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *nulls], schema=_SCORED_ARROW)
 
     def run(batches):
         shard, trie, totals = None, None, []
         for b in batches:
-            shards, kinds = b.column("shard").to_numpy(), b.column("kind").to_numpy()
-            edges = np.flatnonzero((np.diff(shards) != 0) | (np.diff(kinds) != 0)) + 1
-            for lo, hi in zip([0, *edges], [*edges, len(kinds)], strict=True):
-                if hi == lo:
-                    continue
-                if shards[lo] != shard:
-                    shard, trie, totals = shards[lo], None, []
-                if kinds[lo] == _TOTALS:
-                    totals.append(tuple(b.column(c).slice(lo, hi - lo).to_numpy() for c in ("word", "c", "k", "t")))
-                    continue
-                for row in b.slice(lo, hi - lo).to_pylist():
-                    if kinds[lo] == _COUNTS:
-                        trie = _trie(totals, _arrays(row, "words", "v", "w", "n"), n, vocabulary, discount)
-                        totals = []
-                    else:
-                        yield from judge(trie, row)
+            for row in _rows(b):
+                if row["shard"] != shard:
+                    shard, trie, totals = row["shard"], None, []
+                if row["kind"] == _TOTALS:
+                    totals.append(_arrays(row, "c", "k", "t"))
+                elif row["kind"] == _COUNTS:
+                    trie = _trie(totals, _arrays(row, "words", "v", "w", "n"), n, vocabulary, discount)
+                    totals = []
+                else:
+                    yield from judge(trie, row)
 
     return run
 
 
+def _summed(batches):
+    """The sums of each document over the shards: rows come by batch. Sums of codes are whole numbers of STEP."""
+    batch, ids, sums = None, None, None
+    names = ("tokens", "known", "base", "lp")
+
+    def out():
+        there = np.flatnonzero(sums["tokens"] > 0)
+        columns = [np.full(len(there), batch), there, [ids[i] for i in there], sums["tokens"][there].astype(np.int64), sums["known"][there].astype(np.int64), sums["base"][there], sums["lp"][there] * -STEP]
+        kinds = [pa.int64()] * 5 + [pa.float64()] * 2
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["batch", "doc_no", "doc_id", *names])
+
+    for b in batches:
+        for row in _rows(b):
+            if row["batch"] != batch:
+                if ids:
+                    yield out()
+                batch, ids, sums = row["batch"], {}, {c: np.zeros(BATCH_TEXTS) for c in names}
+            no = np.frombuffer(row["no"], "<i8")
+            ids.update(zip(no.tolist(), row["ids"], strict=True))
+            for c in names:
+                sums[c][no] += np.frombuffer(row[c], "<f8")
+    if ids:
+        yield out()
+
+
 def held_out() -> Column:
     """Whether the crc32 of doc_id as text is divisible by 10; a null id counts as empty text, whose crc32 is 0."""
     return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
 class Model:
-    """Counts by shard, the vocabulary table, and the numbers that all share."""
+    """Counts by shard, totals of words by shard and by themselves, and the numbers that all share."""
 
-    def __init__(self, counts: DataFrame, vocabulary: DataFrame, tokens: int, words: int, discount: float, shards: int):
-        self.counts, self.vocabulary, self.tokens, self.words, self.discount, self.shards = counts, vocabulary, tokens, words, discount, shards
+    def __init__(self, counts: DataFrame, totals: DataFrame, shards: int):
+        self.counts, self.totals, self.shards = counts, totals, shards
+        self.vocabulary = totals.where(F.col("kind") == _WORDS).select("words", "c", "k", "t").mapInArrow(_words, "word long, c long, k long, t long")
+        self.tokens, self.words = self.vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
+        once, twice = counts.agg(F.coalesce(F.sum("once"), F.lit(0)), F.coalesce(F.sum("twice"), F.lit(0))).first()
+        self.discount = once / (once + 2 * twice) if once and twice else 0.5
 
 
 def train(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> Model:
@@ -309,13 +398,10 @@ def train(docs: DataFrame, shard_chars: int = SHARD_CHARS) -> Model:
     chars = docs.agg(F.coalesce(F.sum(F.length("text")), F.lit(0))).first()[0]
     shards = max(1, -(-chars // shard_chars))
     blocks = docs.select("doc_id", "text").mapInArrow(_counted(shards), _BLOCK)
-    by_shard = blocks.repartitionById(shards, F.col("shard"))
-    counts = materialise(by_shard.mapInArrow(_merge, _BLOCK), "pair-counts")
-    parts = counts.select("shard", "words", "v", "w", "n").mapInArrow(_vocabulary, "shard int, word long, c long, k long, t long")
-    vocabulary = materialise(parts.groupBy("word").agg(*[F.sum(c).alias(c) for c in "ckt"]), "vocabulary")
-    tokens, words = vocabulary.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
-    once, twice = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-    return Model(counts, vocabulary, tokens, words, once / (once + 2 * twice) if once and twice else 0.5, shards)
+    counts = materialise(blocks.repartitionById(shards, F.col("shard")).mapInArrow(_merge, _BLOCK), "pair-counts")
+    asked = counts.select("shard", "words", "v", "w", "n").mapInArrow(_vocabulary(shards), _BLOCK)
+    totals = materialise(asked.repartitionById(shards, F.col("part")).mapInArrow(_totals, _BLOCK), "totals")
+    return Model(counts, totals, shards)
 
 
 def _code(log10: Column) -> Column:
@@ -332,19 +418,19 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
     m = model
     asked = docs.select("doc_id", "text").mapInArrow(_asked(m.shards), _BLOCK)
-    parts = m.counts.select("shard", "words", "v", "w", "n").mapInArrow(_vocabulary, "shard int, word long, c long, k long, t long")
-    known = parts.select("shard", "word").join(m.vocabulary, "word").select("shard", F.lit(_TOTALS).alias("kind"), "word", "c", "k", "t")
-    rows = asked.unionByName(m.counts.drop("c", "k"), allowMissingColumns=True).unionByName(known, allowMissingColumns=True)
-    by_shard = rows.repartitionById(m.shards, F.col("shard")).sortWithinPartitions("shard", "kind", "word")
+    rows = asked.unionByName(m.counts).unionByName(m.totals.where(F.col("kind") == _TOTALS))
+    by_shard = rows.repartitionById(m.shards, F.col("shard")).sortWithinPartitions("shard", "kind", "part")
     sums = materialise(by_shard.mapInArrow(_scored(m.tokens, m.words, m.discount), _SCORED), "scored")
     share = F.when(F.col("k") > 0, _code(F.log10(F.lit(m.discount) * F.col("t") / F.col("k")))).otherwise(0.0)
     c = F.coalesce("c", F.lit(0))
     own = _code(F.log10((c + ADDED) / (m.tokens + ADDED * (m.words + 1))))
     word, context = F.col("as_word"), F.col("as_context")
     rest = sums.where("word IS NOT NULL").join(m.vocabulary, "word", "left").select(
-        "batch", "doc_no", "doc_id", "tokens", F.when(c > 0, word).otherwise(0).alias("known"), (word * F.log10(c + ADDED)).alias("base"), (word * own + context * F.coalesce(share, F.lit(0.0))).alias("lp"),
+        "batch", "doc_no", F.when(c > 0, word).otherwise(0).alias("known"), (word * F.log10(c + ADDED)).alias("base"), (word * own + context * F.coalesce(share, F.lit(0.0))).alias("lp")
     )
-    every = sums.where("word IS NULL").select(*rest.columns).unionByName(rest)
-    total = every.groupBy("batch", "doc_no", "doc_id").agg(*[F.sum(x).alias(x) for x in ("tokens", "known", "base", "lp")])
+    rest = rest.groupBy("batch", "doc_no").agg(*[F.sum(x).alias(f"more_{x}") for x in ("known", "base", "lp")])
+    blocks = sums.where("word IS NULL").select("batch", "no", "ids", "tokens", "known", "base", "lp").repartition("batch").sortWithinPartitions("batch")
+    total = blocks.mapInArrow(_summed, "batch long, doc_no long, doc_id long, tokens long, known long, base double, lp double").join(rest, ["batch", "doc_no"], "left")
+    total = total.select("doc_id", "tokens", *[(F.col(x) + F.coalesce(f"more_{x}", F.lit(0))).alias(x) for x in ("known", "base", "lp")])
     norm = F.log10(F.lit(m.tokens + ADDED * (m.words + 1)))
     return total.select("doc_id", F.col("tokens").alias("n_tokens"), F.col("known").alias("n_known"), F.lit(m.tokens).cast("long").alias("train_tokens"), (F.col("base") - F.col("tokens") * norm).alias("base_score"), F.col("lp").alias("score"))
