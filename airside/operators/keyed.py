@@ -26,12 +26,16 @@ def upsert_newest(target: DataFrame, batch: DataFrame, keys: list[str], order: l
     return known.unionByName(newest.join(target.select(*keys), keys, "left_anti").select(*target.columns))
 
 
-def merge_coalesce(target: DataFrame, batch: DataFrame, key: str) -> DataFrame:
+def merge_coalesce(target: DataFrame, batch: DataFrame, key: str, order: list[str] | None = None) -> DataFrame:
     """Full outer join in which the batch's values win where they aren't null.
 
-    Of several batch rows of one key each column's greatest value counts. Null keys meet.
+    Of several batch rows of one key the newest counts, whole: the greatest by ``order``, then by
+    all other columns. Null keys meet.
     """
-    one = batch.groupBy(key).agg(*[F.max(c).alias(c) for c in target.columns if c != key])
+    others = [c for c in target.columns if c != key]
+    first = [c for c in order or [] if c in others]
+    row = F.max(F.struct(*first, *[c for c in others if c not in first]))
+    one = batch.groupBy(key).agg(row.alias("_row")).select(key, *[F.col(f"_row.{c}").alias(c) for c in others])
     t, b = target.alias("t"), one.alias("b")
     joined = t.join(b, F.col(f"t.{key}").eqNullSafe(F.col(f"b.{key}")), "full")
     return joined.select(*[F.coalesce(f"b.{c}", f"t.{c}").alias(c) for c in target.columns])

@@ -149,10 +149,34 @@ def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
+def taxi_times(legs: DataFrame, sessions: DataFrame, most_minutes: int = 60) -> DataFrame:
+    """service_date, direction, seconds of each departure (taxi-out) and arrival (taxi-in) with a ground session beside it.
+
+    A departure's taxi-out runs from the start of the aircraft's last session of the day before the leg to the leg's
+    start; an arrival's taxi-in from the leg's end to the end of its first session after it. Sessions that
+    begin or end more than ``most_minutes`` from the leg don't count.
+    """
+    l, s = legs.where("direction IN ('departure', 'arrival')").alias("l"), sessions.alias("s")
+    met = l.join(s, (F.col("l.icao_hex") == F.col("s.icao_hex")) & (F.col("l.service_date") == F.col("s.service_date")))  # an aircraft's day has some sessions
+    out = F.col("l.direction") == "departure"
+    before, after = F.timestamp_diff("SECOND", F.col("s.end_ts"), F.col("l.start_ts")), F.timestamp_diff("SECOND", F.col("l.end_ts"), F.col("s.start_ts"))
+    gap = F.when(out, before).otherwise(after)
+    seconds = F.when(out, F.timestamp_diff("SECOND", F.col("s.start_ts"), F.col("l.start_ts"))).otherwise(F.timestamp_diff("SECOND", F.col("l.end_ts"), F.col("s.end_ts")))
+    near = met.select("l.icao_hex", "l.service_date", "l.segment", "l.direction", gap.alias("gap"), seconds.alias("seconds")).where(F.col("gap").between(0, most_minutes * 60))
+    return near.groupBy("icao_hex", "service_date", "segment", "direction").agg(F.min_by("seconds", F.struct("gap", "seconds")).alias("seconds")).drop("icao_hex", "segment")
+
+
 def ops_kpis(legs: DataFrame, sessions: DataFrame, crossings: DataFrame, delays: DataFrame) -> DataFrame:
-    """By day: operations, median ground and runway seconds, share of departures within 15 minutes."""
+    """By day: operations, median taxi-out and taxi-in, ground and runway seconds, share of departures within 15 minutes, and
+    whether aircraft crossed one runway in both directions (head to head)."""
+    taxi = taxi_times(legs, sessions).groupBy("service_date").agg(*[F.round(F.percentile(F.when(F.col("direction") == d, F.col("seconds")), F.lit(0.5)), 1).alias(n) for d, n in (("departure", "median_taxi_out_s"), ("arrival", "median_taxi_in_s"))])
+    ways = crossings.groupBy("service_date", "runway_id").agg(F.count_distinct("direction").alias("ways"))
+    head = ways.groupBy("service_date").agg((F.max("ways") > 1).alias("head_to_head"))
     ops = legs.where("direction IN ('departure', 'arrival')").groupBy("service_date").agg(F.count_if(F.col("direction") == "departure").alias("departures"), F.count_if(F.col("direction") == "arrival").alias("arrivals"))
     ground = sessions.groupBy("service_date").agg(F.round(F.percentile("dwell_seconds", F.lit(0.5)), 1).alias("median_ground_s"))
     runway = crossings.groupBy("service_date").agg(F.round(F.percentile("seconds", F.lit(0.5)), 1).alias("median_runway_s"))
     timely = delays.groupBy(F.col("flight_date").alias("service_date")).agg(_pct(F.sum(F.col("flights") - F.col("delayed")), F.sum("flights")).alias("on_time_pct"))
-    return ops.join(ground, "service_date", "full").join(runway, "service_date", "full").join(timely, "service_date", "full")
+    out = ops
+    for more in (taxi, ground, runway, head, timely):
+        out = out.join(more, "service_date", "full")
+    return out

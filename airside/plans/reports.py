@@ -54,8 +54,10 @@ def hex_density(points: DataFrame, degrees: float, days: int, top: int = 4000, b
     """
     rows = points if box is None else points.where(F.col("lat").between(box[0], box[2]) & F.col("lon").between(box[1], box[3]))
     rows = rows if share >= 1 else rows.sample(share, seed)
+    # Places, then cells, come out of generators, so that neither is worked out again at each mention.
+    placed = rows.select("icao_hex", "flight", F.inline(F.array(F.struct(F.col("lat").alias("lat"), F.col("lon").alias("lon")))))
     q, r = geo.hex_cell(F.col("lat"), F.col("lon"), degrees)
-    cells = rows.withColumn("q", q).withColumn("r", r)
+    cells = placed.select("icao_hex", "flight", F.inline(F.array(F.struct(q.alias("q"), r.alias("r")))))
     # Both results start from this aggregate, whose shuffle Spark uses again.
     flights = cells.groupBy("q", "r", "icao_hex", "flight").agg(F.count("*").alias("n"))
     counted = flights.groupBy("q", "r").agg(F.sum("n").alias("n"), F.count_distinct("icao_hex").alias("aircraft"))

@@ -117,14 +117,16 @@ def schedule_info(s: SparkSession, d: str) -> DataFrame:
 
 
 _NAMES = """SELECT code, coalesce(max(own), max(other)) AS airline_name FROM (
-  SELECT unnest([airline_icao, airline_iata]) AS code, airline_name AS own, NULL AS other FROM schedule WHERE schedule_key % 2 = 0 AND airline_icao <> 'AAL'
+  SELECT unnest([airline_icao, airline_iata]) AS code, CASE WHEN schedule_key % 2 = 0 AND airline_icao <> 'AAL' THEN airline_name END AS own, NULL AS other FROM schedule
   UNION ALL SELECT unnest([airline_icao, airline_iata]), NULL, airline_name || ' Air' FROM airlines) GROUP BY code"""
 
 
 @query("airline_name_map", _NAMES, "schedule", "airlines")
 def airline_name_map(s: SparkSession, d: str) -> DataFrame:
+    """One airline, and every other flight, has no name in the schedule."""
     dim = fx.airlines(s).withColumn("airline_name", F.concat("airline_name", F.lit(" Air")))
-    return schedules.airline_name_map(fx.schedule(s, d).where("schedule_key % 2 = 0 AND airline_icao <> 'AAL'"), dim)
+    named = F.when((C("schedule_key") % 2 == 0) & (C("airline_icao") != "AAL"), C("airline_name"))
+    return schedules.airline_name_map(fx.schedule(s, d).withColumn("airline_name", named), dim)
 
 
 @query("airline_display_name", "SELECT schedule_key, CASE WHEN schedule_key % 3 = 0 THEN 'Some Long Name' WHEN schedule_key % 5 = 0 THEN 'ZZZ' ELSE airline_name END AS airline_name FROM schedule", "schedule")

@@ -58,7 +58,7 @@ def flight_list_enriched(s: SparkSession, d: str) -> DataFrame:
     """Every other flight of the list lacks its airline and origin."""
     sparse = {c: F.when(C("points") % 2 == 0, C(c)) for c in ("airline_name", "origin_airport")}
     flights = fx.schedule(s, d)
-    names = schedules.airline_name_map(flights.limit(0), fx.airlines(s))
+    names = schedules.airline_name_map(flights, fx.airlines(s))
     found = fp.flight_list_enriched(stored(_flights(s, d), "flights").withColumns(sparse), flights, names)
     return found.select("service_date", "flight_id", "vehicle_category", "airline_name", "origin_airport", "destination_airport", "label")
 

@@ -325,10 +325,17 @@ def install_verify_counts(s: SparkSession, d: str) -> DataFrame:
 
 @query(
     "ops_kpis",
-    """SELECT service_date, departures, arrivals, median_ground_s, median_runway_s, on_time_pct FROM
+    """SELECT service_date, departures, arrivals, median_taxi_out_s, median_taxi_in_s, median_ground_s, median_runway_s, head_to_head, on_time_pct FROM
       (SELECT service_date, count(*) FILTER (direction = 'departure') AS departures, count(*) FILTER (direction = 'arrival') AS arrivals FROM legs WHERE direction IN ('departure', 'arrival') GROUP BY 1)
+      FULL JOIN (SELECT service_date, round(quantile_cont(seconds, 0.5) FILTER (direction = 'departure'), 1) AS median_taxi_out_s, round(quantile_cont(seconds, 0.5) FILTER (direction = 'arrival'), 1) AS median_taxi_in_s FROM
+        (SELECT l.service_date, l.direction, CASE WHEN l.direction = 'departure' THEN date_diff('second', s.start_ts, l.start_ts) ELSE date_diff('second', l.end_ts, s.end_ts) END AS seconds
+          FROM legs l JOIN (SELECT icao_hex, service_date, min(ts) AS start_ts, max(ts) AS end_ts FROM sessions GROUP BY icao_hex, service_date, session_seq) s USING (icao_hex, service_date)
+          WHERE l.direction IN ('departure', 'arrival') AND CASE WHEN l.direction = 'departure' THEN date_diff('second', s.end_ts, l.start_ts) ELSE date_diff('second', l.end_ts, s.start_ts) END BETWEEN 0 AND 3600
+          QUALIFY row_number() OVER (PARTITION BY icao_hex, l.service_date, l.segment ORDER BY CASE WHEN l.direction = 'departure' THEN date_diff('second', s.end_ts, l.start_ts) ELSE date_diff('second', l.end_ts, s.start_ts) END, seconds) = 1)
+        GROUP BY 1) USING (service_date)
       FULL JOIN (SELECT service_date, round(quantile_cont(s, 0.5), 1) AS median_ground_s FROM (SELECT service_date, date_diff('second', min(ts), max(ts)) AS s FROM sessions GROUP BY icao_hex, service_date, session_seq) GROUP BY 1) USING (service_date)
       FULL JOIN (SELECT service_date, round(quantile_cont(seconds, 0.5), 1) AS median_runway_s FROM crossing_events GROUP BY 1) USING (service_date)
+      FULL JOIN (SELECT service_date, max(ways) > 1 AS head_to_head FROM (SELECT service_date, runway_id, count(DISTINCT direction) AS ways FROM crossing_events GROUP BY 1, 2) GROUP BY 1) USING (service_date)
       FULL JOIN (SELECT flight_date AS service_date, round(sum(flights - delayed) * 100 / sum(flights), 1) AS on_time_pct FROM delays GROUP BY 1) USING (service_date)""",
     "legs", "sessions", "crossing_events", "delays",
 )

@@ -256,10 +256,11 @@ def test_schedule_upsert_twice_changes_nothing(spark):
 
 
 def test_meta_merge(spark):
-    """Null keys meet; of several rows of one key each column's greatest value counts."""
+    """Null keys meet; of several rows of one key the newest counts, whole, so that no row is made of two."""
     t = spark.createDataFrame([("a", 1, None), (None, 2, "x")], "k string, v int, w string")
     b = spark.createDataFrame([("a", None, "n"), ("a", 7, None), (None, None, "y"), ("c", 3, None)], "k string, v int, w string")
-    assert sorted(map(tuple, keyed.merge_coalesce(t, b, "k").collect()), key=repr) == sorted([("a", 7, "n"), (None, 2, "y"), ("c", 3, None)], key=repr)
+    assert sorted(map(tuple, keyed.merge_coalesce(t, b, "k", ["v"]).collect()), key=repr) == sorted([("a", 7, None), (None, 2, "y"), ("c", 3, None)], key=repr)
+    assert sorted(map(tuple, keyed.merge_coalesce(t, b, "k", ["w"]).collect()), key=repr) == sorted([("a", 1, "n"), (None, 2, "y"), ("c", 3, None)], key=repr)
 
 
 def test_latest_file_and_bad_names(spark):
