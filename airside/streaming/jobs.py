@@ -89,20 +89,7 @@ class LegProcessor(StatefulProcessor):
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.waiting = handle.getListState("waiting", _POINT)
-        self.open = handle.getValueState("open", _OPEN)
-        self.alarm = handle.getValueState("alarm", "at long")
-
-    def _ring(self, at: int | None) -> None:
-        """Keep one timer."""
-        if self.alarm.exists():
-            if self.alarm.get()[0] == at:
-                return
-            self.handle.deleteTimer(self.alarm.get()[0])
-        if at is None:
-            self.alarm.clear()
-        else:
-            self.handle.registerTimer(at)
-            self.alarm.update((at,))
+        self.kept = handle.getValueState("kept", f"alarm long, {_OPEN}")  # the one timer, and the open segment (or nulls)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         first = None
@@ -110,39 +97,43 @@ class LegProcessor(StatefulProcessor):
             self.waiting.appendList([(int(e), int(u), int(d), bool(g)) for e, u, d, g in zip(r["event_id"], r["us"], r["day"], r["ground"], strict=True)])
             first = min(x for x in (first, int(r["us"].min())) if x is not None)
         due = -(-first // 1000)
-        if not self.alarm.exists() or due < self.alarm.get()[0]:
-            self._ring(due)
+        kept = self.kept.get() or (None,) * 8
+        if kept[0] is None or due < kept[0]:
+            if kept[0] is not None:
+                self.handle.deleteTimer(kept[0])
+            self.handle.registerTimer(due)
+            self.kept.update((due, *kept[1:]))
         return iter([])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        self.alarm.clear()  # this timer is gone
         mark = timerValues.getCurrentWatermarkInMs()
-        points = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=["event_id", "us", "day", "ground"])
+        points = pd.DataFrame(list(self.waiting.get()), columns=["event_id", "us", "day", "ground"])
         ready = points["us"] <= mark * 1000
         later = points[~ready]
-        done, now = [], self.open.get() if self.open.exists() else None
+        kept = self.kept.get()
+        done, now = [], tuple(kept[1:]) if kept and kept[1] is not None else None
         if ready.any():
             done, now = next_segments(points[ready].sort_values(["us", "event_id"]), now)
             if len(later):
                 self.waiting.put([(int(e), int(u), int(d), bool(g)) for e, u, d, g in later.itertuples(index=False)])
             else:
                 self.waiting.clear()
-        due = []
+        due = [-(-int(later["us"].min()) // 1000)] if len(later) else []
         if now and not now[6]:
             if mark * 1000 // _MINUTE_US - now[4] // _MINUTE_US > GAP_MINUTES:
                 done, now = [*done, now[:6]], (*now[:6], True)
             else:
                 due.append((now[4] // _MINUTE_US + GAP_MINUTES + 1) * 60_000)
-        if now:
-            over = now[4] // 1000 + _DAY_OVER_MS
-            if mark > over and not len(later):
-                self.open.clear()
-            else:
-                self.open.update(now)
-                due.append(over)
-        if len(later):
-            due.append(-(-int(later["us"].min()) // 1000))
-        self._ring(max(min(due), mark + 1) if due else None)
+        over = now[4] // 1000 + _DAY_OVER_MS if now else 0
+        if now and (mark <= over or due):
+            alarm = max(min([*due, over]), mark + 1)
+            self.handle.registerTimer(alarm)  # the one that rang is gone
+            self.kept.update((alarm, *now))
+        elif due:
+            self.handle.registerTimer(max(min(due), mark + 1))
+            self.kept.update((max(min(due), mark + 1), *(None,) * 7))
+        else:
+            self.kept.clear()  # the aircraft's day is over
         legs = [(key[0], *s[:2], *s[3:]) for s in done if not s[2]]
         yield pd.DataFrame(legs, columns=["icao_hex", "day", "segment", "start_us", "end_us", "points"])
 
