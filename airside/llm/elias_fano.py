@@ -14,10 +14,13 @@ import numpy as np
 
 U8 = np.uint64
 #: Place of the j-th one of each byte.
-_ONES = np.zeros((256, 8), np.int64)
+_ONES = np.zeros((256, 8), U8)
 for _byte in range(256):
     for _j, _at in enumerate(k for k in range(8) if _byte >> k & 1):
         _ONES[_byte, _j] = _at
+_M1, _M2, _M4, _EACH, _TOP = (U8(int(f"{byte:02x}" * 8, 16)) for byte in (0x55, 0x33, 0x0F, 0x01, 0x80))
+#: So many numbers are worked on at once when they are packed.
+SLICE = 1 << 18
 #: Log10 values are kept in steps of this size, in 16 bits.
 STEP = 1 / 2048
 
@@ -46,25 +49,30 @@ class EliasFano:
         x, n = x.astype(U8), len(x)
         bits = max(0, (int(x[-1]) // n).bit_length() - 1) if n else 0
         low = np.zeros(n * bits // 64 + 2, U8)
-        if bits:
-            at = np.arange(n, dtype=np.int64) * bits
-            part, shift = x & U8((1 << bits) - 1), (at & 63).astype(U8)
-            np.bitwise_or.at(low, at >> 6, part << shift)
-            over = (at & 63) + bits > 64
-            np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (U8(64) - shift[over]))
-        place = (x >> U8(bits)).astype(np.int64) + np.arange(n)
-        high = np.zeros((int(place[-1]) if n else 0) // 64 + 2, U8)
-        np.bitwise_or.at(high, place >> 6, U8(1) << (place & 63).astype(U8))
+        high = np.zeros(((int(x[-1]) >> bits) + n if n else 0) // 64 + 2, U8)
+        for lo in range(0, n, SLICE):
+            some = x[lo : lo + SLICE]
+            each = np.arange(lo, lo + len(some), dtype=np.int64)
+            if bits:
+                at = each * bits
+                part, shift = some & U8((1 << bits) - 1), (at & 63).astype(U8)
+                np.bitwise_or.at(low, at >> 6, part << shift)
+                over = (at & 63) + bits > 64
+                np.bitwise_or.at(low, (at[over] >> 6) + 1, part[over] >> (U8(64) - shift[over]))
+            place = (some >> U8(bits)).astype(np.int64) + each
+            np.bitwise_or.at(high, place >> 6, U8(1) << (place & 63).astype(U8))
         ranks = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype(np.uint32 if n < 1 << 31 else np.int64)
         return cls(n, bits, [low, high, ranks])
 
     def _in_word(self, words: np.ndarray, nth: np.ndarray) -> np.ndarray:
-        octets = np.ascontiguousarray(words.astype("<u8")).view(np.uint8).reshape(-1, 8)
-        upto = np.cumsum(np.bitwise_count(octets), axis=1, dtype=np.int64)
-        which = (upto <= nth[:, None]).sum(axis=1)
-        every = np.arange(len(words))
-        before = np.where(which > 0, upto[every, which - 1], 0)
-        return 8 * which + _ONES[octets[every, which], nth - before]
+        """Place of the nth one of each word: ones up to each byte by adding within the word, then a table for the byte."""
+        ones = words - (words >> U8(1) & _M1)
+        ones = (ones & _M2) + (ones >> U8(2) & _M2)
+        upto = ((ones + (ones >> U8(4))) & _M4) * _EACH
+        want = nth.astype(U8)
+        passed = np.bitwise_count(((want * _EACH | _TOP) - upto) & _TOP).astype(U8) << U8(3)  # bits of the bytes before
+        before = (upto << U8(8)) >> passed & U8(255)
+        return (passed + _ONES[words >> passed & U8(255), want - before]).astype(np.int64)
 
     def select(self, i: np.ndarray) -> np.ndarray:
         """Place of the i-th one."""

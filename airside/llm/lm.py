@@ -20,7 +20,6 @@ of unseen pairs that it doesn't know are looked up by a join. Sums by document f
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,16 +39,19 @@ SHARD_CHARS = 48_000_000
 #: Added to every word's count in its own probability.
 ADDED = 0.1
 #: Texts of a batch are joined to up to so many tokens and texts; a longer text is a batch of its own.
-BATCH_TOKENS, BATCH_TEXTS = 2_000_000, 60_000
+BATCH_TOKENS, BATCH_TEXTS = 1_500_000, 60_000
 #: Pairs of a shard that wait before they are merged.
-WAITING = 4_000_000
+WAITING = 2_000_000
 
-_WORD = re.compile(r"[^\x20\x09-\x0D]+")
-_LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 _U = np.uint64
 
 
-def word_hash(word: str) -> int:
+def tokens(text: str | None) -> list[bytes]:
+    """Words, A-Z lower-cased: bytes know but ASCII letters, and only blank and tab to carriage return part them."""
+    return text.encode().lower().split() if text else []
+
+
+def word_hash(word: bytes | str) -> int:
     """63 bits, so that signed and unsigned order agree."""
     return xxhash.xxh64_intdigest(word) >> 1
 
@@ -58,12 +60,8 @@ def word_hash(word: str) -> int:
 START, END = word_hash("start "), word_hash("end ")
 
 
-def lower(text: str) -> str:
-    return text.lower() if text.isascii() else text.translate(_LOWER)
-
-
 class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         n = self[word] = len(self)
         return n
 
@@ -72,7 +70,7 @@ def _tokenised(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarr
     """doc ids, hashes (ascending), and for each token the numbers of the word before it, of itself and of its text."""
 
     def packed(ids, numbers, found, lengths):
-        table = np.array([word_hash(lower(w)) for w in numbers] + [START, END], np.int64)
+        table = np.array([word_hash(w) for w in numbers] + [START, END], np.int64)
         hashes, at = np.unique(table, return_inverse=True)
         at = at.astype(np.int32)
         each = np.array(lengths) + 1
@@ -88,7 +86,7 @@ def _tokenised(batches) -> Iterator[tuple[list, np.ndarray, np.ndarray, np.ndarr
     numbers, found, ids, lengths, many = _Numbers(), [], [], [], 0
     for rows in batches_of_text(batches, ("doc_id", "text")):
         for doc, text in rows:
-            words = _WORD.findall(text) if text else []
+            words = tokens(text)
             if words:
                 found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
             ids.append(doc)
@@ -107,10 +105,19 @@ def _shard_of(v: np.ndarray, w: np.ndarray, shards: int) -> np.ndarray:
     return ((x >> _U(33)) % _U(shards)).astype(np.int64)
 
 
-def _renumbered(hashes: np.ndarray, v: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The words that pairs use, and the pairs in their numbers."""
-    used = np.unique(np.concatenate([v, w]))
-    return hashes[used], np.searchsorted(used, v), np.searchsorted(used, w)
+def _by_shard(hashes: np.ndarray, v: np.ndarray, w: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard its pairs' indices, the hashes of the words they use, and the pairs in the numbers of these."""
+    shard = _shard_of(hashes[v], hashes[w], shards)
+    order = np.argsort(shard.astype(np.int16) if shards < 1 << 15 else shard, kind="stable")
+    cuts = np.searchsorted(shard[order], np.arange(shards + 1))
+    number = np.empty(len(hashes), np.int64)
+    for s in np.flatnonzero(np.diff(cuts)):
+        at = order[cuts[s] : cuts[s + 1]]
+        there = np.zeros(len(hashes), bool)
+        there[v[at]] = there[w[at]] = True
+        used = np.flatnonzero(there)
+        number[used] = np.arange(len(used))
+        yield int(s), at, hashes[used], number[v[at]], number[w[at]]
 
 
 _BLOCK = "shard int, kind int, part int, once long, twice long, batch long, words binary, v binary, w binary, n binary, c binary, k binary, t binary, docs binary, doc_no binary, doc_ids array<long>"
@@ -132,8 +139,10 @@ def _pack(name: str, a: np.ndarray) -> bytes:
 def _unpack(name: str, packed: bytes) -> np.ndarray:
     kind = np.dtype(_ARRAYS[name])
     octets = np.frombuffer(zstandard.ZstdDecompressor().decompress(packed), np.uint8).reshape(kind.itemsize, -1)
-    a = np.ascontiguousarray(octets.T).view(kind).ravel().astype(np.int64)
-    return np.cumsum(a) if name in _ASCENDING else a
+    a = np.ascontiguousarray(octets.T).view(kind).ravel()
+    if name in _ASCENDING:
+        return np.cumsum(a, dtype=np.int64).astype(np.int64 if name == "words" else np.int32)
+    return a.astype(np.int32 if name in ("v", "w", "docs") else np.int64)
 
 
 def _block(shard: int, kind: int, plain: dict, **arrays: np.ndarray) -> pa.RecordBatch:
@@ -157,14 +166,8 @@ def _counted(shards: int):
     def run(batches):
         for _, hashes, before, words, _ in _tokenised(batches):
             pair, n = np.unique(before.astype(np.int64) * len(hashes) + words, return_counts=True)
-            v, w = pair // len(hashes), pair % len(hashes)
-            shard = _shard_of(hashes[v], hashes[w], shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                at = order[cuts[s] : cuts[s + 1]]
-                own, sv, sw = _renumbered(hashes, v[at], w[at])
-                yield _block(int(s), _COUNTS, {}, words=own, v=sv, w=sw, n=n[at])
+            for s, at, own, sv, sw in _by_shard(hashes, pair // len(hashes), pair % len(hashes), shards):
+                yield _block(s, _COUNTS, {}, words=own, v=sv, w=sw, n=n[at])
 
     return run
 
@@ -172,10 +175,23 @@ def _counted(shards: int):
 def _merged(blocks: list[tuple]) -> tuple:
     """One block of several: words, v, w, n."""
     words = np.unique(np.concatenate([b[0] for b in blocks]))
-    pairs = np.concatenate([np.searchsorted(words, b[0])[b[1]] * len(words) + np.searchsorted(words, b[0])[b[2]] for b in blocks])
-    pair, at = np.unique(pairs, return_inverse=True)
-    n = np.bincount(at, np.concatenate([b[3] for b in blocks]), len(pair)).astype(np.int64)
-    return words, pair // len(words), pair % len(words), n
+    places = [np.searchsorted(words, b[0]) for b in blocks]
+    pairs = np.concatenate([p[b[1]].astype(np.int64) * len(words) + p[b[2]] for p, b in zip(places, blocks, strict=True)])
+    n = np.concatenate([b[3] for b in blocks])
+    if len(words) ** 2 < 1 << 42 and n.max() < 1 << 21:  # both go into one number, which is sorted where it stands
+        pairs <<= 21
+        pairs |= n
+        pairs.sort()
+        n = pairs & ((1 << 21) - 1)
+        pairs >>= 21
+    else:
+        order = np.argsort(pairs)
+        pairs, n = pairs[order], n[order]
+    first = np.flatnonzero(np.concatenate([[True], pairs[1:] != pairs[:-1]]))
+    n = np.add.reduceat(n, first)
+    pair = pairs[first]
+    del pairs
+    return words, (pair // len(words)).astype(np.int32), (pair % len(words)).astype(np.int32), n
 
 
 def _merge(batches):
@@ -256,26 +272,32 @@ def _words(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + 100_000]) for x in columns], names=["word", "c", "k", "t"])
 
 
+def _sorted_with(pair: np.ndarray, doc: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (below ``top``) in order, each with its document; both go into one number where it holds them."""
+    if top < 1 << 47:
+        both = np.sort(pair << 16 | doc)
+        return both >> 16, both & 0xFFFF
+    order = np.argsort(pair, kind="stable")
+    return pair[order], doc[order]
+
+
 def _asked(shards: int):
     """Blocks of the distinct pairs of each batch, with the documents of each occurrence."""
 
     def run(batches):
         part, seq = TaskContext.get().partitionId(), 0
         for ids, hashes, before, words, doc in _tokenised(batches):
-            pair, at, n = np.unique(before.astype(np.int64) * len(hashes) + words, return_inverse=True, return_counts=True)
-            v, w = pair // len(hashes), pair % len(hashes)
-            doc = doc[np.argsort(at, kind="stable")]  # by pair
-            starts = np.concatenate([[0], np.cumsum(n)])
-            shard = _shard_of(hashes[v], hashes[w], shards)
-            order = np.argsort(shard, kind="stable")
-            cuts = np.searchsorted(shard[order], np.arange(shards + 1))
-            for s in np.flatnonzero(np.diff(cuts)):
-                own_pairs = order[cuts[s] : cuts[s + 1]]
-                own, sv, sw = _renumbered(hashes, v[own_pairs], w[own_pairs])
-                many = n[own_pairs]
-                place = np.arange(many.sum()) + np.repeat(starts[own_pairs] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
-                docs, local = np.unique(doc[place], return_inverse=True)
-                yield _block(int(s), _TEXTS, {"batch": part << 32 | seq, "doc_ids": [ids[i] for i in docs]}, words=own, v=sv, w=sw, n=many, docs=local, doc_no=docs)
+            pair, doc = _sorted_with(before.astype(np.int64) * len(hashes) + words, doc, len(hashes) ** 2)
+            starts = np.flatnonzero(np.concatenate([[True], pair[1:] != pair[:-1]]))
+            n, pair = np.diff(np.concatenate([starts, [len(pair)]])), pair[starts]
+            for s, at, own, sv, sw in _by_shard(hashes, pair // len(hashes), pair % len(hashes), shards):
+                many = n[at]
+                place = np.arange(many.sum()) + np.repeat(starts[at] - np.concatenate([[0], np.cumsum(many)[:-1]]), many)
+                there = np.zeros(len(ids), bool)
+                there[doc[place]] = True
+                docs = np.flatnonzero(there)
+                local = np.cumsum(there)[doc[place]] - 1
+                yield _block(s, _TEXTS, {"batch": part << 32 | seq, "doc_ids": [ids[i] for i in docs]}, words=own, v=sv, w=sw, n=many, docs=local, doc_no=docs)
             seq += 1
 
     return run
@@ -293,8 +315,11 @@ def _trie(totals: list[list[np.ndarray]], counts: list[np.ndarray], n: int, voca
     share = discount * t / np.maximum(k, 1)
     with np.errstate(divide="ignore"):
         left = np.where(k > 0, quantised(np.log10(share)), Trie.NO_CONTEXT).astype(np.uint16)
-    follow = np.log10((pairs - discount) / k[v] + share[v] * 10.0 ** own[w])
-    return Trie(words, c, quantised(own), left, v, w, quantised(follow))
+    chance, follow = 10.0**own, np.empty(len(v), np.uint16)
+    for lo in range(0, len(v), 1 << 18):
+        at = slice(lo, lo + (1 << 18))
+        follow[at] = quantised(np.log10((pairs[at] - discount) / k[v[at]] + share[v[at]] * chance[w[at]]))
+    return Trie(words, c, quantised(own), left, v, w, follow)
 
 
 def _scored(n: int, vocabulary: int, discount: float):
@@ -325,13 +350,13 @@ def _scored(n: int, vocabulary: int, discount: float):
         asked = []
         for local, at in ((cw, w), (cv, v)):
             unknown = np.flatnonzero(local[place] < 0)
-            asked.append(docs[unknown] * len(words) + at[place[unknown]])
+            asked.append(docs[unknown].astype(np.int64) * len(words) + at[place[unknown]])
         pair, at = np.unique(np.concatenate(asked), return_inverse=True)
         if len(pair):
             as_word = np.bincount(at[: len(asked[0])], minlength=len(pair))
             as_context = np.bincount(at[len(asked[0]) :], minlength=len(pair))
             doc, word = pair // len(words), pair % len(words)
-            columns = [np.full(len(pair), row["batch"]), no[doc], words[word], as_word, as_context]
+            columns = [np.full(len(pair), row["batch"]), no[doc].astype(np.int64), words[word], as_word, as_context]
             nulls = [pa.nulls(len(pair), f.type) for f in list(_SCORED_ARROW)[5:]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, columns), *nulls], schema=_SCORED_ARROW)
 
