@@ -83,10 +83,10 @@ def join_hot(rows: DataFrame, table: DataFrame, counts: DataFrame, key: str, spr
     if total <= SPREAD_FROM:
         return rows.join(table, key)
     size = max(HOT_ROWS, total // HOT_SHARE)
-    hot = counts.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_parts"))
+    hot = materialise(counts.where(F.col("n") > size).select(key, F.ceil(F.col("n") / size).cast("int").alias("_parts")), "hot")
     if hot.isEmpty():
         return rows.join(table, key)
-    hot = F.broadcast(materialise(hot, "hot"))
+    hot = F.broadcast(hot)
     dealt = rows.join(hot, key, "left").withColumn("_part", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_parts")).cast("int"), F.lit(0))).drop("_parts")
     repeated = table.join(hot, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
     return dealt.join(repeated, [key, "_part"]).drop("_part")

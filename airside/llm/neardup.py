@@ -51,8 +51,10 @@ SPLITS, DEPTH = 3, 1
 PIVOTS = 8
 #: Words of the grams whose rarest name the texts to compare in large buckets.
 RARE_WORDS = 2
-#: Slots in which these grams are counted: 4 MB of counts are broadcast.
-SLOTS = 1 << 20
+#: Slots in which these grams are counted, up to MOST: 16 MB of counts are broadcast, whatever the input.
+SLOTS, MOST = 1 << 24, 255
+#: Slots of a block, whose counts are one row.
+BLOCK = 1 << 14
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -217,12 +219,16 @@ def _codes(batches):
 
 
 def _slot_counts(batches):
-    """slot, n: how many grams fall into each slot, summed over about a million at a time."""
+    """block, slots, n: how many grams fall into a block's slots, summed over about a million at a time."""
     waiting, many = [], 0
 
     def summed():
         slot, n = np.unique(np.concatenate(waiting), return_counts=True)
-        return pa.RecordBatch.from_arrays([pa.array(slot.astype(np.int32)), pa.array(n)], names=["slot", "n"])
+        block = (slot // _U(BLOCK)).astype(np.int32)
+        starts = np.flatnonzero(np.diff(block, prepend=-1))
+        within, n = (slot % _U(BLOCK)).astype(np.uint16), np.minimum(n, MOST).astype(np.uint8)
+        columns = [pa.array([part.tobytes() for part in np.split(values, starts[1:])], pa.binary()) for values in (within, n)]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], names=["block", "slots", "n"])
 
     for b in batches:
         for words in b.column("words"):
@@ -236,6 +242,19 @@ def _slot_counts(batches):
         yield summed()
 
 
+def _block_counts(batches):
+    """block, counts: the sums of all rows of ``_slot_counts`` of a block, one byte a slot."""
+    held: dict[int, np.ndarray] = {}
+    for b in batches:
+        for block, slots, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            sums = held.setdefault(block, np.zeros(BLOCK, np.uint16))
+            at = np.frombuffer(slots, np.uint16)
+            sums[at] = np.minimum(sums[at] + np.frombuffer(n, np.uint8), MOST)
+    if held:
+        counts = pa.array([sums.astype(np.uint8).tobytes() for sums in held.values()], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), counts], names=["block", "counts"])
+
+
 def _rarest(held):
     """Makes the rarest grams of each text out of ``held``, a broadcast count for each slot."""
 
@@ -269,9 +288,11 @@ class Buckets:
         self.labels: DataFrame | None = None  # doc, component: the smallest doc it hangs together with
 
     def verify(self, pairs: DataFrame) -> None:
-        """Add the pairs (a, b) that are near copies to the edges."""
-        narrow = pairs = materialise(pairs, "pairs")
+        """Add the pairs (a, b) that are near copies to the edges; repeated pairs count once."""
+        narrow = pairs = materialise(pairs.distinct(), "pairs")
         total = narrow.count()
+        if not total and (self.fresh or self.labels is not None):
+            return
         for end, other in (("a", "b"), ("b", "a")):  # the centre of a large group is in very many pairs
             words = self.words.select(F.col("doc_id").alias(end), F.col("words").alias(f"{end}_words"), F.size(F.array_distinct("words")).alias(f"{end}_kinds"))
             pairs = join_hot(pairs, words, narrow.groupBy(end).agg(F.count("*").alias("n")), end, other, total)
@@ -315,7 +336,7 @@ def _mixed(members: DataFrame) -> DataFrame:
 
 def _in_mixed(members: DataFrame) -> DataFrame:
     """Members of the mixed buckets, with n, their bucket's number of members."""
-    mixed = _mixed(members)
+    mixed = materialise(_mixed(members), "mixed")
     return join_hot(members, mixed, mixed, "key", "doc")
 
 
@@ -328,7 +349,7 @@ def _cross_pairs(members: DataFrame) -> DataFrame:
     """Pairs of differing components in a bucket whose lengths allow that they are near."""
     x, y = members.alias("x"), members.alias("y")
     met = x.join(y, (F.col("x.key") == F.col("y.key")) & (F.col("x.component") < F.col("y.component"))).where(_alike("x.length", "y.length"))
-    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
+    return met.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b"))
 
 
 def groups(docs: DataFrame) -> DataFrame:
@@ -359,30 +380,27 @@ def groups(docs: DataFrame) -> DataFrame:
     involved = members.select(F.col("doc").alias("doc_id")).distinct()
     words = materialise(rows.join(involved, "doc_id", "left_semi").mapInArrow(_codes, "doc_id long, words array<int>"), "words")
     buckets = Buckets(words)
-    buckets.verify(members.where("doc <> rep").where(_alike("length", "rep_length")).select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")).distinct())
+    buckets.verify(members.where("doc <> rep").where(_alike("length", "rep_length")).select(F.least("rep", "doc").alias("a"), F.greatest("rep", "doc").alias("b")))
 
     left = materialise(buckets.labelled(members.select("key", "pos", "doc", "length")), "labelled")
     # One common element is enough for members of small buckets.
     apart = materialise(_in_mixed(left), "apart")
-    buckets.verify(_cross_pairs(apart.where(F.col("n") <= SMALL_BUCKET)))
-    left = whole = materialise(apart.where(F.col("n") > SMALL_BUCKET).drop("n"), "whole")
+    pairs = _cross_pairs(apart.where(F.col("n") <= SMALL_BUCKET))
+    large = apart.where(F.col("n") > SMALL_BUCKET).drop("n")
+    left, any_large = large, not large.isEmpty()
     # Of near copies nearly all pairs agree on many elements: this links most, and saves work below.
-    for _ in range(DEPTH):
-        if left.isEmpty():
-            break
-        large = _in_mixed(left).drop("n")
+    for _ in range(DEPTH if any_large else 0):
         step = F.pmod(F.col("o.pos") - F.col("l.pos"), F.lit(SKETCH))
-        split = large.alias("l").join(keys.alias("o"), F.col("l.doc") == F.col("o.doc")).where(step.between(1, SPLITS))
-        left = split.select(F.xxhash64("l.key", "o.key").alias("key"), F.col("o.pos").alias("pos"), F.col("l.doc").alias("doc"), F.col("l.length").alias("length"), F.col("l.component").alias("component")).distinct()
-        open_ = materialise(_in_mixed(materialise(left, "split")), "open")
-        buckets.verify(_cross_pairs(open_.where(F.col("n") <= SMALL_BUCKET)))
-        left = materialise(open_.where(F.col("n") > SMALL_BUCKET).drop("n"), "large")
-    whole = buckets.labelled(whole.select("key", "doc"))
-    left = materialise(_in_mixed(whole).select("doc", "component").distinct(), "rest")
-    if not left.isEmpty():
-        left = _rare_grams(buckets, left)
-        buckets.verify(_cross_pairs(left.where(F.col("n") <= SMALL_BUCKET)))
-        _by_pivots(buckets, left.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length"))
+        split = left.alias("l").join(keys.alias("o"), F.col("l.doc") == F.col("o.doc")).where(step.between(1, SPLITS))
+        split = split.select(F.xxhash64("l.key", "o.key").alias("key"), F.col("o.pos").alias("pos"), F.col("l.doc").alias("doc"), F.col("l.length").alias("length"), F.col("l.component").alias("component")).distinct()
+        open_ = materialise(_in_mixed(materialise(split, "split")), "open")
+        pairs = pairs.unionByName(_cross_pairs(open_.where(F.col("n") <= SMALL_BUCKET)))
+        left = open_.where(F.col("n") > SMALL_BUCKET).drop("n")
+    buckets.verify(pairs)
+    if any_large:
+        rest = materialise(_in_mixed(buckets.labelled(large.select("key", "doc"))).select("doc", "component").distinct(), "rest")
+        if not rest.isEmpty():
+            _by_pivots(buckets, _rare_grams(buckets, rest))
 
     # Groups and sizes by class of copies; only then the documents, of which most are alone.
     buckets.relabel()
@@ -404,32 +422,42 @@ def _rare_grams(buckets: Buckets, docs: DataFrame) -> DataFrame:
     the longer one has L words, have at least L - RARE_WORDS + 1 - RARE_WORDS * (1 - LEAST) * L
     grams in common (repeats counted), and the rarest gram they share is among the
     RARE_WORDS * (1 - LEAST) * words + 1 rarest of each (the prefix filter). Any one order of all
-    grams will do: theirs is by the count of their slot, of which there are SLOTS whatever the
-    input, then by value. A gram that is alone in its slot names no pair, but takes its place.
+    grams will do: theirs is by the count of their slot (up to MOST; of SLOTS whatever the input),
+    then by value. A gram that is alone in its slot names no pair, but takes its place.
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
-    counts = words.select("words").mapInArrow(_slot_counts, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # at most SLOTS rows
-    held = np.zeros(SLOTS, np.int32)
-    held[counts.column("slot").to_numpy()] = np.minimum(counts.column("n").to_numpy(), np.iinfo(np.int32).max)
-    pick = _rarest(words.sparkSession.sparkContext.broadcast(held))
-    named = materialise(words.mapInArrow(pick, "key long, doc long, component long, length long"), "rare")
+    sums = words.select("words").mapInArrow(_slot_counts, "block int, slots binary, n binary").repartition("block")
+    blocks = sums.mapInArrow(_block_counts, "block int, counts binary").toArrow()  # SLOTS bytes at most
+    counts = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
+    for block, n in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
+        counts[block] = np.frombuffer(n, np.uint8)
+    held = words.sparkSession.sparkContext.broadcast(counts.ravel())
+    named = materialise(words.mapInArrow(_rarest(held), "key long, doc long, component long, length long"), "rare")
+    held.destroy()
     return materialise(_in_mixed(named), "rare-open")
 
 
 def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
-    """What is left in large buckets: each member outside the bucket's largest component
-    in turn meets all members of other components."""
+    """Members (key, doc, component, length, n) of small buckets all meet each other. In larger
+    ones each member outside the bucket's largest component in turn meets all members of other
+    components."""
+    pairs = _cross_pairs(members.where(F.col("n") <= SMALL_BUCKET))
+    members = members.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length")
     many = PIVOTS
     while True:
         sizes = members.groupBy("key", "component").count()
-        main = sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"))
-        outside = join_hot(members, main, sizes.groupBy("key").agg(F.sum("count").alias("n")), "key", "doc").where("component <> main")
+        main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n")), "main")
+        outside = join_hot(members, main.select("key", "main"), main, "key", "doc").where("component <> main")
         order = Window.partitionBy("key").orderBy("doc")
         turn = materialise(outside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("key", F.col("doc").alias("pivot"), F.col("component").alias("its"), F.col("length").alias("pivot_length")), "pivots")
         if turn.isEmpty():
+            if pairs is not None:
+                buckets.verify(pairs)
             return
-        met = join_hot(members, turn, sizes.groupBy("key").agg(F.sum("count").alias("n")), "key", "doc").where("component <> its").where(_alike("length", "pivot_length"))
-        buckets.verify(met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b")).distinct())
+        met = join_hot(members, turn, main, "key", "doc").where("component <> its").where(_alike("length", "pivot_length"))
+        met = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        buckets.verify(met if pairs is None else pairs.unionByName(met))
+        pairs = None
         rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "length")
         members = materialise(buckets.labelled(rest), "rest")
         many *= 8
