@@ -46,15 +46,16 @@ MINIMA = 2
 SMALL_BUCKET = 24
 #: Further elements by which larger buckets are split, and how often.
 SPLITS, DEPTH = 3, 1
-#: Members outside a bucket's main component that meet the others in the first round; each
-#: further round takes eight times as many.
-PIVOTS = 8
+#: Texts of a block, on average, in which members of larger buckets of rare grams meet.
+BLOCK_TEXTS = 64
 #: Words of the grams whose rarest name the texts to compare in large buckets.
 RARE_WORDS = 2
 #: Slots in which these grams are counted, up to MOST: 16 MB of counts are broadcast, whatever the input.
 SLOTS, MOST = 1 << 24, 255
 #: Slots of a block, whose counts are one row.
 BLOCK = 1 << 14
+#: Stands for more than one component; no doc_id that a text of a component has in practice, and if one has it, nothing is lost.
+SEVERAL = -(1 << 63)
 
 _WORD = re.compile(r"\w+")
 _U = np.uint64
@@ -62,7 +63,7 @@ _rng = np.random.default_rng(20240101)
 _XOR = _rng.integers(0, 2**63, SKETCH, dtype=np.int64).astype(_U)[:, None]
 _MUL = (_rng.integers(0, 2**63, SKETCH, dtype=np.int64).astype(_U) * _U(2) + _U(1))[:, None]
 _KMER = _rng.integers(0, 2**63, WORDS, dtype=np.int64).astype(_U) * _U(2) + _U(1)
-_known: dict[str, int] = {}
+_known: dict[str, int] = {}  # of one task
 
 
 def _mix(v: np.ndarray) -> np.ndarray:
@@ -209,6 +210,7 @@ def _sketches(batches):
             sketch.append(order_minhash(word_codes(words)) if words and doc is not None else np.zeros(0, np.int64))
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sketch)]), pa.int32()), pa.array(np.concatenate(sketch) if sketch else []))
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), pa.array(content, pa.string()), pa.array(length, pa.int32()), lists], names=["doc_id", "content", "length", "sketch"])
+    _known.clear()
 
 
 def _codes(batches):
@@ -216,58 +218,82 @@ def _codes(batches):
         codes = [word_codes(words_of(t or "")).view(np.int32) for _, t in rows]
         lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, codes)]), pa.int32()), pa.array(np.concatenate(codes)))
         yield pa.RecordBatch.from_arrays([pa.array([d for d, _ in rows], pa.int64()), lists], names=["doc_id", "words"])
+    _known.clear()
 
 
 def _slot_counts(batches):
-    """block, slots, n: how many grams fall into a block's slots, summed over about a million at a time."""
-    waiting, many = [], 0
+    """block, slots, n, component: how many grams fall into a block's slots, summed over about a million at a time.
+
+    ``component`` is that of all texts with a gram in the slot, or SEVERAL.
+    """
+    grams, owners, many = [], [], 0
 
     def summed():
-        slot, n = np.unique(np.concatenate(waiting), return_counts=True)
-        block = (slot // _U(BLOCK)).astype(np.int32)
+        slot = np.concatenate(grams)
+        owner = np.repeat(np.array([c for c, _ in owners], np.int64), [k for _, k in owners])
+        order = np.argsort(slot, kind="stable")
+        slot, owner = slot[order], owner[order]
+        first = np.flatnonzero(np.diff(slot, prepend=SLOTS) != 0)
+        lo, hi = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+        n, slot = np.diff(first, append=len(slot)), slot[first]
+        block = (slot // BLOCK).astype(np.int32)
         starts = np.flatnonzero(np.diff(block, prepend=-1))
-        within, n = (slot % _U(BLOCK)).astype(np.uint16), np.minimum(n, MOST).astype(np.uint8)
-        columns = [pa.array([part.tobytes() for part in np.split(values, starts[1:])], pa.binary()) for values in (within, n)]
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], names=["block", "slots", "n"])
+        values = ((slot % BLOCK).astype(np.uint16), np.minimum(n, MOST).astype(np.uint8), np.where(lo == hi, lo, SEVERAL))
+        columns = [pa.array([part.tobytes() for part in np.split(v, starts[1:])], pa.binary()) for v in values]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), *columns], names=["block", "slots", "n", "component"])
 
     for b in batches:
-        for words in b.column("words"):
+        for component, words in zip(b.column("component").to_pylist(), b.column("words"), strict=True):
             found = labelled_kmers(words.values.to_numpy().view(np.uint32), RARE_WORDS) & _U(SLOTS - 1)
-            waiting.append(found)
+            grams.append(found.astype(np.int64))
+            owners.append((component, len(found)))
             many += len(found)
             if many >= 1 << 20:
                 yield summed()
-                waiting, many = [], 0
-    if waiting:
+                grams, owners, many = [], [], 0
+    if grams:
         yield summed()
 
 
 def _block_counts(batches):
-    """block, counts: the sums of all rows of ``_slot_counts`` of a block, one byte a slot."""
-    held: dict[int, np.ndarray] = {}
+    """block, counts: the sums of all rows of ``_slot_counts`` of a block, one byte a slot; 1 if one component alone has it."""
+    held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
     for b in batches:
-        for block, slots, n in zip(*(c.to_pylist() for c in b.columns), strict=True):
-            sums = held.setdefault(block, np.zeros(BLOCK, np.uint16))
-            at = np.frombuffer(slots, np.uint16)
+        for block, slots, n, component in zip(*(c.to_pylist() for c in b.columns), strict=True):
+            sums, owner = held.setdefault(block, (np.zeros(BLOCK, np.uint16), np.zeros(BLOCK, np.int64)))
+            at, of = np.frombuffer(slots, np.uint16), np.frombuffer(component, np.int64)
+            owner[at] = np.where((sums[at] == 0) | (owner[at] == of), of, SEVERAL)
             sums[at] = np.minimum(sums[at] + np.frombuffer(n, np.uint8), MOST)
     if held:
-        counts = pa.array([sums.astype(np.uint8).tobytes() for sums in held.values()], pa.binary())
+        counts = pa.array([np.where(owner == SEVERAL, sums, np.minimum(sums, 1)).astype(np.uint8).tobytes() for sums, owner in held.values()], pa.binary())
         yield pa.RecordBatch.from_arrays([pa.array(list(held), pa.int32()), counts], names=["block", "counts"])
 
 
 def _rarest(held):
-    """Makes the rarest grams of each text out of ``held``, a broadcast count for each slot."""
+    """Makes the rarest grams of each text out of ``held``, a broadcast count for each slot.
+
+    Grams of at most SMALL_BUCKET texts are a row each, with key; all others of a text are one
+    row, with keys, and home, the first of the commonest of them.
+    """
 
     def pick(batches):
         for b in batches:
-            for doc, component, words in zip(b.column("doc").to_pylist(), b.column("component").to_pylist(), b.column("words"), strict=True):
+            key, keys, home, owner = [], [], [], []
+            docs, components = b.column("doc").to_pylist(), b.column("component").to_pylist()
+            for i, words in enumerate(b.column("words")):
                 found = labelled_kmers(words.values.to_numpy().view(np.uint32), RARE_WORDS)
                 n = held.value[(found & _U(SLOTS - 1)).astype(np.int64)]
                 rare = np.lexsort((found, n))[: int(RARE_WORDS * len(words) * (1 - LEAST) + 1e-9) + 1]
-                keys = found[rare[n[rare] > 1]].view(np.int64)
-                for lo in range(0, len(keys), 65536):
-                    part = keys[lo : lo + 65536]
-                    yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(np.full(len(part), doc)), pa.array(np.full(len(part), component)), pa.array(np.full(len(part), len(words)))], names=["key", "doc", "component", "length"])
+                n, found = n[rare], found[rare].view(np.int64)
+                own, common = found[(n > 1) & (n <= SMALL_BUCKET)].tolist(), found[n > SMALL_BUCKET].tolist()
+                most = int((n[n > SMALL_BUCKET] < n[-1]).sum())  # the first of the commonest, which texts of another length name too
+                key += own + [None] * bool(common)
+                keys += [None] * len(own) + [common] * bool(common)
+                home += [None] * len(own) + common[most : most + 1]
+                owner += [i] * (len(own) + bool(common))
+            columns = [pa.array(key, pa.int64()), pa.array([docs[i] for i in owner], pa.int64()), pa.array([components[i] for i in owner], pa.int64())]
+            columns += [pa.array([len(b.column("words")[i]) for i in owner], pa.int64()), pa.array(home, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["key", "doc", "component", "length", "home", "keys"])
 
     return pick
 
@@ -400,7 +426,7 @@ def groups(docs: DataFrame) -> DataFrame:
     if any_large:
         rest = materialise(_in_mixed(buckets.labelled(large.select("key", "doc"))).select("doc", "component").distinct(), "rest")
         if not rest.isEmpty():
-            _by_pivots(buckets, _rare_grams(buckets, rest))
+            _by_blocks(buckets, _rare_grams(buckets, rest))
 
     # Groups and sizes by class of copies; only then the documents, of which most are alone.
     buckets.relabel()
@@ -416,48 +442,102 @@ def groups(docs: DataFrame) -> DataFrame:
 
 
 def _rare_grams(buckets: Buckets, docs: DataFrame) -> DataFrame:
-    """key, doc, component, length, n: mixed buckets of texts by the rarest RARE_WORDS-grams of each.
+    """key, doc, component, length, home, keys: texts by the rarest RARE_WORDS-grams of each, see ``_rarest``.
 
     An edit changes RARE_WORDS grams at most. So texts of edit similarity LEAST or more, of which
     the longer one has L words, have at least L - RARE_WORDS + 1 - RARE_WORDS * (1 - LEAST) * L
     grams in common (repeats counted), and the rarest gram they share is among the
     RARE_WORDS * (1 - LEAST) * words + 1 rarest of each (the prefix filter). Any one order of all
     grams will do: theirs is by the count of their slot (up to MOST; of SLOTS whatever the input),
-    then by value. A gram that is alone in its slot names no pair, but takes its place.
+    then by value. Slots of one component alone count 1 and come first: their grams name no pair
+    of two components, but take their place. So a large group of copies, whose texts share what
+    nobody else has, names hardly any gram.
     """
     words = materialise(buckets.words.join(docs, F.col("doc_id") == F.col("doc")).select("doc", "component", "words"), "large-words")
-    sums = words.select("words").mapInArrow(_slot_counts, "block int, slots binary, n binary").repartition("block")
+    sums = words.select("component", "words").mapInArrow(_slot_counts, "block int, slots binary, n binary, component binary").repartition("block")
     blocks = sums.mapInArrow(_block_counts, "block int, counts binary").toArrow()  # SLOTS bytes at most
     counts = np.zeros((SLOTS // BLOCK, BLOCK), np.uint8)
     for block, n in zip(*(c.to_pylist() for c in blocks.columns), strict=True):
         counts[block] = np.frombuffer(n, np.uint8)
     held = words.sparkSession.sparkContext.broadcast(counts.ravel())
-    named = materialise(words.mapInArrow(_rarest(held), "key long, doc long, component long, length long"), "rare")
+    named = materialise(words.mapInArrow(_rarest(held), "key long, doc long, component long, length long, home long, keys array<long>"), "rare")
     held.destroy()
-    return materialise(_in_mixed(named), "rare-open")
-
-
-def _by_pivots(buckets: Buckets, members: DataFrame) -> None:
-    """Members (key, doc, component, length, n) of small buckets all meet each other. In larger
-    ones each member outside the bucket's largest component in turn meets all members of other
-    components."""
-    pairs = _cross_pairs(members.where(F.col("n") <= SMALL_BUCKET))
-    members = members.where(F.col("n") > SMALL_BUCKET).select("key", "doc", "component", "length")
-    many = PIVOTS
-    while True:
-        sizes = members.groupBy("key", "component").count()
-        main = materialise(sizes.groupBy("key").agg(F.max_by("component", F.struct("count", "component")).alias("main"), F.sum("count").alias("n")), "main")
-        outside = join_hot(members, main.select("key", "main"), main, "key", "doc").where("component <> main")
-        order = Window.partitionBy("key").orderBy("doc")
-        turn = materialise(outside.withColumn("n", F.row_number().over(order)).where(F.col("n") <= many).select("key", F.col("doc").alias("pivot"), F.col("component").alias("its"), F.col("length").alias("pivot_length")), "pivots")
-        if turn.isEmpty():
-            if pairs is not None:
-                buckets.verify(pairs)
-            return
-        met = join_hot(members, turn, main, "key", "doc").where("component <> its").where(_alike("length", "pivot_length"))
-        met = met.select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
-        buckets.verify(met if pairs is None else pairs.unionByName(met))
-        pairs = None
-        rest = members.join(turn.select("key", F.col("pivot").alias("doc")), ["key", "doc"], "left_anti").select("key", "doc", "length")
-        members = materialise(buckets.labelled(rest), "rest")
-        many *= 8
+    return named
+
+
+def _by_blocks(buckets: Buckets, named: DataFrame) -> None:
+    """Texts that share a gram of few texts all meet each other. Texts with common grams are
+    gathered in blocks, and blocks that share such a gram meet as a whole: a pair of texts that
+    shares many grams meets once, and no pair is a row."""
+    buckets.verify(_cross_pairs(_in_mixed(named.where("key IS NOT NULL").drop("home", "keys")).drop("n")))
+    common = named.where("key IS NULL")
+    # A text is at home in its commonest gram, so that texts around one passage come to few blocks.
+    homes = materialise(common.groupBy("home").agg(F.ceil(F.count("*") / BLOCK_TEXTS).alias("chunks")), "homes")
+    if homes.isEmpty():
+        return
+    placed = materialise(common.join(homes, "home").select("doc", "component", "keys", F.xxhash64("home", F.pmod(F.xxhash64("doc"), "chunks")).alias("block")), "placed")
+    texts = placed.drop("keys").join(buckets.words, F.col("doc_id") == F.col("doc")).groupBy("block")
+    texts = materialise(texts.agg(F.collect_list(F.struct("doc", "component", "words")).alias("texts"), F.min("component").alias("lo"), F.max("component").alias("hi")), "blocks")
+    held = placed.groupBy("block").agg(F.array_distinct(F.flatten(F.collect_list("keys"))).alias("keys")).select("block", F.explode("keys").alias("key"))
+    sets = held.groupBy("key").agg(F.sort_array(F.collect_set("block")).alias("blocks")).select("blocks").distinct()
+    first = materialise(sets, "block-sets").select("blocks", F.posexplode("blocks").alias("at", "x"))
+    pairs = materialise(first.select("x", F.explode(F.expr("slice(blocks, at + 1, size(blocks) - at)")).alias("y")).distinct(), "block-pairs")
+    for end in ("x", "y"):
+        pairs = pairs.join(texts.select(F.col("block").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in ("texts", "lo", "hi"))), end)
+    pairs = pairs.where("least(x_lo, y_lo) < greatest(x_hi, y_hi)").select("x", "y", "x_texts", "y_texts").repartition("x", "y")
+    buckets.fresh.append(materialise(pairs.mapInArrow(_met_blocks, "a long, b long"), "near"))
+
+
+def _bags(texts) -> tuple[list[int], list[int], list[np.ndarray]]:
+    """Documents, components and words of a block."""
+    words = texts.field("words")
+    return texts.field("doc").to_pylist(), texts.field("component").to_pylist(), [words[i].values.to_numpy() for i in range(len(words))]
+
+
+def _met_blocks(batches):
+    """Links of near texts of two blocks; of texts that hang together by others in the blocks, no more are sought."""
+    for b in batches:
+        for i in range(b.num_rows):
+            docs, components, words = _bags(b.column("x_texts")[i].values)
+            split = len(docs)
+            if b.column("x")[i] != b.column("y")[i]:
+                docs, components, words = (p + q for p, q in zip((docs, components, words), _bags(b.column("y_texts")[i].values), strict=True))
+            else:
+                split = 0
+            root = {c: c for c in components}
+
+            def top(c, root=root):
+                while root[c] != c:
+                    root[c] = c = root[root[c]]
+                return c
+
+            left, right = [], []
+            for n, m in _possible(words, split):
+                p, q = top(components[n]), top(components[m])
+                if p != q and near(words[n], words[m]):
+                    root[p] = q
+                    left.append(min(docs[n], docs[m]))
+                    right.append(max(docs[n], docs[m]))
+            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], names=["a", "b"])
+
+
+def _possible(words: list[np.ndarray], split: int) -> list[list[int]]:
+    """Pairs of which neither text lacks more word pairs of the other than its edits can take, the likest first.
+
+    With ``split``, only pairs of a text before it and one from it on.
+    """
+    length = np.array([len(w) for w in words])
+    grams = [np.unique(labelled_kmers(w.view(np.uint32), RARE_WORDS)) for w in words]
+    _, at, times = np.unique(np.concatenate(grams), return_inverse=True, return_counts=True)
+    place = np.cumsum(times > 1) - 1  # only what several have counts
+    has = np.zeros((len(words), place[-1] + 1), np.float32)
+    has[np.repeat(np.arange(len(words)), [len(g) for g in grams])[times[at] > 1], place[at[times[at] > 1]]] = 1
+    lo, hi = (slice(0, split), slice(split, None)) if split else (slice(None), slice(None))
+    common = has[lo] @ has[hi].T
+    longer = np.maximum(length[lo, None], length[None, hi])
+    edits = np.floor(longer * (1 - LEAST) + 1e-9)
+    enough = common >= longer - RARE_WORDS + 1 - RARE_WORDS * edits
+    enough &= longer - np.minimum(length[lo, None], length[None, hi]) <= edits
+    n, m = np.nonzero(enough if split else np.triu(enough, 1))
+    order = np.argsort(-common[n, m] / longer[n, m], kind="stable")
+    return np.stack([n[order], m[order] + split], axis=1).tolist()
