@@ -22,6 +22,9 @@ from pyspark.sql import functions as F
 from airside.llm.common import materialise
 from airside.llm.tokens import as_lists, batches_of_text, encoder, id_bytes
 
+#: Parts kept by one Python worker; the workers' memory may hold what other operators left.
+CACHE_PARTS = 300_000
+
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_ids: list[int], capacity: int, keep_ids: bool = True) -> DataFrame:
     """Pieces of every document: doc_id, piece, start, length, ids_crc32, ids, part, local_rank.
@@ -35,7 +38,7 @@ def cut_pieces(docs: DataFrame, tokenizer: str, end_ids: list[int], capacity: in
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, part int, local_rank long" + ", ids array<int>" * keep_ids
 
     def cut(batches):
-        enc, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        enc, part, seen = encoder(tokenizer, CACHE_PARTS), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
         for rows in batches_of_text(batches, ("doc_id", "text")):
             out, chunks = [], []
             for doc, text in rows:

@@ -91,9 +91,9 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=4)
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, cache_parts: int = CACHE_PARTS) -> WordEncoder:
     """One encoder for each tokenizer file in a Python worker."""
-    return WordEncoder(path)
+    return WordEncoder(path, cache_parts)
 
 
 def id_bytes(ids: list[int]) -> bytes:
