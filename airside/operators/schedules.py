@@ -41,7 +41,8 @@ def schedule_parse(payloads: DataFrame, tz: str) -> DataFrame:
     """Flights of API payloads (flight_date, value, ingested_at), one row for each IATA code and departure.
 
     A missing flight code is made of the airline's code and the number. Texts that don't parse
-    have no flights. Of several payloads with one flight the last ingested counts.
+    have no flights. Of several payloads with one flight the last ingested counts; of those the
+    one with the later arrival, registration and so on through all columns, so that no tie is open.
     """
     f = payloads.select("flight_date", "ingested_at", F.explode(F.from_json("value", PAYLOAD)["data"]).alias("f"))
     code = lambda own, airline: F.coalesce(fl.tidy(F.col(f"f.flight.{own}")), F.concat(F.upper(F.trim(F.col(f"f.airline.{airline}"))), F.trim("f.flight.number")))
@@ -53,7 +54,12 @@ def schedule_parse(payloads: DataFrame, tz: str) -> DataFrame:
         F.col("f.flight.codeshared.flight_iata").alias("codeshare_flight_iata"), F.col("ingested_at").alias("updated_at"),
     )
     last = [F.col("updated_at").desc(), F.col("arr_scheduled").desc_nulls_last(), F.col("sched_registration").desc_nulls_last(), F.col("flight_icao").asc_nulls_last()]
-    return top_per_key(flat, ["flight_iata", "dep_scheduled"], last)
+    return top_per_key(flat, ["flight_iata", "dep_scheduled"], [*last, *_rest(flat, ["flight_iata", "dep_scheduled", "updated_at", "arr_scheduled", "sched_registration", "flight_icao"])])
+
+
+def _rest(rows: DataFrame, named: list[str]) -> list[Column]:
+    """An order of all columns that aren't ``named``: it settles what ties an order before leaves."""
+    return [F.col(c).asc_nulls_last() for c in rows.columns if c not in named]
 
 
 def is_codeshare(codeshare_airline: Column) -> Column:
@@ -73,7 +79,8 @@ def schedule_etl_upsert(target: DataFrame, batch: DataFrame) -> DataFrame:
     added whole. Running it twice changes nothing.
     """
     keyed = batch.withColumn("flight_key", schedule_key(F.col("flight_iata"), F.col("dep_scheduled"), F.col("arr_scheduled"))).withColumn("is_codeshare", is_codeshare(F.col("codeshare_airline")))
-    newest = top_per_key(keyed, ["flight_key"], [F.col("updated_at").desc(), F.col("flight_number").asc_nulls_last()]).select(*target.columns)
+    own = keyed.select(*target.columns)
+    newest = top_per_key(own, ["flight_key"], [F.col("updated_at").desc(), F.col("flight_number").asc_nulls_last(), *_rest(own, ["flight_key", "updated_at", "flight_number"])])
     t, b = target.alias("t"), newest.alias("b")
     both = t.join(b, F.col("t.flight_key") == F.col("b.flight_key"), "full")
     matched, known = F.col("b.flight_key").isNotNull(), F.col("t.flight_key").isNotNull()
