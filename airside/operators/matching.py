@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from airside.functions import flight as fl
@@ -11,6 +13,8 @@ from airside.operators.keyed import top_per_key
 from airside.operators.schedules import code_translation_join
 
 REGISTRATION_MINUTES, CALLSIGN_MINUTES = 240, 2160
+#: To how many partitions the legs of one callsign and day go.
+DEALT = 4
 
 
 def _by_day(schedule: DataFrame) -> DataFrame:
@@ -18,30 +22,73 @@ def _by_day(schedule: DataFrame) -> DataFrame:
     return schedule.withColumn("on_date", F.explode(F.array(*[F.date_add("flight_date", d) for d in (-1, 0, 1)])))
 
 
-def match_candidates(legs: DataFrame, schedule: DataFrame, code_map: DataFrame | None = None) -> DataFrame:
-    """Legs with the schedule rows of the same registration, or of the same callsign by code or
-    by airline prefix and number; each condition is an equi-join of its own. With ``code_map``
-    (airline_iata, airline_icao) a prefix also stands for the airline's other code."""
-    days = _by_day(schedule)
-    legs = legs.withColumn("prefix", fl.callsign_prefix(F.col("callsign"))).withColumn("number", fl.callsign_number(F.col("callsign"))).withColumn("base", fl.callsign_base(F.col("callsign")))
-    by_registration = legs.join(days.where("sched_registration IS NOT NULL"), (F.col("registration") == F.col("sched_registration")) & (F.col("service_date") == F.col("on_date"))).withColumn("method", F.lit("registration_time"))
-    key = F.explode(F.array_distinct(F.array_compact(F.array(F.upper(F.trim("callsign")), F.col("base"), F.concat("prefix", "number")))))
-    code = F.explode(F.array_distinct(F.array_compact(F.array("flight_icao", "flight_iata", F.concat("airline_icao", "flight_number"), F.concat("airline_iata", "flight_number")))))
-    # A leg and a schedule row may share several codes: their keys alone are made distinct.
-    leg, row = ["icao_hex", "service_date", "segment"], ["schedule_key", "on_date"]
-    coded = days.select(*row, code.alias("_code"))
-    keys = legs.select(*leg, key.alias("_code"))
+#: What a schedule row's codes are made of.
+_CODED = ["flight_icao", "flight_iata", "airline_icao", "airline_iata", "flight_number"]
+
+
+def _with_codes(schedule: DataFrame) -> DataFrame:
+    """Adds ``_codes``: all codes of a schedule row, in order."""
+    codes = F.array("flight_icao", "flight_iata", F.concat("airline_icao", "flight_number"), F.concat("airline_iata", "flight_number"))
+    return schedule.withColumn("_codes", F.array_sort(F.array_distinct(F.array_compact(codes))))
+
+
+def _named(schedule: DataFrame, callsigns: DataFrame, code_map: DataFrame | None) -> DataFrame:
+    """callsign, _codes: which lists of codes each callsign stands for, a row for each two. There are as many
+    lists as flights of differing codes, however many legs and days have them."""
+    names = callsigns.distinct().withColumn("prefix", fl.callsign_prefix(F.col("callsign"))).withColumn("number", fl.callsign_number(F.col("callsign")))
+    key = F.explode(F.array_distinct(F.array_compact(F.array(F.upper(F.trim("callsign")), fl.callsign_base(F.col("callsign")), F.concat("prefix", "number")))))
+    keys = names.select("callsign", key.alias("_code"))
     if code_map is not None:
-        translated = code_translation_join(legs.select(*leg, "prefix", "number"), code_map).where("other_code IS NOT NULL")
-        keys = keys.unionByName(translated.select(*leg, F.concat("other_code", "number").alias("_code")))
-    pairs = keys.withColumn("on_date", F.col("service_date")).join(coded, ["_code", "on_date"]).select(*leg, *row).distinct()
-    by_callsign = legs.join(pairs, leg).join(days, row).withColumn("method", F.lit("callsign_time"))
-    both = by_registration.unionByName(by_callsign)
-    departing, arriving = boundaries("minute", F.col("dep_scheduled"), F.col("start_ts")), boundaries("minute", F.col("arr_scheduled"), F.col("end_ts"))
+        translated = code_translation_join(names, code_map).where("other_code IS NOT NULL")
+        keys = keys.unionByName(translated.select("callsign", F.concat("other_code", "number").alias("_code")))
+    lists = _with_codes(schedule.select(*_CODED).distinct()).select("_codes").distinct()
+    return keys.join(lists.withColumn("_code", F.explode("_codes")), "_code").select("callsign", "_codes").distinct()
+
+
+def _by_registration(legs: DataFrame, schedule: DataFrame) -> DataFrame:
+    days = _by_day(schedule.where("sched_registration IS NOT NULL"))
+    return legs.join(days, (F.col("registration") == F.col("sched_registration")) & (F.col("service_date") == F.col("on_date"))).withColumn("method", F.lit("registration_time"))
+
+
+def _by_callsign(legs: DataFrame, schedule: DataFrame, code_map: DataFrame | None) -> DataFrame:
+    """Each leg and schedule row once, whatever codes they share, so that pairs need no shuffle.
+
+    Pairs are many where their legs and rows are few bytes, so both are dealt to all partitions, which
+    adaptive execution would else make few of, and the legs of one callsign and day to DEALT of them.
+    """
+    named = _named(schedule, legs.select("callsign"), code_map).withColumnRenamed("callsign", "_callsign")
+    n = int(legs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    own = legs.join(named, F.col("callsign") == F.col("_callsign")).withColumn("_part", F.pmod(F.xxhash64("start_ts", "end_ts"), F.lit(DEALT)).cast("int"))
+    days = _by_day(_with_codes(schedule)).withColumnRenamed("_codes", "_own").withColumn("_copy", F.explode(F.array(*[F.lit(i) for i in range(DEALT)])))
+    own, days = own.repartition(n, "_codes", "service_date", "_part"), days.repartition(n, "_own", "on_date", "_copy")
+    met = own.join(days.hint("merge"), (F.col("_codes") == F.col("_own")) & (F.col("service_date") == F.col("on_date")) & (F.col("_part") == F.col("_copy")))
+    return met.drop("_callsign", "_codes", "_own", "_part", "_copy").withColumn("method", F.lit("callsign_time"))
+
+
+def _minutes(rows: DataFrame, **columns: str) -> DataFrame:
+    """Adds minutes of times as numbers, so that pairs only subtract them."""
+    return rows.withColumns({n: boundaries("minute", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), F.col(c)) for n, c in columns.items()})
+
+
+def _pairs(join: Callable[[DataFrame, DataFrame], DataFrame], legs: DataFrame, schedule: DataFrame) -> DataFrame:
+    """Pairs of a join with their gap in minutes, if it isn't too wide."""
+    pairs = join(_minutes(legs, _s="start_ts", _e="end_ts"), _minutes(schedule, _d="dep_scheduled", _a="arr_scheduled"))
+    departing, arriving = F.col("_s") - F.col("_d"), F.col("_e") - F.col("_a")
     either = F.when(departing.isNotNull() & arriving.isNotNull(), F.least(F.abs(departing), F.abs(arriving)))
     gap = F.when(F.col("direction") == "departure", departing).when(F.col("direction") == "arrival", arriving).otherwise(either)
     limit = F.when(F.col("method") == "registration_time", REGISTRATION_MINUTES).otherwise(CALLSIGN_MINUTES)
-    return both.withColumn("gap", gap).where(F.abs("gap") <= limit)
+    return pairs.withColumn("gap", gap).where(F.abs("gap") <= limit).drop("_s", "_e", "_d", "_a")
+
+
+def match_candidates(legs: DataFrame, schedule: DataFrame, code_map: DataFrame | None = None) -> DataFrame:
+    """Legs with the schedule rows of the same registration, or of the same callsign by code or
+    by airline prefix and number; each condition is an equi-join of its own. With ``code_map``
+    (airline_iata, airline_icao) a prefix also stands for the airline's other code.
+
+    All pairs are rows: their number grows with the square of the legs and rows of one callsign
+    and day. ``best_matches`` does without them. Pairs leave the joins as they are, unshuffled.
+    """
+    return _pairs(_by_registration, legs, schedule).unionByName(_pairs(lambda a, b: _by_callsign(a, b, code_map), legs, schedule))
 
 
 def match_score(candidates: DataFrame, codes: list[str]) -> DataFrame:
@@ -58,11 +105,46 @@ def match_score(candidates: DataFrame, codes: list[str]) -> DataFrame:
     return candidates.withColumn("direction_ok", ok).withColumn("day_diff", days).withColumn("score", (base - 10 * days - wrong).cast("int"))
 
 
+_LEG = ["icao_hex", "service_date", "segment"]
+
+
 def match_result(scored: DataFrame) -> DataFrame:
     """The best schedule row of each leg; confidence doesn't fall below 0."""
-    order = [(F.col("method") != "registration_time").asc(), F.col("direction_ok").desc_nulls_first(), F.col("score").desc(), F.abs("gap").asc(), F.col("day_diff").asc(), F.col("schedule_key").asc()]
-    best = top_per_key(scored, ["icao_hex", "service_date", "segment"], order)
-    return best.select("icao_hex", "service_date", "segment", "schedule_key", "method", "direction_ok", "score", F.greatest("score", F.lit(0)).alias("confidence"), F.abs("gap").alias("time_gap"), "day_diff")
+    return _chosen(scored.select(*_LEG, _place()))
+
+
+def _place() -> Column:
+    """What puts the best pair first, as a struct: its least is the best; schedule rows that are alike go by their key."""
+    ok = F.when(F.col("direction_ok").isNull(), 0).when(F.col("direction_ok"), 1).otherwise(2)
+    order = [(F.col("method") != "registration_time").alias("other"), ok.alias("way"), (-F.col("score")).alias("less"), F.abs("gap").alias("time_gap"), "day_diff", "schedule_key", "method", "direction_ok", "score"]
+    return F.struct(*order).alias("_best")
+
+
+def _chosen(placed: DataFrame) -> DataFrame:
+    best = placed.groupBy(*_LEG).agg(F.min("_best").alias("_best")).select(*_LEG, "_best.*")
+    return best.select(*_LEG, "schedule_key", "method", "direction_ok", "score", F.greatest("score", F.lit(0)).alias("confidence"), "time_gap", "day_diff")
+
+
+def best_matches(legs: DataFrame, schedule: DataFrame, codes: list[str], code_map: DataFrame | None = None) -> DataFrame:
+    """``match_result`` of all scored candidates, without a row for each pair of a callsign.
+
+    Legs of one callsign, day and direction that begin and end in the same minutes (of which a
+    departure's end and an arrival's beginning don't count) have the same best row, and of schedule
+    rows alike in codes, day, airports and minutes only that of least key can be it. So one of each
+    is paired: by callsign and day there are no more than the minutes of a day allow.
+    """
+    minute = lambda c: F.date_trunc("minute", c).cast("timestamp_ntz")
+    begins, ends = (F.when(~F.col("direction").eqNullSafe(d), minute(c)) for d, c in (("arrival", "start_ts"), ("departure", "end_ts")))
+    alike = ["callsign", "service_date", "direction", "start_ts", "end_ts"]
+    short = legs.where("callsign IS NOT NULL").select(*_LEG, "callsign", "direction", begins.alias("start_ts"), ends.alias("end_ts"))
+    same = [*_CODED, "flight_date", "dep_airport", "arr_airport", "dep_scheduled", "arr_scheduled"]
+    times = schedule.withColumns({c: minute(c) for c in ("dep_scheduled", "arr_scheduled")})
+    rows = times.groupBy(*same).agg(F.min(F.struct("schedule_key")).alias("_k")).select(*same, "_k.schedule_key")
+    called = match_score(_pairs(lambda a, b: _by_callsign(a, b, code_map), short.select(*alike).distinct(), rows), codes).select(*alike, _place())
+    found = called.groupBy(*alike).agg(F.min("_best").alias("_best")).select(*[F.col(c).alias(f"_{c}") for c in alike], "_best")
+    by_callsign = short.join(found, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in alike]).select(*_LEG, "_best")
+    by_registration = match_score(_pairs(_by_registration, legs, schedule), codes).select(*_LEG, _place())
+    return _chosen(by_registration.unionByName(by_callsign))
 
 
 def callsign_prior(legs: DataFrame, results: DataFrame, schedule: DataFrame, least: int, since: str | None = None) -> DataFrame:

@@ -76,7 +76,7 @@ def _crossings(t: dict[str, DataFrame], a: Airport) -> DataFrame:
 #: In the order of their dependence; the first four are the canonical layer, the others the derived tables.
 STEPS: dict[str, Step] = {
     "legs": Step({"points": SAME}, lambda t, a: sessions.flight_legs(t["points"].drop("service_date"), a.tz, a.ring)),
-    "matches": Step({"legs": SAME, "schedule": (1, 1)}, lambda t, a: matching.match_result(matching.match_score(matching.match_candidates(t["legs"], t["schedule"]), a.codes))),
+    "matches": Step({"legs": SAME, "schedule": (1, 1)}, lambda t, a: matching.best_matches(t["legs"], t["schedule"], a.codes)),
     "prior": Step({"legs": None, "matches": None, "schedule": None}, lambda t, a: matching.callsign_prior(t["legs"], t["matches"], t["schedule"], a.prior_least).withColumn("service_date", F.lit(WHOLE).cast("date"))),
     "enriched": Step({"points": SAME, "legs": SAME, "matches": SAME, "schedule": (1, 1), "prior": None}, _enriched),
     "adsb_local": Step({"enriched": SAME}, lambda t, a: enrichment.adsb_local(t["enriched"], a.ring)),

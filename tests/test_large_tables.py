@@ -30,3 +30,64 @@ def test_upsert_of_rows_alike_in_all_that_orders_them(spark):
         batch = rows.selectExpr("*", "timestamp_ntz'2024-01-01 10:00:00' AS dep_scheduled", "CAST(NULL AS TIMESTAMP_NTZ) AS arr_scheduled", "CAST(NULL AS STRING) AS codeshare_airline")
         found.append([r["flight_status"] for r in schedules.schedule_etl_upsert(target, batch).collect()])
     assert found == [["active"], ["active"]]
+
+
+def _crowd(spark, n):
+    """``n`` legs and schedule rows of a few callsigns, airports and minutes, with nulls; some aircraft have a registration."""
+    rng = random.Random(5)
+    pick = lambda *values: rng.choice(values)
+    at = lambda: f"2024-01-0{rng.randrange(1, 4)} {rng.randrange(6, 9):02d}:{rng.randrange(60):02d}:{rng.randrange(60):02d}"
+    legs = [(f"A{i}", f"2024-01-0{rng.randrange(1, 4)}", 1, at(), at(), pick(None, f"N{i % 40}"), pick("AAL1", "AAL1W", "AA2", " aal2", "X", None), pick("departure", "arrival", "local", "unknown")) for i in range(n)]
+    rows = [(pick(i, i // 2), f"2024-01-0{rng.randrange(1, 5)}", pick("AAL1", None), pick("AA1", "AA2", None), pick("AAL", None), "AA", pick("1", "2"), pick(None, f"N{i % 40}"), pick("TST", "OTH", None), pick("TST", "OTH", None), pick(at(), None), pick(at(), None)) for i in range(n)]
+    one = spark.createDataFrame(legs, "icao_hex string, d string, segment long, a string, z string, registration string, callsign string, direction string")
+    two = spark.createDataFrame(rows, "schedule_key long, d string, flight_icao string, flight_iata string, airline_icao string, airline_iata string, flight_number string, sched_registration string, dep_airport string, arr_airport string, a string, z string")
+    times = lambda df, day, a, z: df.withColumns({day: F.col("d").cast("date"), a: F.col("a").cast("timestamp_ntz"), z: F.col("z").cast("timestamp_ntz")}).drop("d", "a", "z")
+    return times(one, "service_date", "start_ts", "end_ts"), times(two, "flight_date", "dep_scheduled", "arr_scheduled")
+
+
+@pytest.mark.parametrize("mapped", [False, True])
+def test_best_matches_are_those_of_all_pairs(spark, mapped):
+    """Written out from the pairs, by the rule's order: registration, direction (unknown first), score, gap, days, key."""
+    legs, rows = _crowd(spark, 300)
+    codes = spark.createDataFrame([("AA", "AAL")], "airline_iata string, airline_icao string") if mapped else None
+    scored = matching.match_score(matching.match_candidates(legs, rows, codes), ["TST"]).collect()
+    want = {}
+    for r in scored:
+        place = (r["method"] != "registration_time", {None: 0, True: 1, False: 2}[r["direction_ok"]], -r["score"], abs(r["gap"]), r["day_diff"], r["schedule_key"])
+        leg = (r["icao_hex"], r["service_date"], r["segment"])
+        want[leg] = min(want.get(leg, (place, r["method"])), (place, r["method"]))
+    got = matching.best_matches(legs, rows, ["TST"], codes).collect()
+    assert len(scored) > 2000 and len(got) == len(want) > 150
+    for r in got:
+        (_, _, less, gap, days, key), method = want[r["icao_hex"], r["service_date"], r["segment"]]
+        assert (r["schedule_key"], r["method"], r["score"], r["confidence"], r["time_gap"], r["day_diff"]) == (key, method, -less, max(0, -less), gap, days)
+
+
+def _joined_rows(df):
+    """Rows that come out of the joins of the plan as it was run."""
+    plan, total = df._jdf.queryExecution().executedPlan(), 0
+    todo = [plan]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in name:
+            todo.append(node.plan())
+        children = node.children()
+        todo.extend(children.apply(i) for i in range(children.size()))
+        if "Join" in name and node.metrics().contains("numOutputRows"):
+            total += node.metrics().apply("numOutputRows").value()
+    return total
+
+
+def test_work_of_best_matches_follows_the_rows(spark):
+    """One callsign: four times the legs and flights make 16 times the pairs; what is joined stays far below them."""
+    joined = []
+    for n in (1000, 4000):
+        legs = spark.range(n).selectExpr("concat('A', id) AS icao_hex", "DATE'2024-01-01' AS service_date", "1L AS segment", "timestampadd(MINUTE, CAST(id % 30 AS INT), timestamp_ntz'2024-01-01 10:00:00') AS start_ts", "timestamp_ntz'2024-01-01 12:00:00' AS end_ts", "CAST(NULL AS STRING) AS registration", "'AAL1' AS callsign", "'departure' AS direction")
+        rows = spark.range(n).selectExpr("id AS schedule_key", "DATE'2024-01-01' AS flight_date", "'AAL1' AS flight_icao", "'AA1' AS flight_iata", "'AAL' AS airline_icao", "'AA' AS airline_iata", "'1' AS flight_number", "CAST(NULL AS STRING) AS sched_registration", "'TST' AS dep_airport", "'OTH' AS arr_airport", "timestampadd(MINUTE, CAST(id % 20 AS INT), timestamp_ntz'2024-01-01 10:00:00') AS dep_scheduled", "timestamp_ntz'2024-01-01 12:00:00' AS arr_scheduled")
+        found = matching.best_matches(legs, rows, ["TST"])
+        assert len(found.collect()) == n
+        joined.append(_joined_rows(found))
+    assert 0 < joined[1] < 8 * 4000
