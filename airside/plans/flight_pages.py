@@ -11,7 +11,7 @@ from airside.functions import flight as fl
 from airside.functions.time import boundaries, local_ts
 from airside.operators.keyed import top_per_key
 from airside.operators.schedules import flight_headers
-from airside.operators.spatial import places_within
+from airside.operators.spatial import first_places_within
 
 #: Labels of ground vehicles.
 GROUND_LABELS = ["TOWER", "SERVICE_VEHICLE", "GROUND_VEHICLE", "LIGHT_SURFACE_VEHICLE", "UNKNOWN_SURFACE"]
@@ -60,8 +60,9 @@ def flight_profile(track: DataFrame, tz: str) -> DataFrame:
 
 
 def flight_gate_dwell(points: DataFrame, gates: DataFrame, radius_m: float = 120) -> DataFrame:
-    """For each flight and day of ``points`` (flight_id, service_date) the gate near most of its points."""
-    near = places_within(points, gates, radius_m)
+    """For each flight and day of ``points`` (flight_id, service_date) the gate near most of its points; of
+    several the smallest, which is why of gates at the same position only that is looked at."""
+    near = first_places_within(points, gates, radius_m)
     spans = near.groupBy("flight_id", "service_date", "gate_id").agg(F.count("*").alias("points"), F.min("ts").alias("start_ts"), F.max("ts").alias("end_ts"))
     best = top_per_key(spans, ["flight_id", "service_date"], [F.col("points").desc(), F.col("gate_id").asc()])
     return best.withColumn("dwell_minutes", boundaries("minute", F.col("start_ts"), F.col("end_ts")))

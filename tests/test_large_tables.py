@@ -91,3 +91,54 @@ def test_work_of_best_matches_follows_the_rows(spark):
         assert len(found.collect()) == n
         joined.append(_joined_rows(found))
     assert 0 < joined[1] < 8 * 4000
+
+
+def _gates(spark, n):
+    """``n`` gates at five positions, one of them twice and one at two positions; all points near some."""
+    gates = spark.range(n).selectExpr("id + 1 AS gate_id", "32.0 + (id % 5) * 0.0004 AS lat", "-117.0 AS lon")
+    gates = gates.unionByName(gates.where("gate_id = 7")).unionByName(spark.sql("SELECT 3L AS gate_id, 32.0008D AS lat, -117.0D AS lon"))
+    points = spark.range(40).selectExpr("id AS event_id", "concat('F', id % 4) AS flight_id", "DATE'2024-01-01' AS service_date", "timestampadd(MINUTE, CAST(id AS INT), timestamp_ntz'2024-01-01 10:00:00') AS ts", "32.0 + (id % 9) * 0.0003 AS lat", "-117.0 + (id % 7) * 0.0002 AS lon")
+    return points, gates
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_crowded_gates(spark, monkeypatch, broadcast):
+    """Many gates at one position: all pairs, the nearest gate and the gate of most points are as by brute force."""
+    from airside.functions import geo
+    from airside.operators import spatial
+    from airside.plans import flight_pages
+
+    monkeypatch.setattr(spatial, "PIECE", 8)
+    if not broadcast:
+        monkeypatch.setattr(spatial, "BROADCAST_PLACES", 0)
+        monkeypatch.setattr(spatial, "BROADCAST_IDS", 0)
+    points, gates = _gates(spark, 100)
+    far = geo.distance_m(F.col("lat"), F.col("lon"), F.col("y"), F.col("x"))
+    pairs = points.crossJoin(gates.selectExpr("gate_id", "lat AS y", "lon AS x")).withColumn("m", far).where("m <= 60").collect()
+    got = spatial.places_within(points, gates, 60)
+    assert sorted((r["event_id"], r["gate_id"]) for r in got.collect()) == sorted((r["event_id"], r["gate_id"]) for r in pairs) and len(pairs) > 500
+    assert "_held" not in got.columns and "g_lat" not in got.columns
+    best = {}
+    for r in pairs:
+        best[r["event_id"]] = min(best.get(r["event_id"], (1e9, 0)), (r["m"], r["gate_id"]))
+    assert {r["event_id"]: r["gate_id"] for r in spatial.nearest_place(points, "event_id", gates, 60).collect() if r["gate_id"]} == {k: v[1] for k, v in best.items()}
+    count = {}
+    for r in pairs:
+        count[r["flight_id"], r["gate_id"]] = count.get((r["flight_id"], r["gate_id"]), 0) + 1
+    most = {f: min((-n, g) for (f2, g), n in count.items() if f2 == f) for f, _ in count}
+    assert {r["flight_id"]: (-r["points"], r["gate_id"]) for r in flight_pages.flight_gate_dwell(points, gates, 60).collect()} == most
+
+
+def test_gates_of_a_position_are_compared_once(spark):
+    """Four times the gates at the same positions: no more rows come out of the joins with points."""
+    from airside.operators import spatial
+    from airside.plans import flight_pages
+
+    made = []
+    for n in (100, 400):
+        points, gates = _gates(spark, n)
+        found = flight_pages.flight_gate_dwell(points, gates, 60)
+        near = spatial.nearest_place(points, "event_id", gates, 60)
+        assert found.count() and len(found.collect()) == 4 and len(near.collect()) == 40
+        made.append(_joined_rows(found))
+    assert made[0] and made[1] <= made[0] + 40
