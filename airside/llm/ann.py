@@ -26,6 +26,8 @@ BUILD_WIDTH = 64
 SEARCH_WIDTH = 160
 #: Queries that one task takes past one copy of a shard, and those searched in step.
 QUERY_BLOCK, STEP_BLOCK = 16384, 1024
+#: Rows of queries, each with its vector, that leave for the shards at once.
+VISIT_ROWS = 8192
 #: Rows of a band on which its centroids are fitted, and centroids of a band.
 FIT_ROWS, CELLS = 65536, 1024
 #: Queries on which the number of cells to visit is measured, and the share of their true
@@ -371,19 +373,31 @@ def probes(nodes: DataFrame, queries: DataFrame, held_means, k: int) -> dict[int
     return {dim: int(np.quantile(n, IN_CELLS, method="higher")) for dim, n in needed.items()}
 
 
-def _visits(held_means, count: dict[int, int], subs: dict):
-    """A row for each shard that a query visits."""
+def _visits(held_means, count: dict[int, int], subs: dict, vectors: bool = True):
+    """A row for each shard that a query visits, with the query's vector or (to be counted) without it.
+
+    A query's row becomes one for each shard, so they leave in batches of at most VISIT_ROWS.
+    """
 
     def visit(batches):
         for pdf in batches:
             for dim, rows in pdf.groupby("dim").indices.items():
                 if int(dim) not in held_means.value:
                     continue
-                part = pdf.iloc[rows]
-                keys, order = _nearest_cells(held_means.value, int(dim), np.stack(part["vector"].to_numpy()))
-                out = [(i, *keys[c], sub) for i, row in enumerate(order[:, : count[int(dim)]]) for c in row for sub in range(subs[(int(dim), *keys[c])])]
-                at, band, cell, sub = (np.array(c, np.int32) for c in zip(*out, strict=True))
-                yield part.iloc[at].assign(band=band, cell=cell, sub=sub)[["query_id", "query", "vector", *SHARD]]
+                keys = held_means.value[int(dim)][0]
+                band, cell = np.array(keys, np.int32).T
+                parts = np.array([subs[(int(dim), *key)] for key in keys])
+                step = max(1, VISIT_ROWS // int(parts.sum()))
+                for start in range(0, len(rows), step):
+                    some = pdf.iloc[rows[start : start + step]]
+                    order = _nearest_cells(held_means.value, int(dim), np.stack(some["vector"].to_numpy()))[1][:, : count[int(dim)]]
+                    many = parts[order.ravel()]
+                    at, which = np.repeat(np.repeat(np.arange(len(some)), order.shape[1]), many), np.repeat(order.ravel(), many)
+                    sub = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many)
+                    for i in range(0, len(at), VISIT_ROWS):
+                        cut = slice(i, i + VISIT_ROWS)
+                        own = some.iloc[at[cut]].assign(band=band[which[cut]], cell=cell[which[cut]], sub=sub[cut].astype(np.int32))
+                        yield own[["query_id", "query", "vector", *SHARD] if vectors else SHARD]
 
     return visit
 
@@ -426,10 +440,11 @@ def search(vectors: DataFrame, is_query, k: int = 20, shard_rows: int = SHARD_RO
 
     visits = queries.mapInPandas(_visits(held_means, count, subs), "query_id long, query long, vector array<double>, dim int, band int, cell int, sub int")
     if queries.count() > QUERY_BLOCK:  # a shard goes to as many tasks as its queries need
-        visits = materialise(visits, "visits")
-        load = visits.groupBy(*SHARD).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
-        visits = visits.join(load, SHARD).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), F.col("blocks")).cast("int"))
-        index = index.join(load, SHARD).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+        visited = queries.mapInPandas(_visits(held_means, count, subs, False), "dim int, band int, cell int, sub int")
+        load = visited.groupBy(*SHARD).agg(F.ceil(F.count("*") / QUERY_BLOCK).cast("int").alias("blocks"))
+        load = F.broadcast(materialise(load, "load"))  # a row for each shard
+        visits = visits.join(load, SHARD).withColumn("block", F.pmod(F.xxhash64("query_id", "query"), F.col("blocks")).cast("int")).drop("blocks")
+        index = index.join(load, SHARD).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks")  # kept on both sides it would be ambiguous
     else:
         visits, index = visits.withColumn("block", F.lit(0)), index.withColumn("block", F.lit(0))
     by = [*SHARD, "block"]
